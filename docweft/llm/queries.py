@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweft.llm import chat, packing, topk
+from docweft.llm import chat, packing, topk, warc
 from docweft.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), least_bytes=0)
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(
@@ -53,6 +57,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_exact_topk": op6_exact_topk,
+    "op8_warc": op8_warc,
     "op9_chat_formatting": op9_chat_formatting,
 }
 
@@ -69,6 +74,21 @@ WITH v AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 WHERE rank <= 10
+""",
+    "op8_warc": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex,
+    min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
+  FROM pages
+), d AS (
+  SELECT *, list_transform(range(0, 160, 5), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + CAST((CAST('0x' || substr(hex || '0', i // 4 + 1, 3) AS INTEGER) // CAST(pow(2, 7 - i % 4) AS INTEGER)) % 32 AS INTEGER), 1)) AS letters
+  FROM p
+)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, array_to_string(letters, '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
 """,
     "op9_chat_formatting": r"""
 WITH rows AS (
