@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweft.llm import chat, packing, topk, warc
+from docweft.llm import chat, neardup, packing, topk, warc
 from docweft.llm.common import table
 
 
@@ -16,6 +16,10 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048)
 
@@ -55,6 +59,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_bbit_minhash": op3_bbit_minhash,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_exact_topk": op6_exact_topk,
     "op8_warc": op8_warc,
@@ -62,6 +67,28 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_bbit_minhash": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END) AS s
+  FROM w
+), e AS (SELECT doc_id, unnest(s) AS x FROM s),
+pairs AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT u, v FROM pairs JOIN s a ON a.doc_id = u JOIN s b ON b.doc_id = v
+  WHERE 100 * shared >= 80 * (len(a.s) + len(b.s) - shared)
+), reach AS (
+  SELECT doc_id AS id, doc_id AS other FROM documents
+  UNION SELECT reach.id, links.v FROM reach JOIN links ON links.u = reach.other
+), least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
+SELECT doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM s JOIN least ON least.id = s.doc_id
+""",
     "op6_exact_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e
