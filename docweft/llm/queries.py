@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweft.llm import chat, neardup, packing, topk, warc
+from docweft.llm import chat, neardup, packing, repeats, topk, warc
 from docweft.llm.common import table
 
 
+def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.affected(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id",
+        "n_sentences",
+        "n_removed",
+        F.length("text").cast("long").alias("kept_chars"),
+        F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"),
+        "first_doc_ids",
+    )
+
+
 def tokenizer_path() -> str:
     """Where the public tokenizer's file lies; a parameter of the operators."""
     import public_tokenizers
@@ -60,6 +72,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_bbit_minhash": op3_bbit_minhash,
+    "op4_sentence_spans": op4_sentence_spans,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_exact_topk": op6_exact_topk,
     "op8_warc": op8_warc,
