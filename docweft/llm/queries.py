@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweft.llm import chat, neardup, packing, repeats, topk, warc
+from docweft.llm import chat, decontaminate, neardup, packing, repeats, topk, warc
 from docweft.llm.common import table
 
 
@@ -40,6 +40,10 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op7_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), least_bytes=0)
 
@@ -75,6 +79,7 @@ QUERIES = {
     "op4_sentence_spans": op4_sentence_spans,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_exact_topk": op6_exact_topk,
+    "op7_templates": op7_templates,
     "op8_warc": op8_warc,
     "op9_chat_formatting": op9_chat_formatting,
 }
