@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweft.llm import chat, decontaminate, neardup, packing, repeats, topk, warc
+from docweft.llm import chat, decontaminate, neardup, packing, pii, repeats, topk, warc
 from docweft.llm.common import table
 
 
@@ -28,6 +28,23 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def pii_digest(docs: DataFrame) -> DataFrame:
+    """Counts and digests of the spans of every row of ``docs``."""
+    rows = docs.select("doc_id", "text")
+    found = pii.with_spans(rows, pii.fit(rows), base_col="base", spans_col="all")
+    def count(rank: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
+
+    counts = [count(rank).alias(f"n_{name}") for rank, name in enumerate(pii.BASE)]
+    return found.select(
+        "doc_id", *counts, F.sha2(F.encode(pii.as_text(F.col("base")), "UTF-8"), 256).alias("base_sha256"), pii.as_text(F.col("all")).alias("spans")
+    )
+
+
+def op2_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -75,6 +92,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_pii_weak_supervision": op2_pii_weak_supervision,
     "op3_bbit_minhash": op3_bbit_minhash,
     "op4_sentence_spans": op4_sentence_spans,
     "op5_best_fit_packing": op5_best_fit_packing,
