@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweft.llm import chat, decontaminate, neardup, packing, pii, repeats, topk, warc
+from docweft.llm import chat, decontaminate, neardup, packing, pii, quality, repeats, topk, warc
 from docweft.llm.common import table
 
 
@@ -91,6 +91,11 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.classify(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+
+
 QUERIES = {
     "op2_pii_weak_supervision": op2_pii_weak_supervision,
     "op3_bbit_minhash": op3_bbit_minhash,
@@ -100,6 +105,7 @@ QUERIES = {
     "op7_templates": op7_templates,
     "op8_warc": op8_warc,
     "op9_chat_formatting": op9_chat_formatting,
+    "op10_quality": op10_quality,
 }
 
 ORACLES = {
