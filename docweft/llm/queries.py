@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweft.llm import chat, decontaminate, neardup, packing, pii, quality, repeats, topk, warc
+from docweft.llm import chat, decontaminate, licenses, neardup, packing, pii, quality, repeats, topk, warc
 from docweft.llm.common import table
 
 
@@ -28,6 +28,16 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files ``source/lang/doc_id``."""
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select(F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.col("doc_id").cast("string")).alias("path"), "text")
+    found = licenses.scan(files)
+    return found.select(
+        F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "path", "own_license", F.round("own_score", 6).alias("own_score"), "license", "license_dir"
+    )
+
+
 def pii_digest(docs: DataFrame) -> DataFrame:
     """Counts and digests of the spans of every row of ``docs``."""
     rows = docs.select("doc_id", "text")
@@ -97,6 +107,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_pii_weak_supervision": op2_pii_weak_supervision,
     "op3_bbit_minhash": op3_bbit_minhash,
     "op4_sentence_spans": op4_sentence_spans,
