@@ -56,7 +56,7 @@ FILES = [
     ("a/LICENSE", "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files, to deal in the Software\nwithout restriction"),
     ("a/main.py", "x = 1\nprint(x)"),
     ("a/b/c/deep.py", "y = 2"),
-    ("a/b/own.py", "# Licensed under the Apache License, Version 2.0.\nz = 3"),
+    ("a/b/own.py", "# Licensed under the Apache License, Version 2.0.\nz = 3\nfor k in range(10):\n    print(k, z, \"more code than notice\")"),
     ("a/b2/COPYING.txt", "This work is licensed under the GNU General Public License, version 3."),
     ("a/b2/x/y/z.c", "int main;"),
     ("top.txt", "nothing of the kind"),
