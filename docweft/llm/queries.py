@@ -10,14 +10,16 @@ from docweft.llm.common import table
 
 
 def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document that loses sentences and each document that has a first occurrence of them."""
     out = repeats.affected(table(spark, sf_dir, "documents"))
+    words = F.array_join(F.filter(F.split(F.lower("text"), r"\s+", -1), lambda w: w != ""), " ")
     return out.select(
         "doc_id",
         "n_sentences",
         "n_removed",
-        F.length("text").cast("long").alias("kept_chars"),
-        F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"),
-        "first_doc_ids",
+        F.length(words).cast("long").alias("kept_chars"),
+        F.sha2(F.encode(words, "UTF-8"), 256).alias("kept_sha256"),
+        F.explode("first_doc_ids").alias("first_doc_id"),
     )
 
 
@@ -119,7 +121,53 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 
+_TEMPLATE_ROWS = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(licenses.TEMPLATES))
+
 ORACLES = {
+    "op1_license_scan": f"""
+WITH t AS (SELECT * FROM (VALUES {_TEMPLATE_ROWS}) x(k, name, text)),
+tt AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS term FROM t) WHERE term <> '' GROUP BY 1, 2),
+f AS (SELECT doc_id, coalesce(source, '-') || '/' || coalesce(lang, '-') || '/' || doc_id AS path, coalesce(source, '-') || '/' || coalesce(lang, '-') AS dir, coalesce(source, '-') AS top, text,
+  string_split(text, chr(10)) AS lines, len(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS everything FROM documents),
+df AS (SELECT term, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS term FROM documents) GROUP BY 1),
+idf AS (SELECT term, ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / (1 + coalesce(n, 0))) + 1 AS idf FROM (SELECT DISTINCT term FROM tt) LEFT JOIN df USING (term)),
+v AS (SELECT k, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY k)) AS w FROM tt JOIN idf USING (term)),
+u AS (SELECT path, everything, pos, n, list_filter(regexp_split_to_array(lower(array_to_string(lines[pos : pos + n - 1], chr(10))), '[^a-z0-9]+'), lambda x: x <> '') AS terms
+  FROM (SELECT path, everything, lines, unnest(range(1, len(lines) + 1)) AS pos FROM f), (VALUES (1), (2), (4), (8)) r(n) WHERE regexp_matches(lines[pos], '[A-Za-z0-9]')),
+c AS (SELECT path, everything, pos, n, len(terms) AS size, term, count(*) AS tf FROM (SELECT *, unnest(terms) AS term FROM u) GROUP BY ALL),
+w AS (SELECT c.*, tf * coalesce(idf, {licenses.OTHER}::DOUBLE) AS x FROM c LEFT JOIN idf USING (term)),
+m AS (SELECT path, pos, n, sqrt(sum(x * x)) AS norm FROM w GROUP BY ALL),
+s AS (SELECT w.path, everything, size, w.pos, w.n, k, sum(x * v.w) / any_value(norm) AS score FROM w JOIN v USING (term) JOIN m ON m.path = w.path AND m.pos = w.pos AND m.n = w.n GROUP BY ALL),
+own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY round(score, 12) DESC, k, pos, n) AS r FROM s WHERE score >= 0.75) WHERE r = 1),
+g AS (SELECT dir, arg_min(name, (-round(score, 12), path)) AS granted FROM own JOIN f USING (path) JOIN t USING (k) WHERE size >= 0.5 * own.everything GROUP BY 1)
+SELECT doc_id, f.path, t.name AS own_license, round(score, 6) AS own_score, coalesce(t.name, g.granted) AS license,
+  CASE WHEN t.name IS NULL THEN g.dir END AS license_dir
+FROM f LEFT JOIN own USING (path) LEFT JOIN t USING (k) LEFT JOIN g ON g.dir = f.dir
+""",
+    "op4_sentence_spans": r"""
+WITH cut AS (
+  SELECT doc_id, list_filter(list_transform(string_split(
+    regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\n\s*', chr(1), 'g'), chr(1)),
+    lambda x: list_filter(regexp_split_to_array(lower(x), '\s+'), lambda w: w <> '')), lambda x: len(x) > 0) AS s
+  FROM documents WHERE doc_id IS NOT NULL
+), n AS (SELECT doc_id, unnest(range(1, len(s) + 1)) AS i, unnest(list_transform(s, lambda x: len(x))) AS n FROM cut),
+c AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS total FROM n),
+r AS (
+  SELECT a.doc_id, a.i, min(b.i) AS j FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i > a.i AND b.total - a.total + a.n >= 20 GROUP BY 1, 2
+), k AS (SELECT r.*, array_to_string(list_transform(s[i : j], lambda x: array_to_string(x, ' ')), chr(1)) AS key FROM r JOIN cut USING (doc_id)),
+o AS (SELECT *, min((doc_id, i)) OVER (PARTITION BY key) AS first FROM k),
+later AS (SELECT * FROM o WHERE (doc_id, i) <> first),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM later),
+firsts AS (SELECT doc_id, list_sort(list_distinct(list(first[1]))) AS first_doc_ids FROM later GROUP BY 1),
+words AS (
+  SELECT n.doc_id, coalesce(string_agg(array_to_string(s[n.i], ' '), ' ' ORDER BY n.i) FILTER (gone.i IS NULL), '') AS kept,
+    count(*) AS n_sentences, count(gone.i) AS n_removed
+  FROM n JOIN cut USING (doc_id) LEFT JOIN gone ON gone.doc_id = n.doc_id AND gone.i = n.i GROUP BY 1
+)
+SELECT doc_id, CAST(n_sentences AS INTEGER) AS n_sentences, CAST(n_removed AS INTEGER) AS n_removed, CAST(length(kept) AS BIGINT) AS kept_chars,
+  sha256(kept) AS kept_sha256, unnest(first_doc_ids) AS first_doc_id
+FROM words JOIN firsts USING (doc_id)
+""",
     "op3_bbit_minhash": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(
