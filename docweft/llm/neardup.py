@@ -324,5 +324,10 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
     All columns are kept. Of repeated rows of that id one stays.
     """
-    gone = near_duplicates(docs, width, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    found = settle(near_duplicates(docs, width, percent).where("doc_id is not null").select("doc_id", "kept"))
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
+    again = found.where("kept").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id")
+    same = docs["doc_id"].cast("long") == F.col("__id")
+    if again.isEmpty():
+        return docs.join(gone, same, "left_anti")
+    return docs.join(gone.union(again), same, "left_anti").unionByName(docs.join(again, same, "left_semi").dropDuplicates(["doc_id"]))

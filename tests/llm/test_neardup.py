@@ -77,11 +77,11 @@ def test_edges(spark):
 
 
 def test_keep_one_keeps_columns_and_rows_without_id(spark):
-    rows = [(5, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (9, None)]
+    rows = [(5, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (9, None), (3, "a b c d e f"), (7, "of its own"), (7, "of its own")]
     docs = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in rows], SCHEMA)
     out = neardup.keep_one(docs)
     assert out.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in out.collect()) == ["3", "9", "None"]
+    assert sorted(str(r.doc_id) for r in out.collect()) == ["3", "7", "9", "None"]
 
 
 def test_estimate_is_corrected_for_chance(spark):
