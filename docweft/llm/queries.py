@@ -121,6 +121,9 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 
+_STRIPPED = decontaminate._STRIP.replace("'", "''")
+_CLOSING = "\"''()[]{}«»“”‘’"
+_UNIT_LIST = ", ".join(f"'{u}'" for u in sorted(decontaminate.UNITS))
 _TEMPLATE_ROWS = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(licenses.TEMPLATES))
 
 ORACLES = {
@@ -202,6 +205,35 @@ WITH v AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 WHERE rank <= 10
+""",
+    "op7_templates": rf"""
+WITH src AS (
+  SELECT 'd' AS side, doc_id AS id, string_split(text, chr(10)) AS l FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+  UNION ALL SELECT 'b', item_id, string_split(text, chr(10)) FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+), ln AS (SELECT side, id, unnest(range(1, len(l) + 1)) AS ln, unnest(l) AS line FROM src),
+ws AS (SELECT side, id, ln, list_filter(regexp_split_to_array(line, '\s+'), lambda x: x <> '') AS w FROM ln),
+wd AS (SELECT side, id, ln, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS word FROM ws),
+co AS (SELECT side, id, k, word, row_number() OVER (PARTITION BY side, id ORDER BY ln, k) AS p, trim(word, '{_STRIPPED}') AS core FROM wd),
+fl AS (SELECT side, id, k, p, lower(core) AS plain, regexp_matches(core, '[0-9]') AS num,
+  core <> '' AND core[1] = upper(core[1]) AND core[1] <> lower(core[1]) AND core <> upper(core) AND NOT regexp_matches(core, '[0-9]') AS cap,
+  lower(core) IN ({_UNIT_LIST}) AS uni, rtrim(word, '{_CLOSING}')[-1] IN ('.', '!', '?', ':') AS fin FROM co),
+lg AS (SELECT *, k = 1 OR lag(fin) OVER o AS opens, coalesce(lag(num) OVER o, false) AS behind FROM fl WINDOW o AS (PARTITION BY side, id ORDER BY p)),
+cd AS (SELECT *, CASE WHEN num THEN '#N' WHEN uni AND behind THEN '#U' WHEN cap AND NOT opens THEN '#A' ELSE plain END AS code,
+  num OR (uni AND behind) OR (cap AND NOT opens) AS slot FROM lg),
+ag AS (SELECT side, id, list(code ORDER BY p) AS c, list(plain ORDER BY p) AS v, list(slot ORDER BY p) AS s, count(*) AS n FROM cd GROUP BY 1, 2),
+sz AS (SELECT DISTINCT least(n, 5) AS size FROM ag WHERE side = 'b'),
+wi AS (SELECT side, id, size, unnest(list_transform(range(1, n - size + 2), lambda i: {{'pos': i, 'v': v[i : i + size - 1], 's': s[i : i + size - 1], 'c': array_to_string(c[i : i + size - 1], chr(1))}})) AS x
+  FROM ag JOIN sz ON CASE side WHEN 'b' THEN size = least(n, 5) ELSE n >= size END),
+wk AS (SELECT side, id, x.pos AS pos, x.v AS v, x.s AS s, size || ':' || x.c AS key, size FROM wi),
+inf AS (SELECT * FROM wk WHERE len(list_filter(s, lambda x: NOT x)) >= least(2, size)),
+tot AS (SELECT id AS item_id, count(DISTINCT pos) AS windows FROM inf WHERE side = 'b' GROUP BY 1),
+hit AS (SELECT d.id AS doc_id, b.id AS item_id, d.pos - b.pos AS shift, b.pos, b.v AS ours, d.v AS theirs, b.s FROM inf d JOIN inf b ON d.key = b.key AND d.side = 'd' AND b.side = 'b'),
+pr AS (SELECT DISTINCT doc_id, item_id, shift, a, z FROM (SELECT doc_id, item_id, shift, unnest(ours) AS a, unnest(theirs) AS z, unnest(s) AS slot FROM hit) WHERE slot),
+st AS (SELECT doc_id, item_id, shift, count(*) = count(DISTINCT a) AS single, bool_and(a = z) AS same FROM pr GROUP BY 1, 2, 3),
+ok AS (SELECT hit.*, coalesce(same, true) AS same FROM hit LEFT JOIN st USING (doc_id, item_id, shift) WHERE coalesce(single, true)),
+fin AS (SELECT doc_id, item_id, count(DISTINCT pos) AS matched, bool_and(same) AS same FROM ok GROUP BY 1, 2)
+SELECT doc_id, item_id, windows, matched, matched / windows AS cover, CASE WHEN same THEN 'verbatim' ELSE 'reworded' END AS kind
+FROM fin JOIN tot USING (item_id) WHERE matched >= 0.8 * windows
 """,
     "op8_warc": """
 WITH p AS (
