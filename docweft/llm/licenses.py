@@ -106,6 +106,49 @@ def anchors(vectors: list[dict[str, float]], least_score: float) -> list[str]:
     return sorted(found)
 
 
+def _units(vocabulary: list[str], idf: dict[str, float], anchor: str, least_score: float) -> Column:
+    """Header candidates of the column ``lines``: at, n, size, known (term, w) and mass, the squared norm.
+
+    A cosine is at most the share of a unit's norm that its known terms have
+    (Cauchy-Schwarz), so units with less than ``least_score`` are dropped here.
+    """
+    weight = F.create_map(*(x for t in vocabulary for x in (F.lit(t), F.lit(idf[t]))))
+    holding = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: F.element_at("lines", i).rlike(anchor))
+    near = F.array_distinct(F.flatten(F.transform(holding, lambda i: F.sequence(F.greatest(i - (max(RUNS) - 1), F.lit(1)), i))))
+    starts = F.filter(near, lambda i: F.element_at("lines", i).rlike("[A-Za-z0-9]"))
+    pairs = F.flatten(F.transform(starts, lambda i: F.array(*(F.struct(i.alias("at"), F.lit(n).alias("n")) for n in RUNS))))
+    pairs = F.filter(pairs, lambda p: F.exists(holding, lambda i: i.between(p["at"], p["at"] + p["n"] - 1)))
+
+    def squares(words: Column) -> Column:
+        """Sum of the squared counts of a sorted array's words: the k-th of equal words adds 2k - 1."""
+        begin = F.struct(F.lit("").alias("word"), F.lit(0).alias("k"), F.lit(0).cast("long").alias("sum"))
+
+        def step(a: Column, w: Column) -> Column:
+            k = F.when(a["word"] == w, a["k"] + 1).otherwise(1)
+            return F.struct(w.alias("word"), k.alias("k"), (a["sum"] + 2 * k - 1).alias("sum"))
+
+        return F.aggregate(words, begin, step, lambda a: a["sum"])
+
+    def weighed(p: Column) -> Column:
+        words = p["words"]
+        own = F.filter(words, lambda w: w.isin(*vocabulary))
+        known = F.transform(
+            F.array_distinct(own), lambda t: F.struct(t.alias("term"), (F.size(F.filter(own, lambda w: w == t)) * F.element_at(weight, t)).alias("w"))
+        )
+        other = squares(F.array_sort(F.filter(words, lambda w: ~w.isin(*vocabulary)))) * F.lit(OTHER * OTHER)
+        return F.struct(p["at"].alias("at"), p["n"].alias("n"), F.size(words).alias("size"), known.alias("known"), other.alias("other"))
+
+    def mass(u: Column) -> Column:
+        return F.aggregate(u["known"], F.lit(0.0), lambda a, k: a + k["w"] * k["w"])
+
+    spelled = F.transform(pairs, lambda p: F.struct(p["at"].alias("at"), p["n"].alias("n"), terms(F.array_join(F.slice("lines", p["at"], p["n"]), "\n")).alias("words")))
+    units = F.transform(
+        F.transform(spelled, weighed),
+        lambda u: F.struct(u["at"].alias("at"), u["n"].alias("n"), u["size"].alias("size"), u["known"].alias("known"), mass(u).alias("own"), (mass(u) + u["other"]).alias("mass")),
+    )
+    return F.filter(units, lambda u: u["own"] >= (least_score * least_score * (1 - 1e-9)) * u["mass"])
+
+
 def own_licenses(files: DataFrame, templates=TEMPLATES, least_score: float = 0.75) -> DataFrame:
     """path, own_license, own_score, share for each path with a licence of its own.
 
@@ -115,37 +158,19 @@ def own_licenses(files: DataFrame, templates=TEMPLATES, least_score: float = 0.7
     total, frequency = document_frequency(files, vocabulary)
     idf, vectors = template_vectors(templates, total, frequency)
     anchor = r"(?i)(?<![a-z0-9])(?:" + "|".join(anchors(vectors, least_score)) + r")(?![a-z0-9])"
-    spark = files.sparkSession
-    postings = spark.createDataFrame([(k, t, w) for k, v in enumerate(vectors) for t, w in v.items()], "template int, term string, weight double")
-    weights = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
-
-    lines = F.split(F.col("text"), "\n", -1)
-    held = files.where(F.col("path").isNotNull() & F.col("text").rlike(anchor)).select("path", "text", lines.alias("lines"))
-    holding = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: F.element_at("lines", i).rlike(anchor))
-    near = F.array_distinct(F.flatten(F.transform(holding, lambda i: F.sequence(F.greatest(i - (max(RUNS) - 1), F.lit(1)), i))))
-    starts = F.filter(near, lambda i: F.element_at("lines", i).rlike("[A-Za-z0-9]"))
-    units = held.select(
-        "path", F.size(terms(F.col("text"))).alias("all"), "lines", F.explode(starts).alias("at")
-    ).select("path", "all", "at", "lines", F.explode(F.array(*(F.lit(n) for n in RUNS))).alias("n"))
-    unit = terms(F.array_join(F.slice("lines", F.col("at"), F.col("n")), "\n"))
-    counted = (
-        units.select("path", "all", "at", "n", unit.alias("terms"))
-        .select("path", "all", "at", "n", F.size("terms").alias("size"), F.explode("terms").alias("term"))
-        .groupBy("path", "all", "at", "n", "size", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-        .join(weights, "term", "left")
-        .withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(OTHER)))
-    )
-    key = ["path", "all", "at", "n", "size"]
-    norms = counted.groupBy(*key).agg(
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("term", "w"))).alias("known")
+    postings = files.sparkSession.createDataFrame([(k, t, w) for k, v in enumerate(vectors) for t, w in v.items()], "template int, term string, weight double")
+    units = _units(vocabulary, idf, anchor, least_score)
+    held = files.where(F.col("path").isNotNull() & F.col("text").rlike(anchor)).select("path", "text", F.split("text", "\n", -1).alias("lines"))
+    key = ["path", "text_id", "all", "at", "n", "size"]
+    found = held.select("path", F.xxhash64("text").alias("text_id"), F.size(terms(F.col("text"))).alias("all"), F.explode(units).alias("u")).select(
+        "path", "text_id", "all", "u.at", "u.n", "u.size", F.sqrt("u.mass").alias("norm"), F.explode("u.known").alias("k")
     )
     scored = (
-        norms.select(*key, "norm", F.explode("known").alias("k"))
-        .select(*key, "norm", "k.term", "k.w")
+        found.select(*key, "norm", "k.term", "k.w")
+        .distinct()  # repeated rows count once
         .join(postings, "term")
         .groupBy(*key, "norm", "template")
-        .agg((F.sum(F.col("w") * F.col("weight")) / F.col("norm")).alias("score"))
+        .agg(F.round(F.sum(F.col("w") * F.col("weight")) / F.col("norm"), 12).alias("score"))
         .where(F.col("score") >= least_score)
     )
     names = F.array(*(F.lit(name) for name, _ in templates))
