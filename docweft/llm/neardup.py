@@ -47,6 +47,8 @@ ROWS, BANDS = 6, 42
 #: Estimates have a standard deviation of about 0.031 at 0.8; pairs at 0.8 pass CLOSE but for one in a million.
 CLOSE, LOOSE = 0.65, 0.5
 BLOCK = 256
+#: Edges that a task of the component rounds takes.
+EDGES = 20_000
 #: Hashes of words that a Python worker remembers.
 WORDS = 400_000
 
@@ -202,20 +204,26 @@ def components(links: DataFrame) -> DataFrame:
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
+    def compact(df: DataFrame, rows: int) -> DataFrame:
+        # A round shuffles several times; a map task for every EDGES rows keeps its files few.
+        return df.coalesce(max(1, -(-rows // EDGES)))
+
     edges = settle(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = mark(edges)
+    edges = compact(edges, before[0])
     while True:
+        rows = before[0]
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        edges = settle(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        edges = settle(compact(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), rows))
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        edges = settle(
+        stars = (
             edges.join(least, "u")
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
             .select("e.*")
             .where("u <> v")
-            .distinct()
         )
+        edges = settle(compact(compact(stars, 2 * rows).distinct(), rows))
         now = mark(edges)
         if now == before:
             break
