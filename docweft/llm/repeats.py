@@ -1,8 +1,10 @@
 """Substring deduplication by sliding sentence spans.
 
-Every run of several consecutive sentences is hashed; a run is the shortest
-span from a sentence on that has ``least_sentences`` sentences and
-``least_words`` words, so equal passages give equal runs wherever they stand.
+Runs of several consecutive sentences are hashed; a run is the shortest span
+from a sentence on, or up to a sentence, that has ``least_sentences`` sentences
+and ``least_words`` words, so equal passages give equal runs wherever they
+stand. Runs from both ends cover every sentence of a repeated passage, its short
+last ones too, just as all spans of that size or more would.
 Runs meet in one global aggregation: the first occurrence of a hash (smallest
 id, then position) stays, and every sentence that any other occurrence covers
 is removed.
@@ -51,15 +53,25 @@ def runs(text: str, least_sentences: int, least_words: int) -> Iterator[tuple[in
     words = [text[a:b].lower().split() for a, b in sentences(text)]
     keys = [xxhash.xxh3_128_digest("\x1f".join(w).encode("utf-8", "surrogatepass")) for w in words]
     counts = [len(w) for w in words]
-    end, total = 0, 0
-    for start in range(len(words)):
-        while end < len(words) and (end - start < least_sentences or total < least_words):
-            total += counts[end]
-            end += 1
-        if end - start < least_sentences or total < least_words:
-            return
-        yield start, end, xxhash.xxh3_128_digest(b"".join(keys[start:end]))
+    n, ends = len(words), {}
+    stop, total = 0, 0
+    for start in range(n):
+        while stop < n and (stop - start < least_sentences or total < least_words):
+            total += counts[stop]
+            stop += 1
+        if stop - start < least_sentences or total < least_words:
+            break
+        ends[start] = stop
+        yield start, stop, xxhash.xxh3_128_digest(b"".join(keys[start:stop]))
         total -= counts[start]
+    start, total = 0, 0
+    for stop in range(1, n + 1):
+        total += counts[stop - 1]
+        while stop - start > least_sentences and total - counts[start] >= least_words:
+            total -= counts[start]
+            start += 1
+        if stop - start >= least_sentences and total >= least_words and ends.get(start) != stop:
+            yield start, stop, xxhash.xxh3_128_digest(b"".join(keys[start:stop]))
 
 
 RUNS = "doc_id long, start int, stop int, h1 long, h2 long"

@@ -70,3 +70,35 @@ def test_very_long(spark):
     docs = spark.createDataFrame([(1, text, "", ""), (2, text, "", "")], SCHEMA)
     got = {r.doc_id: (r.n_removed, r.n_sentences) for r in repeats.affected(docs).collect()}
     assert got[2] == (2001, 2001) and got[1][0] == 1999
+
+
+def brute_all_runs(rows, least_sentences, least_words):
+    """Sentences removed of each text, by comparing all spans of that size or more."""
+    occurrences = {}
+    for i, t in rows:
+        s = [tuple(t[a:b].lower().split()) for a, b in repeats.sentences(t)] if i is not None and t else []
+        for a in range(len(s)):
+            for b in range(a + least_sentences, len(s) + 1):
+                if sum(map(len, s[a:b])) >= least_words:
+                    occurrences.setdefault(tuple(s[a:b]), set()).add((i, a, b))
+    gone = {}
+    for places in occurrences.values():
+        for i, a, b in sorted(places)[1:]:
+            gone.setdefault(i, set()).update(range(a, b))
+    return {i: len(g) for i, g in gone.items()}
+
+
+def test_short_last_sentences_of_a_copy(spark):
+    text = " ".join(" ".join(f"w{k}x{j}" for j in range(n)) + "." for k, n in enumerate((30, 30, 3, 3)))
+    rows = [(1, text), (2, text), (3, "Own start here. " + text + " Own end here.")]
+    docs = spark.createDataFrame([(i, t, "s", "f") for i, t in rows], SCHEMA)
+    got = {r.doc_id: (r.n_removed, r.n_sentences) for r in repeats.affected(docs).collect()}
+    assert got == {2: (4, 4), 3: (4, 6)}
+
+
+def test_against_all_runs(spark):
+    for seed in range(3):
+        rows = make(seed)
+        docs = spark.createDataFrame([(i, t, "clash", None) for i, t in rows], SCHEMA).repartition(3)
+        got = {r.doc_id: r.n_removed for r in repeats.affected(docs, 2, 20).collect()}
+        assert got == brute_all_runs(rows, 2, 20)
