@@ -13,11 +13,11 @@
 4. The pairs that are left are confirmed on their full shingle sets, and the
    links make components (alternating stars).
 5. Texts that share a bucket without being linked to its smallest member may be
-   linked to one another. Loose clusters (candidates with an estimate of
-   ``LOOSE`` or more) that hold more than one component are checked again:
-   every member outside of the cluster's largest component is compared with the
-   whole cluster, in blocks of ``BLOCK`` by ``BLOCK`` sets. Only confirmed links
-   come out.
+   linked to one another. Buckets that hold more than one component are looked
+   at again, however unlike their smallest member is: every member outside of the
+   bucket's largest component is compared with the whole bucket, in blocks of
+   ``BLOCK`` by ``BLOCK`` sets. Only confirmed links come out. Pairs with an
+   estimate under ``LOOSE``, ten standard deviations below 0.8, are passed over.
 
 What remains probabilistic is what the banding is: two sets at the threshold of
 0.8 share no band with a chance of about 3e-6.
@@ -233,48 +233,60 @@ def components(links: DataFrame) -> DataFrame:
 
 def _block_links(percent: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        def read(table: pa.Table) -> tuple:
+            sets = [np.frombuffer(s.as_buffer(), "u8") for s in table["shingles"]]
+            lanes = np.stack([table[s].to_numpy() for s in LANE], axis=1).view("u8")
+            return table["id"].to_numpy(), table["component"].to_numpy(), sets, lanes
+
         u, v = [], []
-        rows = list(zip(right["id"].to_pylist(), right["component"].to_pylist(), right["shingles"], strict=True))
-        rows = [(i, c, np.frombuffer(s.as_buffer(), "u8")) for i, c, s in rows]
-        for i, c, s in zip(left["id"].to_pylist(), left["component"].to_pylist(), left["shingles"], strict=True):
-            mine, met = np.frombuffer(s.as_buffer(), "u8"), {c}
-            for other, theirs, shingles in rows:
-                if theirs not in met and linked(mine, shingles, percent):
-                    met.add(theirs)
+        ids, components, sets, lanes = read(right)
+        for i, c, mine, own in zip(*read(left), strict=True):
+            x = lanes ^ own
+            miss = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1, dtype="i8")
+            met = {c}
+            for k in np.flatnonzero((miss <= (1 - LOOSE) * HASHES * 0.75) & (components != c)):
+                if components[k] not in met and linked(mine, sets[k], percent):
+                    met.add(components[k])
                     u.append(i)
-                    v.append(other)
+                    v.append(ids[k])
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
 
 
-def cluster_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that clusters still hold: ``members`` is id, component, cluster.
-
-    In each cluster with more than one component, the members outside of the
-    largest are compared with all members, in blocks.
-    """
-    sizes = members.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
-    open_clusters = (
-        sizes.groupBy("cluster")
+def open_members(members: DataFrame) -> DataFrame:
+    """The rows of ``members`` (id, component, bucket) in buckets of several components, with their numbers of blocks."""
+    sizes = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    still_open = (
+        sizes.groupBy("bucket")
         .agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
         .where("all > most and all > 2")
         .select(
-            "cluster",
+            "bucket",
             "main",
             F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"),
             F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("outer"),
         )
     )
-    rows = settle(members.join(open_clusters, "cluster")).join(sets, "id")
+    return members.join(still_open, "bucket")
+
+
+def bucket_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that buckets still hold: ``members`` is what :func:`open_members` gives, ``sets`` has signatures too.
+
+    In each bucket the members outside of the largest component are compared
+    with all members, in blocks.
+    """
+    rows = members.join(sets, "id")
     number = F.xxhash64("id")
+    held = ("id", "component", "shingles", *LANE)
     left = rows.where("component <> main").select(
-        "cluster", F.pmod(number, F.col("outer")).alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("m"), "id", "component", "shingles"
+        "bucket", F.pmod(number, F.col("outer")).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("m"), *held
     )
     right = rows.select(
-        "cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("outer").cast("long") - 1)).alias("x"), F.pmod(number, F.col("blocks")).cast("int").alias("m"), "id", "component", "shingles"
+        "bucket", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("x"), F.pmod(number, F.col("blocks")).cast("int").alias("m"), *held
     )
-    keys = ("cluster", "x", "m")
+    keys = ("bucket", "x", "m")
     right = right.toDF(*right.columns)  # both sides come from the same rows
     left = left.toDF(*left.columns)
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_block_links(percent), "u long, v long")
@@ -289,25 +301,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         .agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), *(F.first(s).alias(s) for s in LANE), F.first("bands").alias("bands"))
     )
     keyed = reps.select("id", F.explode("bands").alias("key"))
-    pivots = keyed.groupBy("key").agg(F.min("id").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "v")
-    pairs = keyed.join(pivots, "key").where("id <> v").select(F.col("id").alias("u"), "v").distinct()
+    pivots = keyed.groupBy("key").agg(F.min("id").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = settle(keyed.join(pivots, "key"))
+    pairs = shared.where("id <> v").select(F.col("id").alias("u"), "v").distinct()
     signed = reps.select("id", "n", F.struct(*LANE).alias("s"))
+    fits = F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent
     close = (
         pairs.join(signed.toDF("u", "nu", "a"), "u")
         .join(signed.toDF("v", "nv", "b"), "v")
-        .select("u", "v", "nu", "nv", estimate("a", "b").alias("likeness"))
-        .where(F.col("likeness") >= LOOSE)
+        .where(fits & (estimate("a", "b") >= CLOSE))
+        .select("u", "v")
     )
     close = settle(close)
-    ids = close.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = settle(shingle_sets(texts.join(ids, "id", "left_semi"), width).dropDuplicates(["id"]))
-    fits = F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent
-    links = settle(confirm(close.where((F.col("likeness") >= CLOSE) & fits).select("u", "v"), sets, percent))
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return settle(shingle_sets(texts.join(ids, "id", "left_semi"), width).dropDuplicates(["id"]))
+
+    sets = sets_of(close.select(F.explode(F.array("u", "v")).alias("id")).distinct())
+    links = settle(confirm(close, sets, percent))
     first = settle(components(links))
-    loose = components(close.select("u", "v")).withColumnRenamed("component", "cluster")
-    members = loose.join(first, "id", "left").select("id", F.coalesce("component", "id").alias("component"), "cluster")
-    late = settle(cluster_links(members, sets, percent))
+    members = shared.where("n > 2").join(first, "id", "left").select("id", F.coalesce("component", "id").alias("component"), F.col("key").alias("bucket"))
+    members = settle(open_members(members))
+    late_ids = members.select("id").distinct()
+    sets = sets.join(late_ids, "id", "left_semi").union(sets_of(late_ids.join(sets, "id", "left_anti")))
+    late = settle(bucket_links(members, sets.join(reps.select("id", *LANE), "id"), percent))
     final = first
     if not late.isEmpty():
         joined = first.select(F.col("id").alias("u"), F.col("component").alias("v")).union(late)

@@ -106,3 +106,22 @@ def test_linked(a, b):
     x, y = (np.array(sorted(s), "u8") for s in (a, b))
     if a and b:
         assert neardup.linked(x, y, 80) == (100 * len(a & b) >= 80 * len(a | b))
+
+
+def test_link_behind_unlike_pivots(spark):
+    """Every common bucket of two linked texts has a smaller member that is unlike both."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    words = [word() for _ in range(120)]
+    a, b = " ".join(words), " ".join(words + [word() for _ in range(20)])
+    keys = lambda t: neardup.band_keys(neardup.minima(neardup.shingle_set(t, 4)))
+    windows = [" ".join(words[j : j + 4]) for j in range(len(words) - 3)]
+    each = np.stack([neardup.minima(neardup.shingle_set(w, 4)) for w in windows])
+    ka, kb = keys(a), keys(b)
+    rows = []
+    for band in np.flatnonzero(ka == kb):
+        held = [windows[j] for j in sorted(set(each[:, neardup.ROWS * band : neardup.ROWS * (band + 1)].argmin(axis=0)))]
+        quote = next(t for t in ((" " + word() + " ").join(held) for _ in range(5000)) if keys(t)[band] == ka[band])
+        rows.append((len(rows) + 1, quote))
+    want = check(spark, [*rows, (1000, a), (1001, b)])
+    assert len(rows) > 3 and want[1001][1] == 1000
