@@ -562,10 +562,11 @@ def orientation_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("heatmap_components")
 def heatmap_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    maps = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(
-        F.transform(F.slice(F.sort_array(F.collect_list(F.struct("ts", "value"))), F.lit(1), F.lit(64)), lambda x: x["value"].cast("float")).alias("values")
-    )
-    return vision.detect(maps.where(F.size("values") == 64).withColumns({"height": F.lit(8), "width": F.lit(8)}), least=50.0, pixels=2, scale=4.0)
+    """A map of eight columns from all events of each user, the last row padded with zeros."""
+    every = F.transform(F.sort_array(F.collect_list(F.struct("ts", "value"))), lambda x: x["value"].cast("float"))
+    maps = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(every.alias("values")).withColumns({"height": F.ceil(F.size("values") / 8).cast("int"), "width": F.lit(8)})
+    padded = F.concat("values", F.array_repeat(F.lit(0.0).cast("float"), F.col("height") * 8 - F.size("values")))
+    return vision.detect(maps.withColumn("values", padded), least=50.0, pixels=2, scale=4.0)
 
 
 @query("stream_tasks")

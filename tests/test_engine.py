@@ -184,3 +184,12 @@ def test_requests_and_stream(spark, tmp_path):
     (inbox / "3.json").write_text("{broken\n" + json.dumps({"task_id": "4", "kind": "text", "content": "x", "mode": "later"}))
     good, refused = ingest.read_requests(spark, f"file://{inbox}")
     assert good.count() == 2 and sorted(r.error for r in refused.collect()) == ["malformed request", "mode must be sync or async", "url is required"]
+
+
+def test_heatmap_takes_all_events(spark, tmp_path):
+    from docweft.plans.queries import heatmap_components
+
+    rows = [(1, k, 90.0 if k >= 68 else 0.0) for k in range(70)] + [(2, k, 60.0) for k in range(3)]
+    spark.createDataFrame(rows, "user_id long, ts long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted((r.id, r.x1, r.y1, r.x2, r.y2, r.pixels) for r in heatmap_components(spark, str(tmp_path)).collect())
+    assert got == [(1, 16.0, 32.0, 24.0, 36.0, 2), (2, 0.0, 0.0, 12.0, 4.0, 3)]
