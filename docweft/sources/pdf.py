@@ -15,8 +15,10 @@ from docweft.operators.assemble import document, pages_from_texts
 
 _OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj\b", re.S)
 _STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.S)
-_SHOWN = re.compile(rb"\[((?:\((?:\\.|[^\\()])*\)|[^\]()])*)\]\s*TJ|\(((?:\\.|[^\\()])*)\)\s*(Tj|'|\")|(T\*|\bT[dD]\b|\bET\b)", re.S)
-_STRING = re.compile(rb"\(((?:\\.|[^\\()])*)\)", re.S)
+_TOKEN = re.compile(rb"<<|>>|<[0-9A-Fa-f\s]*>|\(|%[^\r\n]*|/[^\s\[\]()<>%/]*|[^\s\[\]()<>%/]+")
+_NUMBER = re.compile(rb"[+-]?[\d.]+")
+_MARK = re.compile(rb"\\.|[()]", re.S)
+_IMAGE_END = re.compile(rb"\sEI\b")
 #: The escapes of a literal string.
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 
@@ -29,15 +31,37 @@ def _literal(raw: bytes) -> str:
     return re.sub(rb"\\([0-7]{1,3}|.)", one, raw, flags=re.S).decode("latin-1")
 
 
+def _string_end(content: bytes, at: int) -> int:
+    """Place of the parenthesis that closes the string which begins at ``at``."""
+    depth = 1
+    for m in _MARK.finditer(content, at):
+        depth += {b"(": 1, b")": -1}.get(m[0], 0)
+        if not depth:
+            return m.start()
+    raise ValueError("unclosed string")
+
+
 def _shown(content: bytes) -> str:
-    out = []
-    for array, text, operator, move in _SHOWN.findall(content):
-        if move:
-            out.append("\n")
-        elif operator:
-            out.append(("\n" if operator != b"Tj" else "") + _literal(text))
-        else:
-            out.append("".join(_literal(s) for s in _STRING.findall(array)))
+    out, strings, coded, at = [], [], False, 0
+    while m := _TOKEN.search(content, at):
+        token, at = m[0], m.end()
+        if token == b"(":
+            end = _string_end(content, at)
+            strings.append(_literal(content[at:end]))
+            at = end + 1
+        elif token[:1] == b"<" and token != b"<<":
+            coded = True
+        elif token[:1] not in b"</>%" and not _NUMBER.fullmatch(token):
+            if token in (b"Tj", b"TJ", b"'", b'"'):
+                if coded:
+                    raise ValueError("unsupported hex string")
+                out.append(("\n" if token in (b"'", b'"') else "") + "".join(strings))
+            elif token in (b"T*", b"Td", b"TD", b"ET"):
+                out.append("\n")
+            elif token == b"ID":
+                end = _IMAGE_END.search(content, at)
+                at = end.end() if end else len(content)
+            strings, coded = [], False
     return "".join(out)
 
 
@@ -48,6 +72,8 @@ def page_texts(data: bytes) -> list[str]:
     objects = {int(n): body for n, body in _OBJECT.findall(data)}
     if b"/Encrypt" in data or not any(b"/Pages" in b for b in objects.values()):
         raise ValueError("unsupported PDF")
+    if any(re.search(rb"/Subtype\s*/Type0\b", b.split(b"stream", 1)[0]) for b in objects.values()):
+        raise ValueError("unsupported composite font")
 
     def content(number: int) -> bytes:
         body = objects.get(number, b"")
