@@ -147,7 +147,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> np.nd
         w = train(rows, marks) if 0 < marks.sum() < len(marks) else np.zeros(0)
         return pa.table({"w": pa.array([w.astype("f4").tobytes()], pa.binary())})
 
-    joined = texts.join(F.broadcast(sample), "id").select("id", "good", "text")  # bounded by max_labelled
+    # one text of each id, the smallest, so that repeated rows neither swell the fit nor outweigh other labels
+    chosen = texts.join(F.broadcast(sample.select("id").distinct()), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    joined = chosen.join(F.broadcast(sample), "id").select("id", "good", "text")  # bounded by max_labelled
     found = joined.mapInArrow(extract, "id long, good int, slots array<int>, values array<float>").groupBy(F.lit(0).alias("one")).applyInArrow(learn, "w binary")
     rows = found.collect()
     return np.frombuffer(rows[0].w, "f4").astype("f8") if rows and rows[0].w else None

@@ -89,3 +89,11 @@ def test_empty(spark):
     unlabelled = quality.classify(d, known.limit(0), F.col("source"), F.col("lang")).collect()
     assert len(unlabelled) == 5 and all(r.kept and r.quality == pytest.approx(0.5) for r in unlabelled)
     assert quality.keep_good(d, known.limit(0), F.col("source"), F.col("lang")).count() == 5
+
+
+def test_repeated_rows_do_not_swell_the_fit(spark):
+    docs, labels = make(200, 3)
+    known = spark.createDataFrame(labels, LABELS)
+    once = quality.fit(spark.createDataFrame(docs, DOCS), known)
+    often = quality.fit(spark.createDataFrame(docs + [docs[5]] * 300, DOCS).repartition(3), known)
+    assert once is not None and (once == often).all()
