@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweft.functions import text as T
+from docweft.functions.shared import fresh_dir
 from docweft.operators import aggregates, assemble, extract, incremental, postprocess, store, vision
 from docweft.schema import FieldSpec, SchemaSpec
 from docweft.sources import docx, ingest, ocr
@@ -573,7 +571,7 @@ def heatmap_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docweft.streaming import tasks
 
-    where = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='docweft-')}").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    where = fresh_dir(spark, "stream")
     rows = table(spark, sf_dir, "supplier").select(
         F.concat(F.lit("t"), F.col("s_suppkey").cast("string")).alias("task_id"), F.lit("async").alias("mode"), F.lit("text").alias("kind"),
         F.when(F.col("s_suppkey") % 10 != 0, F.concat(F.lit("name: "), F.col("s_name"))).alias("content"),
