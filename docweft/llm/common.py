@@ -2,37 +2,50 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweft.functions.shared import fresh_dir, settle, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
+__all__ = ["bind", "fresh_dir", "hot_keys", "salted_join", "settle", "shared_dir", "table", "text_or_empty", "written"]
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as
-    in a local test session, a folder of our own is made and set.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if not where:
-        where = context.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='docweft-')}"
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(where)
-    return where.rstrip("/")
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` computed once and kept as Parquet in the shared folder, for tables that are read by column."""
+    where = fresh_dir(df.sparkSession, name)
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: the variable of a one-element array stands for it."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+#: A key is hot if it holds this share of the rows or more; there are at most as many hot keys.
+HOT_SHARE = 1000
+#: Fewer rows than this are never hot.
+HOT_LEAST = 2000
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder (a reliable checkpoint)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def hot_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The hot keys of ``rows`` (settled rows, since they are read here and again later): ``HOT_SHARE`` at most."""
+    counts = rows.where(" and ".join(f"{k} is not null" for k in keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    return settle(counts.where(F.col("__n") >= max(HOT_LEAST, rows.count() / HOT_SHARE)).select(*keys))
+
+
+def salted_join(rows: DataFrame, few: DataFrame, keys: list[str], hot: DataFrame, spread: list[str], salts: int = 64) -> DataFrame:
+    """``rows`` joined with ``few`` on ``keys``, the rows of a hot key spread over ``salts`` parts by ``spread``.
+
+    Only the hot keys are broadcast, ``HOT_SHARE`` rows at most, and only the
+    rows of ``few`` that have a hot key are repeated.
+    """
+    mark = F.broadcast(hot.withColumn("__hot", F.lit(True)))
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(F.lit(0).cast("long"))
+    every = F.when(F.col("__hot"), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    left = rows.join(mark, keys, "left").withColumn("__salt", salt).drop("__hot")
+    right = few.join(mark, keys, "left").withColumn("__salt", F.explode(every)).drop("__hot")
+    return left.join(right, [*keys, "__salt"]).drop("__salt")
 
 
 def text_or_empty(name: str) -> Column:

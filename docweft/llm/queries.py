@@ -153,19 +153,24 @@ WITH cut AS (
     regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\n\s*', chr(1), 'g'), chr(1)),
     lambda x: list_filter(regexp_split_to_array(lower(x), '\s+'), lambda w: w <> '')), lambda x: len(x) > 0) AS s
   FROM documents WHERE doc_id IS NOT NULL
-), n AS (SELECT doc_id, unnest(range(1, len(s) + 1)) AS i, unnest(list_transform(s, lambda x: len(x))) AS n FROM cut),
+), n AS (SELECT doc_id, unnest(range(1, len(s) + 1)) AS i, unnest(list_transform(s, lambda x: len(x))) AS n, unnest(list_transform(s, lambda x: array_to_string(x, ' '))) AS t FROM cut),
+-- all runs: equal sentences in a row at an earlier and at a later place, as far as they go
+p AS (SELECT a.doc_id AS d1, b.doc_id AS d2, b.i - a.i AS shift, b.i, b.n FROM n a JOIN n b ON a.t = b.t AND (a.doc_id, a.i) < (b.doc_id, b.i)),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY d1, d2, shift ORDER BY i) AS island FROM p),
+blocks AS (SELECT d2 AS doc_id, min(i) AS lo, max(i) AS hi FROM g GROUP BY d1, d2, shift, island HAVING count(*) >= 2 AND sum(n) >= 20),
+gone AS (SELECT DISTINCT doc_id, unnest(range(lo, hi + 1)) AS i FROM blocks),
+-- first occurrences: of the runs that hold no shorter run
 c AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS total FROM n),
 r AS (
   SELECT a.doc_id, a.i, min(b.i) AS j FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i > a.i AND b.total - a.total + a.n >= 20 GROUP BY 1, 2
+  UNION SELECT b.doc_id, max(a.i), b.i FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i > a.i AND b.total - a.total + a.n >= 20 GROUP BY b.doc_id, b.i
 ), k AS (SELECT r.*, array_to_string(list_transform(s[i : j], lambda x: array_to_string(x, ' ')), chr(1)) AS key FROM r JOIN cut USING (doc_id)),
 o AS (SELECT *, min((doc_id, i)) OVER (PARTITION BY key) AS first FROM k),
-later AS (SELECT * FROM o WHERE (doc_id, i) <> first),
-gone AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM later),
-firsts AS (SELECT doc_id, list_sort(list_distinct(list(first[1]))) AS first_doc_ids FROM later GROUP BY 1),
+firsts AS (SELECT doc_id, list_sort(list_distinct(list(first[1]))) AS first_doc_ids FROM o WHERE (doc_id, i) <> first GROUP BY 1),
 words AS (
-  SELECT n.doc_id, coalesce(string_agg(array_to_string(s[n.i], ' '), ' ' ORDER BY n.i) FILTER (gone.i IS NULL), '') AS kept,
+  SELECT n.doc_id, coalesce(string_agg(n.t, ' ' ORDER BY n.i) FILTER (gone.i IS NULL), '') AS kept,
     count(*) AS n_sentences, count(gone.i) AS n_removed
-  FROM n JOIN cut USING (doc_id) LEFT JOIN gone ON gone.doc_id = n.doc_id AND gone.i = n.i GROUP BY 1
+  FROM n LEFT JOIN gone ON gone.doc_id = n.doc_id AND gone.i = n.i GROUP BY 1
 )
 SELECT doc_id, CAST(n_sentences AS INTEGER) AS n_sentences, CAST(n_removed AS INTEGER) AS n_removed, CAST(length(kept) AS BIGINT) AS kept_chars,
   sha256(kept) AS kept_sha256, unnest(first_doc_ids) AS first_doc_id

@@ -5,12 +5,14 @@ from a sentence on, or up to a sentence, that has ``least_sentences`` sentences
 and ``least_words`` words, so equal passages give equal runs wherever they
 stand. Runs from both ends cover every sentence of a repeated passage, its short
 last ones too, just as all spans of that size or more would.
-Runs meet in one global aggregation: the first occurrence of a hash (smallest
-id, then position) stays, and every sentence that any other occurrence covers
-is removed.
+Texts are hashed once and the runs kept as Parquet. Runs meet in one global
+aggregation: the first occurrence of a hash (smallest id, then position) stays,
+and every sentence that any other occurrence covers is removed.
 
 Counting happens before the shuffle, so a passage that very many documents
-share costs one row per task; only hashes seen more than once are joined back.
+share costs one row per task there. Only hashes seen more than once are joined
+back; the runs of a hash with a thousandth of all rows or more are spread over
+many tasks, each with its own copy of the hash's first occurrence.
 
 Sentences end at ``.``, ``!`` or ``?`` before white space, and at line ends.
 They are compared by their words, without regard to case.
@@ -33,6 +35,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docweft.llm.common import hot_keys, salted_join, settle, written
+
 _END = re.compile(r"(?<=[.!?])\s+|\n\s*")
 
 
@@ -104,12 +108,11 @@ def _keys(docs: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, least_sentences: int = 2, least_words: int = 20) -> DataFrame:
     """doc_id, spans (first sentence, sentence behind the last) that repeat earlier ones, first_doc_ids."""
-    found = hash_runs(_keys(docs), least_sentences, least_words)
+    found = written(hash_runs(_keys(docs), least_sentences, least_words), "runs")
+    keys = ["h1", "h2"]
     place = F.struct("doc_id", "start")
-    firsts = (
-        found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h1", "h2", "first")
-    )
-    later = found.join(firsts, ["h1", "h2"]).where(F.struct("doc_id", "start") != F.col("first"))
+    firsts = settle(found.groupBy(*keys).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select(*keys, "first"))
+    later = salted_join(found, firsts, keys, hot_keys(found, keys), ["doc_id", "start"]).where(F.struct("doc_id", "start") != F.col("first"))
     return later.groupBy("doc_id").agg(
         F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"),
         F.sort_array(F.collect_set("first.doc_id")).alias("first_doc_ids"),

@@ -8,19 +8,14 @@ SCHEMA = "doc_id long, text string, spans string, first string"
 
 
 def brute(rows, least_sentences, least_words):
-    """What is left of each text, by comparing all runs with all earlier ones."""
-    def words(t, a, b):
-        return tuple(t[a:b].lower().split())
-
-    docs = {i: t for i, t in rows if i is not None and t is not None}
+    """Sentences removed of each text, by comparing all spans of that size or more."""
     occurrences = {}
-    for i, t in docs.items():
-        s = repeats.sentences(t)
+    for i, t in rows:
+        s = [tuple(t[a:b].lower().split()) for a, b in repeats.sentences(t)] if i is not None and t else []
         for a in range(len(s)):
             for b in range(a + least_sentences, len(s) + 1):
-                if sum(len(words(t, *x)) for x in s[a:b]) >= least_words:
-                    occurrences.setdefault(tuple(words(t, *x) for x in s[a:b]), []).append((i, a, b))
-                    break
+                if sum(map(len, s[a:b])) >= least_words:
+                    occurrences.setdefault(tuple(s[a:b]), set()).add((i, a, b))
     gone = {}
     for places in occurrences.values():
         for i, a, b in sorted(places)[1:]:
@@ -72,22 +67,6 @@ def test_very_long(spark):
     assert got[2] == (2001, 2001) and got[1][0] == 1999
 
 
-def brute_all_runs(rows, least_sentences, least_words):
-    """Sentences removed of each text, by comparing all spans of that size or more."""
-    occurrences = {}
-    for i, t in rows:
-        s = [tuple(t[a:b].lower().split()) for a, b in repeats.sentences(t)] if i is not None and t else []
-        for a in range(len(s)):
-            for b in range(a + least_sentences, len(s) + 1):
-                if sum(map(len, s[a:b])) >= least_words:
-                    occurrences.setdefault(tuple(s[a:b]), set()).add((i, a, b))
-    gone = {}
-    for places in occurrences.values():
-        for i, a, b in sorted(places)[1:]:
-            gone.setdefault(i, set()).update(range(a, b))
-    return {i: len(g) for i, g in gone.items()}
-
-
 def test_short_last_sentences_of_a_copy(spark):
     text = " ".join(" ".join(f"w{k}x{j}" for j in range(n)) + "." for k, n in enumerate((30, 30, 3, 3)))
     rows = [(1, text), (2, text), (3, "Own start here. " + text + " Own end here.")]
@@ -96,9 +75,21 @@ def test_short_last_sentences_of_a_copy(spark):
     assert got == {2: (4, 4), 3: (4, 6)}
 
 
-def test_against_all_runs(spark):
-    for seed in range(3):
-        rows = make(seed)
-        docs = spark.createDataFrame([(i, t, "clash", None) for i, t in rows], SCHEMA).repartition(3)
-        got = {r.doc_id: r.n_removed for r in repeats.affected(docs, 2, 20).collect()}
-        assert got == brute_all_runs(rows, 2, 20)
+def test_tail_of_a_passage(spark):
+    """Sentences of 15, 15 and 3 words: no run of 20 words begins at the second inside the passage."""
+    passage = " ".join(" ".join(f"p{k}x{j}" for j in range(n)) + "." for k, n in enumerate((15, 15, 3)))
+    rows = [(1, passage), (2, "Something else stands before it. " + passage + " And something else behind.")]
+    docs = spark.createDataFrame([(i, t, "s", "f") for i, t in rows], SCHEMA)
+    assert {r.doc_id: r.n_removed for r in repeats.affected(docs).collect()} == {2: 3}
+
+
+def test_hot_passage(spark, monkeypatch):
+    """A passage that all documents share is spread over tasks, with the same result."""
+    from docweft.llm import common
+
+    monkeypatch.setattr(common, "HOT_LEAST", 20)
+    passage = " ".join(f"Passage sentence number {k} has quite a few words of its own." for k in range(4))
+    rows = [(i, f"Own start number {i} here. " + passage) for i in range(200)]
+    docs = spark.createDataFrame([(i, t, "s", "f") for i, t in rows], SCHEMA).repartition(3)
+    got = {r.doc_id: (r.n_removed, list(r.first_doc_ids)) for r in repeats.affected(docs).collect()}
+    assert got == {i: (4, [0]) for i in range(1, 200)}
