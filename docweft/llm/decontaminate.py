@@ -11,16 +11,24 @@ document. An item whose windows are covered to ``least_cover`` by consistent
 placements is reported: ``verbatim`` if all values are equal, else
 ``reworded`` (a re-parameterised question).
 
+A window with fewer than two plain words says too little as a template. It is
+matched by its values instead: equal words at every place, numbers and names
+too. So items of figures or names only are found where they stand verbatim.
+
 Only the filter, ``FILTER_BITS`` bits however large the benchmark is, goes to
-every task. Windows are matched by the join, so a full filter costs time, not
-results.
+every task. Windows are matched by joins, so a full filter costs time, not
+results. Pairs of a document and an item are first sought by few windows: an
+item of which a fifth of the windows may be absent is probed by its rarest
+fifth and one more, of which one at least must match (the prefix-filter rule).
+A window that very many items share so makes no product of documents and items.
+All windows are matched for the pairs that are left. Windows and items with a
+thousandth of the rows or more are spread over many tasks.
 
 Defined results: null and blank texts have no windows; rows without an id are
 left out; a document or item with fewer than ``width`` tokens is one window;
-windows with fewer than two plain words say nothing and are not counted, and
-items without any other window are never reported; repeated rows count once;
-empty tables give an empty result; other columns are ignored or, in
-:func:`clean`, kept.
+repeated rows count once, and rows of an equal item id with different texts are
+one item that holds the windows of all of them; empty tables give an empty
+result; other columns are ignored or, in :func:`clean`, kept.
 """
 
 from __future__ import annotations
@@ -30,10 +38,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweft.llm.common import settle
+from docweft.llm.common import hot_keys, salted_join, settle, written
 
 FILTER_BITS = 1 << 25
 #: Words that a Python worker remembers.
@@ -75,8 +83,8 @@ class _Tokens(dict):
 _TOKENS = _Tokens()
 
 
-def canonical(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Words, template hashes, and whether each is a placeholder."""
+def canonical(text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Words, template hashes, hashes of the plain forms, and whether each is a placeholder."""
     words: list[str] = []
     heads = []
     for line in text.split("\n"):
@@ -93,78 +101,80 @@ def canonical(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     unit = (flags & _IS_UNIT) > 0
     unit[1:] &= number[:-1]
     unit[:1] = False
-    codes = found & ~np.uint64(15)
+    plain = found & ~np.uint64(15)
+    codes = plain.copy()
     codes[name] = _NAME
     codes[unit] = _UNIT
     codes[number] = _NUMBER
-    return words, codes, number | name | unit
+    return words, codes, plain, number | name | unit
 
 
-def windows(codes: np.ndarray, slots: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Positions and hashes of the windows with two plain words or more (one if the window is shorter)."""
-    size = min(width, len(codes))
-    if not size:
-        return np.zeros(0, "i8"), np.zeros(0, "u8"), 0
+def _hashed(codes: np.ndarray, size: int, seed: int) -> np.ndarray:
     n = len(codes) - size + 1
     out = codes[:n] * _PLACES[0]
     for i in range(1, size):
         out += codes[i : i + n] * _PLACES[i]
-    out = (out ^ (out >> np.uint64(31))) * _PLACES[32 + size % 31]
-    out ^= out >> np.uint64(29)
+    out = (out ^ (out >> np.uint64(31))) * _PLACES[seed + size % 16]
+    return out ^ (out >> np.uint64(29))
+
+
+def windows(codes: np.ndarray, plain: np.ndarray, slots: np.ndarray, width: int) -> tuple[np.ndarray, int]:
+    """Hashes of all windows, and their size: of templates, or of the values where plain words are too few."""
+    size = min(width, len(codes))
+    if not size:
+        return np.zeros(0, "u8"), 0
+    out = _hashed(codes, size, 32)
     if slots.any():
         before = np.concatenate([[0], np.cumsum(~slots)])
-        at = np.flatnonzero(before[size:] - before[:n] >= min(2, size))
-        return at, out[at], size
-    return np.arange(n), out, size
+        bare = np.flatnonzero(before[size:] - before[:-size] < min(2, size))
+        out[bare] = _hashed(plain, size, 48)[bare]
+    return out, size
 
 
-HITS = "id long, at int, key long, slots array<string>"
+HITS = "id long, at int, key long, slots array<string>, size int"
 
 
-def _windows_of(rows: DataFrame, width: int, lengths: list[int], bits: np.ndarray | None) -> DataFrame:
-    """Windows of rows (id, text): of ``lengths``, and those only that the filter may know."""
+def _windows_of(rows: DataFrame, lengths: list[int], bits: np.ndarray | None = None) -> DataFrame:
+    """Windows of rows (id, text): of ``lengths``, with a filter those only that it may know and that are not shorter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None if bits is None else np.unpackbits(bits, bitorder="little").view(bool)
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
-                ids, ats, keys, values = [], [], [], []
+                ids, ats, keys, values, sizes = [], [], [], [], []
                 for row_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    words, codes, slots = canonical(text.as_py() or "")
-                    for length in lengths if bits is not None else [width]:
-                        if bits is not None and len(codes) < length:
+                    words, codes, plain, slots = canonical(text.as_py() or "")
+                    for length in lengths:
+                        if kept is not None and len(codes) < length:
                             continue
-                        at, key, size = windows(codes, slots, length)
+                        key, size = windows(codes, plain, slots, length)
+                        at = np.arange(len(key))
                         if kept is not None and len(key):
-                            hit = kept[(key >> np.uint64(39)).astype("i8")]
-                            at, key = at[hit], key[hit]
+                            at = np.flatnonzero(kept[(key >> np.uint64(39)).astype("i8")])
+                            key = key[at]
                         for a, k in zip(at.tolist(), key.view("i8").tolist(), strict=True):
                             ids.append(row_id)
                             ats.append(a)
                             keys.append(k)
                             values.append([w.strip(_STRIP).lower() for w, s in zip(words[a : a + size], slots[a : a + size], strict=True) if s])
+                            sizes.append(size)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(ats, pa.int32()), pa.array(keys, pa.int64()), pa.array(values, pa.list_(pa.string()))],
-                    names=["id", "at", "key", "slots"],
+                    [pa.array(ids, pa.int64()), pa.array(ats, pa.int32()), pa.array(keys, pa.int64()), pa.array(values, pa.list_(pa.string())), pa.array(sizes, pa.int32())],
+                    names=["id", "at", "key", "slots", "size"],
                 )
 
     return rows.where("id is not null and text is not null").mapInArrow(run, HITS)
 
 
 def build_filter(keys: DataFrame) -> np.ndarray:
-    """A bitmap of ``FILTER_BITS`` bits with those of the window keys set, made by the tasks piece by piece."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
-        for batch in batches:
-            bits[(batch.column(0).to_numpy().view("u8") >> np.uint64(39)).astype("i8")] = True
-        yield pa.RecordBatch.from_pydict({"bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-
-    out = np.zeros(FILTER_BITS // 8, "u1")
-    for row in keys.select("key").coalesce(4).mapInArrow(run, "bits binary").collect():  # four bitmaps at most
-        out |= np.frombuffer(row.bits, "u1")
-    return out
+    """A bitmap of ``FILTER_BITS`` bits with those of the window keys set: at most a 64th as many rows reach the driver."""
+    place = F.shiftrightunsigned("key", 39)
+    bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
+    rows = keys.select(place.alias("place")).groupBy(F.shiftright("place", 6).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, "i8")
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    return out.view("u1")
 
 
 def _rows(df: DataFrame, id_col: str) -> DataFrame:
@@ -173,19 +183,22 @@ def _rows(df: DataFrame, id_col: str) -> DataFrame:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, least_cover: float = 0.8, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
     """doc_id, item_id, windows, matched, cover, kind for each item that a document holds."""
-    items = settle(_windows_of(_rows(benchmark, item_col), width, [width], None).distinct())
+    items = settle(_windows_of(_rows(benchmark, item_col), [width]).distinct())
     bits = build_filter(items)
     # an item of fewer tokens than the width is one window of its own length; there are few lengths
-    short = [int(n) for n in _short_lengths(_rows(benchmark, item_col), width)]
-    hits = _windows_of(_rows(docs, id_col), width, sorted({width, *short}), bits).distinct()
-    placed = hits.toDF("doc_id", "at", "key", "theirs").join(items.toDF("item_id", "item_at", "key", "ours"), "key")
+    short = [r.size for r in items.where(F.col("size") < width).select("size").distinct().collect()]
+    hits = written(_windows_of(_rows(docs, id_col), sorted({width, *short}), bits).distinct().select(F.col("id").alias("doc_id"), "at", "key", F.col("slots").alias("theirs")), "hits")
+    totals = settle(items.groupBy(F.col("id").alias("item_id")).agg(F.count_distinct("at").alias("windows")))
+    items = items.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "key", F.col("slots").alias("ours"))
+    pairs = written(_probed(hits, items, totals, least_cover), "pairs")
+    wanted = salted_join(pairs, items, ["item_id"], hot_keys(pairs, ["item_id"]), ["doc_id"])
+    placed = hits.join(wanted, ["doc_id", "key"])
     pair = F.arrays_zip(F.col("ours").alias("a"), F.col("theirs").alias("b"))
     rows = placed.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", pair.alias("pairs"))
     ways = rows.groupBy("doc_id", "item_id", "shift").agg(
         F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
     )
     one_to_one = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"])))
-    totals = items.groupBy(F.col("id").alias("item_id")).agg(F.count_distinct("at").alias("windows"))
     return (
         ways.where(one_to_one)
         .groupBy("doc_id", "item_id")
@@ -206,11 +219,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, least_co
     )
 
 
-def _short_lengths(items: DataFrame, width: int) -> list[int]:
-    """The token counts below ``width`` that occur among the items: ``width`` - 1 numbers at most."""
-    words = F.size(F.filter(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), lambda w: w != ""))
-    rows = items.where("text is not null").select(words.alias("n")).where((F.col("n") > 0) & (F.col("n") < width)).distinct()
-    return [r.n for r in rows.collect()]
+def _probed(hits: DataFrame, items: DataFrame, totals: DataFrame, least_cover: float) -> DataFrame:
+    """doc_id, item_id of which one of the item's rarest windows matches: so many that an item of enough cover has one of them."""
+    shared = items.groupBy("key").agg(F.count_distinct("item_id").alias("sharers"))
+    places = items.join(shared, "key").groupBy("item_id", "item_at").agg(F.max("sharers").alias("sharers"), F.min("key").alias("least"))
+    rarest = F.row_number().over(Window.partitionBy("item_id").orderBy("sharers", "least", "item_at"))  # one item's windows
+    enough = F.col("windows") - F.ceil(F.lit(least_cover) * F.col("windows")) + 1
+    chosen = places.withColumn("rank", rarest).join(totals, "item_id").where(F.col("rank") <= enough).select("item_id", "item_at")
+    probes = items.join(chosen, ["item_id", "item_at"]).select("item_id", "key").distinct()
+    found = salted_join(hits.select("doc_id", "at", "key"), probes, ["key"], hot_keys(hits, ["key"]), ["doc_id", "at"])
+    return found.select("doc_id", "item_id").distinct()
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 5, least_cover: float = 0.8) -> DataFrame:

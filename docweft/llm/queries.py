@@ -229,8 +229,8 @@ ag AS (SELECT side, id, list(code ORDER BY p) AS c, list(plain ORDER BY p) AS v,
 sz AS (SELECT DISTINCT least(n, 5) AS size FROM ag WHERE side = 'b'),
 wi AS (SELECT side, id, size, unnest(list_transform(range(1, n - size + 2), lambda i: {{'pos': i, 'v': v[i : i + size - 1], 's': s[i : i + size - 1], 'c': array_to_string(c[i : i + size - 1], chr(1))}})) AS x
   FROM ag JOIN sz ON CASE side WHEN 'b' THEN size = least(n, 5) ELSE n >= size END),
-wk AS (SELECT side, id, x.pos AS pos, x.v AS v, x.s AS s, size || ':' || x.c AS key, size FROM wi),
-inf AS (SELECT * FROM wk WHERE len(list_filter(s, lambda x: NOT x)) >= least(2, size)),
+inf AS (SELECT side, id, x.pos AS pos, x.v AS v, x.s AS s,
+  CASE WHEN len(list_filter(x.s, lambda y: NOT y)) >= least(2, size) THEN size || ':' || x.c ELSE size || '=' || array_to_string(x.v, chr(1)) END AS key FROM wi),
 tot AS (SELECT id AS item_id, count(DISTINCT pos) AS windows FROM inf WHERE side = 'b' GROUP BY 1),
 hit AS (SELECT d.id AS doc_id, b.id AS item_id, d.pos - b.pos AS shift, b.pos, b.v AS ours, d.v AS theirs, b.s FROM inf d JOIN inf b ON d.key = b.key AND d.side = 'd' AND b.side = 'b'),
 pr AS (SELECT DISTINCT doc_id, item_id, shift, a, z FROM (SELECT doc_id, item_id, shift, unnest(ours) AS a, unnest(theirs) AS z, unnest(s) AS slot FROM hit) WHERE slot),

@@ -11,22 +11,28 @@ ITEMS = "item_id long, text string, doc_id long"
 def brute(docs, items, width=5, least=0.8):
     """All placements of all items, window by window."""
     def tokens(text):
-        words, codes, slots = dec.canonical(text)
-        return [w.strip(dec._STRIP).lower() for w in words], codes.tolist(), slots.tolist()
+        words, codes, plain, slots = dec.canonical(text)
+        return [w.strip(dec._STRIP).lower() for w in words], codes.tolist(), plain.tolist(), slots.tolist()
 
     out = {}
     for i, t in docs:
-        dw, dc, ds = tokens(t)
+        dw, dc, dp, ds = tokens(t)
         for j, q in items:
-            qw, qc, qs = tokens(q)
+            qw, qc, qp, qs = tokens(q)
             size = min(width, len(qc))
             if not size or len(dc) < size:
                 continue
-            own = [b for b in range(len(qc) - size + 1) if sum(not s for s in qs[b : b + size]) >= min(2, size)]
+
+            def says(slots, at):
+                return sum(not s for s in slots[at : at + size]) >= min(2, size)
+
+            own = range(len(qc) - size + 1)
             shifts = {}
             for a in range(len(dc) - size + 1):
                 for b in own:
-                    if dc[a : a + size] == qc[b : b + size]:
+                    if says(ds, a) != says(qs, b):
+                        continue
+                    if (dc[a : a + size] == qc[b : b + size]) if says(ds, a) else (dp[a : a + size] == qp[b : b + size]):
                         pairs, places = shifts.setdefault(a - b, (set(), set()))
                         places.add(b)
                         pairs.update((qw[b + k], dw[a + k]) for k in range(size) if qs[b + k])
@@ -58,6 +64,26 @@ def test_cases(spark):
     assert (8, 13) in got
 
 
+def test_blanks_of_all_kinds_and_bare_windows(spark):
+    docs = [(1, "words alpha\u00a0beta\u2003gamma words"), (2, "so 1 2 3 4 5 6 7 8 then"), (3, "so 1 2 3 4 5 6 7 9 then 10 11 12 13 14"), (4, "Here Anna Berta Clara Dora Emma Frida. End"), (5, "Here Anna Berta Clara Dora Emma Greta. End")]
+    got = check(spark, docs, [(1, "alpha\u00a0beta gamma"), (2, "1 2 3 4 5 6 7 8"), (3, "x Anna Berta Clara Dora Emma Frida")])
+    assert (1, 1) in got and (2, 2) in got and (3, 2) not in got
+
+
+def test_many_items_share_a_window(spark):
+    """A window that 1,000 items share makes no product: pairs are sought by the items' own windows."""
+    common = "which of the following is the"
+    items = [(j, f"{common} colour q{j}a q{j}b q{j}c q{j}d q{j}e q{j}f".replace("q", "word")) for j in range(1000)]
+    docs = [(i, f"start of text {i} {common} " + " ".join(f"filler{i}x{k}" for k in range(20))) for i in range(300)] + [(1000, "Some words " + items[7][1])]
+    d = spark.createDataFrame([(i, t, 5, "clash") for i, t in docs], DOCS)
+    b = spark.createDataFrame([(j, q, 9) for j, q in items], ITEMS)
+    assert [(r.doc_id, r.item_id) for r in dec.contaminated(d, b).collect()] == [(1000, 7)]
+    found = dec.settle(dec._windows_of(dec._rows(b, "item_id"), [5]).distinct()).withColumnRenamed("id", "item_id").withColumnRenamed("at", "item_at")
+    hits = dec._windows_of(dec._rows(d, "doc_id"), [5], dec.build_filter(found)).withColumnRenamed("id", "doc_id")
+    totals = found.groupBy("item_id").agg(dec.F.count_distinct("item_at").alias("windows"))
+    assert dec._probed(dec.settle(hits), found, totals, 0.8).count() < 20
+
+
 def test_random(spark):
     rng = random.Random(1)
     vocabulary = "alpha beta gamma delta Tom Ann 1 22 km m the of".split()
