@@ -10,7 +10,7 @@ Defined results
 * null text or null role: the empty string;
 * ties in ``turn``: ordered by role, then text; null turns come first;
 * repeated rows: each is a turn;
-* a null conversation id is a conversation of its own;
+* a row with a null conversation id is a conversation of its own (so they never meet in one unbounded row);
 * a turn order the machine rejects: the conversation is still formatted, with
   ``valid`` false and ``bad_turn`` the index of the first refused turn;
 * an empty table gives an empty result; further columns are ignored.
@@ -94,7 +94,8 @@ def gather_turns(rows: DataFrame) -> DataFrame:
         F.coalesce(F.col("role"), F.lit("")).alias("role"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
-    return rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("__alone")
+    return rows.groupBy("conv_id", alone).agg(F.sort_array(F.collect_list(turn)).alias("turns")).drop("__alone")
 
 
 def _segments(turn: Column, template: ChatTemplate) -> Column:

@@ -22,6 +22,7 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import itertools
+import json
 import re
 import unicodedata
 import zlib
@@ -47,11 +48,32 @@ _LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f\xc0-\xd6\xd8-\xde"
 _PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s{_LETTERS}0-9]+")
 
 
+#: What a tokenizer file must say for its texts to be split as ``_PARTS`` does.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {
+    "type": "Split",
+    "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+    "behavior": "Removed",
+    "invert": True,
+}
+
+
+def splits_as_parts(path: str) -> bool:
+    """Whether the tokenizer of a file splits texts into the parts that :class:`PartCache` looks up."""
+    with open(path, encoding="utf-8") as f:
+        data = json.load(f)
+    steps = (data.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    plain = len(steps) == 2 and steps[0] == _SPLIT and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex")
+    return data.get("normalizer") == _NORMALIZER and plain and data["model"].get("end_of_word_suffix") == "</w>"
+
+
 class PartCache:
     """Token ids of texts as little-endian bytes, looked up part by part.
 
     The tokenizer brings a text to composed lower case and splits it by a
     pattern before anything else, so its ids are those of the parts in order.
+    The file is compared with that at load; texts of any other tokenizer are
+    encoded whole.
     Parts are looked up in two generations of bounded size. Only parts never
     seen are tokenised, many at a time: the mark of a word's end in the
     vocabulary tells them apart again.
@@ -61,6 +83,7 @@ class PartCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_parts = splits_as_parts(path)
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
@@ -125,6 +148,9 @@ class PartCache:
 
     def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text, in order; parts are looked up for some ten thousands at a time."""
+        if not self.by_parts:
+            yield from map(self._whole, texts)
+            return
         waiting: list[list[str]] = []
         size = 0
         for text in texts:

@@ -267,9 +267,9 @@ WITH rows AS (
     CASE role WHEN 'user' THEN 15 WHEN 'system' THEN 13 WHEN 'assistant' THEN 0
       ELSE 13 + length(role) + length(role) - length(replace(role, '\', ''))
         + len(regexp_extract_all(role, '</?s>|\[/?(INST|SYS|ROLE)\]')) END AS around,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS k,
-    lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before
-  FROM rows
+    row_number() OVER (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role, text) - 1 AS k,
+    lag(role) OVER (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role, text) AS before
+  FROM (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM rows)
 ), judged AS (
   SELECT *, CASE
     WHEN k = 0 THEN role IN ('system', 'user')
@@ -285,6 +285,6 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(own + around + 7) AS BIGINT) AS formatted_chars,
   bool_and(fine) AND max_by(role, k) = 'assistant' AS valid,
   CAST(min(k) FILTER (NOT fine) AS BIGINT) AS bad_turn
-FROM judged GROUP BY conv_id
+FROM judged GROUP BY conv_id, alone
 """,
 }

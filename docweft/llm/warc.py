@@ -9,6 +9,8 @@ from its offset.
 Payloads that occur more than once are stored once: the record of the smallest
 id is a response, the others are revisit records that name it.
 
+Reading back streams every archive and checks each record's digest.
+
 Writing is idempotent: a task writes each archive under a name of its attempt
 and moves it to a name that depends only on the partition, so a task that is
 repeated after a lost executor replaces its own files. Archives are written
@@ -26,8 +28,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from collections.abc import Iterable, Iterator
-
+from collections.abc import Iterator
+from typing import BinaryIO
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -44,6 +46,8 @@ BREAK = b"\r\n"
 SAFE = "!#$%&'()*+,-./:;=?@[]_~"
 #: Bytes given to the decompressor at once; only this much is copied back behind a record's end.
 STEP = 65_536
+#: Compressed bytes that a task reads back where there are more archives than twice the cores.
+TASK_BYTES = 64 << 20
 
 
 def digest(payload: bytes) -> str:
@@ -123,27 +127,26 @@ def archive(records: list[bytes], dict_bytes: int = 32_768, sample_bytes: int =
     return b"".join(out)
 
 
-def read_archive(data: bytes) -> Iterator[bytes]:
-    """The records of an archive, one after another."""
+def read_archive(source: BinaryIO) -> Iterator[bytes]:
+    """The records of an archive, one after another; one record and ``STEP`` bytes are held at a time."""
     import zstandard
 
-    magic, size = struct.unpack_from("<II", data)
+    magic, size = struct.unpack("<II", source.read(8))
     if magic != SKIPPABLE:
         raise ValueError("no dictionary frame")
-    words = data[8 : 8 + size]
+    words = source.read(size)
     shared = zstandard.ZstdCompressionDict(words) if words else None
     press = zstandard.ZstdDecompressor(dict_data=shared)
-    view, at = memoryview(data), 8 + size
-    while at < len(view):
+    rest = source.read(STEP)
+    while rest:
         frame, out = press.decompressobj(), []
         while not frame.eof:
-            if at >= len(view):
+            if not rest:
                 raise ValueError("the last record is cut off")
-            part = view[at : at + STEP]
-            out.append(frame.decompress(part))
-            at += len(part)
-        at -= len(frame.unused_data)
+            out.append(frame.decompress(rest))
+            rest = frame.unused_data if frame.eof else source.read(STEP)
         yield b"".join(out)
+        rest = rest or source.read(STEP)
 
 
 MANIFEST = "path string, records long, bytes long"
@@ -198,7 +201,10 @@ _FULL = pa.schema([*_READ, ("url", pa.string()), ("payload", pa.binary())])
 
 
 def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
-    """One row per record of the archives that ``manifest`` (path) names, in the order of a file."""
+    """One row per record of the archives that ``manifest`` (path, bytes) names, in the order of a file.
+
+    Archives are dealt to as many tasks as they allow, up to ``TASK_BYTES`` a task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -208,18 +214,19 @@ def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 store, name = fs.FileSystem.from_uri(path)
                 with store.open_input_stream(name, compression=None) as source:
-                    data = source.read()
-                rows: list[dict] = []
-                for one in map(parse, read_archive(data)):
-                    rows.append(one)
-                    if len(rows) == 500:
+                    rows: list[dict] = []
+                    for one in map(parse, read_archive(source)):
+                        rows.append(one)
+                        if len(rows) == 500:
+                            yield pa.RecordBatch.from_pylist(rows, schema)
+                            rows = []
+                    if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
 
     full = READ + ", url string, payload binary"
-    return manifest.select("path").repartition("path").mapInArrow(run, full if payloads else READ)
+    archives, size = manifest.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    tasks = min(archives, max(2 * manifest.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES))
+    return manifest.select("path").repartition(max(1, tasks)).mapInArrow(run, full if payloads else READ)
 
 
 def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:

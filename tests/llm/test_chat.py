@@ -43,6 +43,12 @@ def test_turn_machine(spark):
     assert got == {1: (True, None), 2: (True, None), 3: (False, 0), 4: (False, 1), 5: (False, None), 6: (False, 2), 7: (False, 1)}
 
 
+def test_rows_without_id_are_apart(spark):
+    rows = [(None, k, "user", f"text {k}") for k in range(50)] + [(1, 0, "user", "a"), (1, 1, "assistant", "b")]
+    out = formatted(spark, rows).select("conv_id", F.size(chat.read_turns(F.col("formatted"))).alias("n")).collect()
+    assert sorted((str(r.conv_id), r.n) for r in out) == [("1", 2)] + [("None", 1)] * 50
+
+
 def test_ties_and_empty(spark):
     rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, None, "system", "first"), (1, 0, "user", "a")]
     turns = formatted(spark, rows).select(chat.read_turns(F.col("formatted")).alias("t")).first().t

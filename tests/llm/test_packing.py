@@ -51,6 +51,32 @@ def test_pieces_and_layout(spark, leaf_pieces):
     assert len(places) <= -(-total // 2048) + 1
 
 
+def test_sequences_of_a_real_table(spark):
+    """As few sequences as the tokens allow."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = packing.pack_documents(docs, tokenizer_path(), 2048).collect()
+    total = sum(r.length for r in got)
+    assert len({r.sequence_id for r in got}) == -(-total // 2048)
+
+
+def test_another_tokenizer_is_encoded_whole(spark, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        data = json.load(f)
+    data["normalizer"]["normalizers"] = [n for n in data["normalizer"]["normalizers"] if n["type"] != "Lowercase"]
+    path = tmp_path / "cased.json"
+    path.write_text(json.dumps(data), encoding="utf-8")
+    assert packing.splits_as_parts(tokenizer_path()) and not packing.splits_as_parts(str(path))
+    texts = ["Some WORDS in Case.", "x"]
+    docs = spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], SCHEMA)
+    got = sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packing.pack_documents(docs, str(path), 2048).collect())
+    tokenizer = Tokenizer.from_file(str(path))
+    assert got == [(i, *p) for i, t in enumerate(texts) for p in expected(tokenizer, t, 2048)]
+
+
 def test_empty(spark):
     assert packing.pack_documents(spark.createDataFrame([], SCHEMA), tokenizer_path()).count() == 0
 
