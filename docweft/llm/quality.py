@@ -1,10 +1,10 @@
 """Quality classification with hierarchical empirical Bayes over sites.
 
-1. A document classifier (logistic, over hashed words, shares of word shapes
-   and a few counts) is fitted on a bounded sample of labelled rows:
-   ``max_labelled`` of them, those with the smallest hash of their id. A row is
-   good if its quality is 1 and it is not toxic.
-2. It scores every document. Grouped aggregation gives each host and each path
+1. Two document classifiers (logistic, over hashed words, beginnings of words,
+   shares of word shapes and a few counts) are fitted on a bounded sample of labelled rows,
+   ``max_labelled`` of them, those with the smallest hash of their id: one for
+   quality, one for toxicity.
+2. They score every document, in one reading. Grouped aggregation of the quality gives each host and each path
    its number of documents and the sums of their probabilities. The method of
    moments over all hosts and all paths tells how much sites really differ, and
    so how many documents a prior is worth: the corpus is the prior of hosts,
@@ -13,6 +13,9 @@
    ``site_weight`` times the difference between its path's posterior and the
    corpus. The document itself is left out of its sites' posteriors, so a site
    of one document has the prior of the level above.
+4. A document is kept if its quality reaches ``threshold`` and its toxicity is
+   below ``toxic_threshold``. Toxicity is the document's own: it is not
+   excused by a good site.
 
 Sums are made before the shuffle, so a host with a third of all rows costs one
 row per task; sites are joined back by Spark, which broadcasts them only below
@@ -21,8 +24,8 @@ its checked threshold and splits a key with very many rows otherwise.
 Defined results: a null text is empty; a null host or path is a site of its
 own, named by the empty string; documents without an id are scored like others;
 labels with null quality are not used, null toxic counts as 0, of repeated
-labels of an id each counts; without usable labels of both sorts all documents
-are kept with probability 0.5; equal texts of equal sites get equal results; an
+labels of an id each counts; without usable labels of both sorts of quality all
+documents have quality 0.5, without those of toxicity all have toxicity 0; equal texts of equal sites get equal results; an
 empty table gives an empty result; other columns are ignored or, in
 :func:`keep_good`, kept.
 """
@@ -32,25 +35,33 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweft.llm.common import settle
+from docweft.llm.common import settle, written
 
 WORD_BITS, SHAPE_BITS = 15, 10
+#: Beginnings of longer words have slots of their own, so that inflected and compound words share evidence.
+PREFIXES = (4, 6)
 COUNTS = 6
-WIDTH = (1 << WORD_BITS) + (1 << SHAPE_BITS) + COUNTS
+_PREFIX, _SHAPE = 1 << WORD_BITS, (1 + len(PREFIXES)) << WORD_BITS
+WIDTH = _SHAPE + (1 << SHAPE_BITS) + COUNTS
 #: Words that a Python worker remembers.
 WORDS = 400_000
-#: Words that don't differ between good and bad labelled documents by so many standard deviations have no weight.
+#: Words and prefixes that don't differ between good and bad labelled documents by so many standard deviations have no weight.
 LEAST_DEVIATIONS = 4.0
 
 
+def _slot(text: str, bits: int) -> int:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass")) & ((1 << bits) - 1)
+
+
 class _Slots(dict):
-    """word -> its word slot, with its shape slot in the higher bits."""
+    """word -> its word slot, with its shape slot and, 0 for none, its prefix slots and one in the higher bits."""
 
     def __missing__(self, word: str) -> int:
         if len(self) > WORDS:
@@ -60,8 +71,12 @@ class _Slots(dict):
         tail = word[len(word.rstrip(marks)) :][:3]
         case = "u" if core.isupper() and len(core) > 1 else "t" if core[:1].isupper() else "l" if core.islower() else "m"
         shape = f"{case}{'d' if any(c.isdigit() for c in core) else ''}{min(len(core) // 8, 3)}{tail}"
-        slot = zlib.crc32(core.lower().encode("utf-8", "surrogatepass")) & ((1 << WORD_BITS) - 1)
-        self[word] = value = slot | (zlib.crc32(shape.encode("utf-8", "surrogatepass")) & ((1 << SHAPE_BITS) - 1)) << WORD_BITS
+        plain = core.lower()
+        value = _slot(plain, WORD_BITS) | _slot(shape, SHAPE_BITS) << WORD_BITS
+        for i, n in enumerate(PREFIXES):
+            if len(plain) > n:
+                value |= (_slot(plain[:n], WORD_BITS) + 1) << (WORD_BITS + SHAPE_BITS + i * (WORD_BITS + 1))
+        self[word] = value
         return value
 
 
@@ -69,14 +84,18 @@ _SLOTS = _Slots()
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and values of a text: words that occur, shares of word shapes, and counts."""
+    """Slots and values of a text: words and beginnings of words that occur, shares of word shapes, and counts."""
     text = text or ""
     words = text.split()
     lines = text.split("\n")
     n = len(words)
     found = np.fromiter(map(_SLOTS.__getitem__, words), "i8", n)
     own, often = np.unique(found & ((1 << WORD_BITS) - 1), return_counts=True)
-    shapes, times = np.unique(found >> WORD_BITS, return_counts=True)
+    shapes, times = np.unique((found >> WORD_BITS) & ((1 << SHAPE_BITS) - 1), return_counts=True)
+    begun = []
+    for i in range(len(PREFIXES)):
+        marks = np.unique((found >> (WORD_BITS + SHAPE_BITS + i * (WORD_BITS + 1))) & ((1 << (WORD_BITS + 1)) - 1))
+        begun.append(marks[marks > 0] + (_PREFIX * (i + 1) - 1))
     different = len(own) / max(1, n)
     counts = np.array(
         [
@@ -88,15 +107,16 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
             4 * often.max(initial=0) / max(1, n),
         ]
     )
-    slots = np.concatenate([own, shapes + (1 << WORD_BITS), np.arange(COUNTS) + (WIDTH - COUNTS)])
-    values = np.concatenate([np.ones(len(own)), 3 * np.sqrt(times / max(1, n)), counts])
+    words_and_prefixes = np.concatenate([own, *begun])
+    slots = np.concatenate([words_and_prefixes, shapes + _SHAPE, np.arange(COUNTS) + (WIDTH - COUNTS)])
+    values = np.concatenate([np.ones(len(words_and_prefixes)), 3 * np.sqrt(times / max(1, n)), counts])
     return slots, values
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, steps: int = 1000, batch: int = 128, rate: float = 0.1, decay: float = 1e-5) -> np.ndarray:
     """Weights and, last, the bias of a logistic model, by AdaGrad in a fixed order: eight passes, or about ``steps`` steps."""
     w, seen = np.zeros(WIDTH + 1), np.full(WIDTH + 1, 1e-8)
-    words = 1 << WORD_BITS
+    words = _SHAPE
     share = good.mean()
     of = np.repeat(good, [len(s) for s, _ in rows])
     every = np.concatenate([s for s, _ in rows])
@@ -121,54 +141,68 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, steps: in
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> np.ndarray | None:
-    """The classifier's weights; None without labels of both sorts.
+@dataclass(frozen=True)
+class Weights:
+    """The classifiers' weights; None where there were no labels of both sorts."""
 
-    The sample and what one task trains on are ``max_labelled`` rows at most.
-    """
-    good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
-    marks = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("id"), good.cast("int").alias("good"))
-    sample = marks.orderBy(F.xxhash64("id"), "id", "good").limit(max_labelled)
+    quality: np.ndarray | None = None
+    toxic: np.ndarray | None = None
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> Weights:
+    """Both classifiers. The sample and what one task trains on are ``max_labelled`` rows at most."""
+    good, toxic = F.col("quality") == 1, F.coalesce(F.col("toxic") == 1, F.lit(False))
+    marks = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("id"), good.cast("int").alias("good"), toxic.cast("int").alias("toxic"))
+    sample = marks.orderBy(F.xxhash64("id"), "id", "good", "toxic").limit(max_labelled)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
 
     def extract(batches: Iterable[pa.RecordBatch]):
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                found = [features(x.as_py()) for x in part.column(2)]
+                found = [features(x.as_py()) for x in part.column(3)]
                 slots = pa.array([s.astype("i4") for s, _ in found], pa.list_(pa.int32()))
                 values = pa.array([v.astype("f4") for _, v in found], pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), slots, values], names=["id", "good", "slots", "values"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], slots, values], names=["id", "good", "toxic", "slots", "values"])
 
     def learn(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("id", "ascending"), ("good", "ascending")])
-        marks = table["good"].to_numpy().astype("f8")
+        table = table.sort_by([("id", "ascending"), ("good", "ascending"), ("toxic", "ascending")])
         rows = [(s.values.to_numpy().astype("i8"), v.values.to_numpy().astype("f8")) for s, v in zip(table["slots"], table["values"], strict=True)]
-        w = train(rows, marks) if 0 < marks.sum() < len(marks) else np.zeros(0)
-        return pa.table({"w": pa.array([w.astype("f4").tobytes()], pa.binary())})
+        out = {}
+        for name in ("good", "toxic"):
+            marks = table[name].to_numpy().astype("f8")
+            w = train(rows, marks) if 0 < marks.sum() < len(marks) else np.zeros(0)
+            out[name] = pa.array([w.astype("f4").tobytes()], pa.binary())
+        return pa.table(out)
 
     # one text of each id, the smallest, so that repeated rows neither swell the fit nor outweigh other labels
     chosen = texts.join(F.broadcast(sample.select("id").distinct()), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    joined = chosen.join(F.broadcast(sample), "id").select("id", "good", "text")  # bounded by max_labelled
-    found = joined.mapInArrow(extract, "id long, good int, slots array<int>, values array<float>").groupBy(F.lit(0).alias("one")).applyInArrow(learn, "w binary")
-    rows = found.collect()
-    return np.frombuffer(rows[0].w, "f4").astype("f8") if rows and rows[0].w else None
-
-
-def evidence(text: Column, weights: np.ndarray | None) -> Column:
-    """The document classifier's probability that a text is good."""
-    if weights is None:
-        return F.lit(0.5)
-    packed = weights.astype("f4").tobytes()
-
-    @F.arrow_udf("double")
+    joined = chosen.join(F.broadcast(sample), "id").select("id", "good", "toxic", "text")  # bounded by max_labelled
+    kinds = "id long, good int, toxic int, slots array<int>, values array<float>"
+    rows = joined.mapInArrow(extract, kinds).groupBy(F.lit(0).alias("one")).applyInArrow(learn, "good binary, toxic binary").collect()
+    if not rows:
+        return Weights()
+    read = lambda packed: np.frombuffer(packed, "f4").astype("f8") if packed else None
+    return Weights(read(rows[0].good), read(rows[0].toxic))
+
+
+def evidence(text: Column, weights: Weights) -> Column:
+    """The document classifiers' probabilities (good, toxic) of a text."""
+    known = {name: w.astype("f4").tobytes() for name, w in (("good", weights.quality), ("toxic", weights.toxic)) if w is not None}
+    if not known:
+        return F.struct(F.lit(0.5).alias("good"), F.lit(0.0).alias("toxic"))
+
+    @F.arrow_udf("good double, toxic double")
     def score(texts: pa.Array) -> pa.Array:
-        w = np.frombuffer(packed, "f4").astype("f8")
-        out = np.empty(len(texts))
+        models = {name: np.frombuffer(packed, "f4").astype("f8") for name, packed in known.items()}
+        out = {name: np.empty(len(texts)) for name in models}
         for i, text in enumerate(texts):
             slots, values = features(text.as_py())
-            out[i] = w[slots] @ values + w[-1]
-        return pa.array(1 / (1 + np.exp(-np.clip(out, -15, 15))))
+            for name, w in models.items():
+                out[name][i] = w[slots] @ values + w[-1]
+        odds = {name: 1 / (1 + np.exp(-np.clip(z, -15, 15))) for name, z in out.items()}
+        rest = {"good": np.full(len(texts), 0.5), "toxic": np.zeros(len(texts))}
+        return pa.StructArray.from_arrays([pa.array(odds.get(n, rest[n])) for n in ("good", "toxic")], names=["good", "toxic"])
 
     return score(text.cast("string"))
 
@@ -240,28 +274,39 @@ def _site(name: Column) -> Column:
     return F.coalesce(name.cast("string"), F.lit(""))
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, max_labelled: int = 20_000, site_weight: float = 0.5, threshold: float = 0.5) -> DataFrame:
-    """doc_id, host, path, evidence, quality, kept for each row of ``docs``."""
+def _kept(quality: Column, toxic: Column, threshold: float, toxic_threshold: float) -> Column:
+    return (quality >= threshold) & (toxic < toxic_threshold)
+
+
+def classify(
+    docs: DataFrame, labels: DataFrame, host: Column, path: Column, max_labelled: int = 20_000, site_weight: float = 0.5, threshold: float = 0.5, toxic_threshold: float = 0.3
+) -> DataFrame:
+    """doc_id, host, path, evidence, quality, toxicity, kept for each row of ``docs``."""
     weights = fit(docs, labels, max_labelled)
     scored = settle(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), _site(host).alias("host"), _site(path).alias("path"), evidence(F.col("text"), weights).alias("p"))
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), _site(host).alias("host"), _site(path).alias("path"), evidence(F.col("text"), weights).alias("e")).select(
+            "doc_id", "host", "path", F.col("e.good").alias("p"), F.col("e.toxic").alias("toxicity")
+        )
     )
-    sites, prior = site_posteriors(scored)
+    sites, prior = site_posteriors(scored.select("host", "path", "p"))
     out = scored.join(sites, ["host", "path"]).withColumn("quality", combined(F.col("p"), prior, site_weight))
-    return out.select("doc_id", "host", "path", F.col("p").alias("evidence"), "quality", (F.col("quality") >= threshold).alias("kept"))
+    kept = _kept(F.col("quality"), F.col("toxicity"), threshold, toxic_threshold)
+    return out.select("doc_id", "host", "path", F.col("p").alias("evidence"), "quality", "toxicity", kept.alias("kept"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, host: Column, path: Column, max_labelled: int = 20_000, site_weight: float = 0.5, threshold: float = 0.5) -> DataFrame:
+def keep_good(
+    docs: DataFrame, labels: DataFrame, host: Column, path: Column, max_labelled: int = 20_000, site_weight: float = 0.5, threshold: float = 0.5, toxic_threshold: float = 0.3
+) -> DataFrame:
     """``docs`` without the documents that are rejected, all columns kept.
 
-    Texts are scored twice, once for the sites and once for themselves: that
-    is cheaper than moving them.
+    Texts are scored once and kept with their scores as Parquet in the shared
+    folder; sites are summed from the scores alone and joined on the second reading.
     """
     weights = fit(docs, labels, max_labelled)
-    p = evidence(F.col("text"), weights)
-    sites, prior = site_posteriors(docs.select(_site(host).alias("host"), _site(path).alias("path"), p.alias("p")))
+    scored = written(docs.select("*", _site(host).alias("__host"), _site(path).alias("__path"), evidence(F.col("text"), weights).alias("__e")), "scored")
+    sites, prior = site_posteriors(scored.select(F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__e.good").alias("p")))
     sums = ("n_path", "s_path", "n_host", "s_host")
     known = sites.select(F.col("host").alias("__host"), F.col("path").alias("__path"), *(F.col(c).alias(f"__{c}") for c in sums))
-    own = docs.select("*", _site(host).alias("__host"), _site(path).alias("__path"), p.alias("__p"))
-    final = combined(F.col("__p"), prior, site_weight, "__")
-    return own.join(known, ["__host", "__path"]).where(final >= threshold).select(*(f"`{c}`" for c in docs.columns))
+    final = combined(F.col("__e.good"), prior, site_weight, "__")
+    joined = scored.join(known, ["__host", "__path"]).where(_kept(final, F.col("__e.toxic"), threshold, toxic_threshold))
+    return joined.select(*(f"`{c}`" for c in docs.columns))

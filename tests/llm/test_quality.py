@@ -66,6 +66,7 @@ def test_held_out_and_sites(spark):
         h, g = hosts[r.host], paths[r.host, r.path]
         host = (sum(h) - r.evidence + worth_host * m) / (len(h) - 1 + worth_host)
         path = (sum(g) - r.evidence + worth_path * host) / (len(g) - 1 + worth_path)
+        assert r.kept == (r.quality >= 0.5 and r.toxicity < 0.3)
         want = 1 / (1 + math.exp(-(logit(r.evidence) + 0.5 * (logit(path) - logit(m)))))
         assert r.quality == pytest.approx(want, rel=1e-6)
 
@@ -96,4 +97,20 @@ def test_repeated_rows_do_not_swell_the_fit(spark):
     known = spark.createDataFrame(labels, LABELS)
     once = quality.fit(spark.createDataFrame(docs, DOCS), known)
     often = quality.fit(spark.createDataFrame(docs + [docs[5]] * 300, DOCS).repartition(3), known)
-    assert once is not None and (once == often).all()
+    assert (once.quality == often.quality).all() and (once.toxic == often.toxic).all()
+
+
+def test_held_out_labels(spark):
+    """Accuracy on every fifth label of a real table, none of which is fitted."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
+    tested = docs.join(labels.where(chosen), "doc_id", "left_semi")
+    weights = quality.fit(docs, labels.where(~chosen))
+    rows = tested.join(labels, "doc_id").select("quality", "toxic", quality.evidence(F.col("text"), weights).alias("e")).collect()
+    kept = [(r.e.good >= 0.5 and r.e.toxic < 0.3, r.quality, r.toxic) for r in rows]
+    share = lambda x: sum(x) / len(x)
+    assert len(rows) > 600
+    assert share([k for k, q, t in kept if q == 1 and t == 0]) >= 0.97
+    assert share([not k for k, q, t in kept if q == 0]) >= 0.97
+    assert share([not k for k, q, t in kept if t == 1]) >= 0.9
