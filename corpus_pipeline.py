@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 each stage's rows as Parquet into the shared folder and rereads them for the
 next one.
+
+Defined results: null texts are empty texts to every stage and stay null; rows
+without a doc_id stay through all stages, each as a document of its own; of
+repeated rows of a doc_id one stays (stage ``near_dedup``); ties go to the
+smaller doc_id; an empty table gives an empty result; columns beside doc_id,
+text, lang, source and n_chars are kept up to the last stage.
 """
 
 from __future__ import annotations
