@@ -1,39 +1,84 @@
 """License scans: TF-IDF cosine of headers and licence files to templates, then directory inheritance.
 
 Everything is DataFrame expressions. Terms are runs of a-z and 0-9 in lower
-case. The weight of a template's term is its frequency times its inverse
-document frequency over the whole corpus; a term that no template has weighs
-``OTHER``. A header candidate is a run of 1, 2, 4 or 8 lines (fewer at the
-end), anywhere in a text, of which one holds an anchor. Anchors are found by the
-prefix-filter rule: the heaviest terms of a template, until the rest of its
-vector is shorter than ``least_score``; a unit without any of them can't reach
-that score, so nothing is lost by not scoring it.
+case; a term weighs its frequency times its inverse document frequency over the
+whole corpus, in templates and texts alike. A template of L terms is compared
+with windows of L terms of every text, from every term on, or for long templates
+at every sixth of L. Windows know no lines, so a header counts however it is
+wrapped, marked as a comment or put inside a longer line. A file named like a
+licence file is also compared whole. A text that names its licence by an SPDX
+identifier has that licence with a score of 1.
+
+Most windows are never made. By Cauchy-Schwarz a window's cosine to a template
+is at most the norm of the template's terms that it holds. So a template is
+tried on a text only if the text holds enough of its weight, only around its
+anchors (its heaviest terms, until the rest weighs less than ``least_score``),
+and a window only if it holds enough itself: nothing is lost by not scoring the
+others. All of that is linear in the text. Equal windows are scored once.
 
 A file's own licence is the template of the highest cosine of ``least_score``
-or more. A licence file is one named like one, or one that consists of the
-matched lines by ``least_share`` of its terms. Files without a licence of
-their own take that of the nearest ancestor directory that has a licence file:
+or more. A licence file is one named like one, or one of which the matched
+window is ``least_share`` of its terms. Files without a licence of their own
+take that of the nearest ancestor directory that has a licence file:
 directories are joined with those of licence files on every ancestor path.
 
 What reaches the driver is the document frequency of each template term, as
-many rows as the templates have terms. Directories are made distinct before
-the joins, and Spark splits a directory that very many files share.
+many rows as the templates have terms. Frequencies are counted in the tasks
+before the shuffle; windows that very many files share and terms of very many
+windows are spread over tasks in the joins; directories are made distinct first.
 
 Defined results: null and blank texts have no licence of their own; files
 without a path have null in all result columns; rows of an equal path are one
 file, with the best of their scores; ties in the score go to the template named
-first, ties between licence files of a directory to the smaller path; an empty
-table gives an empty result; other columns are ignored.
+first, then to the earlier window, ties between licence files of a directory to
+the smaller path; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docweft.llm.common import bind, hot_keys, salted_join, settle, written
+
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice
+and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF
+ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO
+EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright
+notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE
+INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL
+DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING
+OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1.
+Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form
+must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+distribution."""
+_BSD_THIRD = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without
+specific prior written permission."""
+_BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY
+DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF
+USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING
+NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the
+use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute
+it freely, subject to the following restrictions"""
+_UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this
+software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""
+_APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of
+the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is
+distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing
+permissions and limitations under the License."""
+
 #: Fixed values: (licence, text) of the templates.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -56,13 +101,28 @@ TEMPLATES = (
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("ISC", "Released under the ISC License."),
+    ("MIT", _MIT),
+    ("ISC", _ISC),
+    ("BSD-2-Clause", f"{_BSD_HEAD} {_BSD_TAIL}"),
+    ("BSD-3-Clause", f"{_BSD_HEAD} {_BSD_THIRD} {_BSD_TAIL}"),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("Zlib", _ZLIB),
+    ("Unlicense", _UNLICENSE),
+    ("Apache-2.0", _APACHE),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
 )
 
-#: Weight of a term that no template has.
-OTHER = 1.0
-#: Lines that a header candidate may have.
-RUNS = (1, 2, 4, 8)
 LICENSE_FILE = r"(?i)(?:^|/)(?:licen[sc]e|copying|unlicense|notice)(?:[.-][^/]*)?$"
+SPDX = r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+)"
 
 
 def terms(text: Column) -> Column:
@@ -70,114 +130,112 @@ def terms(text: Column) -> Column:
 
 
 def template_terms(text: str) -> list[str]:
-    return [t for t in "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()]
+    return "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
+
+
+def stride(length: int) -> int:
+    """How far the windows of a template of ``length`` terms are apart."""
+    return max(1, length // 6)
 
 
-def document_frequency(files: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
-    """Rows of ``files`` and, for each term of the vocabulary, how many of them have it."""
-    known = F.array(*(F.lit(t) for t in vocabulary))
-    found = F.array_intersect(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+", -1), known)
-    rows = files.select(F.explode(F.concat(F.array(F.lit("")), found)).alias("term")).groupBy("term").count().collect()
-    counts = {r["term"]: r["count"] for r in rows}
-    return counts.pop("", 0), counts
+def document_frequency(files: DataFrame) -> DataFrame:
+    """In how many rows of ``files`` each term is, counted in the tasks before the shuffle."""
+    return files.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def template_vectors(templates, total: int, frequency: dict[str, int]) -> tuple[dict[str, float], list[dict[str, float]]]:
-    """Inverse document frequencies, and the unit vector of each template."""
-    idf = {t: math.log((1 + total) / (1 + frequency.get(t, 0))) + 1 for _, text in templates for t in template_terms(text)}
+def template_vectors(templates, total: int, frequency: dict[str, int]) -> list[dict[str, float]]:
+    """The unit vector of each template."""
     vectors = []
     for _, text in templates:
-        weights = {t: n * idf[t] for t, n in Counter(template_terms(text)).items()}
+        weights = {t: n * (math.log((1 + total) / (1 + frequency.get(t, 0))) + 1) for t, n in Counter(template_terms(text)).items()}
         norm = math.sqrt(sum(w * w for w in weights.values()))
         vectors.append({t: w / norm for t, w in weights.items()})
-    return idf, vectors
+    return vectors
 
 
-def anchors(vectors: list[dict[str, float]], least_score: float) -> list[str]:
-    """Terms one of which every text of a cosine of ``least_score`` or more with some template has."""
-    found = set()
-    for vector in vectors:
-        left = 1.0
-        for term, w in sorted(vector.items(), key=lambda x: (-x[1], x[0])):
-            if math.sqrt(max(left, 0.0)) < least_score:
-                break
-            found.add(term)
-            left -= w * w
-    return sorted(found)
+def anchors(vector: dict[str, float], least_score: float) -> list[str]:
+    """Terms one of which every text of a cosine of ``least_score`` or more with the template has."""
+    found, left = [], 1.0
+    for term, w in sorted(vector.items(), key=lambda x: (-x[1], x[0])):
+        if math.sqrt(max(left, 0.0)) < least_score:
+            break
+        found.append(term)
+        left -= w * w
+    return found
 
 
-def _units(vocabulary: list[str], idf: dict[str, float], anchor: str, least_score: float) -> Column:
-    """Header candidates of the column ``lines``: at, n, size, known (term, w) and mass, the squared norm.
+def candidate_windows(words: Column, named: Column, templates: Column, vocabulary: list[str], bound: float) -> Column:
+    """Windows (k, at, words) that hold ``bound`` of the squared weight of template k; ``at`` is -1 for a whole file."""
 
-    A cosine is at most the share of a unit's norm that its known terms have
-    (Cauchy-Schwarz), so units with less than ``least_score`` are dropped here.
-    """
-    weight = F.create_map(*(x for t in vocabulary for x in (F.lit(t), F.lit(idf[t]))))
-    holding = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: F.element_at("lines", i).rlike(anchor))
-    near = F.array_distinct(F.flatten(F.transform(holding, lambda i: F.sequence(F.greatest(i - (max(RUNS) - 1), F.lit(1)), i))))
-    starts = F.filter(near, lambda i: F.element_at("lines", i).rlike("[A-Za-z0-9]"))
-    pairs = F.flatten(F.transform(starts, lambda i: F.array(*(F.struct(i.alias("at"), F.lit(n).alias("n")) for n in RUNS))))
-    pairs = F.filter(pairs, lambda p: F.exists(holding, lambda i: i.between(p["at"], p["at"] + p["n"] - 1)))
-
-    def squares(words: Column) -> Column:
-        """Sum of the squared counts of a sorted array's words: the k-th of equal words adds 2k - 1."""
-        begin = F.struct(F.lit("").alias("word"), F.lit(0).alias("k"), F.lit(0).cast("long").alias("sum"))
-
-        def step(a: Column, w: Column) -> Column:
-            k = F.when(a["word"] == w, a["k"] + 1).otherwise(1)
-            return F.struct(w.alias("word"), k.alias("k"), (a["sum"] + 2 * k - 1).alias("sum"))
-
-        return F.aggregate(words, begin, step, lambda a: a["sum"])
-
-    def weighed(p: Column) -> Column:
-        words = p["words"]
-        own = F.filter(words, lambda w: w.isin(*vocabulary))
-        known = F.transform(
-            F.array_distinct(own), lambda t: F.struct(t.alias("term"), (F.size(F.filter(own, lambda w: w == t)) * F.element_at(weight, t)).alias("w"))
-        )
-        other = squares(F.array_sort(F.filter(words, lambda w: ~w.isin(*vocabulary)))) * F.lit(OTHER * OTHER)
-        return F.struct(p["at"].alias("at"), p["n"].alias("n"), F.size(words).alias("size"), known.alias("known"), other.alias("other"))
+    def mass(held: Column, t: Column) -> Column:
+        return F.aggregate(F.filter(t["terms"], lambda x: F.array_contains(held, x["term"])), F.lit(0.0), lambda a, x: a + x["w"])
 
-    def mass(u: Column) -> Column:
-        return F.aggregate(u["known"], F.lit(0.0), lambda a, k: a + k["w"] * k["w"])
+    def unit(t: Column, at: Column, held: Column) -> Column:
+        return F.struct(t["k"].alias("k"), at.alias("at"), held.alias("words"))
 
-    spelled = F.transform(pairs, lambda p: F.struct(p["at"].alias("at"), p["n"].alias("n"), terms(F.array_join(F.slice("lines", p["at"], p["n"]), "\n")).alias("words")))
-    units = F.transform(
-        F.transform(spelled, weighed),
-        lambda u: F.struct(u["at"].alias("at"), u["n"].alias("n"), u["size"].alias("size"), u["known"].alias("known"), mass(u).alias("own"), (mass(u) + u["other"]).alias("mass")),
-    )
-    return F.filter(units, lambda u: u["own"] >= (least_score * least_score * (1 - 1e-9)) * u["mass"])
+    def windows(t: Column, every: Column) -> Column:
+        places = F.filter(F.transform(every, lambda w, i: F.when(F.array_contains(t["anchors"], w), i)), lambda i: i.isNotNull())
+        step, size = t["stride"], t["size"]
+        around = F.transform(places, lambda i: F.filter(F.transform(F.sequence(F.lit(0), F.floor((size - 1) / step).cast("int")), lambda j: (F.floor(i / step).cast("int") - j) * step), lambda s: (s >= 0) & (s > i - size)))
+        made = F.transform(F.array_distinct(F.flatten(around)), lambda s: unit(t, s, F.slice(every, s + 1, size)))
+        kept = F.filter(made, lambda u: mass(u["words"], t) >= bound)
+        return F.concat(kept, F.filter(F.array(unit(t, F.lit(-1), every)), lambda _: named))
+
+    def tried(every: Column) -> Column:
+        held = F.array_intersect(every, F.array(*(F.lit(t) for t in vocabulary)))
+        fits = bind(held, lambda h: F.filter(F.filter(templates, lambda t: F.arrays_overlap(h, t["anchors"])), lambda t: mass(h, t) >= bound))
+        return F.flatten(F.transform(fits, lambda t: windows(t, every)))
+
+    return bind(words, tried)
 
 
 def own_licenses(files: DataFrame, templates=TEMPLATES, least_score: float = 0.75) -> DataFrame:
     """path, own_license, own_score, share for each path with a licence of its own.
 
-    ``share`` is the matched lines' part of the file's terms.
+    ``share`` is the matched window's part of the file's terms.
     """
     vocabulary = sorted({t for _, text in templates for t in template_terms(text)})
-    total, frequency = document_frequency(files, vocabulary)
-    idf, vectors = template_vectors(templates, total, frequency)
-    anchor = r"(?i)(?<![a-z0-9])(?:" + "|".join(anchors(vectors, least_score)) + r")(?![a-z0-9])"
-    postings = files.sparkSession.createDataFrame([(k, t, w) for k, v in enumerate(vectors) for t, w in v.items()], "template int, term string, weight double")
-    units = _units(vocabulary, idf, anchor, least_score)
-    held = files.where(F.col("path").isNotNull() & F.col("text").rlike(anchor)).select("path", "text", F.split("text", "\n", -1).alias("lines"))
-    key = ["path", "text_id", "all", "at", "n", "size"]
-    found = held.select("path", F.xxhash64("text").alias("text_id"), F.size(terms(F.col("text"))).alias("all"), F.explode(units).alias("u")).select(
-        "path", "text_id", "all", "u.at", "u.n", "u.size", F.sqrt("u.mass").alias("norm"), F.explode("u.known").alias("k")
-    )
-    scored = (
-        found.select(*key, "norm", "k.term", "k.w")
-        .distinct()  # repeated rows count once
-        .join(postings, "term")
-        .groupBy(*key, "norm", "template")
-        .agg(F.round(F.sum(F.col("w") * F.col("weight")) / F.col("norm"), 12).alias("score"))
+    frequency = settle(document_frequency(files))
+    total = files.count()
+    known = {r.term: r.df for r in frequency.where(F.col("term").isin(*vocabulary)).collect()}
+    vectors = template_vectors(templates, total, known)
+    sizes = [len(template_terms(text)) for _, text in templates]
+    listed = [
+        {"k": k, "size": n, "stride": stride(n), "anchors": anchors(v, least_score), "terms": [{"term": t, "w": w * w} for t, w in sorted(v.items())]}
+        for k, (n, v) in enumerate(zip(sizes, vectors, strict=True))
+    ]
+    literal = F.from_json(F.lit(json.dumps(listed)), "array<struct<k:int,size:int,stride:int,anchors:array<string>,terms:array<struct<term:string,w:double>>>>")
+    every_anchor = sorted({t for x in listed for t in x["anchors"]})
+    words = terms(F.col("text"))
+    bound = least_score * least_score * (1 - 1e-9)
+    named = F.col("path").rlike(LICENSE_FILE)
+    held = files.where(F.col("path").isNotNull() & F.arrays_overlap(F.split(F.lower("text"), "[^a-z0-9]+", -1), F.array(*(F.lit(t) for t in every_anchor))))
+    found = held.select("path", F.xxhash64("text").alias("text_id"), F.size(words).alias("all"), candidate_windows(words, named, literal, vocabulary, bound).alias("found"))
+    units = found.select("path", "text_id", "all", F.explode("found").alias("u")).select("path", "text_id", "all", "u.k", "u.at", F.size("u.words").alias("size"), F.array_join("u.words", " ").alias("words"))
+    # equal windows of a file are one, and equal windows of all files are scored once
+    units = written(units.groupBy("path", "text_id", "all", "k", "size", "words").agg(F.min("at").alias("at")), "windows")
+    counted = units.select("k", "words").distinct().select("k", "words", F.explode(F.split("words", " ")).alias("term")).groupBy("k", "words", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counted = written(counted, "terms")
+    postings = files.sparkSession.createDataFrame([(k, t, w) for k, v in enumerate(vectors) for t, w in v.items()], "k int, term string, weight double")
+    x = F.col("tf") * (F.log((F.lit(1.0) + total) / (F.lit(1) + F.col("df"))) + 1)
+    scores = (
+        salted_join(counted, frequency, ["term"], hot_keys(counted, ["term"]), ["words"])
+        .join(F.broadcast(postings), ["k", "term"], "left")  # as many rows as the templates have terms
+        .groupBy("k", "words")
+        .agg(F.round(F.sum(x * F.coalesce("weight", F.lit(0.0))) / F.sqrt(F.sum(x * x)), 12).alias("score"))
         .where(F.col("score") >= least_score)
     )
     names = F.array(*(F.lit(name) for name, _ in templates))
-    best = F.struct("score", (-F.col("template")).alias("order"), (-F.col("at")).alias("line"), (-F.col("n")).alias("lines"))
-    return scored.groupBy("path").agg(F.max(F.struct(best.alias("best"), "template", (F.col("size") / F.col("all")).alias("share"))).alias("x")).select(
-        "path", F.element_at(names, F.col("x.template") + 1).alias("own_license"), F.col("x.best.score").alias("own_score"), F.col("x.share").alias("share")
+    scored = salted_join(units, scores, ["k", "words"], hot_keys(units, ["k", "words"]), ["path"]).select(
+        "path", "score", "k", "at", F.element_at(names, F.col("k") + 1).alias("name"), (F.col("size") / F.col("all")).alias("share")
+    )
+    stated = F.regexp_extract("text", SPDX, 1)
+    said = files.where(F.col("path").isNotNull() & F.col("text").contains("SPDX-License-Identifier:")).select(
+        "path", F.lit(1.0).alias("score"), F.lit(-1).alias("k"), F.lit(0).alias("at"), stated.alias("name"), (F.lit(4.0) / F.size(words)).alias("share")
     )
+    rows = scored.unionByName(said.where("name <> ''"))
+    best = F.struct("score", (-F.col("k")).alias("order"), (-F.col("at")).alias("place"), "name", "share")
+    return rows.groupBy("path").agg(F.max(best).alias("x")).select("path", F.col("x.name").alias("own_license"), F.col("x.score").alias("own_score"), F.col("x.share").alias("share"))
 
 
 def _directory(path: Column) -> Column:

@@ -31,13 +31,15 @@ def tokenizer_path() -> str:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files ``source/lang/doc_id``."""
+    """Documents as files of a tree: every thirteenth is a licence file, two directories above the others."""
     docs = table(spark, sf_dir, "documents")
-    files = docs.select(F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.col("doc_id").cast("string")).alias("path"), "text")
-    found = licenses.scan(files)
-    return found.select(
-        F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "path", "own_license", F.round("own_score", 6).alias("own_score"), "license", "license_dir"
-    )
+    top = (F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")))
+    number = F.col("doc_id").cast("string")
+    deep = F.concat_ws("/", *top, F.concat(F.lit("a"), F.pmod("doc_id", F.lit(7)).cast("string")), F.concat(F.lit("b"), F.pmod("doc_id", F.lit(3)).cast("string")), F.concat(number, F.lit(".txt")))
+    path = F.when(F.pmod("doc_id", F.lit(13)) == 0, F.concat_ws("/", *top, F.concat(F.lit("LICENSE-"), number))).otherwise(deep)
+    found = licenses.scan(docs.select(path.alias("path"), "text"))
+    doc_id = F.regexp_extract("path", r"/(?:LICENSE-)?(-?[0-9]+)(?:\.txt)?$", 1).cast("long")
+    return found.select(doc_id.alias("doc_id"), "path", "own_license", F.round("own_score", 6).alias("own_score"), "license", "license_dir")
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
@@ -124,28 +126,36 @@ QUERIES = {
 _STRIPPED = decontaminate._STRIP.replace("'", "''")
 _CLOSING = "\"''()[]{}«»“”‘’"
 _UNIT_LIST = ", ".join(f"'{u}'" for u in sorted(decontaminate.UNITS))
-_TEMPLATE_ROWS = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(licenses.TEMPLATES))
+_LENGTHS = [len(licenses.template_terms(text)) for _, text in licenses.TEMPLATES]
+_TEMPLATE_ROWS = ", ".join(
+    "({}, '{}', '{}', {}, {})".format(k, name, " ".join(licenses.template_terms(text)), n, licenses.stride(n)) for k, ((name, text), n) in enumerate(zip(licenses.TEMPLATES, _LENGTHS, strict=True))
+)
 
 ORACLES = {
-    "op1_license_scan": f"""
-WITH t AS (SELECT * FROM (VALUES {_TEMPLATE_ROWS}) x(k, name, text)),
-tt AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS term FROM t) WHERE term <> '' GROUP BY 1, 2),
-f AS (SELECT doc_id, coalesce(source, '-') || '/' || coalesce(lang, '-') || '/' || doc_id AS path, coalesce(source, '-') || '/' || coalesce(lang, '-') AS dir, coalesce(source, '-') AS top, text,
-  string_split(text, chr(10)) AS lines, len(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS everything FROM documents),
-df AS (SELECT term, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS term FROM documents) GROUP BY 1),
-idf AS (SELECT term, ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / (1 + coalesce(n, 0))) + 1 AS idf FROM (SELECT DISTINCT term FROM tt) LEFT JOIN df USING (term)),
-v AS (SELECT k, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY k)) AS w FROM tt JOIN idf USING (term)),
-u AS (SELECT path, everything, pos, n, list_filter(regexp_split_to_array(lower(array_to_string(lines[pos : pos + n - 1], chr(10))), '[^a-z0-9]+'), lambda x: x <> '') AS terms
-  FROM (SELECT path, everything, lines, unnest(range(1, len(lines) + 1)) AS pos FROM f), (VALUES (1), (2), (4), (8)) r(n) WHERE regexp_matches(lines[pos], '[A-Za-z0-9]')),
-c AS (SELECT path, everything, pos, n, len(terms) AS size, term, count(*) AS tf FROM (SELECT *, unnest(terms) AS term FROM u) GROUP BY ALL),
-w AS (SELECT c.*, tf * coalesce(idf, {licenses.OTHER}::DOUBLE) AS x FROM c LEFT JOIN idf USING (term)),
-m AS (SELECT path, pos, n, sqrt(sum(x * x)) AS norm FROM w GROUP BY ALL),
-s AS (SELECT w.path, everything, size, w.pos, w.n, k, sum(x * v.w) / any_value(norm) AS score FROM w JOIN v USING (term) JOIN m ON m.path = w.path AND m.pos = w.pos AND m.n = w.n GROUP BY ALL),
-own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY round(score, 12) DESC, k, pos, n) AS r FROM s WHERE score >= 0.75) WHERE r = 1),
-g AS (SELECT dir, arg_min(name, (-round(score, 12), path)) AS granted FROM own JOIN f USING (path) JOIN t USING (k) WHERE size >= 0.5 * own.everything GROUP BY 1)
-SELECT doc_id, f.path, t.name AS own_license, round(score, 6) AS own_score, coalesce(t.name, g.granted) AS license,
-  CASE WHEN t.name IS NULL THEN g.dir END AS license_dir
-FROM f LEFT JOIN own USING (path) LEFT JOIN t USING (k) LEFT JOIN g ON g.dir = f.dir
+    "op1_license_scan": rf"""
+WITH t AS (SELECT * FROM (VALUES {_TEMPLATE_ROWS}) x(k, name, text, size, step)),
+tt AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(string_split(text, ' ')) AS term FROM t) GROUP BY 1, 2),
+f0 AS (SELECT doc_id, text, coalesce(source, '-') || '/' || coalesce(lang, '-') AS top FROM documents),
+f AS (SELECT doc_id, text, CASE WHEN doc_id % 13 = 0 THEN top || '/LICENSE-' || doc_id ELSE top || '/a' || doc_id % 7 || '/b' || doc_id % 3 || '/' || doc_id || '.txt' END AS path,
+  doc_id % 13 = 0 AS named, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM f0),
+df AS (SELECT term, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(w) AS term FROM f) GROUP BY 1),
+idf AS (SELECT term, ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / (1 + coalesce(n, 0))) + 1 AS idf FROM (SELECT DISTINCT term FROM tt UNION SELECT term FROM df) LEFT JOIN df USING (term)),
+v AS (SELECT k, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY k)) AS v FROM tt JOIN idf USING (term)),
+-- a window's cosine is at most the norm of the template's terms that the whole text has
+c AS (SELECT path, k FROM (SELECT DISTINCT path, unnest(w) AS term FROM f) JOIN v USING (term) GROUP BY 1, 2 HAVING sum(v * v) >= 0.56),
+u AS (SELECT path, k, pos, f.w[pos + 1 : pos + size] AS words FROM (SELECT path, k, size, unnest(range(0, len(w), step)) AS pos FROM c JOIN t USING (k) JOIN f USING (path)) JOIN f USING (path)
+  UNION ALL SELECT path, k, -1, w FROM c JOIN f USING (path) WHERE named),
+x AS (SELECT path, k, pos, len(words) AS size, term, count(*) AS tf FROM (SELECT *, unnest(words) AS term FROM u) GROUP BY ALL),
+s AS (SELECT path, x.k, pos, size, round(sum(tf * idf * coalesce(v, 0)) / sqrt(sum(tf * idf * tf * idf)), 12) AS score FROM x JOIN idf USING (term) LEFT JOIN v ON v.k = x.k AND v.term = x.term GROUP BY ALL),
+said AS (SELECT path, regexp_extract(text, 'SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+)', 1) AS name, w FROM f WHERE contains(text, 'SPDX-License-Identifier:')),
+a AS (SELECT path, score, k, pos, name, s.size / len(w) AS share FROM s JOIN t USING (k) JOIN f USING (path) WHERE score >= 0.75
+  UNION ALL SELECT path, 1, -1, 0, name, 4 / len(w) FROM said WHERE name <> ''),
+own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, k, pos) AS r FROM a) WHERE r = 1),
+g AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, arg_min(name, (-score, path)) AS granted FROM own JOIN f USING (path) WHERE named OR share >= 0.5 GROUP BY 1),
+up AS (SELECT path, array_to_string(parts[1 : d], '/') AS dir, d FROM (SELECT path, string_split(path, '/') AS parts, unnest(range(1, len(string_split(path, '/')))) AS d FROM f)),
+near AS (SELECT path, arg_max((granted, dir), d) AS n FROM up JOIN g USING (dir) GROUP BY 1)
+SELECT doc_id, f.path, own.name AS own_license, round(own.score, 6) AS own_score, coalesce(own.name, n[1]) AS license, CASE WHEN own.name IS NULL THEN n[2] END AS license_dir
+FROM f LEFT JOIN own USING (path) LEFT JOIN near USING (path)
 """,
     "op4_sentence_spans": r"""
 WITH cut AS (

@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -15,26 +16,33 @@ def plain(files, least_score=0.75, least_share=0.5):
     def words(t):
         return re.findall("[a-z0-9]+", t.lower())
 
-    vocabulary = {w for _, t in lic.TEMPLATES for w in words(t)}
-    idf = {w: math.log((1 + len(files)) / (1 + sum(w in set(words(t or "")) for _, t in files))) + 1 for w in vocabulary}
+    df = Counter(w for _, t in files for w in set(words(t or "")))
 
     def cosine(a, b):
-        va = {w: n * idf.get(w, lic.OTHER) for w, n in Counter(words(a)).items()}
-        vb = {w: n * idf[w] for w, n in Counter(words(b)).items()}
+        va, vb = ({w: n * (math.log((1 + len(files)) / (1 + df[w])) + 1) for w, n in Counter(x).items()} for x in (a, b))
         dot = sum(x * vb.get(w, 0) for w, x in va.items())
         return dot / math.sqrt(sum(x * x for x in va.values())) / math.sqrt(sum(x * x for x in vb.values())) if va else 0
 
     own = {}
+
+    def offer(path, mark, name, share):
+        if path is not None and (path not in own or mark > own[path][0]):
+            own[path] = (mark, name, share)
+
     for path, text in files:
-        lines = (text or "").split("\n")
-        units = [(i, n, "\n".join(lines[i : i + n])) for i in range(len(lines)) for n in lic.RUNS if words(lines[i])]
-        for i, n, unit in units:
-            for k, (name, template) in enumerate(lic.TEMPLATES):
-                score = cosine(unit, template)
-                if score >= least_score and path is not None:
-                    mark = (round(score, 9), -k, -i, -n)
-                    if path not in own or mark > own[path][0]:
-                        own[path] = (mark, name, len(words(unit)) / len(words(text)))
+        own_words = words(text or "")
+        if path is not None and (said := re.search("SPDX-License-Identifier:[ \\t]*([A-Za-z0-9.+-]+)", text or "")):
+            offer(path, (1.0, 1, 0), said[1], 4 / len(own_words))
+        for k, (name, template) in enumerate(lic.TEMPLATES):
+            t = words(template)
+            units = [(at, own_words[at : at + len(t)]) for at in range(0, len(own_words), lic.stride(len(t)))]
+            units = [(at, unit) for at, unit in units if set(unit) & set(t)]
+            if re.search(lic.LICENSE_FILE, path or ""):
+                units.append((-1, own_words))
+            for at, unit in units:
+                score = cosine(unit, t)
+                if score >= least_score:
+                    offer(path, (round(score, 9), -k, -at), name, len(unit) / len(own_words))
     grants = {}
     for path, (mark, name, share) in own.items():
         if re.search(lic.LICENSE_FILE, path) or share >= least_share:
@@ -69,7 +77,12 @@ FILES = [
     ("e/dup", "Released under the MIT License."),
     ("e/LICENSE-2", "Released under the ISC License."),
     ("e/other", "text"),
-    ("long/file", "filler words\n" * 20_000 + "Licensed under CC BY 4.0.\n" + "more " * 1000),
+    ("s/spdx.py", "# SPDX-License-Identifier: EPL-2.0\nx = 1"),
+    ("f/LICENSE", "Copyright 2020 Somebody\n\n" + lic._MIT),
+    ("f/wrapped.c", "/*\n * " + "\n * ".join(re.findall(r"(?:\S+\s*){1,3}", lic._APACHE)) + "\n */\nint main() { return 0; }"),
+    ("f/inline.txt", " ".join(f"word{k}" for k in range(100)) + " Released under the MIT License. " + " ".join(f"more{k}" for k in range(100))),
+    ("f/bsd2", lic._BSD_HEAD + "\n" + lic._BSD_TAIL),
+    ("long/file", "filler words\n" * 2_000 + "Licensed under CC BY 4.0.\n" + "more " * 1000),
 ]
 
 
@@ -83,5 +96,17 @@ def test_against_plain_python(spark):
     assert got["a/b/c/deep.py"][:2] == ("MIT", "a") and got["a/b2/x/y/z.c"][:2] == ("GPL-3.0", "a/b2") and got["top.txt"][0] is None
 
 
+def test_many_anchor_lines(spark):
+    """10,000 lines of anchors, and 10,000 copies of a header, in one file each."""
+    many = "\n".join(f"software license public {k % 90}" for k in range(10_000))
+    header = "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License.\n" * 10_000
+    others = [(f"c/{k}", f"text {k}", "", 1) for k in range(20)]
+    began = time.perf_counter()
+    assert lic.scan(spark.createDataFrame([("a/notice", many, "", 1), *others], SCHEMA)).where("license is not null").count() == 0
+    assert time.perf_counter() - began < 20
+    got = lic.scan(spark.createDataFrame([("b/x", header, "", 1), *others], SCHEMA)).where("license is not null").collect()
+    assert [(r.path, r.license) for r in got] == [("b/x", "Apache-2.0")]
+
+
 def test_empty(spark):
     assert lic.scan(spark.createDataFrame([], SCHEMA)).count() == 0
