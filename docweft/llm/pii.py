@@ -3,25 +3,34 @@
 Base detectors (e-mail, IP address, payment card, phone) have fixed patterns
 and checks; their spans always stay. Wider patterns propose further candidate
 spans: secrets (long keys), numbers (account-like digit groups) and spelled-out
-addresses. Labelers of three sorts vote on each candidate: regular expressions
-on the span, gazetteers on the words before it, and its context. Votes are
-counted per pattern of votes over all documents; expectation-maximisation on
-these counts estimates how reliable each labeler is, and a logistic span
-classifier is trained on the posteriors. The classifier decides by the span's
-features alone.
-
-What reaches the driver is a table of vote and feature patterns with counts:
-at most ``3 * 3 ** len(LABELERS) * 3 ** len(FEATURES)`` rows by construction, a
-few hundred in practice, whatever the number of documents.
-
-Patterns are written so that a match never backtracks over more than itself:
-possessive groups, and a match only begins where no earlier one could.
+addresses. They are sought in the text with the base spans blanked out; a key
+around a card-like run of digits stays a candidate. Labelers of three sorts vote
+on each candidate: regular expressions on the span, gazetteers on the words
+before it, and its context. Votes are counted per pattern of votes over all
+documents. Expectation-maximisation on these counts estimates the share of true
+spans of each kind and, for each labeler, how often it votes yes, no or not at
+all on true and on other spans; a labeler may turn out worse than chance.
+
+The final span classifier sees none of the votes but the span's character
+classes (n-grams of lower-case letters, capitals, digits and other signs), its
+length and the words around it. Each feature's log odds come from sums of
+posteriors over all candidates, one aggregation; two more numbers, fitted on
+binned scores, turn their sum into log odds.
+
+What reaches the driver is bounded by construction: counts of vote patterns
+(``3 * 3 ** len(LABELERS)`` rows at most), sums per feature (some two hundred
+rows) and per bin of scores (``2 * BINS + 1`` rows), whatever the number of documents.
+
+Everything is linear in a text, or nearly so in its number of spans (their
+positions are running sums in two levels). Patterns are written so that a match
+never backtracks over more than itself: possessive groups, and a match only
+begins where no earlier one could.
 
 Defined results: a null text is the empty text and has no spans; equal rows get
 equal spans; order is by start, then kind as listed in :data:`KINDS`; added
-spans that overlap a base span or begin inside an earlier added one are not
-added; an empty table gives an empty result, and a model that adds nothing.
-Columns other than the text are never read.
+spans touch base spans only where they hold them wholly; an empty table gives an
+empty result, and a model that adds nothing. Columns other than the text are
+never read.
 """
 
 from __future__ import annotations
@@ -32,6 +41,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docweft.llm.common import bind, settle
+
 #: Kinds in their order: the base kinds, then the added ones.
 KINDS = ("email", "ip", "card", "phone", "secret", "number", "address")
 BASE = KINDS[:4]
@@ -42,36 +53,122 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}+"
 CARD = r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 CANDIDATE = (
-    r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]{0,64}+[0-9])[A-Za-z0-9_+/=-]{20,}+"
+    r"(?<![A-Za-z0-9_+/\x{E000}-])(?=[A-Za-z_+/\x{E000}-]*+[0-9])[A-Za-z0-9_+/\x{E000}-]{20,}+={0,2}+"
     r"|(?<![0-9A-Za-z])[0-9](?:[\x20-]?[0-9]){8,}+(?![0-9A-Za-z])"
-    r"|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:\x20?(?:\(dot\)|\[dot\]|\.)\x20?[A-Za-z0-9-]++)++"
+    r"|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:\x20?(?:\(dot\)|\[dot\]|\.)\x20?[A-Za-z0-9-]++)++"
 )
+#: What stands for the characters of a card, which may lie inside a key, and of any other base span.
+CARD_BLANK, BLANK = "\ue000", "\ue001"
 
 #: Words that speak for or against personal data when they stand before a candidate.
 FOR_WORDS = "token|key|apikey|secret|password|passwd|pwd|auth|bearer|credential|account|iban|ssn|passport|phone|tel|mobile|call|fax|card|mail|email|contact"
 AGAINST_WORDS = "version|page|pages|isbn|issn|doi|commit|checksum|md5|sha1|sha256|build|revision|figure|table|order|http|https|www"
 
-#: Characters before and behind a candidate that labelers may look at.
+#: Characters before and behind a candidate that labelers and features may look at.
 CONTEXT = 32
 
 
+def _scan(values: Column, op) -> Column:
+    """Running results of ``op`` over an array of numbers, in blocks of about the root of its size.
+
+    ``op`` takes what came before (null at first) and a value, and must be associative.
+    """
+    none = F.array().cast("array<int>")
+
+    def run(part: Column) -> Column:
+        return F.aggregate(part, none, lambda acc, v: F.concat(acc, F.array(op(F.try_element_at(acc, F.lit(-1)), v))))
+
+    def blocks(all_values: Column) -> Column:
+        n = F.size(all_values)
+        step = F.ceil(F.sqrt(n)).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), F.ceil(n / step).cast("int") - 1), lambda i: run(F.slice(all_values, i * step + 1, step)))
+        return bind(parts, joined)
+
+    def joined(parts: Column) -> Column:
+        heads = run(F.transform(parts, lambda x: F.element_at(x, -1)))
+        return bind(heads, lambda h: F.flatten(F.transform(parts, lambda x, i: F.when(i == 0, x).otherwise(F.transform(x, lambda v: op(F.get(h, i - 1), v))))))
+
+    return bind(values, lambda x: F.when(F.size(x) > 0, blocks(x)).otherwise(none))
+
+
+def _sum(before: Column, v: Column) -> Column:
+    return F.coalesce(before, F.lit(0)) + v
+
+
 def _matches(text: Column, pattern: str) -> Column:
-    """start, stop (code points, stop exclusive) and text of each match, left to right."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    none = F.array().cast("array<struct<start:int,stop:int,m:string>>")
+    """start, stop (code points, stop exclusive), text m of each match, left to right, and at most ``CONTEXT`` characters
+    before and behind it that belong to no other match."""
+
+    def placed(found: Column, gaps: Column) -> Column:
+        stops = _scan(F.transform(found, lambda m, i: F.length(F.get(gaps, i)) + F.length(m)), _sum)
+
+        def spans(ends: Column) -> Column:
+            def one(m: Column, i: Column) -> Column:
+                before, behind = F.get(gaps, i), F.get(gaps, i + 1)
+                stop = F.get(ends, i)
+                return F.struct(
+                    (stop - F.length(m)).alias("start"), stop.alias("stop"), m.alias("m"), F.right(before, F.lit(CONTEXT)).alias("before"), F.left(behind, F.lit(CONTEXT)).alias("behind")
+                )
+
+            return F.transform(found, one)
+
+        return bind(stops, spans)
+
+    return bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: bind(F.split(text, pattern, -1), lambda gaps: placed(found, gaps)))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        stop = start + F.length(x["m"])
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), x["m"].alias("m")))).alias("out"))
 
-    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, gap: F.struct(m.alias("m"), gap.alias("gap")))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+MATCHES = "array<struct<start:int,stop:int,m:string,before:string,behind:string>>"
 
 
 def _if(condition: Column, spans: Column) -> Column:
-    return F.when(condition, spans).otherwise(F.array().cast("array<struct<start:int,stop:int,m:string>>"))
+    return F.when(condition, spans).otherwise(F.array().cast(MATCHES))
+
+
+#: Characters of a piece that a text is cut into before spans are cut out of it.
+PIECE = 1024
+
+
+def merged(spans: Column) -> Column:
+    """Sorted spans (start, rank, stop) with those that overlap put together under the first one's rank."""
+
+    def groups(every: Column, tops: Column) -> Column:
+        opens = F.filter(F.transform(every, lambda s, i: F.when((i == 0) | (s["start"] >= F.get(tops, i - 1)), i)), lambda i: i.isNotNull())
+
+        def close(first: Column) -> Column:
+            def one(i: Column, j: Column) -> Column:
+                s, last = F.get(every, i), F.coalesce(F.get(first, j + 1), F.size(every)) - 1
+                return F.struct(s["start"].alias("start"), s["rank"].alias("rank"), F.get(tops, last).alias("stop"))
+
+            return F.transform(first, one)
+
+        return bind(opens, close)
+
+    return bind(spans, lambda every: bind(_scan(F.transform(every, lambda s: s["stop"]), lambda a, b: F.greatest(a, b)), lambda tops: groups(every, tops)))
+
+
+def replaced(text: Column, spans: Column, by) -> Column:
+    """``text`` with each of the sorted, possibly overlapping spans replaced by what ``by`` gives for it."""
+
+    def cut(pieces: Column, a: Column, b: Column) -> Column:
+        first, last = F.floor(a / PIECE).cast("int"), F.floor(b / PIECE).cast("int")
+        within = F.substring(F.get(pieces, first), a % PIECE + 1, b - a)
+        across = F.concat(
+            F.substring(F.get(pieces, first), a % PIECE + 1, F.lit(PIECE)),
+            F.array_join(F.slice(pieces, first + 2, last - first - 1), ""),
+            F.coalesce(F.substring(F.get(pieces, last), F.lit(1), b % PIECE), F.lit("")),
+        )
+        return F.when(a >= b, F.lit("")).when(first == last, within).otherwise(across)
+
+    def build(pieces: Column, cuts: Column) -> Column:
+        def one(s: Column, i: Column) -> Column:
+            return F.concat(cut(pieces, F.coalesce(F.get(cuts, i - 1)["stop"], F.lit(0)), s["start"]), by(s))
+
+        tail = cut(pieces, F.element_at(cuts, -1)["stop"], F.length(text))
+        return F.concat(F.array_join(F.transform(cuts, one), ""), tail)
+
+    pieces = F.regexp_extract_all(text, F.lit("(?s).{1," + str(PIECE) + "}"), F.lit(0))
+    done = bind(pieces, lambda p: bind(merged(spans), lambda cuts: build(p, cuts)))
+    return F.when(F.size(spans) == 0, text).otherwise(done)
 
 
 def _luhn(digits: Column) -> Column:
@@ -121,13 +218,13 @@ def _vote(yes: Column, no: Column | None = None) -> Column:
 
 def _labelers(c: dict[str, Column]) -> dict[str, Column]:
     m, before, behind = c["m"], c["before"], c["behind"]
-    digits = F.length(F.regexp_replace(m, "[^0-9]", ""))
+    digits = F.length(F.regexp_replace(m, r"[^0-9\x{E000}]", ""))
     return {
         "regex_shape": _vote(
-            m.rlike(r"^[0-9a-fA-F]{32,}$|^(?:AKIA|ghp_|sk-|xox[bp]-)|(?:\(at\)|\[at\])") | ((c["kind"] == "number") & digits.between(9, 12)),
+            m.rlike(r"^[0-9a-fA-F\x{E000}]{32,}$|^(?:AKIA|ghp_|sk-|xox[bp]-)|(?:\(at\)|\[at\])") | ((c["kind"] == "number") & digits.between(9, 12)),
             m.rlike(r"^[-=_+/]+$|^/?[A-Za-z]+(?:[-_/][A-Za-z0-9]+)+$"),
         ),
-        "regex_mixed": _vote(m.rlike(r"^(?=(?:[^0-9]*[0-9]){4})(?=.*[A-Za-z])[A-Za-z0-9+=]{24,}$"), m.rlike(r"^(.)\1+$|^(?:19|20)[0-9]{2}[ -]")),
+        "regex_mixed": _vote(m.rlike(r"^(?=(?:[^0-9]*[0-9]){4})(?=.*[A-Za-z])[A-Za-z0-9+=\x{E000}]{24,}$"), m.rlike(r"^(.)\1+$|^(?:19|20)[0-9]{2}[ -]")),
         "gazetteer_for": _vote(before.rlike(rf"(?i)\b(?:{FOR_WORDS})\b")),
         "gazetteer_against": _vote(F.lit(False), before.rlike(rf"(?i)\b(?:{AGAINST_WORDS})\b")),
         "context_assigned": _vote(before.rlike(r"[=:]\s*[\"'(]?$"), before.rlike(r"[0-9.,$€£]\s?$|[/#]$")),
@@ -138,145 +235,148 @@ def _labelers(c: dict[str, Column]) -> dict[str, Column]:
 LABELERS = ("regex_shape", "regex_mixed", "gazetteer_for", "gazetteer_against", "context_assigned", "context_closed")
 
 
-def _features(c: dict[str, Column]) -> dict[str, Column]:
-    """What the final classifier sees: small whole numbers from 0 to 2."""
-    m, before = c["m"], c["before"]
-    length, digits = F.length(m), F.length(F.regexp_replace(m, "[^0-9]", ""))
-    letters = F.length(F.regexp_replace(m, "[^A-Za-z]", ""))
-    return {
-        "length": F.when(length < 16, 0).when(length < 32, 1).otherwise(2),
-        "digits": F.when(digits * 5 < length, 0).when(digits < length, 1).otherwise(2),
-        "letters": F.when(letters == 0, 0).when(letters < length, 1).otherwise(2),
-        "hex": F.when(m.rlike("^[0-9a-fA-F]+$"), 1).otherwise(0),
-        "assigned": F.when(before.rlike(r"[=:]\s*[\"'(]?$"), 1).otherwise(0),
-        "named": F.when(before.rlike(rf"(?i)\b(?:{FOR_WORDS})\b"), 1).otherwise(0),
-        "denied": F.when(before.rlike(rf"(?i)\b(?:{AGAINST_WORDS})\b"), 1).otherwise(0),
-    }
-
+#: N-grams of character classes (a: lower case, A: capital, 9: digit, -: other) that the classifier looks for.
+GRAMS = ("a9", "9a", "A9", "9A", "aA", "Aa", "a-", "-a", "A-", "-A", "9-", "-9", "a9a", "9a9", "A9A", "9A9", "aaaa", "AAAA", "9999", "99999999", "aaaaaaaa", "a-a", "9-9", "a-9", "9-a", "--")
+_LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789" + CARD_BLANK
+#: Slots that the words around a span are hashed into, and bins of scores on either side of zero.
+WORD_SLOTS, BINS = 48, 60
 
-FEATURES = ("length", "digits", "letters", "hex", "assigned", "named", "denied")
 
+def _features(c: dict[str, Column], rank: Column) -> Column:
+    """Names of what the final classifier sees of a span."""
+    m, before, behind = c["m"], c["before"], c["behind"]
+    shape = F.regexp_replace(F.translate(m, _LOWER + _UPPER + _DIGITS, "a" * 26 + "A" * 26 + "9" * 11), "[^aA9]", "-")
+    grams = bind(shape, lambda x: F.array(*(F.concat(F.lit(f"g{i}:"), x.contains(g).cast("int").cast("string")) for i, g in enumerate(GRAMS))))
+    length = F.least(F.floor(F.log2(F.greatest(F.length(m), F.lit(1)))), F.lit(8)).cast("string")
+    share = F.floor(F.length(F.regexp_replace(m, r"[^0-9\x{E000}]", "")) * 4 / F.greatest(F.length(m), F.lit(1))).cast("string")
+    words = F.transform(F.array_distinct(F.regexp_extract_all(F.lower(before), F.lit("[a-z]{2,}"), F.lit(0))), lambda w: F.concat(F.lit("w"), F.pmod(F.xxhash64(w), F.lit(WORD_SLOTS)).cast("string")))
+    signs = F.array(F.concat(F.lit("b:"), F.right(F.regexp_replace(before, r"[\s\"'(]+$", ""), F.lit(1)).rlike("[=:]").cast("string")), F.concat(F.lit("q:"), behind.rlike(r"^[\"')]").cast("string")), F.concat(F.lit("p:"), behind.rlike(r"^[/.%]").cast("string")))
+    return F.concat(F.array(F.concat(F.lit("k"), rank.cast("string")), F.concat(F.lit("l"), length), F.concat(F.lit("d"), share)), signs, grams, F.array_distinct(words))
 
-def candidates(text: Column, base: Column) -> Column:
-    """Candidate spans that touch no base span or have it wholly inside, each with votes and features.
 
-    Each element is (start, stop, rank, votes, features); votes and features are arrays.
-    """
-    found = _if(text.rlike("[0-9]|[(\\[]at[)\\]]"), _matches(text, CANDIDATE))
+def blanked(text: Column, base: Column) -> Column:
+    """``text`` with its base spans blanked out, every character in place."""
+    sign = lambda s: F.when(s["rank"] == KINDS.index("card"), CARD_BLANK).otherwise(BLANK)
+    return replaced(text, base, lambda s: F.repeat(sign(s), s["stop"] - s["start"]))
 
-    def taken(s: Column, b: Column) -> Column:
-        around = (s["start"] <= b["start"]) & (b["stop"] <= s["stop"]) & (s["stop"] - s["start"] > b["stop"] - b["start"])
-        return (b["start"] < s["stop"]) & (s["start"] < b["stop"]) & ~around
 
-    free = F.filter(found, lambda s: ~F.exists(base, lambda b: taken(s, b)))
+def candidates(text: Column, base: Column) -> Column:
+    """Candidate spans beside the base spans: (start, stop, rank, votes, features); votes and features are arrays."""
 
     def judge(s: Column) -> Column:
-        first = F.greatest(s["start"] - CONTEXT, F.lit(0))
         kind = F.when(s["m"].rlike(r"^[0-9 -]+$"), "number").when(s["m"].rlike(r"[(\[]at[)\]]"), "address").otherwise("secret")
-        c = {
-            "m": s["m"],
-            "kind": kind,
-            "before": F.substring(text, first + 1, s["start"] - first),
-            "behind": F.substring(text, s["stop"] + 1, F.lit(CONTEXT)),
-        }
-        votes, features = _labelers(c), _features(c)
+        c = {"m": s["m"], "kind": kind, "before": s["before"], "behind": s["behind"]}
+        votes = _labelers(c)
         rank = F.when(kind == "secret", KINDS.index("secret")).when(kind == "number", KINDS.index("number")).otherwise(KINDS.index("address"))
         return F.struct(
-            s["start"].alias("start"),
-            s["stop"].alias("stop"),
-            rank.alias("rank"),
-            F.array(*(votes[x] for x in LABELERS)).alias("votes"),
-            F.array(*(features[x] for x in FEATURES)).alias("features"),
+            s["start"].alias("start"), s["stop"].alias("stop"), rank.alias("rank"), F.array(*(votes[x] for x in LABELERS)).alias("votes"), _features(c, rank).alias("features")
         )
 
-    return F.transform(free, judge)
+    found = bind(blanked(text, base), lambda x: _if(x.rlike("[0-9]|[(\\[]at[)\\]]"), _matches(x, CANDIDATE)))
+    return F.transform(found, judge)
 
 
 @dataclass(frozen=True)
 class SpanModel:
-    """What was estimated: each labeler's reliability, and the classifier."""
+    """What was estimated: shares of true spans, each labeler's reliability, and the classifier."""
 
+    share: dict[int, float] = field(default_factory=dict)
     reliability: dict[str, float] = field(default_factory=dict)
-    weights: dict[tuple[str, int], float] = field(default_factory=dict)
+    weights: dict[str, float] = field(default_factory=dict)
+    slope: float = 0.0
     bias: float = -1.0
 
-    def score(self, rank: Column, features: Column) -> Column:
+    def sum_of(self, features: Column) -> Column:
+        """Sum of the weights of a span's features."""
+        if not self.weights:
+            return F.lit(0.0)
+        known = F.create_map(*(F.lit(x) for pair in sorted(self.weights.items()) for x in pair))
+        return F.aggregate(features, F.lit(0.0), lambda a, f: a + F.coalesce(F.try_element_at(known, f), F.lit(0.0)))
+
+    def score(self, features: Column) -> Column:
         """Log odds of a candidate."""
-        out = F.lit(self.bias)
-        for (name, value), w in sorted(self.weights.items()):
-            at = rank if name == "rank" else features[FEATURES.index(name)]
-            out = out + F.when(at == value, F.lit(w)).otherwise(F.lit(0.0))
-        return out
+        return self.sum_of(features) * F.lit(self.slope) + F.lit(self.bias)
 
 
-#: Share of true spans among candidates on which a labeler votes, and among those on which none does.
-#: Both are given, not estimated: most labelers can only speak for personal data, so votes say nothing about shares.
-SHARE, SILENT_SHARE = 0.5, 0.1
+#: Counts that stand for what is expected of a labeler before any data, by its vote, on true and on other spans.
+_EXPECTED = {1: {1: 3.0, 0: 2.0, -1: 1.0}, 0: {1: 1.0, 0: 2.0, -1: 3.0}}
 
 
-def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[list[float], list[float]]:
-    """Reliability of each labeler, and posterior of each pattern (votes, count).
+def expectation_maximisation(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int = 60) -> tuple[dict[int, float], list[float], list[float]]:
+    """Share of true spans of each kind, reliability of each labeler, and posterior of each pattern (kind, votes, count).
 
-    One-coin model: a labeler that does not abstain is right with its
-    reliability. Half-counts at 0.7 keep labelers that hardly vote in place.
+    A labeler votes yes, no or not at all, with probabilities of its own on
+    true and on other spans. Its reliability is the share of right ones among the votes it casts.
     """
-    width = len(patterns[0][0]) if patterns else 0
-    right = [0.7] * width
-    posterior = [SILENT_SHARE] * len(patterns)
+    width = len(patterns[0][1]) if patterns else 0
+    kinds = sorted({k for k, _, _ in patterns})
+    posterior = [1 / (1 + math.exp(-sum(votes))) for _, votes, _ in patterns]
+    share, rates = dict.fromkeys(kinds, 0.5), []
     for _ in range(rounds):
-        for i, (votes, _) in enumerate(patterns):
-            if any(votes):
-                odds = math.log(SHARE / (1 - SHARE)) + sum(v * math.log(r / (1 - r)) for v, r in zip(votes, right, strict=True))
-                posterior[i] = 1 / (1 + math.exp(-odds))
+        for k in kinds:
+            rows = [(p, n) for p, (kind, _, n) in zip(posterior, patterns, strict=True) if kind == k]
+            share[k] = (1 + sum(p * n for p, n in rows)) / (2 + sum(n for _, n in rows))
+        rates = []
         for j in range(width):
-            agree, cast = 0.7 * 5, 5.0
-            for p, (votes, n) in zip(posterior, patterns, strict=True):
-                if votes[j]:
-                    agree += n * (p if votes[j] > 0 else 1 - p)
-                    cast += n
-            right[j] = min(0.99, max(0.51, agree / cast))
-    return right, posterior
-
-
-def train_classifier(rows: list[tuple[list[tuple[str, int]], float, float]], steps: int = 400, rate: float = 1.0, decay: float = 1e-3) -> tuple[dict, float]:
-    """Logistic regression on (features, target, weight) rows by gradient descent."""
-    names = sorted({f for features, _, _ in rows for f in features})
-    w, bias = dict.fromkeys(names, 0.0), 0.0
-    total = sum(n for _, _, n in rows) or 1.0
+            count = {y: dict(e) for y, e in _EXPECTED.items()}
+            for p, (_, votes, n) in zip(posterior, patterns, strict=True):
+                count[1][votes[j]] += n * p
+                count[0][votes[j]] += n * (1 - p)
+            rates.append({y: {v: c / sum(x.values()) for v, c in x.items()} for y, x in count.items()})
+        for i, (kind, votes, _) in enumerate(patterns):
+            odds = math.log(share[kind] / (1 - share[kind])) + sum(math.log(r[1][v] / r[0][v]) for r, v in zip(rates, votes, strict=True))
+            posterior[i] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
+    total = sum(n for _, _, n in patterns) or 1
+    true = sum(p * n for p, (_, _, n) in zip(posterior, patterns, strict=True)) / total
+    right = []
+    for r in rates:
+        cast = true * (r[1][1] + r[1][-1]) + (1 - true) * (r[0][1] + r[0][-1])
+        right.append((true * r[1][1] + (1 - true) * r[0][-1]) / cast)
+    return share, right, posterior
+
+
+def fit_line(bins: list[tuple[float, float, float]], steps: int = 3000, rate: float = 0.05) -> tuple[float, float]:
+    """Slope and bias of log odds on (score, sum of posteriors, count) bins, by gradient descent."""
+    total = sum(n for _, _, n in bins) or 1.0
+    slope, bias = 0.5, 0.0
     for _ in range(steps):
-        slope, lift = dict.fromkeys(names, 0.0), 0.0
-        for features, target, n in rows:
-            z = bias + sum(w[f] for f in features)
-            d = (1 / (1 + math.exp(-min(30.0, max(-30.0, z)))) - target) * n / total
-            lift += d
-            for f in features:
-                slope[f] += d
-        bias -= rate * lift
-        for f in names:
-            w[f] -= rate * (slope[f] + decay * w[f])
-    return w, bias
+        a = b = 0.0
+        for x, p, n in bins:
+            d = (n / (1 + math.exp(-max(-30.0, min(30.0, slope * x + bias)))) - p) / total
+            a += d * x
+            b += d
+        slope -= rate * (a + 1e-3 * slope)
+        bias -= rate * b
+    return slope, bias
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> SpanModel:
-    """Estimate labelers and train the span classifier on all documents."""
+    """Estimate labelers and train the span classifier on the candidates of all documents."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     spans = docs.select(text.alias("text")).withColumn("base", base_spans(F.col("text")))
-    found = spans.select(F.explode(candidates(F.col("text"), F.col("base"))).alias("c"))
-    counted = found.groupBy("c.rank", "c.votes", "c.features").agg(F.count(F.lit(1)).alias("n"))
-    rows = sorted((r["rank"], tuple(r["votes"]), tuple(r["features"]), r["n"]) for r in counted.collect())
+    found = settle(spans.select(F.explode(candidates(F.col("text"), F.col("base"))).alias("c")).select("c.rank", "c.votes", "c.features"))
+    rows = sorted((r["rank"], tuple(r["votes"]), r["n"]) for r in found.groupBy("rank", "votes").agg(F.count(F.lit(1)).alias("n")).collect())
     if not rows:
         return SpanModel()
-    right, posterior = expectation_maximisation([(votes, n) for _, votes, _, n in rows])
-    examples = [([("rank", rank), *zip(FEATURES, features, strict=True)], p, float(n)) for (rank, _, features, n), p in zip(rows, posterior, strict=True)]
-    weights, bias = train_classifier(examples)
-    return SpanModel(dict(zip(LABELERS, right, strict=True)), weights, bias)
+    share, right, posterior = expectation_maximisation(rows)
+    marks = docs.sparkSession.createDataFrame([(k, list(v), p) for (k, v, _), p in zip(rows, posterior, strict=True)], "rank int, votes array<int>, p double")
+    marked = found.join(F.broadcast(marks), ["rank", "votes"])  # as many rows as there are vote patterns
+    sums = marked.select("p", F.explode("features").alias("f")).groupBy("f").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no")).collect()
+    true = sum(p * n for p, (_, _, n) in zip(posterior, rows, strict=True))
+    false = sum(n for _, _, n in rows) - true
+    weights = {r.f: math.log((r.yes + 1) / (true + 2)) - math.log((r.no + 1) / (false + 2)) for r in sums}
+    model = SpanModel(share, dict(zip(LABELERS, right, strict=True)), weights)
+    cell = F.greatest(F.least(F.round(model.sum_of(F.col("features"))), F.lit(BINS)), F.lit(-BINS)).alias("x")
+    bins = [(r.x, r.p, float(r.n)) for r in marked.select(cell, "p").groupBy("x").agg(F.sum("p").alias("p"), F.count(F.lit(1)).alias("n")).collect()]
+    slope, bias = fit_line([*sorted(bins), (4.0, 1.8, 2.0), (-4.0, 0.2, 2.0)])
+    return SpanModel(share, model.reliability, weights, slope, bias)
 
 
 def with_spans(docs: DataFrame, model: SpanModel, text_col: str = "text", base_col: str = "base_spans", spans_col: str = "spans") -> DataFrame:
     """``docs`` with two more columns: base spans, and all spans, as (start, rank, stop) in order."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     out = docs.withColumn(base_col, base_spans(text))
-    good = F.filter(candidates(text, F.col(base_col)), lambda c: model.score(c["rank"], c["features"]) > 0)
+    good = F.filter(candidates(text, F.col(base_col)), lambda c: model.score(c["features"]) > 0)
     added = F.transform(good, lambda c: F.struct(c["start"].alias("start"), c["rank"].alias("rank"), c["stop"].alias("stop")))
     return out.withColumn(spans_col, F.sort_array(F.concat(F.col(base_col), added)))
 
@@ -292,18 +392,7 @@ def as_text(spans: Column) -> Column:
 def redacted(text: Column, spans: Column) -> Column:
     """``text`` with each span replaced by its kind in brackets; overlapping spans share the first one's."""
     kinds = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    none = F.array().cast("array<string>")
-
-    def step(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["at"]
-        piece = F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.get(kinds, s["rank"]))
-        return F.struct(
-            F.greatest(acc["at"], s["stop"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], piece)).alias("out")
-        )
-
-    begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    done = F.aggregate(spans, begin, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) == 0, text).otherwise(done)
+    return replaced(text, spans, lambda s: F.get(kinds, s["rank"]))
 
 
 def redact(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:

@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from docweft.llm import pii
 from docweft.llm.queries import pii_digest
@@ -85,7 +87,7 @@ def test_secrets_are_added_and_redacted(spark):
         rows.append((i, f"see /path-to-page/item-{i}-of-the-list/index-2 here", "", 0))
     docs = spark.createDataFrame(rows, SCHEMA)
     model = pii.fit(docs)
-    assert all(0.5 < r < 1 for r in model.reliability.values())
+    assert set(model.reliability) == set(pii.LABELERS)
     out = {r.doc_id: r.text for r in pii.redact(docs, model).collect()}
     assert [out[i] for i in range(60) if "[SECRET]" not in out[i]] == []
     assert [out[i] for i in range(60, 90) if out[i] != rows[i][1]] == []
@@ -99,8 +101,75 @@ def test_expectation_maximisation_finds_the_bad_labeler():
         truth = rng.random() < 0.4
         votes = tuple((1 if truth == (rng.random() < r) else -1) if rng.random() < 0.8 else 0 for r in (0.95, 0.9, 0.6))
         counts[votes] = counts.get(votes, 0) + 1
-    right, _ = pii.expectation_maximisation(sorted(counts.items()))
-    assert right == pytest.approx([0.95, 0.9, 0.6], abs=0.05)
+    share, right, _ = pii.expectation_maximisation([(0, v, n) for v, n in sorted(counts.items())])
+    assert right == pytest.approx([0.95, 0.9, 0.6], abs=0.05) and share[0] == pytest.approx(0.4, abs=0.05)
+
+
+def test_expectation_maximisation_finds_one_worse_than_chance():
+    rng = random.Random(8)
+    counts = {}
+    for _ in range(5000):
+        truth = rng.random() < 0.7
+        votes = tuple((1 if truth == (rng.random() < r) else -1) for r in (0.95, 0.9, 0.85, 0.2))
+        counts[votes] = counts.get(votes, 0) + 1
+    share, right, _ = pii.expectation_maximisation([(0, v, n) for v, n in sorted(counts.items())])
+    assert right == pytest.approx([0.95, 0.9, 0.85, 0.2], abs=0.05) and share[0] == pytest.approx(0.7, abs=0.05)
+
+
+def test_added_spans_on_planted_texts(spark):
+    """Precision and recall of the added spans where keys, numbers and addresses stand among look-alikes."""
+    rng = random.Random(9)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    mixed = lambda n: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n))
+    digits = lambda n: str(rng.randint(1, 9)) + "".join(rng.choice("0123456789") for _ in range(n - 1))
+    rows, planted = [], set()
+    for i in range(400):
+        kind = i % 8
+        name = rng.choice(["anna.lee", "tom", "j_smith"])
+        before, span, behind, true = [
+            ('the token = "', hexes(40), '" is used', True), ("set api_key: ", mixed(32), " here", True), ("password=", mixed(24) + "9", " was", True),
+            ("mail me at ", f"{name} (at) example (dot) org", " soon", True), ("see /docs", "/path-to-page/item-" + digits(4) + "-of-list", "/index", False),
+            ("version ", digits(10), " of it", False), ("isbn ", digits(13), ". Next", False), ("commit ", "release-notes-for-build-" + digits(3), " and", False),
+        ][kind]
+        text = f"Words come first {'é' * (i % 3)} {before}"
+        rows.append((i, text + span + behind, "clash", 1))
+        if true:
+            planted.add((i, len(text), len(text) + len(span)))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = pii.fit(docs)
+    found = {(r.doc_id, s.start, s.stop) for r in pii.with_spans(docs, model, base_col="b", spans_col="all").collect() for s in r.all if s.rank >= len(pii.BASE)}
+    assert len(found & planted) >= 0.9 * len(planted) and len(found & planted) >= 0.9 * len(found)
+
+
+def test_no_limits_of_length(spark):
+    """Long tokens before the first digit of a key, and long local parts of spelled-out addresses, are candidates."""
+    rows = [(1, "token = " + "k" * 100 + "9", "", 0), (2, "n" * 100 + " (at) example.org", "", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    spans = docs.select(F.explode(pii.candidates(F.col("text"), pii.base_spans(F.col("text")))).alias("c")).select("c.start", "c.stop").collect()
+    assert sorted(map(tuple, spans)) == [(0, 117), (8, 109)]
+
+
+def test_many_matches_in_one_text(spark):
+    """A megabyte of addresses, base spans and candidates side by side, in one text."""
+    text = "1.2.3.4 " * 125_000
+    both = "".join(f"a{k}@b.co token = {k:040d}x " for k in range(4_000))
+    docs = spark.createDataFrame([(1, text, "", 0), (2, both, "", 0), (3, "short", "", 0)], SCHEMA)
+    began = time.perf_counter()
+    out = {r.doc_id: r for r in pii_digest(docs).collect()}
+    assert out[1].n_ip == 125_000 and out[2].n_email == 4_000
+    assert time.perf_counter() - began < 60
+    began = time.perf_counter()
+    got = {r.doc_id: r.text for r in pii.redact(docs, pii.SpanModel()).collect()}
+    assert got[1] == "[IP] " * 125_000 and got[2].count("[EMAIL]") == 4_000
+    assert time.perf_counter() - began < 60
+
+
+def test_overlapping_spans_are_put_together(spark):
+    spans = [(0, 1, 3), (2, 0, 9), (5, 2, 6), (9, 3, 12), (20, 0, 21)]
+    df = spark.createDataFrame([("abcdefghijklmnopqrstuvwxyz" * 100, spans), ("x", [])], "text string, spans array<struct<start:int,rank:int,stop:int>>")
+    rows = df.select(pii.merged(F.col("spans")).alias("m"), pii.redacted(F.col("text"), F.col("spans")).alias("t")).collect()
+    assert [tuple(s) for s in rows[0].m] == [(0, 1, 9), (9, 3, 12), (20, 0, 21)]
+    assert rows[0].t == "[IP][PHONE]" + "mnopqrst[EMAIL]vwxyz" + "abcdefghijklmnopqrstuvwxyz" * 99 and rows[1].t == "x"
 
 
 def test_empty(spark):
