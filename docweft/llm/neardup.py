@@ -25,7 +25,8 @@ What remains probabilistic is what the banding is: two sets at the threshold of
 Defined results: a null or blank text has the empty set, is linked with nothing
 and is its own component; rows without an id are their own, with component null
 and kept true; repeated rows are copies of each other and share id and
-component; an empty table gives an empty result; other columns are ignored by
+component; rows of an equal id and different texts are one document that is
+linked with all that any of its texts is linked with; an empty table gives an empty result; other columns are ignored by
 :func:`near_duplicates`.
 """
 
@@ -292,6 +293,14 @@ def bucket_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_block_links(percent), "u long, v long")
 
 
+def _same_ids(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links (u, v) between the representatives of the different texts of one id."""
+    mark = F.struct("f1", "f2")
+    several = rows.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min(mark).alias("a"), F.max(mark).alias("b")).where("a <> b").select("doc_id")
+    texts = rows.join(several, "doc_id", "left_semi").select("doc_id", "f1", "f2").distinct().join(reps.select("f1", "f2", "id"), ["f1", "f2"])
+    return texts.select(F.col("doc_id").alias("u"), F.col("id").alias("v")).where("u <> v").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``."""
     rows = settle(sketch(docs, width, id_col, text_col))
@@ -311,15 +320,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         .join(signed.toDF("v", "nv", "b"), "v")
         .where(fits & (estimate("a", "b") >= CLOSE))
         .select("u", "v")
+        .distinct()
     )
     close = settle(close)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        return settle(shingle_sets(texts.join(ids, "id", "left_semi"), width).dropDuplicates(["id"]))
+        found = shingle_sets(texts.join(ids, "id", "left_semi"), width).withColumn("__h", F.xxhash64("shingles"))
+        return settle(found.dropDuplicates(["id", "__h"]).drop("__h"))  # an id may have several texts
 
     sets = sets_of(close.select(F.explode(F.array("u", "v")).alias("id")).distinct())
-    links = settle(confirm(close, sets, percent))
+    links = settle(confirm(close, sets, percent).union(_same_ids(rows, reps)))
     first = settle(components(links))
     members = shared.where("n > 2").join(first, "id", "left").select("id", F.coalesce("component", "id").alias("component"), F.col("key").alias("bucket"))
     members = settle(open_members(members))
@@ -348,7 +359,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the near duplicates: of each component the row of the smallest id stays.
 
-    All columns are kept. Of repeated rows of that id one stays.
+    All columns are kept. Of several rows of that id the one of the smallest text stays, null last.
     """
     found = settle(near_duplicates(docs, width, percent).where("doc_id is not null").select("doc_id", "kept"))
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
@@ -356,4 +367,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     same = docs["doc_id"].cast("long") == F.col("__id")
     if again.isEmpty():
         return docs.join(gone, same, "left_anti")
-    return docs.join(gone.union(again), same, "left_anti").unionByName(docs.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    least = F.min_by(row, F.struct(F.col("text").isNull(), F.col("text"), F.to_json(row))).alias("__row")
+    once = docs.join(again, same, "left_semi").groupBy("doc_id").agg(least).select("__row.*")
+    return docs.join(gone.union(again), same, "left_anti").unionByName(once)

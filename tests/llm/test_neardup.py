@@ -84,6 +84,16 @@ def test_keep_one_keeps_columns_and_rows_without_id(spark):
     assert sorted(str(r.doc_id) for r in out.collect()) == ["3", "7", "9", "None"]
 
 
+def test_one_id_with_different_texts(spark):
+    """All texts of an id are one document, and the smallest text stays."""
+    one, two, three = ("first text of this id here", "second text quite unlike the other", "third one for good measure")
+    rows = [(7, two), (7, one), (3, two), (9, one), (4, three), (8, None), (8, "b c"), (8, "a c")]
+    docs = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in rows], SCHEMA)
+    got = {(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(docs, 4).collect()}
+    assert got == {(7, 3, False), (3, 3, True), (9, 3, False), (4, 4, True), (8, 8, True)}
+    assert sorted((r.doc_id, r.text) for r in neardup.keep_one(docs).collect()) == [(3, two), (4, three), (8, "a c")]
+
+
 def test_estimate_is_corrected_for_chance(spark):
     rng = np.random.default_rng(1)
     rows = []
