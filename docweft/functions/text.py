@@ -11,9 +11,18 @@ FALSE_WORDS = ("false", "no", "n", "0", "否", "无", "未", "失败", "关闭")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: The Unicode characters that are white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def utrim(c: Column) -> Column:
     """Trim all Unicode white space."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
+
+
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: the variable of a one-element array stands for it."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def blank_to_null(c: Column) -> Column:
@@ -29,9 +38,13 @@ def quoted(label: str) -> str:
     return "".join("\\" + c if not (c.isalnum() or c.isspace() or ord(c) > 127) else c for c in label)
 
 
+#: Fixed value: what may stand before a label.
+_LEAD = r"(?mdU)^\s*(?:[-*•]\s*)?"
+
+
 def label_pattern(label: str) -> str:
     """A line that begins with a label, perhaps behind a bullet, and a colon; group 1 is the value."""
-    return rf"(?mdU)^\s*(?:[-*•]\s*)?{quoted(label)}\s*[:：]\s*([^\n\r]+)$"
+    return rf"{_LEAD}{quoted(label)}\s*[:：]\s*([^\n\r]+)$"
 
 
 def label_values(text: Column, label: str) -> Column:
@@ -40,9 +53,13 @@ def label_values(text: Column, label: str) -> Column:
     return F.filter(F.transform(found, utrim), lambda v: v != "")
 
 
+#: Fixed value: a number.
+NUMBER = r"(?U)[-+]?\d+(?:\.\d+)?"
+
+
 def number_json(raw: Column) -> Column:
     """The first number of a text as JSON: a whole number if it fits a long, else a double, else null."""
-    digits = F.nullif(F.regexp_extract(F.replace(raw, F.lit(",")), r"(?U)[-+]?\d+(?:\.\d+)?", 0), F.lit(""))
+    digits = F.nullif(F.regexp_extract(F.replace(raw, F.lit(",")), NUMBER, 0), F.lit(""))
     real = digits.try_cast("double")
     return F.coalesce(
         F.when(~digits.contains("."), digits.try_cast("bigint").cast("string")), F.when(~F.isnan(real) & (F.abs(real) != float("inf")), real.cast("string"))
@@ -117,6 +134,26 @@ def confidence(meaningful: Column, required: bool, has_evidence: Column, many: C
 
 
 def keep_first(items: Column, key) -> Column:
-    """Items whose key did not occur before."""
-    keys = F.transform(items, key)
-    return F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    """Items whose key did not occur before; sorts the keys, so the cost is that of a sort."""
+
+    def firsts(it: Column, marks: Column) -> Column:
+        new = F.filter(marks, lambda e, j: (j == 0) | ~F.get(marks, j - 1)["k"].eqNullSafe(e["k"]))
+        return F.transform(F.sort_array(F.transform(new, lambda e: e["i"])), lambda i: F.get(it, i))
+
+    return bind(items, lambda it: bind(F.sort_array(F.transform(it, lambda x, i: F.struct(key(x).alias("k"), i.alias("i")))), lambda marks: firsts(it, marks)))
+
+
+def object_json(*pairs: tuple[str, Column]) -> Column:
+    """A JSON object of members whose values are JSON text; null values are ``null``."""
+    parts = [F.concat(string_json(F.lit(k)), F.lit(":"), F.coalesce(v, F.lit("null"))) for k, v in pairs]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def to_json(value: Column) -> Column:
+    """JSON text of any value, nulls inside kept."""
+    return F.get(F.from_json(F.to_json(F.struct(F.array(value).alias("v")), {"ignoreNullFields": "false"}), "v array<string>")["v"], 0)
+
+
+def whole_text(x: Column) -> Column:
+    """A number as text, without a fraction where it has none."""
+    return F.when(x == F.floor(x), x.cast("bigint").cast("string")).otherwise(x.cast("string"))

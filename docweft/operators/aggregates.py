@@ -29,11 +29,11 @@ def weighted_vote(rows: DataFrame, group: str, choice: str, weight: str) -> Data
 
 
 def ctc_collapse(rows: DataFrame, group: str, order: str, token: str, blank: str, score: str) -> DataFrame:
-    """Tokens of a group that differ from the one before and aren't the blank: text and mean score (0 if none)."""
+    """Tokens of a group that differ from the one before and aren't the blank: text, their number and mean score (0 if none)."""
     before = Window.partitionBy(group).orderBy(order)
     kept = rows.withColumn("__before", F.lag(token).over(before)).withColumn("__kept", ~F.col(token).eqNullSafe(F.col("__before")) & (F.col(token) != blank))
     texts = F.transform(F.sort_array(F.collect_list(F.when(F.col("__kept"), F.struct(F.col(order).alias("o"), F.col(token).alias("t"))))), lambda x: x["t"])
-    return kept.groupBy(group).agg(F.array_join(texts, "").alias("text"), F.coalesce(F.avg(F.when(F.col("__kept"), F.col(score))), F.lit(0.0)).alias("confidence"))
+    return kept.groupBy(group).agg(F.array_join(texts, "").alias("text"), F.count_if("__kept").alias("tokens"), F.coalesce(F.avg(F.when(F.col("__kept"), F.col(score))), F.lit(0.0)).alias("confidence"))
 
 
 def window_starts(n: Column, size: int, overlap: int) -> Column:

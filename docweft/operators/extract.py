@@ -30,21 +30,24 @@ def distinct_evidences(evidences: Column) -> Column:
 
 
 def label_matches(plain: Column, blocks: Column, label: str) -> Column:
-    """Matches (raw, evidences) of a label: in the whole text first, then block by block."""
-    whole = F.transform(
-        F.array_distinct(T.label_values(plain, label)),
-        lambda v: F.struct(
-            v.alias("raw"),
-            distinct_evidences(F.transform(F.filter(blocks, lambda b: b["text"].contains(label) & b["text"].contains(v)), evidence_of)).alias("evidences"),
-        ),
-    )
-    single = F.flatten(
-        F.transform(
-            blocks,
-            lambda b: F.transform(T.keep_first(T.label_values(b["text"], label), F.lower), lambda v: F.struct(v.alias("raw"), F.array(evidence_of(b)).alias("evidences"))),
+    """Matches (raw, evidences) of a label: in the whole text first, then block by block.
+
+    The text, and each block, is searched once; values are compared with the blocks that hold the label.
+    """
+
+    def in_text(holding: Column) -> Column:
+        return F.transform(
+            F.array_distinct(T.label_values(plain, label)),
+            lambda v: F.struct(v.alias("raw"), distinct_evidences(F.transform(F.filter(holding, lambda b: b["text"].contains(v)), evidence_of)).alias("evidences")),
         )
+
+    def in_block(b: Column) -> Column:
+        values = T.keep_first(T.label_values(b["text"], label), F.lower)
+        return T.bind(F.array(evidence_of(b)), lambda e: F.transform(values, lambda v: F.struct(v.alias("raw"), e.alias("evidences"))))
+
+    return T.bind(
+        F.filter(blocks, lambda b: b["text"].contains(label)), lambda holding: F.concat(in_text(holding), F.flatten(F.transform(holding, in_block)))
     )
-    return F.concat(whole, single)
 
 
 def _field(key: str, value: Column, items: Column, meaningful: Column, confidence: Column, evidences: Column) -> Column:
@@ -63,46 +66,37 @@ def _list(items: Column) -> Column:
 
 
 def _object(pairs: list[tuple[str, Column]]) -> Column:
-    parts = [F.concat(T.string_json(F.lit(k)), F.lit(":"), v) for k, v in pairs]
-    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    return T.object_json(*pairs)
 
 
 def leaf(spec: FieldSpec, plain: Column, blocks: Column) -> Column:
     matches = F.concat(*(label_matches(plain, blocks, label) for label in spec.labels()))
 
-    def build(found: Column) -> Column:
-        values = F.filter(F.transform(found, lambda m: T.coerce_json(m["raw"], spec.field_type)), lambda v: v.isNotNull())
-        evidences = distinct_evidences(F.flatten(F.transform(found, lambda m: m["evidences"])))
+    def build(values: Column, evidences: Column) -> Column:
         some = F.size(evidences) > 0
         if spec.multiple:
-            items = F.array_distinct(values)
-            many = F.size(items) > 1
-            return _field(spec.key, _list(items), items, F.size(items) > 0, T.confidence(F.size(items) > 0, spec.required, some, many), evidences)
+            many = F.size(values) > 1
+            return _field(spec.key, _list(values), values, F.size(values) > 0, T.confidence(F.size(values) > 0, spec.required, some, many), evidences)
         first = F.get(values, 0)
         value = F.coalesce(first, F.lit(DEFAULTS.get(spec.field_type, "null")))
         return _field(spec.key, value, F.lit(None), first.isNotNull(), T.confidence(first.isNotNull(), spec.required, some, F.lit(False)), evidences)
 
-    # a one-element array binds the matches once, instead of spelling them out at every use
-    return F.get(F.transform(F.array(matches), build), 0)
+    def read(found: Column) -> Column:
+        values = F.filter(F.transform(found, lambda m: T.coerce_json(m["raw"], spec.field_type)), lambda v: v.isNotNull())
+        evidences = distinct_evidences(F.flatten(F.transform(found, lambda m: m["evidences"])))
+        return T.bind(F.array_distinct(values), lambda v: T.bind(evidences, lambda e: build(v, e)))
 
+    return T.bind(matches, read)
 
-def composite(spec: FieldSpec, plain: Column, blocks: Column) -> Column:
-    children = F.struct(*(compile_field(c, plain, blocks).alias(f"c{i}") for i, c in enumerate(spec.children)))
 
-    def build(row: Column) -> Column:
-        own = [row[f"c{i}"] for i in range(len(spec.children))]
-        keys = [c.key for c in spec.children]
-        evidences = distinct_evidences(F.concat(*(c["evidences"] for c in own)))
+def combine(spec: FieldSpec, children: list[Column]) -> Column:
+    """An object or array of objects from its children's fields."""
+    keys = [c.key for c in spec.children]
+
+    def close(own: list[Column], evidences: Column, rows: Column) -> Column:
         live = sum((F.when(c["meaningful"], 1).otherwise(0) for c in own), F.lit(0))
         if spec.field_type == "array":
-            counts = [F.when(c["items"].isNotNull(), F.size(c["items"])).when(c["meaningful"], 1).otherwise(0) for c in own]
-            n = F.greatest(*counts, F.lit(0))
-            lists = [F.coalesce(c["items"], F.array(c["value_json"])) for c in own]
-            rows = F.transform(
-                F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: i < n),
-                lambda i: _object([(k, F.coalesce(F.get(x, i), F.lit("null"))) for k, x in zip(keys, lists, strict=True)]),
-            )
-            value, items, meaningful, many = _list(rows), rows, n > 0, n > 1
+            value, items, meaningful, many = _list(rows), rows, F.size(rows) > 0, F.size(rows) > 1
         else:
             value, items, meaningful, many = _object([(k, c["value_json"]) for k, c in zip(keys, own, strict=True)]), F.lit(None), live > 0, F.lit(False)
         total = T.real(0.0)
@@ -112,7 +106,27 @@ def composite(spec: FieldSpec, plain: Column, blocks: Column) -> Column:
         alone = T.confidence(meaningful, spec.required, F.size(evidences) > 0, many)
         return _field(spec.key, value, items, meaningful, F.when(live > 0, mean).otherwise(alone), evidences)
 
-    return F.get(F.transform(F.array(children), build), 0)
+    def zipped(lists: Column) -> Column:
+        held = [lists[f"c{i}"] for i in range(len(keys))]
+        n = F.greatest(*(F.size(x) for x in held), F.lit(0))
+        return F.transform(
+            F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: i < n),
+            lambda i: _object([(k, F.get(x, i)) for k, x in zip(keys, held, strict=True)]),
+        )
+
+    def build(row: Column) -> Column:
+        own = [row[f"c{i}"] for i in range(len(keys))]
+        evidences = distinct_evidences(F.concat(*(c["evidences"] for c in own)))
+        none = F.array().cast("array<string>")
+        lists = F.struct(*(F.coalesce(c["items"], F.when(c["meaningful"], F.array(c["value_json"])).otherwise(none)).alias(f"c{i}") for i, c in enumerate(own)))
+        rows = T.bind(lists, zipped) if spec.field_type == "array" else none
+        return T.bind(evidences, lambda e: T.bind(rows, lambda r: close(own, e, r)))
+
+    return T.bind(F.struct(*(c.alias(f"c{i}") for i, c in enumerate(children))), build)
+
+
+def composite(spec: FieldSpec, plain: Column, blocks: Column) -> Column:
+    return combine(spec, [compile_field(c, plain, blocks) for c in spec.children])
 
 
 def compile_field(spec: FieldSpec, plain: Column, blocks: Column) -> Column:

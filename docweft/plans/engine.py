@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweft.operators.assemble import first_error, from_normalized, pages_from_texts, document
+from docweft.functions.shared import settle
+from docweft.operators.assemble import first_error, from_normalized
 from docweft.operators.extract import extract as extract_fields
 from docweft.operators.postprocess import finalize, respond
 from docweft.schema import SchemaSpec
@@ -21,8 +23,20 @@ class EngineConfig:
     ocr_url: str | None = None
     ocr_timeout_ms: int = 5000
     ocr_token: str | None = None
+    #: Gives (page_no, media type, bytes) of each page of a PDF without a text layer; None: the file goes to OCR as it is.
+    rasterizer: Callable[[bytes], list[tuple[int, str, bytes]]] | None = None
+    #: Stands in for the provider that the address above names.
+    ocr_provider: ocr.Provider | None = None
+
+    def ocr_name(self) -> str:
+        return "custom-ocr" if self.ocr_provider else "fallback-ocr" if self.ocr_url else "placeholder-ocr"
+
+    def ocr_transport(self) -> str:
+        return "composite" if self.ocr_url and not self.ocr_provider else "inproc"
 
     def provider(self) -> ocr.Provider:
+        if self.ocr_provider:
+            return self.ocr_provider
         if self.ocr_url:
             return ocr.with_fallback(ocr.http_provider(self.ocr_url, self.ocr_timeout_ms, self.ocr_token), ocr.placeholder_provider)
         return ocr.placeholder_provider
@@ -45,35 +59,32 @@ def extract_normalized(docs: DataFrame, schema: SchemaSpec, config: EngineConfig
     return _results(from_normalized(judged.where("error is null")), schema, config), judged.where("error is not null").select("doc_id", "error")
 
 
-def ocr_documents(files: DataFrame, source_type: str, provider: ocr.Provider) -> tuple[DataFrame, DataFrame]:
-    answers = ocr.recognize(files, provider)
-    good = ocr.parse_answers(answers.where("error is null"))
-    numbers = F.sequence(F.lit(1), F.greatest(F.lit(1), F.coalesce(F.array_max(F.transform("blocks", lambda b: b["page_no"])), F.lit(1))))
-    texts = F.transform(numbers, lambda n: F.transform(F.filter("blocks", lambda b: b["page_no"] == n), lambda b: b["text"]))
-    pages = pages_from_texts(F.col("doc_id"), texts, "ocr")
-    extra = {"parser_provider": F.lit(f"{source_type}-parser"), "ocr_request_id": F.col("request_id"), "ocr_warning_count": F.size("warnings")}
-    docs = good.select(*document(F.col("doc_id"), F.lit(source_type), pages, F.col("file_name"), F.col("mime_type"), extra))
-    return docs, answers.where("error is not null").select("doc_id", "error")
+def read_images(files: DataFrame, config: EngineConfig) -> tuple[DataFrame, DataFrame]:
+    """Documents of image files, each sent to the OCR provider once, and (doc_id, error)."""
+    sent = files.select("doc_id", "file_name", "mime_type", "source_type", "content", F.lit(None).cast("string").alias("error"))
+    rows = settle(ocr.recognize(sent, config.provider()))
+    docs = ocr.documents(ocr.parse_answers(rows.where("error is null")), "image", config.ocr_name(), config.ocr_transport())
+    return docs, rows.where("error is not null").select("doc_id", "error")
 
 
 def read_documents(spark: SparkSession, path: str, config: EngineConfig = EngineConfig()) -> tuple[DataFrame, DataFrame]:
     """Documents of all files below a path, each read by its type, and (doc_id, error).
 
-    Each costly reader sees the files of its own type only.
+    Each reader lists the files of its own type by their names and opens no other.
     """
-    files = ingest.read_files(spark, path)
-    of = lambda *kinds: files.where(F.col("source_type").isin(*kinds))
-    text = of("text", "html", "markdown").select("*", ingest.payload_text(F.lit(None).cast("string"), F.col("content")).alias("text"), F.lit(None).cast("string").alias("url"))
-    docs, errors = [ingest.read_inline(text.where("text is not null")), ingest.read_unknown(of("unknown"))], [text.where("text is null").select("doc_id", F.lit("not UTF-8").alias("error"))]
-    for found, failed in (docx.read_docx(of("docx")), ocr_documents(of("image"), "image", config.provider())):
+    text = ingest.read_files(spark, path, "text", "html", "markdown").select(
+        "*", ingest.payload_text(F.lit(None).cast("string"), F.col("content")).alias("text"), F.lit(None).cast("string").alias("url")
+    )
+    docs = [ingest.read_inline(text.where("text is not null")), ingest.read_unknown(ingest.read_files(spark, path, "unknown"))]
+    errors = [text.where("text is null").select("doc_id", F.lit("not UTF-8").alias("error"))]
+    readers = (
+        docx.read_docx(ingest.read_files(spark, path, "docx")),
+        read_images(ingest.read_files(spark, path, "image"), config),
+        pdf.read_pdf(ingest.read_files(spark, path, "pdf"), config.provider(), config.ocr_name(), config.ocr_transport(), config.rasterizer),
+    )
+    for found, failed in readers:
         docs.append(found)
         errors.append(failed)
-    layered, scanned, failed = pdf.read_pdf(of("pdf"))
-    docs.append(layered)
-    errors.append(failed)
-    seen, failed = ocr_documents(files.join(scanned.select("doc_id"), "doc_id", "left_semi"), "pdf", config.provider())
-    docs.append(seen)
-    errors.append(failed)
     out, bad = docs[0], errors[0]
     for d in docs[1:]:
         out = out.unionByName(d)

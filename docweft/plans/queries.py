@@ -182,14 +182,14 @@ def evidence_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "postprocess_values",
     """WITH l AS (SELECT conv_id, trim(text) AS t, min(turn) AS first FROM conversations WHERE trim(text) <> '' GROUP BY 1, 2)
-SELECT conv_id, string_agg(left(t, 10), '|' ORDER BY first) AS kept, count(*) AS n FROM l GROUP BY 1""",
+SELECT conv_id, sha256(string_agg(t, '|' ORDER BY first)) AS kept, count(*) AS n FROM l GROUP BY 1""",
 )
 def postprocess_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     twice = F.sort_array(F.collect_list(F.struct("turn", "text")))
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(twice.alias("t"))
     texts = F.flatten(F.transform("t", lambda x: F.array(F.concat(F.lit(" "), x["text"], F.lit(" ")), F.lit("  "), x["text"])))
     kept = postprocess.normalize_strings(texts)
-    return rows.select("conv_id", F.array_join(F.transform(kept, lambda x: F.substring(x, 1, 10)), "|").alias("kept"), F.size(kept).cast("long").alias("n"))
+    return rows.select("conv_id", F.sha2(F.encode(F.array_join(kept, "|"), "UTF-8"), 256).alias("kept"), F.size(kept).cast("long").alias("n"))
 
 
 # ---- sources and routing ----
@@ -246,7 +246,7 @@ def input_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("placeholder_text", "SELECT page_id, 'summary' || chr(10) || 'file_name: ' || CASE WHEN page_id % 2 = 0 THEN 'p' || page_id ELSE 'unnamed' END || chr(10) || 'mime_type: unknown' || chr(10) || 'byte_size: ' || octet_length(encode(html)) AS text FROM pages")
 def placeholder_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("p"), F.col("page_id").cast("string")))
-    return table(spark, sf_dir, "pages").select("page_id", ingest.placeholder(F.lit("summary"), name, F.lit(None).cast("string"), F.encode("html", "UTF-8")).alias("text"))
+    return table(spark, sf_dir, "pages").select("page_id", ingest.placeholder(F.lit("summary"), name, F.lit(None).cast("string"), F.octet_length("html")).alias("text"))
 
 
 @query(
@@ -294,7 +294,7 @@ def xml_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "ocr_flatten",
     """SELECT conv_id, turn + 1 AS page_no, 'ocr-p' || (turn + 1) || '-b1' AS block_id, trim(string_split(text, chr(10))[1]) AS first_line,
-  CAST(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS BIGINT) AS n_lines FROM conversations WHERE len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) > 0""",
+  CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines FROM conversations WHERE len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) > 0""",
 )
 def ocr_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.transform(F.split("text", "\n", -1), lambda t: F.struct(F.concat(F.lit(" "), t).alias("text"), F.lit(0.5).alias("confidence")))
@@ -344,11 +344,13 @@ def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "cache_split",
-    """WITH c AS (SELECT DISTINCT text FROM documents WHERE doc_id % 2 = 0) SELECT doc_id, text IN (SELECT text FROM c) AS cached FROM documents WHERE doc_id % 2 = 1""",
+    """WITH c AS (SELECT DISTINCT left(text, 12) AS head FROM conversations WHERE role = 'user') SELECT doc_id, left(text, 3) IN (SELECT left(head, 3) FROM c) AS cached FROM documents""",
 )
 def cache_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", store.cache_key(F.col("text")).alias("key"))
-    hits, misses = store.split_by_cache(rows.where("doc_id % 2 = 1"), rows.where("doc_id % 2 = 0").select("key").distinct(), "key")
+    """Documents against a cache of the beginnings of user turns."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", store.cache_key(F.substring("text", 1, 3)).alias("key"))
+    cache = table(spark, sf_dir, "conversations").where("role = 'user'").select(store.cache_key(F.substring("text", 1, 3)).alias("key")).distinct()
+    hits, misses = store.split_by_cache(rows, cache, "key")
     return hits.select("doc_id", F.lit(True).alias("cached")).unionByName(misses.select("doc_id", F.lit(False).alias("cached")))
 
 
@@ -414,12 +416,12 @@ def bbox_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "page_slots",
-    """WITH p AS (SELECT conv_id, turn + 1 AS page_no, text FROM conversations WHERE turn % 2 = 1), t AS (SELECT conv_id, max(page_no) AS top FROM p GROUP BY 1),
+    """WITH p AS (SELECT conv_id, 2 * turn + 1 AS page_no, text FROM conversations), t AS (SELECT conv_id, max(page_no) AS top FROM p GROUP BY 1),
 s AS (SELECT conv_id, unnest(range(1, top + 1)) AS page_no FROM t)
 SELECT s.conv_id, s.page_no, length(text) AS chars FROM s LEFT JOIN p USING (conv_id, page_no)""",
 )
 def page_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "conversations").where("turn % 2 = 1").select("conv_id", (F.col("turn") + 1).alias("page_no"), "text")
+    pages = table(spark, sf_dir, "conversations").select("conv_id", (2 * F.col("turn") + 1).alias("page_no"), "text")
     return assemble.page_slots(pages, ["conv_id"], "page_no").select("conv_id", "page_no", F.length("text").cast("long").alias("chars"))
 
 
@@ -441,14 +443,13 @@ def range_join_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     "ctc_collapse",
     """WITH t AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
 k AS (SELECT *, event_type IS DISTINCT FROM before AND event_type <> 'error' AS kept FROM t)
-SELECT user_id, coalesce(string_agg(event_type, '' ORDER BY ts) FILTER (kept), '') AS text, CAST(count(*) FILTER (kept) AS BIGINT) AS n FROM k GROUP BY 1""",
+SELECT user_id, coalesce(string_agg(event_type, '' ORDER BY ts) FILTER (kept), '') AS text, CAST(count(*) FILTER (kept) AS BIGINT) AS n,
+  round(coalesce(avg(event_id % 64 / 64.0::DOUBLE) FILTER (kept), 0), 9) AS confidence FROM k GROUP BY 1""",
 )
 def ctc_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").withColumn("one", F.lit(1.0))
-    out = aggregates.ctc_collapse(rows, "user_id", "ts", "event_type", "error", "one")
-    names = [r.event_type for r in rows.select("event_type").distinct().collect()]  # a handful of event types
-    n = F.size(F.regexp_extract_all("text", F.lit("|".join(sorted(names, key=len, reverse=True))), F.lit(0))).cast("long")
-    return out.select("user_id", "text", n.alias("n"))
+    rows = table(spark, sf_dir, "events").withColumn("score", (F.col("event_id") % 64) / 64)
+    out = aggregates.ctc_collapse(rows, "user_id", "ts", "event_type", "error", "score")
+    return out.select("user_id", "text", F.col("tokens").alias("n"), F.round("confidence", 9).alias("confidence"))
 
 
 @query(

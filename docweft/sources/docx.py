@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docweft.functions.shared import settle
 from docweft.functions.text import xml_entities
 from docweft.operators.assemble import document, pages_from_texts
 
@@ -50,7 +51,7 @@ def unzip(files: DataFrame) -> DataFrame:
 
 def read_docx(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents, one page with a block for each paragraph, and (doc_id, error) of files that can't be read."""
-    rows = unzip(files)
+    rows = settle(unzip(files))  # unzipped once, for documents and errors
     pages = pages_from_texts(F.col("doc_id"), F.array(paragraphs(F.col("xml"))), "synthetic")
     extra = {"parser_provider": F.lit("docx-parser"), "docx_provider": F.lit("zip-docx"), "paragraph_count": paragraph_count(F.col("xml"))}
     docs = rows.where("error is null").select(*document(F.col("doc_id"), F.lit("docx"), pages, F.col("file_name"), F.col("mime_type"), extra))

@@ -60,13 +60,13 @@ def payload_text(text: Column, content: Column) -> Column:
     return F.when(text.isNotNull(), text).when(content.isNotNull(), decoded).otherwise("")
 
 
-def placeholder(summary: Column, file_name: Column, mime_type: Column, content: Column) -> Column:
+def placeholder(summary: Column, file_name: Column, mime_type: Column, byte_size: Column) -> Column:
     return F.concat_ws(
         "\n",
         summary,
         F.concat(F.lit("file_name: "), F.coalesce(file_name, F.lit("unnamed"))),
         F.concat(F.lit("mime_type: "), F.coalesce(mime_type, F.lit("unknown"))),
-        F.concat(F.lit("byte_size: "), F.coalesce(F.length(content), F.lit(0)).cast("string")),
+        F.concat(F.lit("byte_size: "), F.coalesce(byte_size, F.lit(0)).cast("string")),
     )
 
 
@@ -88,8 +88,8 @@ def read_inline(inputs: DataFrame) -> DataFrame:
 
 
 def read_unknown(inputs: DataFrame) -> DataFrame:
-    """Placeholder documents of inputs (doc_id, file_name, mime_type, content) of unknown type."""
-    text = placeholder(F.lit("unsupported input placeholder"), F.col("file_name"), F.col("mime_type"), F.col("content"))
+    """Placeholder documents of inputs (doc_id, file_name, mime_type, byte_size) of unknown type."""
+    text = placeholder(F.lit("unsupported input placeholder"), F.col("file_name"), F.col("mime_type"), F.col("byte_size"))
     pages = pages_from_texts(F.col("doc_id"), F.array(F.array(text)), block_kind("unknown"))
     return inputs.select(
         *document(F.col("doc_id"), F.lit("unknown"), pages, F.col("file_name"), F.col("mime_type"), {"parser_provider": F.lit(PARSERS["unknown"])})
@@ -111,10 +111,24 @@ def read_normalized(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("doc_id string, " + NORMALIZED).json(path)
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files below a path: doc_id, file_name, mime_type, source_type, content."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+def _any_case(ending: str) -> str:
+    return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ending)
+
+
+def read_files(spark: SparkSession, path: str, *kinds: str) -> DataFrame:
+    """Files below a path: doc_id, file_name, mime_type, source_type, content. Only files of ``kinds``, if given, are opened.
+
+    Names of no known ending are of the type ``unknown``: for these, content
+    is null and ``byte_size`` tells their length, so that nothing of them is read.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    wanted = [e for endings, kind in EXTENSIONS for e in endings if kind in kinds]
+    if wanted:
+        reader = reader.option("pathGlobFilter", "*.{" + ",".join(map(_any_case, wanted)) + "}")
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select(
-        F.sha2("path", 256).alias("doc_id"), name.alias("file_name"), F.lit(None).cast("string").alias("mime_type"), source_type(name, F.lit(None).cast("string")).alias("source_type"), "content"
+    kind = source_type(name, F.lit(None).cast("string"))
+    content = F.lit(None).cast("binary") if kinds == ("unknown",) else F.col("content")
+    files = reader.load(path).select(
+        F.sha2("path", 256).alias("doc_id"), name.alias("file_name"), F.lit(None).cast("string").alias("mime_type"), kind.alias("source_type"), content.alias("content"), F.col("length").alias("byte_size")
     )
+    return files.where(F.col("source_type").isin(*kinds)) if kinds else files

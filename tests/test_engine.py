@@ -2,6 +2,7 @@
 
 import io
 import json
+import time
 import zipfile
 import zlib
 
@@ -134,8 +135,58 @@ def test_fallback_provider():
 def test_ocr_answers(spark):
     answer = {"request_id": " r ", "warnings": [" w", "w", ""], "pages": [{"page_no": 0, "blocks": [{"text": "", "lines": [{"text": " a "}, {"text": ""}, {"text": "b"}]}]}, {"page_no": 2, "width": 0, "height": 5.0, "blocks": []}]}
     row = ocr.parse_answers(spark.createDataFrame([(json.dumps(answer),)], "answer string")).first()
-    assert [(b.block_id, b.page_no, b.text, b.line_count) for b in row.blocks] == [("ocr-p1-b1", 1, "a\nb", 2)]
-    assert row.warnings == ["w"] and row.request_id == "r" and [(p.page_no, p.width, p.height) for p in row.pages] == [(2, None, 5.0)]
+    assert [(b.block_id, b.page_no, b.text, b.line_count) for b in row.blocks] == [("ocr-p1-b1", 1, "a\nb", 3)]
+    assert row.warnings == ["w"] and row.request_id == "r" and [(p.page_no, p.width, p.height) for p in row.pages] == [(1, None, None), (2, None, 5.0)]
+
+
+def test_long_documents_are_linear(spark):
+    """A document of 10,000 labelled lines, and a text with a million inner blanks."""
+    lines = "\n".join(f"* part: {k}" for k in range(10_000))
+    began = time.perf_counter()
+    found = one(spark, lines, FieldSpec("lines", "array", children=(FieldSpec("part", "number", multiple=True),)))
+    assert len(value(found[0])) == 10_000 and time.perf_counter() - began < 20
+    began = time.perf_counter()
+    assert spark.range(1).select(F.length(T.utrim(F.concat(F.lit(" x"), F.repeat(F.lit(" "), 1_000_000), F.lit("y \u3000")))).alias("n")).first().n == 1_000_002
+    assert time.perf_counter() - began < 20
+
+
+def test_ocr_documents(spark, tmp_path):
+    """Boxes, confidences, ids, sizes and metadata survive; every file is sent once; rasters are gathered page by page."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    box = {"x1": 1.0, "y1": 2.0, "x2": 3.0, "y2": 4.0}
+
+    def provider(request):
+        (calls / f"{request['file_name']}-{len(list(calls.iterdir()))}-{id(request)}").write_text(json.dumps(ocr.request_headers(request)))
+        page = {"page_no": 1, "width": 20, "height": 10, "rotation_degrees": 90, "warnings": ["page warning"]}
+        lines = [{"text": " role: seen ", "page_no": 1, "block_id": "b7", "bbox": box, "confidence": 0.5}]
+        return json.dumps({"provider": "P", "model": "M", "request_id": "r1", "timing_ms": 7, "pages": [page], "lines": lines})
+
+    src = tmp_path / "files"
+    src.mkdir()
+    (src / "e.PNG").write_bytes(b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (20).to_bytes(4, "big") + (10).to_bytes(4, "big"))
+    (src / "scan.pdf").write_bytes(make_pdf([" ", " "]))
+    config = engine.EngineConfig(ocr_provider=provider, rasterizer=lambda data: [(1, "image/png", b"one"), (2, "image/png", b"two")], return_evidence=True)
+    docs, errors = engine.read_documents(spark, f"file://{src}", config)
+    rows = {r.source_type: r for r in docs.collect()}
+    assert errors.count() == 0 and len(list(calls.iterdir())) == 3
+    image, scan = rows["image"], rows["pdf"]
+    block = image.pages[0].blocks[0]
+    assert (block.block_id, block.text, block.bbox.x2, block.confidence, block.source_kind) == ("b7", "role: seen", 3.0, 0.5, "ocr")
+    assert (image.pages[0].width, image.pages[0].height) == (20.0, 10.0)
+    extra = image.metadata.extra
+    assert extra["ocr_page_1_rotation_degrees"] == "90" and extra["ocr_page_1_request_id"] == "r1" and extra["ocr_page_1_timing_ms"] == "7"
+    assert extra["ocr_page_1_warning_1"] == "page warning" and extra["ocr_page_1_line_count"] == extra["ocr_page_1_block_count"] == "1"
+    assert (extra["ocr_provider"], extra["ocr_model"], extra["ocr_request_id"]) == ("P", "M", "r1")
+    assert [p.page_no for p in scan.pages] == [1, 2] and scan.plain_text == "role: seen\nrole: seen"
+    extra = scan.metadata.extra
+    assert (extra["pdf_parse_mode"], extra["pdf_ocr_input"], extra["ocr_timing_ms"], extra["page_count"], extra["ocr_warning_count"]) == ("ocr_fallback", "page_rasters", "14", "2", "1")
+    sent = [json.loads(f.read_text()) for f in calls.iterdir()]
+    assert sorted(h.get("x-ocr-page-no-hint", "") for h in sent) == ["", "1", "2"]
+    assert sum(h.get("x-ocr-meta-pdf-ocr-input") == "page_rasters" for h in sent) == 2 and {h["x-ocr-source-type"] for h in sent} == {"image", "pdf"}
+    assert ocr.image_size(b"GIF89a" + b"\x05\0\x06\0") == (5, 6) and ocr.image_size(b"none") is None
+    bad = spark.createDataFrame([([(0, b"x")],), ([(1, b"")],), ([(1, b"x"), (1, b"y")],), ([(1, b"x")],)], "p array<struct<page_no:int,content:binary>>")
+    assert [r.e is None for r in bad.select(ocr.raster_error(F.col("p")).alias("e")).collect()] == [False, False, False, True]
 
 
 def test_normalized_and_prefixes(spark):
