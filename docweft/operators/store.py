@@ -36,3 +36,29 @@ def upsert(table: DataFrame, changes: DataFrame, key: str, order: list[str]) ->
 def task_status(asked: DataFrame, tasks: DataFrame) -> DataFrame:
     """Status of each asked task_id; not_found for those unknown."""
     return asked.join(tasks, "task_id", "left").withColumn("status", F.coalesce("status", F.lit("not_found")))
+
+
+CACHE = "cache_key string, fields string, raw_text string, created_at_ms bigint, last_accessed_at_ms bigint, hit_count bigint"
+
+
+def probe(requests: DataFrame, cache: DataFrame | None, order: list) -> DataFrame:
+    """``requests`` (doc_id, cache_key) with ``nth``, the lookups of the key before (those the cache counted too), and ``known``.
+
+    The first request of an unknown key is the only miss; all others are hits of what it stores.
+    """
+    rows = lookups(requests, "cache_key", order)
+    if cache is None:
+        return rows.withColumns({"known": F.lit(False), "nth": F.col("hit_count").cast("bigint")}).drop("hit_count")
+    stored = cache.select("cache_key", F.col("hit_count").alias("__hits"))
+    rows = rows.join(stored, "cache_key", "left").withColumn("known", F.col("__hits").isNotNull())
+    return rows.withColumn("nth", F.col("hit_count").cast("bigint") + F.when(F.col("known"), F.col("__hits") + 1).otherwise(0)).drop("hit_count", "__hits")
+
+
+def updated_cache(cache: DataFrame | None, stored: DataFrame, probed: DataFrame, now_ms: int) -> DataFrame:
+    """The cache after a batch: what it held, what misses stored, and the lookups of both counted."""
+    new = stored.withColumns({"created_at_ms": F.lit(now_ms).cast("bigint"), "last_accessed_at_ms": F.lit(now_ms).cast("bigint"), "hit_count": F.lit(0).cast("bigint")})
+    rows = new if cache is None else cache.unionByName(new)
+    asked = probed.groupBy("cache_key").agg(F.max("nth").alias("__n"))
+    hit = F.coalesce(F.col("__n") > F.col("hit_count"), F.lit(False))
+    out = rows.join(asked, "cache_key", "left")
+    return out.withColumns({"last_accessed_at_ms": F.when(hit, F.lit(now_ms)).otherwise(F.col("last_accessed_at_ms")), "hit_count": F.greatest("hit_count", "__n")}).drop("__n")

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweft.functions.shared import settle
-from docweft.operators.assemble import first_error, from_normalized
+from docweft.operators import store
+from docweft.operators.assemble import first_error, from_normalized, incremental_documents
 from docweft.operators.extract import extract as extract_fields
+from docweft.operators.incremental import cache_events, document_events, failure_events, opening, partial_events, result_events, sequenced
 from docweft.operators.postprocess import finalize, respond
 from docweft.schema import SchemaSpec
 from docweft.sources import docx, ingest, ocr, pdf
@@ -98,5 +100,73 @@ def extract_files(spark: SparkSession, path: str, schema: SchemaSpec, config: En
     return _results(docs, schema, config), errors
 
 
+def _results_of_prefixes(docs: DataFrame, schema: SchemaSpec) -> DataFrame:
+    """doc_id, prefix_pages and fields of every page prefix of ``docs``."""
+    prefixes = incremental_documents(docs)
+    marked = prefixes.withColumn("doc_id", F.concat_ws("\x1f", "doc_id", F.col("prefix_pages").cast("string")))
+    parts = F.split("doc_id", "\x1f")
+    return finalize(extract_fields(marked, schema)).select(parts[0].alias("doc_id"), parts[1].cast("int").alias("prefix_pages"), "fields")
+
+
+@dataclass(frozen=True)
+class Outcome:
+    """What a batch of requests gives: tasks (latest state), events, and the cache as it is afterwards."""
+
+    tasks: DataFrame
+    events: DataFrame
+    cache: DataFrame
+
+
+def run_batch(
+    inputs: DataFrame, schema: SchemaSpec, config: EngineConfig = EngineConfig(), cache: DataFrame | None = None, mode: str = "sync", normalized: bool = False, order: str = "doc_id", now_ms: int = 0
+) -> Outcome:
+    """Tasks of a batch of inputs (inline, or normalized documents), through the cache.
+
+    The key of a request digests its input, the schema and the options. The first
+    request of a key that the cache lacks is extracted and stored; all others
+    are answered with what is stored, under their own task_id. ``order`` tells which request came first.
+    """
+    error = (
+        first_error(F.col("protocol_version"), F.col("sdk_version"), F.col("plain_text"), F.col("pages"))
+        if normalized
+        else ingest.input_error(F.col("source_type"), F.col("text"), F.col("url"))
+    )
+    columns = [c for c in inputs.columns if c not in ("doc_id", order)]
+    options = F.lit(f"{config.return_raw_text} {config.return_evidence}")
+    key = store.cache_key(F.struct(*columns), F.lit(schema.to_json()), options)
+    judged = settle(inputs.withColumns({"error": error, "cache_key": key}))
+    failed = judged.where("error is not null").select("doc_id", "error")
+    probed = settle(store.probe(judged.where("error is null").select("doc_id", "cache_key", *({order} - {"doc_id"})), cache, [order]))
+    missed = probed.where("nth = 0 and not known").select("doc_id")
+    todo = judged.join(missed, "doc_id", "left_semi")
+    docs = settle(from_normalized(todo) if normalized else ingest.read_inline(todo))
+    every = settle(_results_of_prefixes(docs, schema))
+    last = every.groupBy("doc_id").agg(F.max_by("fields", "prefix_pages").alias("fields")).join(docs.select("doc_id", F.col("plain_text").alias("raw_text")), "doc_id")
+    final = settle(respond(last, config.return_raw_text, config.return_evidence))
+    stored = final.join(probed.select("doc_id", "cache_key"), "doc_id").select("cache_key", F.to_json("fields").alias("fields"), "raw_text")
+    after = settle(store.updated_cache(cache, stored, probed, now_ms))
+    kind = final.schema["fields"].dataType.simpleString()
+    held = after.select("cache_key", F.from_json("fields", kind).alias("fields"), "raw_text", "created_at_ms", "last_accessed_at_ms")
+    hits = settle(probed.where("nth > 0 or known").join(held, "cache_key").withColumn("hit_count", F.col("nth")))
+    told = [
+        document_events(docs, mode, normalized),
+        partial_events(docs, every, config.return_evidence),
+        result_events(final),
+        hits.select(F.col("doc_id").alias("task_id"), F.explode(F.array(*opening(mode, normalized))).alias("e")).select("task_id", "e.*"),
+        cache_events(hits),
+        result_events(hits, cached=True),
+        failure_events(failed, mode, normalized),
+    ]
+    events = told[0]
+    for rows in told[1:]:
+        events = events.unionByName(rows)
+    none = F.lit(None).cast("string")
+    message = F.concat(F.lit("cache hit (hit_count="), F.col("hit_count").cast("string"), F.lit(", created_at_ms="), F.col("created_at_ms").cast("string"), F.lit(")"))
+    shape = lambda rows, status, said, cached: rows.select(F.col("doc_id").alias("task_id"), F.lit(status).alias("status"), "fields", "raw_text", said.alias("message"), F.lit(cached).alias("cached"))
+    empty = failed.select("doc_id", "error", F.lit(None).cast(kind).alias("fields"), none.alias("raw_text"))
+    tasks = shape(final, "succeeded", none, False).unionByName(shape(hits, "succeeded", message, True)).unionByName(shape(empty, "failed", F.col("error"), False))
+    return Outcome(tasks, sequenced(events), after)
+
+
 def engine_info(config: EngineConfig = EngineConfig()) -> dict[str, str]:
     return {"status": "ok", "extractor": "heuristic", "postprocessor": "default", "ocr": "http" if config.ocr_url else "placeholder", "docx": "zip-docx", "pdf": "content-stream-text"}

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from docweft.functions import text as T
 from docweft.functions.shared import fresh_dir
-from docweft.operators import aggregates, assemble, extract, incremental, postprocess, store, vision
+from docweft.operators import aggregates, assemble, extract, incremental, models, postprocess, store, vision
+from docweft.plans import engine
 from docweft.schema import FieldSpec, SchemaSpec
 from docweft.sources import docx, ingest, ocr
 
+FIELDS = f"array<struct<key:string,value_json:string,items:array<string>,meaningful:boolean,confidence:float,evidences:array<{extract.EVIDENCE}>>>"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -515,13 +517,32 @@ def resize_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
 e AS (SELECT task_id, 0 AS place, 0 AS page, 'task.accepted' AS event_type, NULL AS stage FROM d UNION ALL SELECT task_id, 3, 0, 'stage.changed', 'parsing' FROM d
 UNION ALL SELECT task_id, 4, 0, 'document.ready', NULL FROM d UNION ALL SELECT conv_id, 5, turn + 1, 'page.parsed', NULL FROM conversations UNION ALL SELECT task_id, 6, 0, 'stage.changed', 'extracting' FROM d
 UNION ALL SELECT task_id, 8, 0, 'stage.changed', 'postprocessing' FROM d UNION ALL SELECT task_id, 9, 0, 'result.snapshot', NULL FROM d UNION ALL SELECT task_id, 10, 0, 'completed', NULL FROM d)
-SELECT task_id, event_type, stage, CAST(row_number() OVER (PARTITION BY task_id ORDER BY place, page) AS INTEGER) AS sequence FROM e""",
+SELECT task_id, event_type, stage, CAST(row_number() OVER (PARTITION BY task_id ORDER BY place, page) AS INTEGER) AS sequence,
+  CASE WHEN event_type = 'page.parsed' THEN page END AS page_no, CASE WHEN event_type = 'document.ready' THEN n END AS page_count,
+  (SELECT CAST(length(trim(text)) AS BIGINT) FROM conversations WHERE conv_id = task_id AND turn = page - 1 AND event_type = 'page.parsed') AS text_chars FROM e JOIN d USING (task_id)""",
 )
 def stage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = F.sort_array(F.collect_list(F.struct((F.col("turn") + 1).cast("int").alias("page_no"), "text")))
-    docs = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("task_id")).agg(pages.alias("pages"))
-    docs = docs.select("task_id", F.size("pages").cast("long").alias("page_count"), F.array_join(F.transform("pages", lambda p: p["text"]), "\n").alias("plain_text"), F.lit("text").alias("source_type"), "pages")
-    return incremental.stage_events(docs).select("task_id", "event_type", "stage", "sequence")
+    docs = _conversation_documents(spark, sf_dir, lambda x: x["text"])
+    rows = incremental.document_events(docs).unionByName(incremental.result_events(docs.select("doc_id", F.array().cast(FIELDS).alias("fields"), F.lit(None).cast("string").alias("raw_text"))))
+    payload = lambda name: F.get_json_object("payload", f"$.{name}").cast("long").alias(name)
+    return incremental.sequenced(rows).select(F.col("task_id").cast("long").alias("task_id"), "event_type", "stage", "sequence", payload("page_no"), payload("page_count"), payload("text_chars"))
+
+
+def _conversation_documents(spark: SparkSession, sf_dir: str, text, height: float = 8.0) -> DataFrame:
+    """Conversations as documents: a page for each turn with one block, ``text`` of the turn, in a box that depends on it."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+
+    def page(x: Column, i: Column) -> Column:
+        box = F.struct((x["turn"] * 10).cast("float").alias("x1"), F.lit(0.0).cast("float").alias("y1"), (x["turn"] * 10 + 5).cast("float").alias("x2"), F.lit(height).cast("float").alias("y2"))
+        block = F.struct(
+            F.concat(F.lit("b"), x["turn"].cast("string")).alias("block_id"), (i + 1).alias("page_no"), text(x).alias("text"), box.alias("bbox"), F.lit(None).cast("float").alias("confidence"), F.lit("native_text").alias("source_kind")
+        )
+        return F.struct((i + 1).alias("page_no"), F.lit(100.0).cast("float").alias("width"), F.lit(200.0).cast("float").alias("height"), F.array(block).alias("blocks"))
+
+    docs = turns.select(F.col("conv_id").cast("string").alias("doc_id"), F.transform("t", page).cast(f"array<{assemble.PAGE}>").alias("pages"))
+    none = F.lit(None).cast("string")
+    meta = F.struct(none.alias("file_name"), none.alias("mime_type"), F.create_map().cast("map<string,string>").alias("extra"))
+    return docs.select("doc_id", F.lit("text").alias("source_type"), "pages", assemble.plain_text(F.col("pages")).alias("plain_text"), meta.alias("metadata"))
 
 
 @query(
@@ -556,6 +577,250 @@ def orientation_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", vision.orientation(F.transform(scores, lambda x: x.cast("double"))).cast("int").alias("degrees"))
 
 
+# ---- incremental results, cache and failures ----
+
+
+def _prefix_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    role = lambda x: F.concat(F.lit("role: "), x["role"], F.when(x["turn"] % 2 == 1, "\nodd: yes").otherwise(""))
+    docs = _conversation_documents(spark, sf_dir, role)
+    schema = SchemaSpec("q", "1", (FieldSpec("role", multiple=True), FieldSpec("odd", "boolean")))
+    return incremental.partial_events(docs, engine._results_of_prefixes(docs, schema), evidence=True)
+
+
+_PREFIX_SQL = """WITH t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS page, count(*) OVER (PARTITION BY conv_id) AS pages, role FROM conversations),
+f AS (SELECT conv_id, turn, page, pages, 0 AS n, 'role' AS key, true AS own FROM t UNION ALL SELECT conv_id, turn, page, pages, 1, 'odd', turn % 2 = 1 FROM t),
+d AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY page, n) AS revision FROM f WHERE own OR page = 1),
+e AS (SELECT d.*, (SELECT count(*) FROM f x WHERE x.conv_id = d.conv_id AND x.n = d.n AND x.page <= d.page AND x.own) AS evidences,
+  (SELECT min(turn) FROM f x WHERE x.conv_id = d.conv_id AND x.n = d.n AND x.page <= d.page AND x.own) AS low, (SELECT max(turn) FROM f x WHERE x.conv_id = d.conv_id AND x.n = d.n AND x.page <= d.page AND x.own) AS high FROM d)"""
+
+
+@query(
+    "partial_events",
+    _PREFIX_SQL
+    + """, v AS (SELECT conv_id, page, (SELECT string_agg(role, ',' ORDER BY first) FROM (SELECT role, min(page) AS first FROM t x WHERE x.conv_id = t.conv_id AND x.page <= t.page GROUP BY 1)) AS roles FROM t)
+SELECT conv_id, revision, key, page AS page_no, page AS pages_processed, pages AS page_count, evidences AS n_evidences,
+  CASE WHEN key = 'role' THEN '["' || replace(roles, ',', '","') || '"]' WHEN evidences > 0 THEN 'true' ELSE 'null' END AS value, low * 10.0::DOUBLE AS x1, high * 10.0::DOUBLE + 5 AS x2 FROM e JOIN v USING (conv_id, page)""",
+)
+def partial_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _prefix_events(spark, sf_dir).where("event_type = 'result.partial'")
+    kind = f"struct<revision:bigint,field:struct<key:string,value:string,evidences:array<{extract.EVIDENCE}>>,bbox:{assemble.BBOX},page_no:bigint,pages_processed:bigint,page_count:bigint>"
+    p = F.col("p")
+    return rows.select(F.col("task_id").cast("long").alias("conv_id"), F.from_json("payload", kind).alias("p")).select(
+        "conv_id", p["revision"].alias("revision"), p["field"]["key"].alias("key"), p["page_no"].alias("page_no"), p["pages_processed"].alias("pages_processed"), p["page_count"].alias("page_count"),
+        F.size(p["field"]["evidences"]).cast("long").alias("n_evidences"), F.coalesce(p["field"]["value"], F.lit("null")).alias("value"), p["bbox"]["x1"].cast("double").alias("x1"), p["bbox"]["x2"].cast("double").alias("x2"),
+    )
+
+
+@query(
+    "block_events",
+    _PREFIX_SQL + """ SELECT conv_id, revision, key, page AS page_no, CAST(1 AS BIGINT) AS evidence_count, 'b' || turn AS block_ids, turn * 10.0::DOUBLE AS x1, 200.0::DOUBLE AS height FROM e WHERE own""",
+)
+def block_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _prefix_events(spark, sf_dir).where("event_type = 'block.extracted'")
+    kind = f"struct<revision:bigint,field_key:string,page_no:bigint,evidence_count:bigint,source_block_ids:array<string>,bbox:{assemble.BBOX},height:double>"
+    p = F.col("p")
+    return rows.select(F.col("task_id").cast("long").alias("conv_id"), F.from_json("payload", kind).alias("p")).select(
+        "conv_id", p["revision"].alias("revision"), p["field_key"].alias("key"), p["page_no"].alias("page_no"), p["evidence_count"].alias("evidence_count"),
+        F.array_join(p["source_block_ids"], ",").alias("block_ids"), p["bbox"]["x1"].cast("double").alias("x1"), p["height"].alias("height"),
+    )
+
+
+def _text_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return table(spark, sf_dir, "orders").select(
+        F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("doc_id"), F.lit("text").alias("source_type"),
+        F.when(F.col("o_orderkey") % 10 != 0, F.concat(F.lit("priority: "), F.col("o_orderpriority"), F.lit("\nstatus: "), F.col("o_orderstatus"))).alias("text"), none.alias("url"), none.alias("file_name"), none.alias("mime_type"),
+    )
+
+
+@query(
+    "cache_replay",
+    """WITH r AS (SELECT o_orderkey, o_orderpriority AS priority, row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus ORDER BY o_orderkey) - 1 AS nth FROM orders WHERE o_orderkey % 10 <> 0)
+SELECT o_orderkey, 'succeeded' AS status, nth > 0 AS cached, priority, CASE WHEN nth > 0 THEN 'cache hit (hit_count=' || nth || ', created_at_ms=5)' END AS message FROM r
+UNION ALL SELECT o_orderkey, 'failed', false, NULL, 'content is required' FROM orders WHERE o_orderkey % 10 = 0""",
+)
+def cache_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = engine.run_batch(_text_requests(spark, sf_dir), SchemaSpec("q", "1", (FieldSpec("priority"),)), now_ms=5)
+    return done.tasks.select(F.col("task_id").cast("long").alias("o_orderkey"), "status", "cached", plain_string(field(0)["value_json"]).alias("priority"), "message")
+
+
+@query(
+    "failure_events",
+    """WITH f AS (SELECT conv_id, turn, CASE turn % 4 WHEN 2 THEN 'bytes are required' WHEN 3 THEN 'unknown kind' WHEN 0 THEN 'content is required' ELSE 'url is required' END AS message FROM conversations),
+e AS (SELECT *, unnest(['task.accepted', 'stage.changed', 'failed']) AS event_type, unnest([1, 2, 3]) AS sequence FROM f)
+SELECT conv_id, turn, CAST(sequence AS INTEGER) AS sequence, event_type, CASE WHEN sequence > 1 THEN message END AS message, CASE sequence WHEN 2 THEN 'failed' END AS status FROM e""",
+)
+def failure_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.get(F.array(*(F.lit(k) for k in ("html", "url", "pdf", "spreadsheet"))), (F.col("turn") % 4).cast("int"))
+    failed = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"), ingest.input_error(kind, F.lit(" "), F.lit("")).alias("error"))
+    part = F.split("task_id", ":")
+    said = lambda name: F.get_json_object("payload", f"$.{name}").alias(name)
+    return incremental.sequenced(incremental.failure_events(failed)).select(part[0].cast("long").alias("conv_id"), part[1].cast("long").alias("turn"), "sequence", "event_type", said("message"), said("status"))
+
+
+# ---- OCR answers as documents ----
+
+
+def _ocr_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Worker answers made of conversations: a page for each turn with a flat block list, sizes and a request id."""
+    turn = F.struct("turn", "role", "text")
+    page = lambda x: F.struct(
+        (x["turn"] + 1).cast("int").alias("page_no"), (x["turn"] * 10 + 1).cast("float").alias("width"), F.lit(0.0).cast("float").alias("height"), F.lit(90.0).cast("float").alias("rotation_degrees"), (x["turn"] * 5).alias("timing_ms")
+    )
+    block = lambda x, i: F.struct(F.when(i % 2 == 0, F.concat(F.lit("id"), i.cast("string"))).alias("block_id"), (x["turn"] + 1).cast("int").alias("page_no"), F.concat(F.lit(" "), x["role"]).alias("text"), F.lit(0.25).alias("confidence"))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t"))
+    answer = F.to_json(F.struct(F.transform("t", page).alias("pages"), F.transform("t", block).alias("blocks"), F.lit(" req ").alias("request_id"), F.array(F.lit("w"), F.lit(" w ")).alias("warnings"), F.lit("mod").alias("model")))
+    none = F.lit(None).cast("string")
+    answers = rows.select(F.col("conv_id").cast("string").alias("doc_id"), none.alias("file_name"), none.alias("mime_type"), answer.alias("answer"))
+    return ocr.documents(ocr.parse_answers(answers), "image", "own", "inproc")
+
+
+@query(
+    "ocr_document",
+    """WITH t AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS page FROM conversations)
+SELECT conv_id, page AS page_no, turn * 10 + 1.0::DOUBLE AS width, CASE WHEN (page - 1) % 2 = 0 THEN 'id' || (page - 1) ELSE 'ocr-p' || (turn + 1) || '-b' || page END AS block_id, role AS text, 0.25::DOUBLE AS confidence FROM t""",
+)
+def ocr_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _ocr_documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("conv_id"), F.explode("pages").alias("p"))
+    b = F.col("p.blocks")[0]
+    return rows.select("conv_id", F.col("p.page_no").cast("long").alias("page_no"), F.col("p.width").cast("double").alias("width"), b["block_id"].alias("block_id"), b["text"].alias("text"), b["confidence"].cast("double").alias("confidence"))
+
+
+@query(
+    "page_metadata",
+    """WITH t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS page, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+SELECT conv_id, page AS page_no, '90' AS rotation, nullif(turn * 5, 0) AS timing, 'req' AS request, CAST(1 AS BIGINT) AS blocks, CAST(0 AS BIGINT) AS lines, 'w' AS warning, 'mod' AS model FROM t""",
+)
+def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _ocr_documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("conv_id"), F.col("metadata.extra").alias("m"), F.explode("pages").alias("p"))
+    n, m = F.col("p.page_no"), F.col("m")
+    one = lambda name: incremental.page_value(m, n, name)
+    request = F.coalesce(one("request_id"), F.try_element_at(m, F.lit("ocr_request_id")))
+    return rows.select(
+        "conv_id", n.cast("long").alias("page_no"), one("rotation_degrees").alias("rotation"), one("timing_ms").cast("long").alias("timing"), request.alias("request"), one("block_count").cast("long").alias("blocks"),
+        one("line_count").cast("long").alias("lines"), F.array_join(incremental.page_warnings(m, n), "|").alias("warning"), F.try_element_at(m, F.lit("ocr_model")).alias("model"),
+    )
+
+
+# ---- answers of models ----
+
+
+def _customer_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer")
+    return rendered(rows, F.col("c_custkey"), line("Name", F.col("c_name")), line("Segment", F.col("c_mktsegment")), one_block=False)
+
+
+@query(
+    "schema_left_join",
+    """SELECT c_custkey, '"' || c_mktsegment || '"' AS segment, CASE WHEN c_custkey % 2 = 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS confidence, CAST(1 AS BIGINT) AS n_evidence, CAST(c_nationkey AS VARCHAR) AS nation, 'null' AS absent FROM customer""",
+)
+def schema_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.col("c_custkey") % 2 == 0
+    item = lambda key, value, more="": F.concat(F.lit(f'{{"key":"{key}","value":'), value, F.lit(more + "}"))
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    listed = F.concat(F.lit('{"fields":['), item("segment", quoted(F.col("c_mktsegment")), ',"score":" 0.5 "'), F.lit(","), item("nation", F.col("c_nationkey").cast("string")), F.lit("]}"))
+    root = F.concat(F.lit('{"segment":'), quoted(F.col("c_mktsegment")), F.lit(',"segment_confidence":7,"nation":'), F.col("c_nationkey").cast("string"), F.lit("}"))
+    answers = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("doc_id"), F.when(even, listed).otherwise(root).alias("answer"))
+    good, _ = models.join_answers(answers, _customer_documents(spark, sf_dir), SchemaSpec("q", "1", (FieldSpec("segment"), FieldSpec("nation", "number"), FieldSpec("absent"))))
+    return good.select(
+        F.col("doc_id").cast("long").alias("c_custkey"), field(0)["value_json"].alias("segment"), field(0)["confidence"].cast("double").alias("confidence"), F.size(field(0)["evidences"]).cast("long").alias("n_evidence"),
+        field(1)["value_json"].alias("nation"), field(2)["value_json"].alias("absent"),
+    )
+
+
+@query(
+    "evidence_by_text",
+    """SELECT c_custkey, 'Segment: ' || c_mktsegment AS by_block, CASE WHEN c_custkey % 2 = 0 THEN c_name || chr(10) || 'segment' ELSE NULL END AS by_text FROM customer""",
+)
+def evidence_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("doc_id"), "c_name", "c_mktsegment")
+    docs = _customer_documents(spark, sf_dir).join(rows, "doc_id")
+    blocks = assemble.blocks_of(F.col("pages"))
+    across = F.when(F.col("doc_id").cast("long") % 2 == 0, F.concat("c_name", F.lit("\nsegment"))).otherwise("nowhere")
+    text = lambda needle: F.get(models.evidence_by_text(needle, F.col("plain_text"), blocks), 0)["text"]
+    return docs.select(F.col("doc_id").cast("long").alias("c_custkey"), text(F.lower("c_mktsegment")).alias("by_block"), text(across).alias("by_text"))
+
+
+@query("evidence_by_ids", "SELECT c_custkey, CAST(CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 1 END AS BIGINT) AS n, CASE WHEN c_custkey % 3 > 0 THEN 'Segment: ' || c_mktsegment END AS text FROM customer")
+def evidence_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = assemble.blocks_of(F.col("pages"))
+    ids = F.when(F.col("doc_id").cast("long") % 3 == 0, F.array(F.lit(" "), F.lit("x"))).otherwise(F.array(F.concat(F.lit(" "), F.get(blocks, 1)["block_id"])))
+    found = models.evidence_by_ids(ids, blocks)
+    return _customer_documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("c_custkey"), F.size(found).cast("long").alias("n"), F.get(found, 0)["text"].alias("text"))
+
+
+@query(
+    "span_fields",
+    """SELECT c_custkey, '{"name":"' || c_name || '","parts":["' || c_mktsegment || '","' || substr(c_mktsegment, 2) || '"]}' AS value, round(CAST((CAST(0.75 AS REAL) + CAST(0.375 AS REAL)) / CAST(2 AS REAL) AS DOUBLE), 6) AS confidence FROM customer""",
+)
+def span_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of the name, twice with different confidence, and of the segment with and without its first letter."""
+    rows = table(spark, sf_dir, "customer")
+    name, end = F.length("c_name"), F.length("c_name") + F.length("c_mktsegment")
+    span = lambda path, a, b, c: F.struct(F.lit(path).alias("path"), a.cast("int").alias("start_char"), b.cast("int").alias("end_char"), F.lit(c).alias("confidence"))
+    spans = F.array(span("who::name", F.lit(6), name + 7, 0.75), span("who::name", F.lit(6), name + 7, 0.5), span("who::parts", name + 16, end + 16, 0.5), span("who::parts", name + 17, end + 16, 0.25), span("who::parts", F.lit(5), F.lit(6), 0.9))
+    told = rows.select(F.col("c_custkey").cast("string").alias("doc_id"), F.explode(spans).alias("s")).select("doc_id", "s.*")
+    schema = SchemaSpec("q", "1", (FieldSpec("who", "object", children=(FieldSpec("name"), FieldSpec("parts", multiple=True))),))
+    out = models.span_fields(told, _customer_documents(spark, sf_dir), schema)
+    return out.select(F.col("doc_id").cast("long").alias("c_custkey"), field(0)["value_json"].alias("value"), F.round(field(0)["confidence"].cast("double"), 6).alias("confidence"))
+
+
+@query(
+    "uie_windows",
+    """WITH w AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n FROM documents),
+p AS (SELECT * FROM (VALUES ('a', 93, 68), ('a::b', 85, 60)) x(path, room, step)),
+s AS (SELECT doc_id, path, n, room, step, unnest(range(0, greatest(CAST(ceil((n - room) / CAST(step AS DOUBLE)) AS BIGINT), 0) + 1)) AS win FROM w, p)
+SELECT doc_id, path, CAST(win AS INTEGER) AS win, win * step AS first, greatest(least(n - win * step, room), 0) AS n_tokens, room - greatest(least(n - win * step, room), 0) AS padding FROM s""",
+)
+def uie_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.filter(F.split("text", r"\s+", -1), lambda x: x != "")
+    out = models.prompt_windows(table(spark, sf_dir, "documents").select("doc_id", words.alias("tokens")), {"a": 4, "a::b": 12}, 100)
+    return out.select("doc_id", "path", F.col("window").alias("win"), F.col("first").cast("long").alias("first"), F.size("tokens").cast("long").alias("n_tokens"), F.col("padding").cast("long").alias("padding"))
+
+
+# ---- tensors ----
+
+
+@query(
+    "recognition_join",
+    """SELECT user_id, event_id, upper(event_type) AS text, least((event_id % 100) / 100.0::DOUBLE, 0.5) AS confidence FROM events WHERE event_type <> 'error' AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 997 = 0)""",
+)
+def recognition_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events")
+    keys = (F.col("user_id").alias("image_id"), F.col("event_id").alias("patch_index"))
+    box = F.lit(None).cast(assemble.BBOX).alias("bbox")
+    seen = rows.where("event_id % 997 <> 0").select(*keys, F.lit(0.5).alias("score"), box)
+    told = rows.select(*keys, F.when(F.col("event_type") == "error", "  ").otherwise(F.concat(F.lit(" "), F.upper("event_type"))).alias("text"), (F.col("event_id") % 100 / 100.0).alias("confidence"))
+    lines, _ = vision.recognized_lines(seen, told)
+    return lines.select(F.col("image_id").alias("user_id"), F.col("patch_index").alias("event_id"), "text", "confidence")
+
+
+@query(
+    "rotation_update",
+    """SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 0 ELSE (event_id % 4) * 90 END AS rotation, CASE WHEN event_id % 7 = 0 THEN '0,1,2,3,4,5' ELSE ['0,1,2,3,4,5', '3,0,4,1,5,2', '5,4,3,2,1,0', '2,5,1,4,0,3'][1 + event_id % 4] END AS vals,
+  CAST(CASE WHEN event_id % 7 <> 0 AND event_id % 2 = 1 THEN 2 ELSE 3 END AS INTEGER) AS width FROM events""",
+)
+def rotation_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.lit(0).alias("image_id"), F.col("event_id").alias("patch_index"))
+    patches = rows.select("*", F.lit(3).alias("width"), F.lit(2).alias("height"), F.lit(1).alias("channels"), F.array(*(F.lit(float(i)) for i in range(6))).alias("values"))
+    classes = rows.select("*", ((F.col("patch_index") % 4) * 90 - 360).cast("double").alias("rotation_degrees"), F.when(F.col("patch_index") % 7 == 0, 0.0).otherwise(0.9).alias("confidence"))
+    out = vision.rotate_patches(patches, classes)
+    return out.select(F.col("patch_index").alias("event_id"), F.col("rotation").cast("long").alias("rotation"), F.array_join(F.transform("values", lambda x: x.cast("int")), ",").alias("vals"), "width")
+
+
+@query(
+    "patch_geometry",
+    """WITH b AS (SELECT p_partkey, p_size * 3.0::DOUBLE AS x1, p_size * 1.0::DOUBLE AS y1, p_size * 3.0::DOUBLE + p_retailprice / 10 AS x2, p_size * 1.0::DOUBLE + 21 AS y2 FROM part),
+c AS (SELECT p_partkey, CAST(greatest(0, least(floor(x1 / 2), 99)) AS INTEGER) AS x1, CAST(greatest(0, least(floor(y1 / 2), 49)) AS INTEGER) AS y1, CAST(greatest(1, least(ceil(x2 / 2), 100)) AS INTEGER) AS x2, CAST(greatest(1, least(ceil(y2 / 2), 50)) AS INTEGER) AS y2 FROM b)
+SELECT *, CAST(least(greatest(round(CAST(CAST(x2 - x1 AS REAL) / CAST(y2 - y1 AS REAL) * 48 AS REAL)), 1), 320) AS INTEGER) AS patch_width FROM c WHERE x2 > x1 AND y2 > y1""",
+)
+def patch_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = F.col("p_size") * F.lit(3.0), F.col("p_size") * F.lit(1.0)
+    box = F.struct(x.alias("x1"), y.alias("y1"), (x + F.col("p_retailprice") / 10).alias("x2"), (y + 21).alias("y2"))
+    found = table(spark, sf_dir, "part").select("p_partkey", box.alias("b")).select("p_partkey", vision.patch_bounds(F.col("b"), F.lit(100), F.lit(50), F.lit(2.0), F.lit(2.0)).alias("g"))
+    return found.where("g is not null").select("p_partkey", "g.*")
+
+
 # ---- model tensors and streams: no SQL ----
 
 

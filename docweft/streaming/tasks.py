@@ -6,21 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweft.operators import store
-from docweft.operators.incremental import TERMINAL, stage_events
-from docweft.operators.postprocess import finalize
-from docweft.operators.extract import extract
 from docweft.operators.assemble import blocks_of
+from docweft.operators.incremental import ACCEPTED, TERMINAL, failure_events, sequenced
+from docweft.plans import engine
 from docweft.schema import SchemaSpec
-from docweft.sources.ingest import REQUEST, input_error, read_inline
+from docweft.sources.ingest import REQUEST, input_error, mode_error
 
-EVENTS = "task_id string, event_type string, stage string, payload string, sequence int"
+EVENTS = "task_id string, event_type string, stage string, payload string, sequence int, created_at_ms bigint"
 
 
 def request_stream(spark: SparkSession, path: str, files_at_once: int = 100) -> DataFrame:
     return spark.readStream.schema(REQUEST).option("maxFilesPerTrigger", files_at_once).json(path)
 
 
-def run_tasks(spark: SparkSession, inbox: str, out: str, schema: SchemaSpec):
+def run_tasks(spark: SparkSession, inbox: str, out: str, schema: SchemaSpec, config: engine.EngineConfig = engine.EngineConfig()):
     """A query that extracts every request below ``inbox``, for as long as files arrive, then ends.
 
     A batch writes its tasks and events into folders of its own number, so a
@@ -28,21 +27,21 @@ def run_tasks(spark: SparkSession, inbox: str, out: str, schema: SchemaSpec):
     """
 
     def batch(requests: DataFrame, number: int) -> None:
-        judged = requests.withColumn("error", input_error(F.col("kind"), F.col("content"), F.col("url")))
-        good = judged.where("error is null").select(
-            F.col("task_id").alias("doc_id"), F.col("kind").alias("source_type"), F.col("content").alias("text"), "url", "file_name", "mime_type"
+        refused = F.coalesce(mode_error(F.col("mode")), input_error(F.col("kind"), F.col("content"), F.col("url")))
+        rows = requests.select(
+            F.col("task_id").alias("doc_id"), F.col("kind").alias("source_type"), F.col("content").alias("text"), "url", "file_name", "mime_type", refused.alias("__error")
         )
-        docs = read_inline(good)
-        results = finalize(extract(docs, schema)).select(F.col("doc_id").alias("task_id"), F.to_json("fields").alias("fields"), F.lit("succeeded").alias("status"), F.lit(None).cast("string").alias("message"))
-        failed = judged.where("error is not null").select("task_id", F.lit(None).cast("string").alias("fields"), F.lit("failed").alias("status"), F.col("error").alias("message"))
-        tasks = results.unionByName(failed).withColumn("batch", F.lit(number).cast("long"))
-        tasks.write.mode("overwrite").parquet(f"{out}/tasks/batch={number}")
-        pages = F.transform("pages", lambda p: F.struct(p["page_no"].alias("page_no"), F.array_join(F.transform(p["blocks"], lambda b: b["text"]), "\n").alias("text")))
-        events = stage_events(
-            docs.select(F.col("doc_id").alias("task_id"), F.size("pages").cast("long").alias("page_count"), "plain_text", "source_type", pages.alias("pages")), mode="async"
+        done = engine.run_batch(rows.where(F.col("__error").isNull()).drop("__error"), schema, config, mode="async")
+        lost = rows.where(F.col("__error").isNotNull()).select("doc_id", F.col("__error").alias("error"))
+        now = F.unix_millis(F.current_timestamp())
+        state = done.tasks.select("task_id", F.to_json("fields").alias("fields"), "status", "message").unionByName(
+            lost.select(F.col("doc_id").alias("task_id"), F.lit(None).cast("string").alias("fields"), F.lit("failed").alias("status"), F.col("error").alias("message"))
         )
-        lost = failed.select("task_id", F.lit("failed").alias("event_type"), F.lit(None).cast("string").alias("stage"), F.to_json(F.struct("message")).alias("payload"), F.lit(1).alias("sequence"))
-        events.unionByName(lost).write.mode("overwrite").parquet(f"{out}/events/batch={number}")
+        queued = rows.select(F.col("doc_id").alias("task_id"), F.lit(None).cast("string").alias("fields"), F.lit("queued").alias("status"), F.lit(ACCEPTED).alias("message"), F.lit(0).alias("step"))
+        tasks = queued.unionByName(state.withColumn("step", F.lit(1))).withColumns({"batch": F.lit(number).cast("long"), "updated_at_ms": now})
+        tasks.write.mode("overwrite").parquet(f"{out}/tasks/batch={number}")
+        events = done.events.unionByName(sequenced(failure_events(lost, "async"))).withColumn("created_at_ms", now)
+        events.write.mode("overwrite").parquet(f"{out}/events/batch={number}")
 
     return (
         request_stream(spark, inbox)
@@ -55,8 +54,8 @@ def run_tasks(spark: SparkSession, inbox: str, out: str, schema: SchemaSpec):
 
 def tasks(spark: SparkSession, out: str) -> DataFrame:
     """The last state of each task."""
-    rows = spark.read.option("basePath", f"{out}/tasks").schema("task_id string, fields string, status string, message string, batch long").parquet(f"{out}/tasks/*")
-    return store.latest(rows, "task_id", ["batch"])
+    rows = spark.read.option("basePath", f"{out}/tasks").schema("task_id string, fields string, status string, message string, batch long, step int, updated_at_ms bigint").parquet(f"{out}/tasks/*")
+    return store.latest(rows, "task_id", ["batch", "step"])
 
 
 def events(spark: SparkSession, out: str, live: bool = False) -> DataFrame:
@@ -71,3 +70,8 @@ def ended(log: DataFrame) -> DataFrame:
 
 def block_count(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.size(blocks_of(F.col("pages"))).alias("blocks"))
+
+
+def known(asked: DataFrame, log: DataFrame) -> DataFrame:
+    """The asked task_id that have events."""
+    return asked.join(log.select("task_id").distinct(), "task_id", "left_semi")

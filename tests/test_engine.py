@@ -217,6 +217,62 @@ def test_vision(spark):
     assert (got.a, got.b) == ([0, 3, 6], [0])
 
 
+def test_recognition_of_the_fixed_case(spark):
+    """Detection, decoding and join of the fixed pipeline case."""
+    heat = np.zeros((5, 10), "f4")
+    heat[1, 1:4], heat[2, 1:4] = (0.7, 0.8, 0.8), (0.7, 0.9, 0.8)
+    heat[2, 7:9], heat[3, 7:9] = (0.6, 0.7), (0.6, 0.8)
+    maps = spark.createDataFrame([(1, 5, 10, heat.ravel().tolist())], "id long, height int, width int, values array<float>")
+    boxes = vision.detect(maps, 0.5, 2, 20.0).select(F.col("id").alias("image_id"), F.col("position").alias("patch_index"), F.col("confidence").alias("score"), F.struct("x1", "y1", "x2", "y2").alias("bbox"))
+    a = [0.9, 0.1, 0.0, 0.0, 0.1, 0.8, 0.1, 0.0, 0.1, 0.7, 0.2, 0.0, 0.8, 0.1, 0.0, 0.0, 0.1, 0.1, 0.7, 0.1]
+    b = [0.9, 0.0, 0.0, 0.1, 0.1, 0.1, 0.1, 0.7, 0.8, 0.1, 0.0, 0.1, 0.9, 0.0, 0.0, 0.1]
+    logits = spark.createDataFrame([(1, 0, [1, 5, 4], a), (1, 1, [1, 4, 4], b)], "image_id long, patch_index int, shape array<int>, v array<float>")
+    tokens = vision.charset("\ufeffA\n\nB\nC\n")
+    decoded = logits.withColumn("p", vision.plane(F.col("v"), F.col("shape"), 2)).withColumn("d", vision.decode_ctc(F.col("p.values"), F.col("p.shape")[0], tokens))
+    lines, lost = vision.recognized_lines(boxes, decoded.select("image_id", "patch_index", "d.text", "d.confidence"))
+    got = [(r.text, round(r.confidence, 4), tuple(r.bbox)) for r in lines.orderBy("patch_index").collect()]
+    assert got == [("AB", 0.75, (20.0, 20.0, 80.0, 60.0)), ("C", 0.675, (140.0, 40.0, 180.0, 80.0))] and lost.count() == 0
+    bad = decoded.select("image_id", (F.col("patch_index") + 5).alias("patch_index"), "d.text", "d.confidence")
+    assert vision.recognized_lines(boxes, bad)[1].count() == 1
+    assert spark.range(1).select(vision.decode_ctc(F.array(*(F.lit(0.5) for _ in range(6))), F.lit(1), tokens).alias("x")).first().x is None
+
+
+def test_model_answers(spark):
+    inputs = spark.createDataFrame([("d", "text", "Acme Corp 42\nother line", None, None, None)], INPUT)
+    docs = ingest.read_inline(inputs)
+    from docweft.operators import models
+
+    answer = {"fields": [{"key": "a", "value": {"x": ["ACME", None, 42]}, "confidence": 2}, {"key": "b", "value": " t ", "evidence": {"text": "free", "page_no": 9}}, {"key": "a", "value": 1}]}
+    bad = [{"fields": 3}, [1], {"a": 1, "a_evidence": 5}]
+    rows = spark.createDataFrame([("d", json.dumps(x)) for x in [answer, *bad]], "doc_id string, answer string")
+    good, errors = models.join_answers(rows, docs, SchemaSpec("s", "1", (FieldSpec("a", "object"), FieldSpec("b"), FieldSpec("c", "array"))))
+    f = good.first().fields
+    assert value(f[0]) == answer["fields"][0]["value"] and f[0].confidence == 1.0 and len(f[0].evidences) == 1
+    assert [(e.page_no, e.text) for e in f[1].evidences] == [(9, "free")] and value(f[2]) == [] and errors.count() == 3
+    got = spark.range(1).select(models.snippets(F.lit(json.dumps({"k": [" a ", "", 1.5, True, None, {"q\"": "b\"c"}]}))).alias("s")).first().s
+    assert got == ["a", "1.5", "true", 'b"c']
+
+
+def test_batches_and_cache(spark):
+    """A batch fills the cache, the next is answered from it; events carry payloads in order."""
+    rows = [("1", "text", "a: x\nb: y", None, None, None), ("2", "text", "a: x\nb: y", None, None, None), ("3", "text", " ", None, None, None)]
+    inputs = spark.createDataFrame(rows, INPUT)
+    schema = SchemaSpec("s", "1", (FieldSpec("a"),))
+    first = engine.run_batch(inputs, schema, now_ms=1)
+    state = {r.task_id: (r.status, r.cached, r.message) for r in first.tasks.collect()}
+    assert state == {"1": ("succeeded", False, None), "2": ("succeeded", True, "cache hit (hit_count=1, created_at_ms=1)"), "3": ("failed", False, "content is required")}
+    log = {}
+    for r in first.events.orderBy("task_id", "sequence").collect():
+        log.setdefault(r.task_id, []).append((r.event_type, json.loads(r.payload)))
+    assert [k for k, _ in log["1"]] == ["task.accepted", "stage.changed", "document.ready", "page.parsed", "stage.changed", "result.partial", "block.extracted", "stage.changed", "result.snapshot", "completed"]
+    assert [k for k, _ in log["2"]] == ["task.accepted", "cache.hit", "result.partial", "result.snapshot", "completed"] and log["2"][1][1]["hit_count"] == 1
+    assert [k for k, _ in log["3"]] == ["task.accepted", "stage.changed", "failed"] and log["3"][2][1] == {"message": "content is required"}
+    assert log["1"][5][1]["field"]["value"] == "x" and log["1"][6][1]["evidence_count"] == 1 and log["2"][4][1]["result"]["task_id"] == "2"
+    second = engine.run_batch(inputs.where("doc_id = '2'"), schema, cache=first.cache, now_ms=9)
+    assert [(r.cached, r.message) for r in second.tasks.collect()] == [(True, "cache hit (hit_count=2, created_at_ms=1)")]
+    assert [(r.hit_count, r.last_accessed_at_ms) for r in second.cache.collect()] == [(2, 9)]
+
+
 def test_requests_and_stream(spark, tmp_path):
     inbox = tmp_path / "in"
     inbox.mkdir()
