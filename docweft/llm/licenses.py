@@ -138,9 +138,20 @@ def stride(length: int) -> int:
     return max(1, length // 6)
 
 
-def document_frequency(files: DataFrame) -> DataFrame:
-    """In how many rows of ``files`` each term is, counted in the tasks before the shuffle."""
-    return files.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def template_frequency(files: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
+    """Rows of ``files`` and, for each term of the templates, how many of them have it."""
+    known = F.array(*(F.lit(t) for t in vocabulary))
+    found = F.array_intersect(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+", -1), known)
+    rows = files.select(F.explode(F.concat(F.array(F.lit("")), found)).alias("term")).groupBy("term").count().collect()
+    counts = {r["term"]: r["count"] for r in rows}
+    return counts.pop("", 0), counts
+
+
+def other_frequency(files: DataFrame, vocabulary: list[str], needed: DataFrame) -> DataFrame:
+    """In how many rows of ``files`` each needed term (term) is that the templates lack, counted in the tasks before the shuffle."""
+    known = F.array(*(F.lit(t) for t in vocabulary))
+    found = files.select(F.explode(F.array_except(F.split(F.lower("text"), "[^a-z0-9]+", -1), known)).alias("term"))
+    return found.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(needed, "term", "left_semi")
 
 
 def template_vectors(templates, total: int, frequency: dict[str, int]) -> list[dict[str, float]]:
@@ -195,9 +206,7 @@ def own_licenses(files: DataFrame, templates=TEMPLATES, least_score: float = 0.7
     ``share`` is the matched window's part of the file's terms.
     """
     vocabulary = sorted({t for _, text in templates for t in template_terms(text)})
-    frequency = settle(document_frequency(files))
-    total = files.count()
-    known = {r.term: r.df for r in frequency.where(F.col("term").isin(*vocabulary)).collect()}
+    total, known = template_frequency(files, vocabulary)
     vectors = template_vectors(templates, total, known)
     sizes = [len(template_terms(text)) for _, text in templates]
     listed = [
@@ -211,22 +220,27 @@ def own_licenses(files: DataFrame, templates=TEMPLATES, least_score: float = 0.7
     named = F.col("path").rlike(LICENSE_FILE)
     held = files.where(F.col("path").isNotNull() & F.arrays_overlap(F.split(F.lower("text"), "[^a-z0-9]+", -1), F.array(*(F.lit(t) for t in every_anchor))))
     found = held.select("path", F.xxhash64("text").alias("text_id"), F.size(words).alias("all"), candidate_windows(words, named, literal, vocabulary, bound).alias("found"))
-    units = found.select("path", "text_id", "all", F.explode("found").alias("u")).select("path", "text_id", "all", "u.k", "u.at", F.size("u.words").alias("size"), F.array_join("u.words", " ").alias("words"))
+    units = found.select("path", "text_id", "all", F.explode("found").alias("u")).select("path", "text_id", "all", "u.k", "u.at", F.size("u.words").alias("size"), F.array_join("u.words", " ").alias("words")).withColumn("unit", F.md5("words"))
     # equal windows of a file are one, and equal windows of all files are scored once
-    units = written(units.groupBy("path", "text_id", "all", "k", "size", "words").agg(F.min("at").alias("at")), "windows")
-    counted = units.select("k", "words").distinct().select("k", "words", F.explode(F.split("words", " ")).alias("term")).groupBy("k", "words", "term").agg(F.count(F.lit(1)).alias("tf"))
+    units = written(units.groupBy("path", "text_id", "all", "k", "size", "unit").agg(F.min("at").alias("at"), F.first("words").alias("words")), "windows")
+    texts = units.groupBy("k", "unit").agg(F.first("words").alias("words"))
+    counted = texts.select("k", "unit", F.explode(F.split("words", " ")).alias("term")).groupBy("k", "unit", "term").agg(F.count(F.lit(1)).alias("tf"))
     counted = written(counted, "terms")
+    units = units.drop("words")
+    plain = counted.select("term").distinct().where(~F.col("term").isin(*vocabulary))
+    of_templates = files.sparkSession.createDataFrame([(t, known.get(t, 0)) for t in vocabulary], "term string, df long")
+    frequency = settle(other_frequency(files, vocabulary, plain)).unionByName(of_templates)
     postings = files.sparkSession.createDataFrame([(k, t, w) for k, v in enumerate(vectors) for t, w in v.items()], "k int, term string, weight double")
     x = F.col("tf") * (F.log((F.lit(1.0) + total) / (F.lit(1) + F.col("df"))) + 1)
     scores = (
-        salted_join(counted, frequency, ["term"], hot_keys(counted, ["term"]), ["words"])
+        salted_join(counted, frequency, ["term"], hot_keys(counted, ["term"]), ["unit"])
         .join(F.broadcast(postings), ["k", "term"], "left")  # as many rows as the templates have terms
-        .groupBy("k", "words")
+        .groupBy("k", "unit")
         .agg(F.round(F.sum(x * F.coalesce("weight", F.lit(0.0))) / F.sqrt(F.sum(x * x)), 12).alias("score"))
         .where(F.col("score") >= least_score)
     )
     names = F.array(*(F.lit(name) for name, _ in templates))
-    scored = salted_join(units, scores, ["k", "words"], hot_keys(units, ["k", "words"]), ["path"]).select(
+    scored = salted_join(units, scores, ["k", "unit"], hot_keys(units, ["k", "unit"]), ["path"]).select(
         "path", "score", "k", "at", F.element_at(names, F.col("k") + 1).alias("name"), (F.col("size") / F.col("all")).alias("share")
     )
     stated = F.regexp_extract("text", SPDX, 1)
