@@ -26,7 +26,7 @@ def bind(value: Column, use) -> Column:
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.nullif(utrim(c), F.lit(""))
+    return bind(utrim(c), lambda t: F.when(t != "", t))
 
 
 def ascii_lower(c: Column) -> Column:
@@ -59,16 +59,18 @@ NUMBER = r"(?U)[-+]?\d+(?:\.\d+)?"
 
 def number_json(raw: Column) -> Column:
     """The first number of a text as JSON: a whole number if it fits a long, else a double, else null."""
-    digits = F.nullif(F.regexp_extract(F.replace(raw, F.lit(",")), NUMBER, 0), F.lit(""))
-    real = digits.try_cast("double")
-    return F.coalesce(
-        F.when(~digits.contains("."), digits.try_cast("bigint").cast("string")), F.when(~F.isnan(real) & (F.abs(real) != float("inf")), real.cast("string"))
-    )
+
+    def read(digits: Column) -> Column:
+        real = digits.try_cast("double")
+        return F.coalesce(
+            F.when(~digits.contains("."), digits.try_cast("bigint").cast("string")), F.when(~F.isnan(real) & (F.abs(real) != float("inf")), real.cast("string"))
+        )
+
+    return bind(F.regexp_extract(F.replace(raw, F.lit(",")), NUMBER, 0), read)
 
 
 def boolean_json(raw: Column) -> Column:
-    word = ascii_lower(utrim(raw))
-    return F.when(word.isin(*TRUE_WORDS), "true").when(word.isin(*FALSE_WORDS), "false")
+    return bind(ascii_lower(utrim(raw)), lambda word: F.when(word.isin(*TRUE_WORDS), "true").when(word.isin(*FALSE_WORDS), "false"))
 
 
 def string_json(raw: Column) -> Column:
@@ -78,12 +80,11 @@ def string_json(raw: Column) -> Column:
 
 def coerce_json(raw: Column, field_type: str) -> Column:
     """A raw value as JSON text of its field's type; null if it has none."""
-    text = blank_to_null(raw)
     if field_type == "number":
-        return number_json(text)
+        return number_json(raw)
     if field_type == "boolean":
-        return boolean_json(text)
-    return F.when(text.isNotNull(), string_json(text))
+        return boolean_json(raw)
+    return bind(blank_to_null(raw), lambda text: F.when(text.isNotNull(), string_json(text)))
 
 
 def preview(text: Column, n: int) -> Column:

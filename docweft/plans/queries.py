@@ -114,10 +114,12 @@ def extract_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+    # many expressions over few bytes: a stated number of partitions isn't merged by size, and both sides keep it through the join
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    items = table(spark, sf_dir, "lineitem").repartition(parts, "l_orderkey").groupBy("l_orderkey").agg(
         F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", "l_returnflag"))).alias("lines")
     )
-    return table(spark, sf_dir, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn(
+    return table(spark, sf_dir, "orders").repartition(parts, "o_orderkey").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn(
         "lines", F.coalesce("lines", F.array().cast("array<struct<l_linenumber:int,l_partkey:bigint,l_quantity:double,l_returnflag:string>>"))
     )
 
