@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docweft.functions.shared import fresh_dir, settle, shared_dir
 
-__all__ = ["bind", "fresh_dir", "hot_keys", "salted_join", "settle", "shared_dir", "table", "text_or_empty", "written"]
+__all__ = ["bind", "fresh_dir", "hot_keys", "salted_join", "settle", "shared_dir", "table", "text_or_empty", "unused", "written"]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -48,6 +48,12 @@ def salted_join(rows: DataFrame, few: DataFrame, keys: list[str], hot: DataFrame
     return left.join(right, [*keys, "__salt"]).drop("__salt")
 
 
+def unused(df: DataFrame, n: int) -> list[str]:
+    """``n`` column names that ``df`` lacks, in upper case and lower."""
+    taken = {c.lower() for c in df.columns}
+    return [name for name in (f"__own{k}" for k in range(n + len(taken))) if name not in taken][:n]
+
+
 def text_or_empty(name: str) -> Column:
     """A text column with null read as the empty string."""
     return F.coalesce(F.col(name), F.lit(""))

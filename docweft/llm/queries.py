@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweft.llm import chat, decontaminate, licenses, neardup, packing, pii, quality, repeats, topk, warc
+from docweft.llm import chat, codes, decontaminate, licenses, linededup, neardup, packing, phrases, pii, quality, repeats, topk, warc
 from docweft.llm.common import table
 
 
@@ -110,6 +110,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), most=3, least=10, inside_percent=50, top=2000)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    digest = F.lit(books.digest() if books else None).cast("string")
+    return coded.select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_pii_weak_supervision": op2_pii_weak_supervision,
@@ -121,8 +136,25 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_quality": op10_quality,
+    "op11_phrases": op11_phrases,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_line_dedup": op13_line_dedup,
 }
 
+
+def _code_rounds() -> str:
+    """The rounds of codebook training as common table expressions."""
+    out = []
+    for k in range(5):
+        out.append(f"""
+a{k} AS (SELECT i, p, x, arg_min((idx, d), (d, idx)) AS best FROM (SELECT v.i, v.p, v.x, c.idx, list_dot_product(v.x, v.x) - 2 * list_dot_product(v.x, c.x) + list_dot_product(c.x, c.x) AS d FROM v JOIN c{k} c USING (p)) GROUP BY 1, 2, 3)""")
+        if k < 4:
+            out.append(f"""
+m{k} AS (SELECT p, idx, list(m ORDER BY j) AS x FROM (SELECT p, best[1] AS idx, j, floor(sum(x[j]) / count(*)) AS m FROM a{k}, (SELECT unnest(range(1, 1 + (SELECT max(len(x)) FROM v))) AS j) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+c{k + 1} AS (SELECT p, idx, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN m{k} m USING (p, idx))""")
+    return ",".join(out)
+
+
 _STRIPPED = decontaminate._STRIP.replace("'", "''")
 _CLOSING = "\"''()[]{}«»“”‘’"
 _UNIT_LIST = ", ".join(f"'{u}'" for u in sorted(decontaminate.UNITS))
@@ -296,5 +328,39 @@ SELECT conv_id, count(*) AS n_turns,
   bool_and(fine) AND max_by(role, k) = 'assistant' AS valid,
   CAST(min(k) FILTER (NOT fine) AS BIGINT) AS bad_turn
 FROM judged GROUP BY conv_id, alone
+""",
+    "op11_phrases": r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM t),
+g AS (SELECT lang, 1 AS m, unnest(w) AS phrase FROM w
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY 1),
+c AS (SELECT lang, m, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE m > 1 AND f >= 10),
+k AS (SELECT *, array_to_string(w[1 : k], ' ') AS head, array_to_string(w[k + 1 :], ' ') AS tail FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+s AS (SELECT k.lang, k.phrase, a, k, x.f AS l, y.f AS r, 1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f) AS score
+  FROM k JOIN f x ON x.lang = k.lang AND x.phrase = head JOIN f y ON y.lang = k.lang AND y.phrase = tail),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM s) WHERE o = 1),
+i AS (SELECT lang, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase, a FROM c WHERE m = 3),
+d AS (SELECT lang, phrase, max(a) AS a FROM i GROUP BY 1, 2),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.phrase) AS rank FROM b LEFT JOIN d USING (lang, phrase) WHERE d.a IS NULL OR 100 * d.a < 50 * b.a)
+SELECT lang, CAST(rank AS INTEGER) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM o JOIN n USING (lang) WHERE rank <= 2000
+""",
+    "op12_vector_codes": f"""
+WITH e AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS i, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS (SELECT i, p, e[p * len(e) // 4 + 1 : (p + 1) * len(e) // 4] AS x FROM e, (SELECT unnest(range(4)) AS p)),
+c0 AS (SELECT p, i - 1 AS idx, x FROM v WHERE i <= 256),{_code_rounds()},
+q AS (SELECT i, string_agg(printf('%02x', best[1]), '' ORDER BY p) AS code, CAST(sum(best[2]) AS BIGINT) AS error FROM a4 GROUP BY 1),
+h AS (SELECT sha256(string_agg(array_to_string(list_transform(x, lambda y: CAST(CAST(y AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY p, idx)) AS codebooks_sha256 FROM c4)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM q JOIN e USING (i), h
+""",
+    "op13_line_dedup": r"""
+WITH l AS (SELECT d, doc_id, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS line FROM (SELECT row_number() OVER () AS d, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 20 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3),
+j AS (SELECT d, k.doc_id, pos, line, coalesce(top <> k.doc_id, false) AS gone FROM k LEFT JOIN c USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM j GROUP BY d, doc_id
 """,
 }
