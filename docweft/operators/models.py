@@ -204,7 +204,7 @@ def span_fields(spans: DataFrame, docs: DataFrame, schema: SchemaSpec) -> DataFr
     def build(spec: FieldSpec, above: tuple[str, ...]) -> Column:
         here = (*above, spec.key)
         if spec.children:
-            return combine(spec, [build(c, here) for c in spec.children])
+            return combine(spec, [build(c, here) for c in spec.children], distinct_evidences)
         return _span_leaf(spec, "::".join(here), F.col("predictions"))
 
     return span_values(spans, docs).select("doc_id", F.array(*(build(f, ()) for f in schema.fields)).alias("fields"), F.col("plain_text").alias("raw_text"))
