@@ -60,6 +60,8 @@ def pages_from_texts(doc_id: Column, page_texts: Column, kind: str) -> Column:
 def merge_extra(extra: Column, defaults: dict[str, Column]) -> Column:
     """``extra`` with defaults for keys that it lacks."""
     given = F.coalesce(extra, F.create_map().cast("map<string,string>"))
+    if not defaults:
+        return given
     more = F.create_map(*(x for k, v in defaults.items() for x in (F.lit(k), v.cast("string"))))
     kept = F.map_filter(more, lambda k, v: ~F.map_contains_key(given, k) & v.isNotNull())
     return F.map_concat(given, kept)

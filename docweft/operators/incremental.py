@@ -27,10 +27,6 @@ def changes(rows: DataFrame, group: list[str], key: str, position: list[str], va
     return changed.withColumn("revision", F.row_number().over(by_group))
 
 
-def new_evidences(current: Column, previous: Column) -> Column:
-    return F.when(previous.isNull(), current).otherwise(F.array_except(current, previous))
-
-
 def numbered(rows: DataFrame, task: str, order: list) -> DataFrame:
     """Rows with a sequence per task, from 1."""
     return rows.withColumn("sequence", F.row_number().over(Window.partitionBy(task).orderBy(*order)))
@@ -152,21 +148,18 @@ def document_events(docs: DataFrame, mode: str = "sync", normalized: bool = Fals
     return docs.select(F.col("doc_id").alias("task_id"), F.explode(F.concat(head, pages, tail)).alias("e")).select("task_id", "e.*")
 
 
-def partial_events(docs: DataFrame, results: DataFrame, evidence: bool = False) -> DataFrame:
+def partial_events(docs: DataFrame, changed: DataFrame, evidence: bool = False) -> DataFrame:
     """result.partial and block.extracted of every field that changes from one page prefix to the next.
 
-    ``docs`` are documents, ``results`` is (doc_id, prefix_pages, fields) of
-    their prefixes. New evidences are told whether or not evidences are asked for.
+    ``docs`` are documents, ``changed`` the rows of ``Matched.changes_by_page``, their
+    fields finalized. New evidences are told whether or not evidences are asked for.
     """
-    every = results.select("doc_id", "prefix_pages", F.posexplode("fields").alias("n", "f")).select(
-        "doc_id", "prefix_pages", "n", F.col("f.key").alias("key"), F.struct("f.value_json", "f.confidence", "f.evidences").alias("state"), "f"
-    )
-    seen = every.withColumn("__key", F.concat_ws(":", F.lpad(F.col("n").cast("string"), 6, "0"), "key"))
-    changed = changes(seen, ["doc_id"], "__key", ["prefix_pages"], "state")
+    state = F.struct("f.value_json", "f.confidence", "n_evidences")
+    seen = changed.withColumns({"state": state, "__key": F.concat_ws(":", F.lpad(F.col("n").cast("string"), 6, "0"), "key")})
+    told = changes(seen, ["doc_id"], "__key", ["prefix_pages"], "state")
     context = docs.select("doc_id", F.col("metadata.extra").alias("__extra"), "pages")
-    rows = changed.join(context, "doc_id").withColumn("__page", F.get("pages", F.col("prefix_pages") - 1))
+    rows = told.join(context, "doc_id").withColumn("__page", F.get("pages", F.col("prefix_pages") - 1))
     number = F.coalesce(F.col("__page.page_no"), F.lit(1))
-    new = new_evidences(F.col("f.evidences"), F.col("previous.evidences"))
     view = [
         ("width", F.col("__page.width").cast("string")), ("height", F.col("__page.height").cast("string")),
         ("rotation_degrees", page_value(F.col("__extra"), number, "rotation_degrees").try_cast("float").cast("string")),
@@ -183,7 +176,6 @@ def partial_events(docs: DataFrame, results: DataFrame, evidence: bool = False)
         ("source_block_ids", T.to_json(F.array_sort(F.array_distinct(F.flatten(F.transform("new", lambda e: e["source_block_ids"])))))),
         ("snippets", T.to_json(F.array_sort(F.array_distinct(F.transform("new", lambda e: e["text"]))))), *_boxes(F.col("new")), *view,
     )
-    rows = rows.withColumn("new", new)
     told = F.array(event(7, "result.partial", partial, page=F.col("revision")))
     extracted = F.when(F.size("new") > 0, F.array(event(7, "block.extracted", block, page=F.col("revision"), part=1))).otherwise(F.array().cast(f"array<{EVENT}>"))
     return rows.select(F.col("doc_id").alias("task_id"), F.explode(F.concat(told, extracted)).alias("e")).select("task_id", "e.*")

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from docweft.functions.shared import settle
 from docweft.operators import store
-from docweft.operators.assemble import first_error, from_normalized, incremental_documents
+from docweft.operators.assemble import first_error, from_normalized
+from docweft.operators.extract import Matched
 from docweft.operators.extract import extract as extract_fields
 from docweft.operators.incremental import cache_events, document_events, failure_events, opening, partial_events, result_events, sequenced
-from docweft.operators.postprocess import finalize, respond
+from docweft.operators.postprocess import finalize, normalize_evidences, normalize_field, respond
 from docweft.schema import SchemaSpec
 from docweft.sources import docx, ingest, ocr, pdf
 
@@ -100,12 +101,10 @@ def extract_files(spark: SparkSession, path: str, schema: SchemaSpec, config: En
     return _results(docs, schema, config), errors
 
 
-def _results_of_prefixes(docs: DataFrame, schema: SchemaSpec) -> DataFrame:
-    """doc_id, prefix_pages and fields of every page prefix of ``docs``."""
-    prefixes = incremental_documents(docs)
-    marked = prefixes.withColumn("doc_id", F.concat_ws("\x1f", "doc_id", F.col("prefix_pages").cast("string")))
-    parts = F.split("doc_id", "\x1f")
-    return finalize(extract_fields(marked, schema)).select(parts[0].alias("doc_id"), parts[1].cast("int").alias("prefix_pages"), "fields")
+def finalized_changes(matched: Matched, evidence: bool) -> DataFrame:
+    """The fields of a document's page prefixes, where they change, as a response shows them."""
+    rows = matched.changes_by_page(evidence)
+    return rows.withColumns({"f": normalize_field(F.col("f")), "new": normalize_evidences(F.col("new"))})
 
 
 @dataclass(frozen=True)
@@ -140,9 +139,8 @@ def run_batch(
     missed = probed.where("nth = 0 and not known").select("doc_id")
     todo = judged.join(missed, "doc_id", "left_semi")
     docs = settle(from_normalized(todo) if normalized else ingest.read_inline(todo))
-    every = settle(_results_of_prefixes(docs, schema))
-    last = every.groupBy("doc_id").agg(F.max_by("fields", "prefix_pages").alias("fields")).join(docs.select("doc_id", F.col("plain_text").alias("raw_text")), "doc_id")
-    final = settle(respond(last, config.return_raw_text, config.return_evidence))
+    matched = Matched(docs, schema, by_page=True).settled(settle)
+    final = settle(respond(finalize(matched.fields()), config.return_raw_text, config.return_evidence).drop("status"))
     stored = final.join(probed.select("doc_id", "cache_key"), "doc_id").select("cache_key", F.to_json("fields").alias("fields"), "raw_text")
     after = settle(store.updated_cache(cache, stored, probed, now_ms))
     kind = final.schema["fields"].dataType.simpleString()
@@ -150,7 +148,7 @@ def run_batch(
     hits = settle(probed.where("nth > 0 or known").join(held, "cache_key").withColumn("hit_count", F.col("nth")))
     told = [
         document_events(docs, mode, normalized),
-        partial_events(docs, every, config.return_evidence),
+        partial_events(docs, finalized_changes(matched, config.return_evidence), config.return_evidence),
         result_events(final),
         hits.select(F.col("doc_id").alias("task_id"), F.explode(F.array(*opening(mode, normalized))).alias("e")).select("task_id", "e.*"),
         cache_events(hits),

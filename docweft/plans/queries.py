@@ -586,7 +586,7 @@ def _prefix_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     role = lambda x: F.concat(F.lit("role: "), x["role"], F.when(x["turn"] % 2 == 1, "\nodd: yes").otherwise(""))
     docs = _conversation_documents(spark, sf_dir, role)
     schema = SchemaSpec("q", "1", (FieldSpec("role", multiple=True), FieldSpec("odd", "boolean")))
-    return incremental.partial_events(docs, engine._results_of_prefixes(docs, schema), evidence=True)
+    return incremental.partial_events(docs, engine.finalized_changes(extract.Matched(docs, schema, by_page=True), True), evidence=True)
 
 
 _PREFIX_SQL = """WITH t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS page, count(*) OVER (PARTITION BY conv_id) AS pages, role FROM conversations),
