@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,3 +38,24 @@ def settle(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder (a reliable checkpoint)."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: A key is hot if it holds this share of the rows, and this many at least.
+HOT_SHARE, HOT_LEAST = 1000, 2000
+
+
+def spread_join(rows: DataFrame, few: DataFrame, keys: list[str], spread: list[str], how: str = "inner", parts: int = 64) -> DataFrame:
+    """``rows`` joined with ``few``, which has each key once; rows of a hot key are dealt over ``parts`` tasks by ``spread``.
+
+    The hot keys, ``HOT_SHARE`` at most, are found by a count beforehand and
+    broadcast; of ``few`` only their rows are repeated. Null keys find nothing.
+    """
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    total = rows.count()
+    hot = F.broadcast(settle(counts.where(F.col("__n") >= max(HOT_LEAST, total / HOT_SHARE)).select(*keys)).withColumn("__hot", F.lit(True)))
+    zero = F.lit(0).cast("long")
+    part = F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread), F.lit(parts))).otherwise(zero)
+    every = F.when(F.col("__hot"), F.sequence(zero, F.lit(parts - 1).cast("long"))).otherwise(F.array(zero))
+    left = rows.join(hot, keys, "left").withColumn("__part", part).drop("__hot")
+    right = few.join(hot, keys, "left").withColumn("__part", F.explode(every)).drop("__hot")
+    return left.join(right, [*keys, "__part"], how).drop("__part")

@@ -203,11 +203,14 @@ def result_events(results: DataFrame, cached: bool = False) -> DataFrame:
     return results.select(F.col("doc_id").alias("task_id"), F.explode(rows).alias("e")).select("task_id", "e.*")
 
 
-def failure_events(failed: DataFrame, mode: str = "sync", normalized: bool = False) -> DataFrame:
-    """Events of tasks (doc_id, error) that failed: a failed stage, for those that someone waits for, and failed."""
+def failure_events(failed: DataFrame, mode: str = "sync", normalized: bool = False, begun: bool = False) -> DataFrame:
+    """Events of tasks (doc_id, error) that failed: a failed stage, for those that someone waits for, and failed.
+
+    ``begun``: their parsing had begun.
+    """
     message = F.col("error")
     said = event(11, "failed", T.object_json(("message", text_json(message))))
-    rows = [*opening(mode, normalized), *([stage("failed", 11, "failed", message, part=-1)] if mode == "sync" else []), said]
+    rows = [*opening(mode, normalized), *([stage("parsing", 3)] if begun else []), *([stage("failed", 11, "failed", message, part=-1)] if mode == "sync" else []), said]
     return failed.select(F.col("doc_id").alias("task_id"), F.explode(F.array(*rows)).alias("e")).select("task_id", "e.*")
 
 

@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweft.functions.shared import settle
-from docweft.operators import store
+from docweft.functions.shared import settle, spread_join
+from docweft.operators import requests, store
 from docweft.operators.assemble import first_error, from_normalized
 from docweft.operators.extract import Matched
 from docweft.operators.extract import extract as extract_fields
@@ -70,20 +70,29 @@ def read_images(files: DataFrame, config: EngineConfig) -> tuple[DataFrame, Data
     return docs, rows.where("error is not null").select("doc_id", "error")
 
 
+def documents_of(files: DataFrame, config: EngineConfig = EngineConfig()) -> tuple[DataFrame, DataFrame]:
+    """Documents of files (doc_id, file_name, mime_type, source_type, content, byte_size), each read by its type, and (doc_id, error)."""
+    return _documents_of(lambda *kinds: files.where(F.col("source_type").isin(*kinds)), config)
+
+
 def read_documents(spark: SparkSession, path: str, config: EngineConfig = EngineConfig()) -> tuple[DataFrame, DataFrame]:
     """Documents of all files below a path, each read by its type, and (doc_id, error).
 
     Each reader lists the files of its own type by their names and opens no other.
     """
-    text = ingest.read_files(spark, path, "text", "html", "markdown").select(
+    return _documents_of(lambda *kinds: ingest.read_files(spark, path, *kinds), config)
+
+
+def _documents_of(files: Callable[..., DataFrame], config: EngineConfig) -> tuple[DataFrame, DataFrame]:
+    text = files("text", "html", "markdown").select(
         "*", ingest.payload_text(F.lit(None).cast("string"), F.col("content")).alias("text"), F.lit(None).cast("string").alias("url")
     )
-    docs = [ingest.read_inline(text.where("text is not null")), ingest.read_unknown(ingest.read_files(spark, path, "unknown"))]
+    docs = [ingest.read_inline(text.where("text is not null")), ingest.read_unknown(files("unknown"))]
     errors = [text.where("text is null").select("doc_id", F.lit("not UTF-8").alias("error"))]
     readers = (
-        docx.read_docx(ingest.read_files(spark, path, "docx")),
-        read_images(ingest.read_files(spark, path, "image"), config),
-        pdf.read_pdf(ingest.read_files(spark, path, "pdf"), config.provider(), config.ocr_name(), config.ocr_transport(), config.rasterizer),
+        docx.read_docx(files("docx")),
+        read_images(files("image"), config),
+        pdf.read_pdf(files("pdf"), config.provider(), config.ocr_name(), config.ocr_transport(), config.rasterizer),
     )
     for found, failed in readers:
         docs.append(found)
@@ -116,10 +125,20 @@ class Outcome:
     cache: DataFrame
 
 
+@dataclass(frozen=True)
+class Solved:
+    """What the requests that the cache lacks give: documents, results (doc_id, fields, raw_text), failures and changes by page."""
+
+    docs: DataFrame
+    final: DataFrame
+    failed: DataFrame
+    changed: DataFrame | None = None
+
+
 def run_batch(
     inputs: DataFrame, schema: SchemaSpec, config: EngineConfig = EngineConfig(), cache: DataFrame | None = None, mode: str = "sync", normalized: bool = False, order: str = "doc_id", now_ms: int = 0
 ) -> Outcome:
-    """Tasks of a batch of inputs (inline, or normalized documents), through the cache.
+    """Tasks of a batch of inputs (inline, normalized documents, or files with their content), through the cache.
 
     The key of a request digests its input, the schema and the options. The first
     request of a key that the cache lacks is extracted and stored; all others
@@ -128,32 +147,101 @@ def run_batch(
     error = (
         first_error(F.col("protocol_version"), F.col("sdk_version"), F.col("plain_text"), F.col("pages"))
         if normalized
+        else F.lit(None).cast("string")
+        if "content" in inputs.columns
         else ingest.input_error(F.col("source_type"), F.col("text"), F.col("url"))
     )
     columns = [c for c in inputs.columns if c not in ("doc_id", order)]
     options = F.lit(f"{config.return_raw_text} {config.return_evidence}")
     key = store.cache_key(F.struct(*columns), F.lit(schema.to_json()), options)
-    judged = settle(inputs.withColumns({"error": error, "cache_key": key}))
-    failed = judged.where("error is not null").select("doc_id", "error")
+    judged = settle(inputs.withColumns({"error": error, "cache_key": key, "mode": F.lit(mode)}))
+
+    def solve(missed: DataFrame) -> Solved:
+        todo = judged.join(missed, "doc_id", "left_semi")
+        failed = judged.limit(0).select("doc_id", "error")
+        if normalized:
+            docs = from_normalized(todo)
+        elif "content" in inputs.columns:
+            docs, failed = documents_of(todo, config)
+        else:
+            docs = ingest.read_inline(todo)
+        docs = settle(docs)
+        matched = Matched(docs, schema, by_page=True).settled(settle)
+        final = settle(respond(finalize(matched.fields()), config.return_raw_text, config.return_evidence).drop("status"))
+        return Solved(docs, final, failed, finalized_changes(matched, config.return_evidence))
+
+    return answered(judged, solve, cache, normalized, order, now_ms, config.return_evidence)
+
+
+def run_uploads(files: DataFrame, uploads: DataFrame, config: EngineConfig = EngineConfig(), cache: DataFrame | None = None, order: str = "task_id", now_ms: int = 0) -> Outcome:
+    """Tasks of upload requests (requests.UPLOAD) for files (path, content, byte_size), each with its own schema, mode and options.
+
+    A file is read once for each name and type that requests give it, however
+    many ask for it. Requests that break a rule, name no file that is there, or
+    name one that its reader refuses, fail with the reason.
+    """
+    asked = requests.judged(uploads).withColumns({"doc": F.sha2(F.to_json(F.struct("path", "file_name", "mime_type"), {"ignoreNullFields": "false"}), 256)})
+    name = F.coalesce("file_name", F.element_at(F.split("path", "/"), -1))
+    wanted = asked.where("error is null").select("doc", "path", name.alias("file_name"), "mime_type").distinct()
+    read = wanted.join(files.select("path", "content", F.col("byte_size").cast("bigint").alias("byte_size")), "path")
+    held = settle(
+        read.select(F.col("doc").alias("doc_id"), "file_name", "mime_type", ingest.source_type(F.col("file_name"), F.col("mime_type")).alias("source_type"), "content", "byte_size", F.sha2("content", 256).alias("digest"))
+    )
+    digests = held.select(F.col("doc_id").alias("doc"), "digest")
+    found = spread_join(asked, digests, ["doc"], ["task_id"], how="left")
+    missing = F.when(F.col("digest").isNull(), "file not found")
+    key = store.cache_key(F.struct("digest", "file_name", "mime_type"), F.col("schema"), F.struct("return_raw_text", "return_evidence"))
+    judged = settle(found.withColumns({"doc_id": F.col("task_id"), "error": F.coalesce("error", missing), "cache_key": key}))
+
+    def solve(missed: DataFrame) -> Solved:
+        todo = judged.join(missed, "doc_id", "left_semi")
+        docs, failed = documents_of(held.join(todo.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").drop("digest"), config)
+        docs, failed = settle(docs), settle(failed)
+        final = settle(requests.extract_requests(todo.drop("doc_id").withColumnRenamed("doc", "doc_id"), docs).drop("status").withColumnRenamed("task_id", "doc_id"))
+        of_task = todo.select(F.col("doc_id").alias("task_id"), F.col("doc").alias("doc_id"))
+        per_task = spread_join(of_task, docs, ["doc_id"], ["task_id"]).drop("doc_id").withColumnRenamed("task_id", "doc_id")
+        lost = spread_join(of_task, failed, ["doc_id"], ["task_id"]).select(F.col("task_id").alias("doc_id"), "error")
+        return Solved(per_task, final, lost)
+
+    return answered(judged, solve, cache, False, order, now_ms, True)
+
+
+def _by_mode(rows: DataFrame, modes: DataFrame, tell: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """``tell`` of the rows (doc_id) of either mode."""
+    later = F.col("mode") == "async"  # a mode that there isn't is told of at once
+    both = [tell(rows.join(modes.where(own).select("doc_id"), "doc_id", "left_semi"), m) for m, own in (("sync", ~later), ("async", later))]
+    return both[0].unionByName(both[1])
+
+
+def answered(judged: DataFrame, solve: Callable[[DataFrame], Solved], cache: DataFrame | None, normalized: bool, order: str, now_ms: int, evidence: bool) -> Outcome:
+    """Tasks, events and cache of judged requests (doc_id, error, cache_key, mode, and what orders them).
+
+    Requests of a key whose first request fails while it is read fail with the same reason.
+    """
+    modes = judged.select("doc_id", "mode")
     probed = settle(store.probe(judged.where("error is null").select("doc_id", "cache_key", *({order} - {"doc_id"})), cache, [order]))
-    missed = probed.where("nth = 0 and not known").select("doc_id")
-    todo = judged.join(missed, "doc_id", "left_semi")
-    docs = settle(from_normalized(todo) if normalized else ingest.read_inline(todo))
-    matched = Matched(docs, schema, by_page=True).settled(settle)
-    final = settle(respond(finalize(matched.fields()), config.return_raw_text, config.return_evidence).drop("status"))
+    solved = solve(probed.where("nth = 0 and not known").select("doc_id"))
+    unread = settle(solved.failed.join(probed, "doc_id").select("cache_key", "error"))
+    again = spread_join(probed, unread, ["cache_key"], ["doc_id"]).select("doc_id", "error")
+    refused, again = judged.where("error is not null").select("doc_id", "error"), settle(again)
+    failed = refused.unionByName(again)
+    final = solved.final
     stored = final.join(probed.select("doc_id", "cache_key"), "doc_id").select("cache_key", F.to_json("fields").alias("fields"), "raw_text")
-    after = settle(store.updated_cache(cache, stored, probed, now_ms))
+    read = probed.join(again.select("doc_id"), "doc_id", "left_anti")
+    after = settle(store.updated_cache(cache, stored, read, now_ms))
     kind = final.schema["fields"].dataType.simpleString()
     held = after.select("cache_key", F.from_json("fields", kind).alias("fields"), "raw_text", "created_at_ms", "last_accessed_at_ms")
-    hits = settle(probed.where("nth > 0 or known").join(held, "cache_key").withColumn("hit_count", F.col("nth")))
+    hits = settle(spread_join(read.where("nth > 0 or known"), held, ["cache_key"], ["doc_id"]).withColumn("hit_count", F.col("nth")))
+    begun = lambda rows, mode: rows.select(F.col("doc_id").alias("task_id"), F.explode(F.array(*opening(mode, normalized))).alias("e")).select("task_id", "e.*")
     told = [
-        document_events(docs, mode, normalized),
-        partial_events(docs, finalized_changes(matched, config.return_evidence), config.return_evidence),
+        _by_mode(solved.docs, modes, lambda rows, mode: document_events(rows, mode, normalized)),
+        *([partial_events(solved.docs, solved.changed, evidence)] if solved.changed is not None else []),
         result_events(final),
-        hits.select(F.col("doc_id").alias("task_id"), F.explode(F.array(*opening(mode, normalized))).alias("e")).select("task_id", "e.*"),
+        _by_mode(hits, modes, begun),
         cache_events(hits),
         result_events(hits, cached=True),
-        failure_events(failed, mode, normalized),
+        _by_mode(refused, modes, lambda rows, mode: failure_events(rows, mode, normalized)),
+        _by_mode(again, modes, lambda rows, mode: failure_events(rows, mode, normalized, begun=True)),
     ]
     events = told[0]
     for rows in told[1:]:
@@ -163,7 +251,7 @@ def run_batch(
     shape = lambda rows, status, said, cached: rows.select(F.col("doc_id").alias("task_id"), F.lit(status).alias("status"), "fields", "raw_text", said.alias("message"), F.lit(cached).alias("cached"))
     empty = failed.select("doc_id", "error", F.lit(None).cast(kind).alias("fields"), none.alias("raw_text"))
     tasks = shape(final, "succeeded", none, False).unionByName(shape(hits, "succeeded", message, True)).unionByName(shape(empty, "failed", F.col("error"), False))
-    return Outcome(tasks, sequenced(events), after)
+    return Outcome(tasks, sequenced(events).withColumn("created_at_ms", F.lit(now_ms).cast("bigint")), after)
 
 
 def engine_info(config: EngineConfig = EngineConfig()) -> dict[str, str]:

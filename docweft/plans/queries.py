@@ -823,6 +823,75 @@ def patch_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("g is not null").select("p_partkey", "g.*")
 
 
+# ---- uploads with a schema each ----
+
+#: Twenty schemas of customers: each asks for the name or the segment under another label, as a string or a list, alone or inside an object.
+_SHAPES = ("plain", "multiple", "object", "array")
+
+
+def _upload_schema(k: int) -> str:
+    inner = FieldSpec("name" if k % 2 == 0 else "segment", required=k % 3 == 0, multiple=_SHAPES[k % 4] in ("multiple", "array"), hints=(f"label{k}",))
+    fields = {"object": FieldSpec("who", "object", children=(inner, FieldSpec("balance", "number"))), "array": FieldSpec("who", "array", children=(inner,))}
+    return SchemaSpec(f"s{k}", "1", (fields.get(_SHAPES[k % 4], inner),)).to_json()
+
+
+def _customer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text of each customer as a file; the label of the name depends on the schema that asks for it, every 50th file isn't UTF-8."""
+    rows = table(spark, sf_dir, "customer")
+    k = (F.col("c_custkey") % 20).cast("string")
+    text = F.concat_ws("\n", F.concat(F.lit("label"), k, F.lit(": "), F.col("c_name")), line("segment", F.col("c_mktsegment")), line("balance", F.col("c_nationkey")))
+    content = F.when(F.col("c_custkey") % 50 == 0, F.unhex(F.lit("FFFE00"))).otherwise(F.encode(text, "UTF-8"))
+    return rows.select(F.concat(F.lit("c/"), F.col("c_custkey").cast("string"), F.lit(".txt")).alias("path"), content.alias("content"), F.octet_length(content).cast("long").alias("byte_size"))
+
+
+def _uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for each customer's file with one of the schemas; some have none, ask for a file that isn't there or in a way that there isn't."""
+    key, none = F.col("c_custkey"), F.lit(None).cast("string")
+    schemas = F.array(*(F.lit(_upload_schema(k)) for k in range(20)))
+    return table(spark, sf_dir, "customer").select(
+        F.lpad(key.cast("string"), 12, "0").alias("task_id"), F.concat(F.lit("c/"), F.when(key % 70 == 1, "none").otherwise(key.cast("string")), F.lit(".txt")).alias("path"), none.alias("file_name"),
+        none.alias("mime_type"), F.when(key % 30 == 7, "later").when(key % 2 == 0, " async ").alias("mode"), F.when(key % 40 != 9, F.get(schemas, (key % 20).cast("int"))).alias("schema"),
+        F.when(key % 3 == 0, '{"return_evidence":true}').alias("options"),
+    )
+
+
+_UPLOAD_SQL = """WITH c AS (SELECT *, c_custkey % 20 AS k, CASE WHEN c_custkey % 40 = 9 THEN 'multipart field `schema` is required' WHEN c_custkey % 30 = 7 THEN 'mode must be sync or async'
+  WHEN c_custkey % 70 = 1 THEN 'file not found' WHEN c_custkey % 50 = 0 THEN 'not UTF-8' END AS message FROM customer),
+v AS (SELECT *, CASE WHEN k % 2 = 0 THEN c_name ELSE c_mktsegment END AS word, k % 4 AS shape FROM c),
+w AS (SELECT *, CASE WHEN k % 2 = 0 THEN [c_name] ELSE [c_mktsegment, c_name] END AS words FROM v)"""
+
+
+@query(
+    "upload_requests",
+    _UPLOAD_SQL
+    + """ SELECT c_custkey, CASE WHEN message IS NULL THEN 'succeeded' ELSE 'failed' END AS status, message,
+  CASE WHEN message IS NOT NULL THEN NULL WHEN shape = 0 THEN '"' || word || '"' WHEN shape = 1 THEN '["' || array_to_string(words, '","') || '"]'
+    WHEN shape = 2 THEN '{"name":"' || word || '","balance":' || c_nationkey || '}' ELSE '[' || array_to_string(list_transform(words, lambda x: '{"segment":"' || x || '"}'), ',') || ']' END AS value,
+  CASE WHEN message IS NOT NULL THEN NULL WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END::BIGINT AS n_evidence FROM w""",
+)
+def upload_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = engine.run_uploads(_customer_files(spark, sf_dir), _uploads(spark, sf_dir))
+    evidences = F.when(F.col("fields").isNotNull(), F.size(field(0)["evidences"]).cast("long"))
+    return done.tasks.select(F.col("task_id").cast("long").alias("c_custkey"), "status", "message", field(0)["value_json"].alias("value"), evidences.alias("n_evidence"))
+
+
+@query(
+    "upload_failures",
+    _UPLOAD_SQL
+    + """, e AS (SELECT *, c_custkey % 2 = 0 AND c_custkey % 30 <> 7 AS later, message = 'not UTF-8' AS begun FROM w WHERE message IS NOT NULL),
+x AS (SELECT c_custkey, message, unnest(list_filter([{'o': 1, 'e': 'task.accepted', 's': NULL}, CASE WHEN later THEN {'o': 2, 'e': 'stage.changed', 's': 'queued'} END, CASE WHEN begun THEN {'o': 3, 'e': 'stage.changed', 's': 'parsing'} END,
+  CASE WHEN NOT later THEN {'o': 4, 'e': 'stage.changed', 's': 'failed'} END, {'o': 5, 'e': 'failed', 's': NULL}], lambda y: y IS NOT NULL)) AS x FROM e)
+SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY x.o) AS INTEGER) AS sequence, x.e AS event_type, x.s AS stage,
+  CASE WHEN x.o > 3 THEN message WHEN x.s = 'queued' THEN 'task has been accepted for background processing' END AS message FROM x""",
+)
+def upload_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = engine.run_uploads(_customer_files(spark, sf_dir), _uploads(spark, sf_dir))
+    failed = done.tasks.where("status = 'failed'").select("task_id")
+    return done.events.join(failed, "task_id", "left_semi").select(
+        F.col("task_id").cast("long").alias("c_custkey"), "sequence", "event_type", "stage", F.get_json_object("payload", "$.message").alias("message")
+    )
+
+
 # ---- model tensors and streams: no SQL ----
 
 
