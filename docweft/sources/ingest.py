@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlparse
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,6 +113,14 @@ def read_normalized(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("doc_id string, " + NORMALIZED).json(path)
 
 
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, content, byte_size) of all files below a folder, their paths relative to it."""
+    top = urlparse(root).path.rstrip("/") + "/"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    path = F.substring(F.col("path"), F.locate(top, F.col("path")) + len(top), F.length("path"))
+    return files.select(path.alias("path"), "content", F.col("length").alias("byte_size"))
+
+
 def _any_case(ending: str) -> str:
     return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ending)
 
