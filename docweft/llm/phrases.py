@@ -31,14 +31,14 @@ from pyspark.sql import functions as F
 from docweft.llm.common import hot_keys, salted_join, written
 
 #: Bytes of text that are split at once.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 #: Pointers that a prefix may have to be dealt as a whole: a share of all words, within bounds.
 PREFIX_SHARE, PREFIX_LEAST, PREFIX_MOST = 2000, 2_000, 200_000
 #: Bits of the bitmap of long prefixes: 2 MB.
 FILTER_BITS = 1 << 24
 PHRASES = "lang string, phrase string, f long"
 #: Pointers that a task looks at together; a prefix is never split between two looks.
-LOOK = 400_000
+LOOK = 200_000
 
 #: What ends a piece, what stands between words.
 _PIECE_ENDS, _BLANKS = ".,;:!?\n\x0b\x0c\r", " \t"
@@ -59,18 +59,16 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     raw = np.frombuffer(data, np.uint8)
     kind = _KIND[raw]
     inside = kind == 0
-    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    offsets = (np.flatnonzero(inside[1:] != inside[:-1]) + 1).astype(np.int32)
     if inside[0]:
-        edges = np.r_[0, edges]
-    starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
-        return pa.array([], pa.string()), np.empty(0, np.int64), np.empty(0, np.int64)
-    piece = np.cumsum(kind == 2)[starts]
-    sizes = np.array([len(x) + 1 for x in whole])
-    text = np.searchsorted(np.cumsum(sizes), starts, side="right")
-    # words and the gaps between them lie side by side, so the offsets are the edges
-    offsets = np.empty(2 * len(starts), np.int32)
-    offsets[::2], offsets[1::2] = starts, ends
+        offsets = np.r_[np.int32(0), offsets]
+    if not len(offsets):
+        return pa.array([], pa.string()), np.empty(0, np.int32), np.empty(0, np.int32)
+    starts = offsets[::2]
+    piece = np.cumsum(kind == 2, dtype=np.int32)[starts]
+    ends = np.cumsum(np.array([len(x) + 1 for x in whole]))
+    text = np.searchsorted(ends, starts, side="right").astype(np.int32)
+    # words and the gaps between them lie side by side, so where they begin and end are the offsets of both
     both = pa.Array.from_buffers(pa.string(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(_LOWER[raw].tobytes())])
     return both.take(pa.array(np.arange(0, len(offsets) - 1, 2))), text, piece
 
@@ -79,7 +77,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array,
     """(languages, distinct words, language and word of each word, its piece) of blocks of texts."""
     for batch in batches:
         langs = batch.column(0).dictionary_encode()
-        code = np.asarray(langs.indices).astype(np.int64)
+        code = np.asarray(langs.indices)
         sizes = np.asarray(pc.binary_length(batch.column(1)).fill_null(0)).astype(np.int64)
         block = np.cumsum(sizes) // BLOCK_BYTES
         cuts = np.r_[0, np.flatnonzero(np.diff(block)) + 1, len(sizes)] if len(sizes) else np.zeros(1, np.int64)
@@ -87,7 +85,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array,
             words, text, piece = split_words(batch.column(1).slice(a, z - a))
             if len(words):
                 coded = words.dictionary_encode()
-                yield langs.dictionary.to_pylist(), coded.dictionary, code[a:z][text], np.asarray(coded.indices).astype(np.int64), piece
+                yield langs.dictionary.to_pylist(), coded.dictionary, code[a:z][text], np.asarray(coded.indices), piece
 
 
 def _grouped(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,12 +101,20 @@ def _grouped(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.nd
 
 
 def _hashed(words: pa.Array) -> np.ndarray:
-    """A 64-bit number of each word, the same in all tasks."""
-    import xxhash
-
-    return np.array([xxhash.xxh64_intdigest(w) for w in words.cast(pa.binary()).to_pylist()], np.uint64)
-
-
+    """A 64-bit number of each word, the same in all tasks: its bytes as digits of a number to an odd base, mixed."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[: offsets[-1]].astype(np.uint64) if len(words) else np.empty(0, np.uint64)
+    size = int(offsets[-1]) if len(words) else 0
+    power, back = (np.cumprod(np.r_[np.uint64(1), np.full(size, base, np.uint64)]) for base in (_BASE, _BACK))
+    sums = np.r_[np.uint64(0), np.cumsum((data + np.uint64(1)) * power[:-1])]
+    value = (sums[offsets[1:]] - sums[offsets[:-1]]) * back[offsets[:-1]]
+    value = (value ^ (value >> np.uint64(31))) * _MIX
+    return value ^ (value >> np.uint64(29))
+
+
+#: An odd number, and the number whose product with it is 1 modulo 2**64.
+_BASE = np.uint64(0x5851F42D4C957F2D)
+_BACK = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -128,7 +134,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for langs, words, lang, word, _ in _blocks(batches):
-            keys, _, n = _grouped(lang * len(words) + word)
+            keys, _, n = _grouped(lang.astype(np.int64) * len(words) + word)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(langs).take(pa.array(keys // len(words))), words.take(pa.array(keys % len(words))), pa.array(n)], ["lang", "phrase", "f"]
             )
@@ -136,16 +142,15 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
-def _numbers(langs: list[str], words: pa.Array, lang: np.ndarray, word: np.ndarray, valid: list[np.ndarray]) -> list[np.ndarray]:
-    """For each occurrence the number of its prefixes of 1, 2, ... words."""
-    own, tongue = _hashed(words), _lang_number(langs)
-    out, value = [], tongue[lang]
-    for d in range(len(valid) + 1):
-        at = np.minimum(np.arange(len(word)) + d, len(word) - 1)
-        value = (value * _MIX) ^ (own[word[at]] + np.uint64(d + 1))
+def _numbers(langs: list[str], words: pa.Array, lang: np.ndarray, word: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """For each occurrence the number of its prefix of 1, 2, ... ``most`` words, one length after another."""
+    own = _hashed(words)
+    value = _lang_number(langs)[lang]
+    for d in range(most):
+        following = np.append(word[d:], np.repeat(word[-1:], min(d, len(word))))
+        value = (value * _MIX) ^ (own[following] + np.uint64(d + 1))
         value ^= value >> np.uint64(29)
-        out.append(value)
-    return out
+        yield value
 
 
 def _goes_on(piece: np.ndarray, most: int) -> list[np.ndarray]:
@@ -179,7 +184,7 @@ def long_prefixes(texts: DataFrame, words: DataFrame, most: int, limit: int) ->
         for batch in batches:
             langs = batch.column(0).dictionary_encode()
             lang, word = np.asarray(langs.indices), np.arange(batch.num_rows)
-            number = _numbers(langs.dictionary.to_pylist(), batch.column(1), lang, word, [])[0] % np.uint64(FILTER_BITS)
+            number = next(_numbers(langs.dictionary.to_pylist(), batch.column(1), lang, word, 1)) % np.uint64(FILTER_BITS)
             yield pa.RecordBatch.from_arrays([pa.array(number.astype(np.int64)), batch.column(2)], ["bit", "n"])
 
     bits = _bitmap(words.select("lang", "phrase", "f").mapInArrow(of_words, "bit long, n long"), limit, None) if most > 1 else None
@@ -200,11 +205,11 @@ def _of_marked(texts: DataFrame, bits: np.ndarray, depth: int, most: int, schema
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for langs, words, lang, word, piece in _blocks(batches):
             valid = _goes_on(piece, most)
-            numbers = _numbers(langs, words, lang, word, valid[: depth - 1])
             take = np.ones(len(word), bool)
-            for d in range(depth - 1):
-                take &= valid[d] & _marked(marks.value, numbers[d])
-            yield tell(marks.value, langs, words, lang, word, numbers[depth - 1], np.flatnonzero(take), depth)
+            for d, number in enumerate(_numbers(langs, words, lang, word, depth)):
+                if d < depth - 1:
+                    take &= valid[d] & _marked(marks.value, number)
+            yield tell(marks.value, langs, words, lang, word, number, np.flatnonzero(take), depth)
 
     return texts.mapInArrow(run, schema)
 
@@ -224,7 +229,7 @@ def _as_phrases(bits, langs, words, lang, word, number, which, depth) -> pa.Reco
 
 def _distinct(lang: np.ndarray, columns: list[np.ndarray], words: int) -> tuple[np.ndarray, np.ndarray]:
     """Where each distinct row stands first, in the order of language and words, and how often it occurs."""
-    key, room = lang, int(lang.max()) + 1 if len(lang) else 1
+    key, room = lang.astype(np.int64), int(lang.max()) + 1 if len(lang) else 1
     for c in columns:
         if room * (words + 1) >= 2**62:
             distinct, key = np.unique(key, return_inverse=True)
@@ -254,12 +259,11 @@ def project(texts: DataFrame, most: int, bits: np.ndarray | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for langs, words, lang, word, piece in _blocks(batches):
             valid = _goes_on(piece, most)
-            numbers = _numbers(langs, words, lang, word, valid)
-            columns = [word] + [np.where(v, word[np.minimum(np.arange(len(word)) + d + 1, len(word) - 1)], len(words)) for d, v in enumerate(valid)]
+            columns = [word] + [np.where(v, np.append(word[d + 1 :], np.repeat(word[-1:], min(d + 1, len(word)))), np.int32(len(words))) for d, v in enumerate(valid)]
             # only what goes on is a pointer; a prefix is the shortest that isn't marked
-            some, size = valid[0].copy(), np.ones(len(word), np.int64)
-            for d in range(most - 1):
-                size += (size == d + 1) & _marked(marks.value, numbers[d])
+            some, size = valid[0].copy(), np.ones(len(word), np.int8)
+            for d, number in enumerate(_numbers(langs, words, lang, word, most - 1)):
+                size += (size == d + 1) & _marked(marks.value, number)
             for d in range(1, most):
                 some &= (size <= d) | valid[d - 1]
             held = [c[some] for c in columns]
@@ -290,7 +294,7 @@ def project(texts: DataFrame, most: int, bits: np.ndarray | None) -> DataFrame:
     return texts.mapInArrow(run, POINTERS)
 
 
-def _grow(out: list, prefix: str, rests: np.ndarray, weights: np.ndarray, rows: np.ndarray, depth: int, names: list, least: int) -> None:
+def _grow(out: list, prefix: str, rests: np.ndarray, weights: np.ndarray, rows: np.ndarray, depth: int, names: pa.Array, least: int) -> None:
     """All frequent extensions of a prefix, depth first; ``rows`` are its pointers, ``rests[rows, depth]`` the next words."""
     if depth == rests.shape[1]:
         return
@@ -301,51 +305,63 @@ def _grow(out: list, prefix: str, rests: np.ndarray, weights: np.ndarray, rows:
     totals = np.add.reduceat(weights[rows], starts)
     ends = np.r_[starts[1:], len(rows)]
     for k in np.flatnonzero((totals >= least) & (following[starts] >= 0)):
-        longer = f"{prefix} {names[following[starts[k]]]}"
+        longer = f"{prefix} {names[int(following[starts[k]])]}"
         out.append((longer, int(totals[k])))
         _grow(out, longer, rests, weights, rows[starts[k] : ends[k]], depth + 1, names, least)
 
 
-def _look(langs: list, prefixes: list, blobs: list, most: int, least: int) -> list[tuple[str, str, int]]:
+def _look(rows: pa.Table, most: int, least: int) -> list[tuple[str, str, int]]:
     """The frequent phrases that begin with some prefixes; all rows of a prefix stand together."""
     found: list[tuple[str, str, int]] = []
-    depths = np.array([p.count(" ") + 1 for p in prefixes])
+    depths = np.asarray(pc.count_substring(rows["prefix"], " ")) + 1
     for d in np.unique(depths):
-        own = np.flatnonzero(depths == d)
+        own = rows.filter(pa.array(depths == d)).combine_chunks()
+        langs, prefixes, lines = (own[c].combine_chunks() for c in ("lang", "prefix", "rests"))
         wide = most - d
-        lines = pa.array([blobs[i] for i in own], pa.string())
-        counts = np.asarray(pc.add(pc.count_substring(lines, "\n"), 1)).astype(np.int64)
+        counts = np.asarray(pc.count_substring(lines, "\n")).astype(np.int64) + 1
         cells = pc.split_pattern(pc.replace_substring(lines, "\n", "\t"), "\t").flatten()
         weights = np.asarray(cells.take(pa.array(np.arange(wide, len(cells), wide + 1))).cast(pa.int64()))
         rests = np.empty((len(weights), wide), np.int64)
-        names: list = []
+        names = pa.array([], pa.string())
         if wide:
             taken = np.ones(len(cells), bool)
             taken[wide :: wide + 1] = False
             coded = cells.filter(pa.array(taken)).dictionary_encode()
-            names = coded.dictionary.to_pylist()
+            names = coded.dictionary
             rests = np.asarray(coded.indices).astype(np.int64).reshape(-1, wide)
-            if "" in names:
-                rests = np.where(rests == names.index(""), -1, rests)
-        new = np.array([k == 0 or (langs[i], prefixes[i]) != (langs[own[k - 1]], prefixes[own[k - 1]]) for k, i in enumerate(own)])
+            blank = names.index("").as_py()
+            if blank >= 0:
+                rests = np.where(rests == blank, -1, rests)
+        new = _begins(langs, prefixes)
         group = np.repeat(np.cumsum(new) - 1, counts)
-        heads = own[np.flatnonzero(new)]
-        totals = np.bincount(group, weights, len(heads)).astype(np.int64)
+        at = np.flatnonzero(new)
+        langs, prefixes = langs.take(pa.array(at)), prefixes.take(pa.array(at))
+        totals = np.bincount(group, weights, len(at)).astype(np.int64)
         if d > 1:
-            found += [(langs[i], prefixes[i], int(n)) for i, n in zip(heads, totals, strict=True) if n >= least]
+            often = np.flatnonzero(totals >= least)
+            found += zip(langs.take(pa.array(often)).to_pylist(), prefixes.take(pa.array(often)).to_pylist(), totals[often].tolist(), strict=True)
         if not wide:
             continue
         # prefixes none of whose extensions are frequent are passed over together
         keys, first, amount = _grouped(group * (len(names) + 1) + rests[:, 0] + 1, weights)
         alive = np.unique(group[first[(amount >= least) & (keys % (len(names) + 1) > 0)]])
-        ends = np.searchsorted(group, alive, side="right")
-        for g, a, z in zip(alive, np.searchsorted(group, alive), ends, strict=True):
+        heads = zip(langs.take(pa.array(alive)).to_pylist(), prefixes.take(pa.array(alive)).to_pylist(), strict=True)
+        begins, ends = np.searchsorted(group, alive), np.searchsorted(group, alive, side="right")
+        for (lang, prefix), a, z in zip(heads, begins, ends, strict=True):
             grown: list = []
-            _grow(grown, prefixes[heads[g]], rests, weights, np.arange(a, z), 0, names, least)
-            found += [(langs[heads[g]], phrase, n) for phrase, n in grown]
+            _grow(grown, prefix, rests, weights, np.arange(a, z), 0, names, least)
+            found += [(lang, phrase, n) for phrase, n in grown]
     return found
 
 
+def _begins(langs: pa.Array, prefixes: pa.Array) -> np.ndarray:
+    """Where another prefix begins."""
+    out = np.ones(len(langs), bool)
+    if len(langs) > 1:
+        out[1:] = np.asarray(pc.or_(pc.not_equal(langs[1:], langs[:-1]), pc.not_equal(prefixes[1:], prefixes[:-1])))
+    return out
+
+
 def grow(pointers: DataFrame, most: int, least: int) -> DataFrame:
     """Frequent phrases of two words or more, from the projected tables."""
 
@@ -354,18 +370,22 @@ def grow(pointers: DataFrame, most: int, least: int) -> DataFrame:
             langs, phrases, n = zip(*rows, strict=True) if rows else ((), (), ())
             return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.string()), pa.array(n, pa.int64())], ["lang", "phrase", "f"])
 
-        held: tuple[list, list, list] = ([], [], [])
-        size = 0
+        held = None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= LOOK and row[:2] != (held[0][-1], held[1][-1]):
-                    yield tell(_look(*held, most, least))
-                    held, size = ([], [], []), 0
-                for column, x in zip(held, row, strict=True):
-                    column.append(x)
-                size += row[2].count("\n") + 1
-        if held[0]:
-            yield tell(_look(*held, most, least))
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
+            size = np.asarray(pc.count_substring(held["rests"], "\n")) + 1
+            while size.sum() >= LOOK:
+                # up to where a prefix begins behind LOOK pointers; the last prefix may go on in the next batch
+                new = np.flatnonzero(_begins(held["lang"].combine_chunks(), held["prefix"].combine_chunks()))[1:]
+                if not len(new):
+                    break
+                behind = new[np.cumsum(size)[new - 1] >= LOOK]
+                cut = int(behind[0] if len(behind) else new[-1])
+                yield tell(_look(held.slice(0, cut), most, least))
+                held, size = held.slice(cut).combine_chunks(), size[cut:]
+        if held is not None and held.num_rows:
+            yield tell(_look(held, most, least))
 
     dealt = pointers.repartition("lang", "prefix").sortWithinPartitions("lang", "prefix")
     return dealt.mapInArrow(run, PHRASES)
