@@ -34,7 +34,7 @@ def hot_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
     return settle(counts.where(F.col("__n") >= max(HOT_LEAST, rows.count() / HOT_SHARE)).select(*keys))
 
 
-def salted_join(rows: DataFrame, few: DataFrame, keys: list[str], hot: DataFrame, spread: list[str], salts: int = 64) -> DataFrame:
+def salted_join(rows: DataFrame, few: DataFrame, keys: list[str], hot: DataFrame, spread: list[str], salts: int = 64, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``few`` on ``keys``, the rows of a hot key spread over ``salts`` parts by ``spread``.
 
     Only the hot keys are broadcast, ``HOT_SHARE`` rows at most, and only the
@@ -45,7 +45,7 @@ def salted_join(rows: DataFrame, few: DataFrame, keys: list[str], hot: DataFrame
     every = F.when(F.col("__hot"), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
     left = rows.join(mark, keys, "left").withColumn("__salt", salt).drop("__hot")
     right = few.join(mark, keys, "left").withColumn("__salt", F.explode(every)).drop("__hot")
-    return left.join(right, [*keys, "__salt"]).drop("__salt")
+    return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 
 def unused(df: DataFrame, n: int) -> list[str]:

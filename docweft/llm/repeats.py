@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweft.llm.common import hot_keys, salted_join, settle, written
+from docweft.llm.common import hot_keys, salted_join, settle, unused, written
 
 _END = re.compile(r"(?<=[.!?])\s+|\n\s*")
 
@@ -78,7 +78,7 @@ def runs(text: str, least_sentences: int, least_words: int) -> Iterator[tuple[in
             yield start, stop, xxhash.xxh3_128_digest(b"".join(keys[start:stop]))
 
 
-RUNS = "doc_id long, start int, stop int, h1 long, h2 long"
+RUNS = "doc_id long, text_hash long, start int, stop int, h1 long, h2 long"
 
 
 def hash_runs(docs: DataFrame, least_sentences: int, least_words: int) -> DataFrame:
@@ -86,34 +86,39 @@ def hash_runs(docs: DataFrame, least_sentences: int, least_words: int) -> DataFr
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                ids, starts, stops, h1, h2 = [], [], [], [], []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                ids, hashes, starts, stops, h1, h2 = [], [], [], [], [], []
+                for doc_id, text_hash, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
                     for start, stop, key in runs(text.as_py() or "", least_sentences, least_words):
                         ids.append(doc_id)
+                        hashes.append(text_hash)
                         starts.append(start)
                         stops.append(stop)
                         h1.append(int.from_bytes(key[:8], "little", signed=True))
                         h2.append(int.from_bytes(key[8:], "little", signed=True))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())],
-                    names=["doc_id", "start", "stop", "h1", "h2"],
+                    [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())],
+                    names=["doc_id", "text_hash", "start", "stop", "h1", "h2"],
                 )
 
-    return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, RUNS)
+    return docs.where("doc_id is not null and text is not null").select("doc_id", "text_hash", "text").mapInArrow(run, RUNS)
 
 
 def _keys(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
 def repeated_spans(docs: DataFrame, least_sentences: int = 2, least_words: int = 20) -> DataFrame:
-    """doc_id, spans (first sentence, sentence behind the last) that repeat earlier ones, first_doc_ids."""
+    """doc_id, text_hash, spans (first sentence, sentence behind the last) that repeat earlier ones, first_doc_ids.
+
+    A document is an id with a text: where one id has several texts, each has spans of its own, ordered by id, then hash of the text.
+    """
     found = written(hash_runs(_keys(docs), least_sentences, least_words), "runs")
     keys = ["h1", "h2"]
-    place = F.struct("doc_id", "start")
+    place = F.struct("doc_id", "text_hash", "start")
     firsts = settle(found.groupBy(*keys).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select(*keys, "first"))
-    later = salted_join(found, firsts, keys, hot_keys(found, keys), ["doc_id", "start"]).where(F.struct("doc_id", "start") != F.col("first"))
-    return later.groupBy("doc_id").agg(
+    later = salted_join(found, firsts, keys, hot_keys(found, keys), ["doc_id", "text_hash", "start"]).where(place != F.col("first"))
+    return later.groupBy("doc_id", "text_hash").agg(
         F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"),
         F.sort_array(F.collect_set("first.doc_id")).alias("first_doc_ids"),
     )
@@ -154,7 +159,7 @@ def affected(docs: DataFrame, least_sentences: int = 2, least_words: int = 20) -
     spans = repeated_spans(docs, least_sentences, least_words)
     return (
         _keys(docs)
-        .join(spans, "doc_id")
+        .join(spans, ["doc_id", "text_hash"])
         .select("doc_id", _cutter(F.col("text"), F.col("spans")).alias("cut"), "first_doc_ids")
         .select("doc_id", "cut.text", "cut.n_sentences", "cut.n_removed", "first_doc_ids")
     )
@@ -162,7 +167,9 @@ def affected(docs: DataFrame, least_sentences: int = 2, least_words: int = 20) -
 
 def remove_repeats(docs: DataFrame, least_sentences: int = 2, least_words: int = 20) -> DataFrame:
     """``docs``, all columns kept, with the covered sentences removed from ``text``."""
-    spans = repeated_spans(docs, least_sentences, least_words).select(F.col("doc_id").alias("__doc_id"), F.col("spans").alias("__spans"))
-    joined = docs.join(spans, docs["doc_id"].cast("long") == spans["__doc_id"], "left")
-    cut = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(_cutter(F.col("text"), F.col("__spans"))["text"])
-    return joined.withColumn("text", cut).drop("__doc_id", "__spans")
+    i, h, own = unused(docs, 3)
+    spans = repeated_spans(docs, least_sentences, least_words).select(F.col("doc_id").alias(i), F.col("text_hash").alias(h), F.col("spans").alias(own))
+    same = (F.col("doc_id").cast("long") == F.col(i)) & (F.xxhash64(F.col("text").cast("string")) == F.col(h))
+    joined = docs.join(spans, same, "left")
+    cut = F.when(F.col(own).isNull(), F.col("text")).otherwise(_cutter(F.col("text"), F.col(own))["text"])
+    return joined.withColumn("text", cut).drop(i, h, own)
