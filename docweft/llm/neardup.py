@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweft.llm.common import settle
+from docweft.llm.common import hot_keys, salted_join, settle, unused
 
 LANES = 8
 HASHES = 32 * LANES
@@ -343,9 +343,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         final = settle(components(joined))
     of_rep = reps.select("f1", "f2", F.col("id").alias("rep")).join(final.toDF("rep", "component"), "rep", "left")
     of_rep = of_rep.select("f1", "f2", F.coalesce("component", "rep").alias("component"))
+    # copies of one text share a fingerprint, however many there are
+    own = rows.select("doc_id", "n", "f1", "f2")
     return (
-        rows.select("doc_id", "n", "f1", "f2")
-        .join(of_rep, ["f1", "f2"], "left")
+        salted_join(own, of_rep, ["f1", "f2"], hot_keys(own, ["f1", "f2"]), ["doc_id"], how="left")
         .select(
             "doc_id",
             F.col("n").alias("n_shingles"),
@@ -362,9 +363,10 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     All columns are kept. Of several rows of that id the one of the smallest text stays, null last.
     """
     found = settle(near_duplicates(docs, width, percent).where("doc_id is not null").select("doc_id", "kept"))
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
-    again = found.where("kept").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id")
-    same = docs["doc_id"].cast("long") == F.col("__id")
+    (i,) = unused(docs, 1)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(i)).distinct()
+    again = found.where("kept").groupBy(F.col("doc_id").alias(i)).count().where("count > 1").select(i)
+    same = F.col("doc_id").cast("long") == F.col(i)
     if again.isEmpty():
         return docs.join(gone, same, "left_anti")
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))

@@ -41,7 +41,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweft.llm.common import bind, settle
+from docweft.llm.common import bind, settle, unused
 
 #: Kinds in their order: the base kinds, then the added ones.
 KINDS = ("email", "ip", "card", "phone", "secret", "number", "address")
@@ -401,8 +401,9 @@ def redact(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
     All columns are kept. A null text stays null.
     """
     model = model or fit(docs)
-    spanned = with_spans(docs, model, base_col="__base_spans", spans_col="__spans")
-    out = spanned.withColumn("text", F.when(F.col("text").isNotNull(), redacted(F.col("text").cast("string"), F.col("__spans"))))
+    base, spans = unused(docs, 2)
+    spanned = with_spans(docs, model, base_col=base, spans_col=spans)
+    out = spanned.withColumn("text", F.when(F.col("text").isNotNull(), redacted(F.col("text").cast("string"), F.col(spans))))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*(f"`{c}`" for c in docs.columns))

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweft.llm.common import settle, written
+from docweft.llm.common import settle, unused, written
 
 WORD_BITS, SHAPE_BITS = 15, 10
 #: Beginnings of longer words have slots of their own, so that inflected and compound words share evidence.
@@ -261,9 +261,9 @@ def _logit(p: Column) -> Column:
     return F.log(inside / (F.lit(1.0) - inside))
 
 
-def combined(p: Column, prior: dict[str, float], site_weight: float, prefix: str = "") -> Column:
+def combined(p: Column, prior: dict[str, float], site_weight: float, sums: tuple[str, ...] = ("n_host", "s_host", "n_path", "s_path")) -> Column:
     """The final probability, from p and the joined sums of its sites, without the document itself."""
-    n_host, s_host, n_path, s_path = (F.col(prefix + c) for c in ("n_host", "s_host", "n_path", "s_path"))
+    n_host, s_host, n_path, s_path = map(F.col, sums)
     host = (s_host - p + prior["host"] * prior["mean"]) / (n_host - 1 + prior["host"])
     path = (s_path - p + host * prior["path"]) / (n_path - 1 + prior["path"])
     odds = _logit(p) + site_weight * (_logit(path) - _logit(F.lit(prior["mean"])))
@@ -303,10 +303,10 @@ def keep_good(
     folder; sites are summed from the scores alone and joined on the second reading.
     """
     weights = fit(docs, labels, max_labelled)
-    scored = written(docs.select("*", _site(host).alias("__host"), _site(path).alias("__path"), evidence(F.col("text"), weights).alias("__e")), "scored")
-    sites, prior = site_posteriors(scored.select(F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__e.good").alias("p")))
-    sums = ("n_path", "s_path", "n_host", "s_host")
-    known = sites.select(F.col("host").alias("__host"), F.col("path").alias("__path"), *(F.col(c).alias(f"__{c}") for c in sums))
-    final = combined(F.col("__e.good"), prior, site_weight, "__")
-    joined = scored.join(known, ["__host", "__path"]).where(_kept(final, F.col("__e.toxic"), threshold, toxic_threshold))
+    own_host, own_path, e, *sums = unused(docs, 7)
+    scored = written(docs.select("*", _site(host).alias(own_host), _site(path).alias(own_path), evidence(F.col("text"), weights).alias(e)), "scored")
+    sites, prior = site_posteriors(scored.select(F.col(own_host).alias("host"), F.col(own_path).alias("path"), F.col(e)["good"].alias("p")))
+    known = sites.select("host", "path", "n_host", "s_host", "n_path", "s_path").toDF(own_host, own_path, *sums)
+    final = combined(F.col(e)["good"], prior, site_weight, tuple(sums))
+    joined = scored.join(known, [own_host, own_path]).where(_kept(final, F.col(e)["toxic"], threshold, toxic_threshold))
     return joined.select(*(f"`{c}`" for c in docs.columns))
