@@ -249,6 +249,23 @@ def _pack(node: int, level: int, items: pa.Array, lengths: np.ndarray, capacity:
     )
 
 
+PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each piece of each bin, with the lengths before it summed up."""
+    for batch in batches:
+        lists = batch.column(1)
+        flat = lists.flatten()
+        sizes = np.asarray(lists.value_lengths()).astype(np.int64)
+        lengths = np.asarray(flat.field("length")).astype(np.int64)
+        upto = np.r_[0, np.cumsum(lengths)]
+        first = np.r_[0, np.cumsum(sizes)][:-1]
+        offsets = upto[:-1] - np.repeat(upto[first], sizes)
+        ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+        yield pa.RecordBatch.from_arrays([*(flat.field(f.name) for f in _PIECE), ids, pa.array(offsets)], [*(f.name for f in _PIECE), "sequence_id", "offset"])
+
+
 def pack(pieces: DataFrame, capacity: int = 2048, leaf_pieces: int = 100_000, fan_in: int = 8, nearly_full: float = 0.98) -> DataFrame:
     """``pieces`` with sequence_id and offset, packed by a tree of best-fit rounds."""
     full = int(capacity * nearly_full)
@@ -269,7 +286,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, leaf_pieces: int = 100_000, fa
 
         return run
 
-    number = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(leaves))
+    # the rows of ``pieces`` are settled, so their numbers are too; copies of a row go to different leaves
+    number = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(leaves))
     bins = settle(pieces.withColumn("node", number).groupBy("node").applyInArrow(leaf, BINS))
     done = [bins.where("done")]
     level = 0
@@ -282,9 +300,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, leaf_pieces: int = 100_000, fa
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    before = lambda p, i: F.aggregate(F.slice("pieces", F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x["length"])
-    placed = F.transform("pieces", lambda p, i: F.struct(p.alias("p"), before(p, i).alias("offset")))
-    return out.select("sequence_id", F.explode(placed).alias("x")).select("x.p.*", "sequence_id", "x.offset")
+    return out.select("sequence_id", "pieces").mapInArrow(_placed, PLACED)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, **options) -> DataFrame:
