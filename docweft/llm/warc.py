@@ -156,6 +156,7 @@ def write_archives(rows: DataFrame, where: str, archive_bytes: int = 16 << 20) -
     """Write ``rows`` (page_id, url, payload, refers_to, revisit) below ``where``; one row per archive.
 
     A task holds the records of one archive at a time, ``archive_bytes`` and one record at most.
+    Only archives that the returned table names count; others are of attempts that didn't end.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,13 +169,12 @@ def write_archives(rows: DataFrame, where: str, archive_bytes: int = 16 << 20) -
 
         def flush(records: list[bytes]) -> pa.RecordBatch:
             nonlocal made
-            name = f"part-{task.partitionId():05d}-{made:04d}"
+            # every attempt has names of its own: one that is stopped half-way leaves archives that the manifest doesn't name
+            name = f"part-{task.partitionId():05d}-{made:04d}-{task.taskAttemptId()}"
             made += 1
             data = archive(records)
-            draft = f"{top}/_draft-{name}-{task.taskAttemptId()}"
-            with store.open_output_stream(draft, compression=None) as out:
+            with store.open_output_stream(f"{top}/{name}.warc.zst", compression=None) as out:
                 out.write(data)
-            store.move(draft, f"{top}/{name}.warc.zst")
             return pa.RecordBatch.from_pydict({"path": [f"{where}/{name}.warc.zst"], "records": [len(records)], "bytes": [len(data)]})
 
         store.create_dir(top, recursive=True)
