@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweft.llm.common import HOT_LEAST, HOT_SHARE, fresh_dir, unused
+from docweft.llm.common import HOT_LEAST, HOT_SHARE, bind, fresh_dir, unused
 from docweft.llm.cuckoo import Cuckoo
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -84,6 +84,8 @@ def _rebuild(key, keys: pd.DataFrame) -> pd.DataFrame:
 
 def _look_up(key, lines: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
     """The lines of a shard that go: those the filter passes, if the exact counts confirm them."""
+    if key[0] < 0:
+        return lines.loc[lines["doc_id"] != lines["hot_top"], ["doc_id", "text_hash", "at"]]
     filters = state[state["cells"].notna()]
     none = lines.iloc[:0][["doc_id", "text_hash", "at"]]
     if not len(lines) or not len(filters):
@@ -238,20 +240,21 @@ class LineIndex:
         common = self.counts().where(F.col("refs") >= self.least_docs).select(*KEY, "refs", "top")
         # at most HOT_SHARE keys can have this share of all postings
         hot = F.broadcast(common.where(F.col("refs") >= self._hot_refs()).select(*KEY, F.col("top").alias("hot_top")))
-        lines = docs.where(F.col("doc_id").isNotNull()).select(
-            F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(split_lines(F.col(text))).alias("at", "line")
-        )
+        # the hash is made before the lines are, else each line would carry its whole text along
+        texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), split_lines(F.col(text)).alias("lines"))
+        lines = texts.select("doc_id", "text_hash", F.posexplode("lines").alias("at", "line"))
         keyed = lines.select("doc_id", "text_hash", "at", line_key(F.col("line")).alias("key")).where(F.length("key") >= self.least_chars)
         judged = keyed.select("doc_id", "text_hash", "at", *digests(F.col("key"))).join(hot, KEY, "left")
-        shard = _shard(self.shards).alias("shard")
+        shard = _shard(self.shards)
         none = F.lit(None).cast("binary")
-        exact = common.select(shard, *KEY, "top", none.alias("cells"), none.alias("stash"))
+        exact = common.select(shard.alias("shard"), *KEY, "top", none.alias("cells"), none.alias("stash"))
         zero = F.lit(0).cast("long")
         state = exact.unionByName(self.filters().select("shard", zero.alias("k1"), zero.alias("k2"), zero.alias("top"), "cells", "stash"))
-        at_once = judged.where(F.col("hot_top").isNotNull() & (F.col("hot_top") != F.col("doc_id"))).select("doc_id", "text_hash", "at")
-        dealt = judged.where(F.col("hot_top").isNull()).select(shard, "doc_id", "text_hash", "at", *KEY)
+        # lines of hot keys are settled already: they are dealt by themselves, to shards below zero, of which the state knows nothing
+        spread = -1 - F.pmod(F.xxhash64("doc_id", "text_hash", "at"), F.lit(self.shards))
+        dealt = judged.select(F.when(F.col("hot_top").isNotNull(), spread).otherwise(shard).alias("shard"), "doc_id", "text_hash", "at", *KEY, F.coalesce("hot_top", zero).alias("hot_top"))
         found = dealt.groupBy("shard").cogroup(state.groupBy("shard")).applyInPandas(_look_up, "doc_id long, text_hash long, at int")
-        return at_once.unionByName(found).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("at")).alias("positions"))
+        return found.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("at")).alias("positions"))
 
     def _hot_refs(self) -> int:
         total = self.postings().count()
@@ -266,10 +269,10 @@ class LineIndex:
         removed = F.coalesce(g, F.array().cast("array<int>"))
 
         def rest(all_lines: Column, positions: Column) -> Column:
-            """The stretches of lines between dropped ones."""
-            ends = F.concat(positions, F.array(F.size(all_lines)))
-            begins = F.concat(F.array(F.lit(0)), F.transform(positions, lambda p: p + 1))
-            return F.flatten(F.transform(F.arrays_zip(begins.alias("a"), ends.alias("z")), lambda s: F.slice(all_lines, s["a"] + 1, s["z"] - s["a"])))
+            """The lines that aren't dropped: a byte for each line tells, which is looked up at no cost however many lines there are."""
+            begins = F.concat(F.array(F.lit(-1)), positions)
+            marks = F.array_join(F.transform(F.arrays_zip(begins.alias("a"), positions.alias("z")), lambda s: F.repeat(F.lit("0"), F.coalesce(s["z"] - s["a"] - 1, F.lit(0)))), "1")
+            return bind(F.encode(marks, "UTF-8"), lambda m: F.filter(all_lines, lambda x, i: F.substring(m, i + 1, F.lit(1)) != F.lit(b"1")))
 
         return held.withColumns(
             {
