@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docweft.functions.shared import settle, spread_join
+
 
 def cache_key(*parts: Column) -> Column:
     """A digest of what a request asks for. Nulls count."""
@@ -13,9 +15,20 @@ def cache_key(*parts: Column) -> Column:
 
 
 def lookups(requests: DataFrame, key: str, order: list) -> DataFrame:
-    """Requests with the number of lookups of their key before them; 0 is a miss."""
-    by_key = Window.partitionBy(key).orderBy(*order)
-    return requests.withColumn("hit_count", F.row_number().over(by_key) - 1)
+    """Requests with the number of lookups of their key before them (``hit_count``); 0 is a miss.
+
+    Counted in two levels: rows are dealt out by ranges of key and order, so a
+    key that very many rows share lies in as many parts as its rows need; rows
+    are numbered inside a part, and the counts of a key's earlier parts are added.
+    """
+    placed = settle(requests.repartitionByRange(key, *order).withColumn("__part", F.spark_partition_id()))
+    counts = placed.groupBy(key, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("__before", F.sum("__n").over(earlier)).where(F.col("__before") > 0).drop("__n")
+    inside = Window.partitionBy(key, "__part").orderBy(*order)
+    numbered = placed.withColumn("__own", F.row_number().over(inside)).join(offsets, [key, "__part"], "left")
+    hits = (F.col("__own") - 1 + F.coalesce("__before", F.lit(0))).cast("int")
+    return numbered.withColumn("hit_count", hits).drop("__own", "__before", "__part")
 
 
 def split_by_cache(requests: DataFrame, cache: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -50,7 +63,7 @@ def probe(requests: DataFrame, cache: DataFrame | None, order: list) -> DataFram
     if cache is None:
         return rows.withColumns({"known": F.lit(False), "nth": F.col("hit_count").cast("bigint")}).drop("hit_count")
     stored = cache.select("cache_key", F.col("hit_count").alias("__hits"))
-    rows = rows.join(stored, "cache_key", "left").withColumn("known", F.col("__hits").isNotNull())
+    rows = spread_join(rows, stored, ["cache_key"], order, how="left").withColumn("known", F.col("__hits").isNotNull())
     return rows.withColumn("nth", F.col("hit_count").cast("bigint") + F.when(F.col("known"), F.col("__hits") + 1).otherwise(0)).drop("hit_count", "__hits")
 
 

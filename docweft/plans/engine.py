@@ -118,11 +118,12 @@ def finalized_changes(matched: Matched, evidence: bool) -> DataFrame:
 
 @dataclass(frozen=True)
 class Outcome:
-    """What a batch of requests gives: tasks (latest state), events, and the cache as it is afterwards."""
+    """What a batch of requests gives: tasks (latest state), events, the cache as it is afterwards, and the keys it was asked for."""
 
     tasks: DataFrame
     events: DataFrame
     cache: DataFrame
+    asked: DataFrame
 
 
 @dataclass(frozen=True)
@@ -251,7 +252,7 @@ def answered(judged: DataFrame, solve: Callable[[DataFrame], Solved], cache: Dat
     shape = lambda rows, status, said, cached: rows.select(F.col("doc_id").alias("task_id"), F.lit(status).alias("status"), "fields", "raw_text", said.alias("message"), F.lit(cached).alias("cached"))
     empty = failed.select("doc_id", "error", F.lit(None).cast(kind).alias("fields"), none.alias("raw_text"))
     tasks = shape(final, "succeeded", none, False).unionByName(shape(hits, "succeeded", message, True)).unionByName(shape(empty, "failed", F.col("error"), False))
-    return Outcome(tasks, sequenced(events).withColumn("created_at_ms", F.lit(now_ms).cast("bigint")), after)
+    return Outcome(tasks, sequenced(events).withColumn("created_at_ms", F.lit(now_ms).cast("bigint")), after, read.select("cache_key"))
 
 
 def engine_info(config: EngineConfig = EngineConfig()) -> dict[str, str]:

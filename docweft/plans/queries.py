@@ -904,7 +904,7 @@ def heatmap_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vision.detect(maps.withColumn("values", padded), least=50.0, pixels=2, scale=4.0)
 
 
-@query("stream_tasks")
+@query("stream_tasks", "SELECT 't' || s_suppkey AS task_id, CASE WHEN s_suppkey % 10 = 0 THEN 'failed' ELSE 'succeeded' END AS status, CASE WHEN s_suppkey % 10 = 0 THEN 'content is required' END AS message FROM supplier")
 def stream_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docweft.streaming import tasks
 
@@ -917,3 +917,25 @@ def stream_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks.run_tasks(spark, f"{where}/inbox", where, SchemaSpec("s", "1", (FieldSpec("name"),))).awaitTermination()
     return tasks.tasks(spark, where).select("task_id", "status", "message")
 
+
+@query(
+    "stream_cache",
+    """WITH r AS (SELECT o_orderkey, o_orderpriority AS p, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 2 END AS file FROM orders),
+n AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY file, lpad(o_orderkey::VARCHAR, 12, '0')) - 1 AS nth FROM r)
+SELECT o_orderkey, nth > 0 AS cached, CASE WHEN nth > 0 THEN nth END AS hit_count, '"' || p || '"' AS value FROM n""",
+)
+def stream_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests in two files, even and odd orders, a batch each: what the first asked for, the second finds in the cache."""
+    from docweft.streaming import tasks
+
+    where = fresh_dir(spark, "stream")
+    rows = table(spark, sf_dir, "orders").select(
+        F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("task_id"), F.lit("async").alias("mode"), F.lit("text").alias("kind"), F.concat(F.lit("priority: "), F.col("o_orderpriority")).alias("content"),
+    )
+    schema = SchemaSpec("s", "1", (FieldSpec("priority"),))
+    for odd in (0, 1):
+        rows.where(F.col("task_id").cast("long") % 2 == odd).write.mode("append").json(f"{where}/inbox")
+        tasks.run_tasks(spark, f"{where}/inbox", where, schema).awaitTermination()
+    log = tasks.events(spark, where).where("event_type = 'cache.hit'").select("task_id", F.get_json_object("payload", "$.hit_count").cast("long").alias("hit_count"))
+    out = tasks.tasks(spark, where).join(log, "task_id", "left")
+    return out.select(F.col("task_id").cast("long").alias("o_orderkey"), "cached", "hit_count", F.get_json_object("fields", "$[0].value_json").alias("value"))
