@@ -6,19 +6,24 @@ whole corpus, in templates and texts alike. A template of L terms is compared
 with windows of L terms of every text, from every term on, or for long templates
 at every sixth of L. Windows know no lines, so a header counts however it is
 wrapped, marked as a comment or put inside a longer line. A file named like a
-licence file is also compared whole. A text that names its licence by an SPDX
-identifier has that licence with a score of 1.
+licence file is also compared whole. A text that names its licence by SPDX
+markers has that licence with a score of 1: a marker's expression (identifiers
+joined by AND, OR and WITH, in parentheses or not) as it stands, in single
+blanks and without parentheses around the whole; several different ones are
+joined by AND. A marker counts if all its identifiers are known or LicenseRefs.
 
 Most windows are never made. By Cauchy-Schwarz a window's cosine to a template
 is at most the norm of the template's terms that it holds. So a template is
 tried on a text only if the text holds enough of its weight, only around its
 anchors (its heaviest terms, until the rest weighs less than ``least_score``),
-and a window only if it holds enough itself: nothing is lost by not scoring the
-others. All of that is linear in the text. Equal windows are scored once.
+and a window only if it holds enough itself: no window that is a multiple of the
+template's step is lost by not scoring the others; what lies between two of a
+long template's steps is not compared. All of that is linear in the text. Equal windows are scored once.
 
 A file's own licence is the template of the highest cosine of ``least_score``
-or more. A licence file is one named like one, or one of which the matched
-window is ``least_share`` of its terms. Files without a licence of their own
+or more. A licence file is one named like one, or one of which a matched
+licence body (a template of ``BODY`` terms or more) is ``least_share`` of its terms;
+headers and markers license their own file only. Files without a licence of their own
 take that of the nearest ancestor directory that has a licence file:
 directories are joined with those of licence files on every ancestor path.
 
@@ -122,13 +127,52 @@ TEMPLATES = (
 )
 
 LICENSE_FILE = r"(?i)(?:^|/)(?:licen[sc]e|copying|unlicense|notice)(?:[.-][^/]*)?$"
-SPDX = r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+)"
+#: Terms from which on a template is a licence's body and not a header or title.
+BODY = 60
+#: Identifiers of licences and exceptions.
+KNOWN = (
+    "0BSD AFL-3.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-1.0 Artistic-2.0 BSD-1-Clause BSD-2-Clause BSD-2-Clause-Patent BSD-3-Clause "
+    "BSD-3-Clause-Clear BSD-4-Clause BSL-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 "
+    "CDDL-1.1 CECILL-2.1 CPL-1.0 ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 GFDL-1.3-only GFDL-1.3-or-later GPL-1.0-or-later GPL-2.0 GPL-2.0+ GPL-2.0-only GPL-2.0-or-later "
+    "GPL-3.0 GPL-3.0+ GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1 LGPL-2.1+ LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0+ LGPL-3.0-only "
+    "LGPL-3.0-or-later MIT MIT-0 MPL-1.1 MPL-2.0 MPL-2.0-no-copyleft-exception MS-PL MS-RL NCSA OFL-1.1 OpenSSL OSL-3.0 PHP-3.01 PostgreSQL PSF-2.0 Python-2.0 Ruby Unicode-3.0 "
+    "Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib ZPL-2.1 Autoconf-exception-3.0 Bison-exception-2.2 Classpath-exception-2.0 GCC-exception-3.1 Font-exception-2.0 "
+    "Linux-syscall-note LLVM-exception OpenSSL-exception"
+).split()
+_ID = r"[A-Za-z0-9](?:[A-Za-z0-9.+-]*[A-Za-z0-9+])?"
+_ATOM = rf"(?:\([ \t]*)*{_ID}(?:[ \t]*\))*"
+#: A marker; group 1 is its expression.
+SPDX = rf"SPDX-License-Identifier:[ \t]*({_ATOM}(?:[ \t]+(?:AND|OR|WITH)[ \t]+{_ATOM})*)"
 
 
 def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+", -1), lambda t: t != "")
 
 
+def spdx_expressions(text: Column) -> Column:
+    """The distinct SPDX expressions of a text, in order."""
+
+    def tidy(raw: Column) -> Column:
+        single = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r"[ \t]+", " "), r"\( ", "("), r" \)", ")")
+        marks = lambda c: F.length(single) - F.length(F.replace(single, F.lit(c)))
+        # a parenthesis that is not closed, or not opened, belongs to the text around
+        even = F.when(marks("(") == marks(")"), single).otherwise(F.translate(single, "()", ""))
+        return F.regexp_replace(even, r"^\(([^()]*)\)$", "$1")
+
+    def fine(expression: Column) -> Column:
+        ids = F.filter(F.split(F.translate(expression, "()", ""), " ", -1), lambda x: ~x.isin("AND", "OR", "WITH"))
+        return F.forall(ids, lambda x: F.lower(x).isin(*(k.lower() for k in KNOWN)) | x.startswith("LicenseRef-"))
+
+    found = F.regexp_extract_all(text, F.lit(SPDX), F.lit(1))
+    return F.array_distinct(F.filter(F.transform(found, tidy), fine))
+
+
+def _together(expressions: Column) -> Column:
+    """Expressions of several markers as one."""
+    closed = F.transform(expressions, lambda x: F.when(x.contains(" OR ") & (F.size(expressions) > 1), F.concat(F.lit("("), x, F.lit(")"))).otherwise(x))
+    return F.array_join(closed, " AND ")
+
+
 def template_terms(text: str) -> list[str]:
     return "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
 
@@ -203,7 +247,7 @@ def candidate_windows(words: Column, named: Column, templates: Column, vocabular
 def own_licenses(files: DataFrame, templates=TEMPLATES, least_score: float = 0.75) -> DataFrame:
     """path, own_license, own_score, share for each path with a licence of its own.
 
-    ``share`` is the matched window's part of the file's terms.
+    ``share`` is the matched licence body's part of the file's terms, 0 where no body matched.
     """
     vocabulary = sorted({t for _, text in templates for t in template_terms(text)})
     total, known = template_frequency(files, vocabulary)
@@ -240,12 +284,13 @@ def own_licenses(files: DataFrame, templates=TEMPLATES, least_score: float = 0.7
         .where(F.col("score") >= least_score)
     )
     names = F.array(*(F.lit(name) for name, _ in templates))
+    bodies = F.array(*(F.lit(n >= BODY) for n in sizes))
     scored = salted_join(units, scores, ["k", "unit"], hot_keys(units, ["k", "unit"]), ["path"]).select(
-        "path", "score", "k", "at", F.element_at(names, F.col("k") + 1).alias("name"), (F.col("size") / F.col("all")).alias("share")
+        "path", "score", "k", "at", F.element_at(names, F.col("k") + 1).alias("name"), F.when(F.get(bodies, F.col("k")), F.col("size") / F.col("all")).otherwise(F.lit(0.0)).alias("share")
     )
-    stated = F.regexp_extract("text", SPDX, 1)
+    stated = spdx_expressions(F.col("text"))
     said = files.where(F.col("path").isNotNull() & F.col("text").contains("SPDX-License-Identifier:")).select(
-        "path", F.lit(1.0).alias("score"), F.lit(-1).alias("k"), F.lit(0).alias("at"), stated.alias("name"), (F.lit(4.0) / F.size(words)).alias("share")
+        "path", F.lit(1.0).alias("score"), F.lit(-1).alias("k"), F.lit(0).alias("at"), bind(stated, _together).alias("name"), F.lit(0.0).alias("share")
     )
     rows = scored.unionByName(said.where("name <> ''"))
     best = F.struct("score", (-F.col("k")).alias("order"), (-F.col("at")).alias("place"), "name", "share")

@@ -163,6 +163,8 @@ _TEMPLATE_ROWS = ", ".join(
     "({}, '{}', '{}', {}, {})".format(k, name, " ".join(licenses.template_terms(text)), n, licenses.stride(n)) for k, ((name, text), n) in enumerate(zip(licenses.TEMPLATES, _LENGTHS, strict=True))
 )
 
+_KNOWN_LIST = ", ".join(f"'{k.lower()}'" for k in licenses.KNOWN)
+
 ORACLES = {
     "op1_license_scan": rf"""
 WITH t AS (SELECT * FROM (VALUES {_TEMPLATE_ROWS}) x(k, name, text, size, step)),
@@ -179,9 +181,13 @@ u AS (SELECT path, k, pos, f.w[pos + 1 : pos + size] AS words FROM (SELECT path,
   UNION ALL SELECT path, k, -1, w FROM c JOIN f USING (path) WHERE named),
 x AS (SELECT path, k, pos, len(words) AS size, term, count(*) AS tf FROM (SELECT *, unnest(words) AS term FROM u) GROUP BY ALL),
 s AS (SELECT path, x.k, pos, size, round(sum(tf * idf * coalesce(v, 0)) / sqrt(sum(tf * idf * tf * idf)), 12) AS score FROM x JOIN idf USING (term) LEFT JOIN v ON v.k = x.k AND v.term = x.term GROUP BY ALL),
-said AS (SELECT path, regexp_extract(text, 'SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+)', 1) AS name, w FROM f WHERE contains(text, 'SPDX-License-Identifier:')),
-a AS (SELECT path, score, k, pos, name, s.size / len(w) AS share FROM s JOIN t USING (k) JOIN f USING (path) WHERE score >= 0.75
-  UNION ALL SELECT path, 1, -1, 0, name, 4 / len(w) FROM said WHERE name <> ''),
+sx AS (SELECT path, list_transform(list_transform(regexp_extract_all(text, '{licenses.SPDX}', 1), lambda x: replace(replace(regexp_replace(x, '[ \t]+', ' ', 'g'), '( ', '('), ' )', ')')),
+  lambda x: regexp_replace(CASE WHEN length(replace(x, '(', '')) = length(replace(x, ')', '')) THEN x ELSE translate(x, '()', '') END, '^\(([^()]*)\)$', '\1')) AS e FROM f WHERE contains(text, 'SPDX-License-Identifier:')),
+sy AS (SELECT path, list_filter(e, lambda x: len(list_filter(string_split(translate(x, '()', ''), ' '), lambda y: NOT (y IN ('AND', 'OR', 'WITH') OR lower(y) IN ({_KNOWN_LIST}) OR starts_with(y, 'LicenseRef-')))) = 0) AS e FROM sx),
+sz AS (SELECT path, list_filter(e, lambda x, i: list_position(e, x) = i) AS e FROM sy),
+said AS (SELECT path, array_to_string(list_transform(e, lambda x: CASE WHEN len(e) > 1 AND contains(x, ' OR ') THEN '(' || x || ')' ELSE x END), ' AND ') AS name FROM sz),
+a AS (SELECT path, score, k, pos, name, CASE WHEN t.size >= {licenses.BODY} THEN s.size / len(w) ELSE 0 END AS share FROM s JOIN t USING (k) JOIN f USING (path) WHERE score >= 0.75
+  UNION ALL SELECT path, 1, -1, 0, name, 0 FROM said WHERE name <> ''),
 own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, k, pos) AS r FROM a) WHERE r = 1),
 g AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, arg_min(name, (-score, path)) AS granted FROM own JOIN f USING (path) WHERE named OR share >= 0.5 GROUP BY 1),
 up AS (SELECT path, array_to_string(parts[1 : d], '/') AS dir, d FROM (SELECT path, string_split(path, '/') AS parts, unnest(range(1, len(string_split(path, '/')))) AS d FROM f)),

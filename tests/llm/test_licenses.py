@@ -32,7 +32,7 @@ def plain(files, least_score=0.75, least_share=0.5):
     for path, text in files:
         own_words = words(text or "")
         if path is not None and (said := re.search("SPDX-License-Identifier:[ \\t]*([A-Za-z0-9.+-]+)", text or "")):
-            offer(path, (1.0, 1, 0), said[1], 4 / len(own_words))
+            offer(path, (1.0, 1, 0), said[1], 0)
         for k, (name, template) in enumerate(lic.TEMPLATES):
             t = words(template)
             units = [(at, own_words[at : at + len(t)]) for at in range(0, len(own_words), lic.stride(len(t)))]
@@ -42,7 +42,7 @@ def plain(files, least_score=0.75, least_share=0.5):
             for at, unit in units:
                 score = cosine(unit, t)
                 if score >= least_score:
-                    offer(path, (round(score, 9), -k, -at), name, len(unit) / len(own_words))
+                    offer(path, (round(score, 9), -k, -at), name, len(unit) / len(own_words) if len(t) >= lic.BODY else 0)
     grants = {}
     for path, (mark, name, share) in own.items():
         if re.search(lic.LICENSE_FILE, path) or share >= least_share:
@@ -81,6 +81,8 @@ FILES = [
     ("f/LICENSE", "Copyright 2020 Somebody\n\n" + lic._MIT),
     ("f/wrapped.c", "/*\n * " + "\n * ".join(re.findall(r"(?:\S+\s*){1,3}", lic._APACHE)) + "\n */\nint main() { return 0; }"),
     ("f/inline.txt", " ".join(f"word{k}" for k in range(100)) + " Released under the MIT License. " + " ".join(f"more{k}" for k in range(100))),
+    ("g/tiny.py", "# SPDX-License-Identifier: MIT\nx = 1"),
+    ("g/h/other.py", "y = 2"),
     ("f/bsd2", lic._BSD_HEAD + "\n" + lic._BSD_TAIL),
     ("long/file", "filler words\n" * 2_000 + "Licensed under CC BY 4.0.\n" + "more " * 1000),
 ]
@@ -110,3 +112,30 @@ def test_many_anchor_lines(spark):
 
 def test_empty(spark):
     assert lic.scan(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_spdx_expressions(spark):
+    """Whole expressions, several markers, unknown names, parentheses of the text around."""
+    mark = "SPDX-License-Identifier: "
+    texts = {
+        f"// {mark}(GPL-2.0 OR MIT)\ncode": "GPL-2.0 OR MIT",
+        f"{mark}MIT OR Apache-2.0 */": "MIT OR Apache-2.0",
+        f"{mark}GPL-2.0-only  WITH\tClasspath-exception-2.0 -->": "GPL-2.0-only WITH Classpath-exception-2.0",
+        f"{mark}( MIT AND ( ISC OR Zlib ) ) and more": "(MIT AND (ISC OR Zlib))",
+        f"(see {mark}MIT)": "MIT",
+        f"{mark}MIT.\n{mark}ISC OR Zlib\n{mark}MIT": "MIT AND (ISC OR Zlib)",
+        f"{mark}LicenseRef-Own AND MIT": "LicenseRef-Own AND MIT",
+        f"{mark}<the identifier>": None,
+        f"{mark}Nonsense-1.0": None,
+        f"{mark}mit OR": "mit",
+    }
+    files = spark.createDataFrame([(f"d{k}/f", t, "", 1) for k, t in enumerate(texts)] + [(f"d{k}/sub/other", "nothing", "", 1) for k in range(len(texts))], SCHEMA)
+    got = {r.path: r.license for r in lic.scan(files).collect()}
+    assert [got[f"d{k}/f"] for k in range(len(texts))] == list(texts.values())
+    assert not any(got[f"d{k}/sub/other"] for k in range(len(texts)))
+
+
+def test_markers_grant_in_licence_files_alone(spark):
+    rows = [("a/LICENSE", "SPDX-License-Identifier: MIT"), ("a/x/f", "code"), ("b/tiny", "Released under the MIT License."), ("b/x/f", "code"), ("c/notes", lic._MIT), ("c/x/f", "code")]
+    got = {r.path: (r.license, r.license_dir) for r in lic.scan(spark.createDataFrame([(p, t, "", 1) for p, t in rows], SCHEMA)).collect()}
+    assert got["a/x/f"] == ("MIT", "a") and got["b/x/f"] == (None, None) and got["c/x/f"] == ("MIT", "c") and got["b/tiny"] == ("MIT", None)
