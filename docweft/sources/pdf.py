@@ -1,9 +1,7 @@
-"""PDF text layers. A small reader of page content streams; what it can't read is an error row."""
+"""PDF files as documents: text layers, or pages sent to OCR; what can't be read is an error row."""
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,101 +12,7 @@ from docweft.functions.shared import settle
 from docweft.functions.text import nonblank_lines
 from docweft.operators.assemble import document, pages_from_texts
 from docweft.sources import ocr
-
-_OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj\b", re.S)
-_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.S)
-_TOKEN = re.compile(rb"<<|>>|<[0-9A-Fa-f\s]*>|\(|%[^\r\n]*|/[^\s\[\]()<>%/]*|[^\s\[\]()<>%/]+")
-_NUMBER = re.compile(rb"[+-]?[\d.]+")
-_MARK = re.compile(rb"\\.|[()]", re.S)
-_IMAGE_END = re.compile(rb"\sEI\b")
-#: The escapes of a literal string.
-_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
-
-
-def _literal(raw: bytes) -> str:
-    def one(m: re.Match) -> bytes:
-        x = m[1]
-        return bytes([int(x, 8) & 255]) if x[:1].isdigit() else _ESCAPES.get(x, x)
-
-    return re.sub(rb"\\([0-7]{1,3}|.)", one, raw, flags=re.S).decode("latin-1")
-
-
-def _string_end(content: bytes, at: int) -> int:
-    """Place of the parenthesis that closes the string which begins at ``at``."""
-    depth = 1
-    for m in _MARK.finditer(content, at):
-        depth += {b"(": 1, b")": -1}.get(m[0], 0)
-        if not depth:
-            return m.start()
-    raise ValueError("unclosed string")
-
-
-def _shown(content: bytes) -> str:
-    out, strings, coded, at = [], [], False, 0
-    while m := _TOKEN.search(content, at):
-        token, at = m[0], m.end()
-        if token == b"(":
-            end = _string_end(content, at)
-            strings.append(_literal(content[at:end]))
-            at = end + 1
-        elif token[:1] == b"<" and token != b"<<":
-            coded = True
-        elif token[:1] not in b"</>%" and not _NUMBER.fullmatch(token):
-            if token in (b"Tj", b"TJ", b"'", b'"'):
-                if coded:
-                    raise ValueError("unsupported hex string")
-                out.append(("\n" if token in (b"'", b'"') else "") + "".join(strings))
-            elif token in (b"T*", b"Td", b"TD", b"ET"):
-                out.append("\n")
-            elif token == b"ID":
-                end = _IMAGE_END.search(content, at)
-                at = end.end() if end else len(content)
-            strings, coded = [], False
-    return "".join(out)
-
-
-def page_texts(data: bytes) -> list[str]:
-    """The shown text of each page, in page order. Raises ValueError for what isn't supported."""
-    if not data.startswith(b"%PDF-"):
-        raise ValueError("not a PDF")
-    objects = {int(n): body for n, body in _OBJECT.findall(data)}
-    if b"/Encrypt" in data or not any(b"/Pages" in b for b in objects.values()):
-        raise ValueError("unsupported PDF")
-    if any(re.search(rb"/Subtype\s*/Type0\b", b.split(b"stream", 1)[0]) for b in objects.values()):
-        raise ValueError("unsupported composite font")
-
-    def content(number: int) -> bytes:
-        body = objects.get(number, b"")
-        stream = _STREAM.search(body)
-        if not stream:
-            return b""
-        head = body[: stream.start()]
-        if b"/FlateDecode" in head:
-            return zlib.decompressobj().decompress(stream[1])
-        if b"/Filter" in head:
-            raise ValueError("unsupported filter")
-        return stream[1]
-
-    pages: list[str] = []
-
-    def walk(number: int, seen: frozenset) -> None:
-        body = objects.get(number, b"")
-        if number in seen or len(seen) > 100:
-            raise ValueError("circular page tree")
-        if kids := re.search(rb"/Kids\s*\[(.*?)\]", body, re.S):
-            for k in re.findall(rb"(\d+)\s+\d+\s+R", kids[1]):
-                walk(int(k), seen | {number})
-            return
-        held = re.search(rb"/Contents\s*(\[.*?\]|\d+\s+\d+\s+R)", body, re.S)
-        numbers = re.findall(rb"(\d+)\s+\d+\s+R", held[1]) if held else []
-        pages.append(_shown(b"\n".join(content(int(n)) for n in numbers)))
-
-    for body in objects.values():
-        if re.search(rb"/Type\s*/Catalog\b", body) and (root := re.search(rb"/Pages\s+(\d+)", body)):
-            walk(int(root[1]), frozenset())
-            break
-    return pages
-
+from docweft.sources.pdf_text import page_texts
 
 PAGES = "doc_id string, file_name string, mime_type string, page_texts array<string>, error string, content binary"
 
@@ -126,7 +30,7 @@ def text_layer(files: DataFrame) -> DataFrame:
                 found, error = None, None
                 try:
                     found = page_texts(bytes(content))
-                except (ValueError, TypeError, zlib.error) as e:
+                except (ValueError, TypeError) as e:
                     error = f"pdf: {e}"
                 texts.append(found)
                 errors.append(error)
