@@ -43,16 +43,28 @@ def window_starts(n: Column, size: int, overlap: int) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda i: i * step)
 
 
-def spans(rows: DataFrame, group: str, index: str, start: str, end: str, least: float = 0.5, reach: int = 32, top: int = 8) -> DataFrame:
+def spans(rows: DataFrame, group: str, index: str, start: str, end: str, least: float = 0.5, reach: int = 32, top: int = 8, chars: tuple[str, str] | None = None) -> DataFrame:
     """Pairs of start and end positions of a group, at most ``reach`` apart, the ``top`` most likely of each.
 
     The range join is an equi-join on blocks of ``reach`` positions: an end lies
-    in its start's block or in the next one.
+    in its start's block or in the next one. ``chars`` names the columns of the
+    first character of a start and of the one behind an end: only pairs that hold
+    characters count, and they are returned as start_char and end_char.
     """
-    begins = rows.where(F.col(start) >= least).select(group, F.col(index).alias("start_index"), F.col(start).alias("__s"), F.floor(F.col(index) / reach).alias("__b"))
+    first, last = ([F.col(chars[0]).alias("start_char")], [F.col(chars[1]).alias("end_char")]) if chars else ([], [])
+    begins = rows.where(F.col(start) >= least).select(group, F.col(index).alias("start_index"), F.col(start).alias("__s"), F.floor(F.col(index) / reach).alias("__b"), *first)
     near = begins.withColumn("__b", F.explode(F.array(F.col("__b"), F.col("__b") + 1)))
-    ends = rows.where(F.col(end) >= least).select(group, F.col(index).alias("end_index"), F.col(end).alias("__e"), F.floor(F.col(index) / reach).alias("__b"))
+    ends = rows.where(F.col(end) >= least).select(group, F.col(index).alias("end_index"), F.col(end).alias("__e"), F.floor(F.col(index) / reach).alias("__b"), *last)
     pairs = near.join(ends, [group, "__b"]).where(F.col("end_index").between(F.col("start_index"), F.col("start_index") + reach))
-    scored = pairs.select(group, "start_index", "end_index", F.sqrt(F.col("__s") * F.col("__e")).alias("confidence"))
+    if chars:
+        pairs = pairs.where(F.col("end_char") > F.col("start_char"))
+    own = ("start_char", "end_char") if chars else ()
+    scored = pairs.select(group, "start_index", "end_index", *own, F.sqrt(F.col("__s") * F.col("__e")).alias("confidence"))
     order = Window.partitionBy(group).orderBy(F.desc("confidence"), "start_index", "end_index")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
+def rotation_vote(rows: DataFrame, group: str, rotation: str, weight: str) -> DataFrame:
+    """The rotation of a group's patches that weighs most, in whole degrees from 0 to 359; ties: the larger one."""
+    whole = F.pmod(F.round(F.col(rotation)).cast("int"), F.lit(360))
+    return weighted_vote(rows.withColumn(rotation, whole), group, rotation, weight)

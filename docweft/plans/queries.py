@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docweft.functions import text as T
 from docweft.functions.shared import fresh_dir
-from docweft.operators import aggregates, assemble, extract, incremental, models, postprocess, store, vision
+from docweft.operators import aggregates, assemble, contracts, extract, incremental, models, postprocess, store, tensors, vision
 from docweft.plans import engine
 from docweft.schema import FieldSpec, SchemaSpec
 from docweft.sources import docx, ingest, ocr
@@ -823,6 +823,60 @@ def patch_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("g is not null").select("p_partkey", "g.*")
 
 
+# ---- batches of a span model, JSON laid over JSON ----
+
+
+@query(
+    "tensor_plan_join",
+    """WITH c AS (SELECT c_custkey AS k, 1 + c_custkey % 3 AS b, CASE WHEN c_custkey % 11 = 0 THEN 1 ELSE 0 END AS more, c_custkey % 13 = 0 AS short, c_custkey % 4 AS form FROM customer),
+e AS (SELECT *, CASE WHEN form = 3 AND b > 1 THEN 'unsupported UIE output tensor rank `4` with shape [' || b || ', 1, 1, 5]' WHEN form = 3 AND b = 1 AND short THEN 'UIE output tensor shape [5] expects 5 values, got 4'
+  WHEN short THEN 'UIE output tensor shape [' || b || ', ' || ['5', '5, 1', '1, 5'][1 + form] || '] expects ' || b * 5 || ' values, got ' || b * 5 - 1
+  WHEN more = 1 THEN 'UIE output batch size mismatch: start=' || b || ', end=' || b || ', plans=' || b + 1 END AS error FROM c),
+p AS (SELECT k, unnest(range(b)) AS plan_no FROM e WHERE error IS NULL)
+SELECT k AS c_custkey, CAST(plan_no AS INTEGER) AS plan_no, array_to_string(list_transform(range(5), lambda i: (k + 7 * plan_no + 3 * i) % 10), ',') AS starts,
+  array_to_string(list_transform(range(5), lambda i: (k + 5 * plan_no + 2 * i) % 10), ',') AS ends, CAST(NULL AS VARCHAR) AS error FROM p
+UNION ALL SELECT k, NULL, NULL, NULL, error FROM e WHERE error IS NOT NULL""",
+)
+def tensor_plan_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of one to three windows of five tokens for each customer, in every shape that there is; some of a wrong size."""
+    k, b, size = F.col("c_custkey"), (F.col("c_custkey") % 3 + 1).cast("int"), F.lit(5)
+    form, one = F.col("c_custkey") % 4, F.lit(1)
+    shape = F.when(form == 0, F.array(b, size)).when(form == 1, F.array(b, size, one)).when(form == 2, F.array(b, one, size)).when(b == 1, F.array(size)).otherwise(F.array(b, one, one, size))
+    cells = F.sequence(F.lit(0), b * 5 - 1 - F.when(k % 13 == 0, 1).otherwise(0))
+    value = lambda of_row, of_token: F.transform(cells, lambda i: ((k + F.floor(i / 5) * of_row + i % 5 * of_token) % 10 / 10.0).cast("float"))
+    rows = table(spark, sf_dir, "customer")
+    outputs = rows.select(k.alias("doc_id"), value(7, 3).alias("start_values"), shape.alias("start_shape"), value(5, 2).alias("end_values"), shape.alias("end_shape"))
+    plans = rows.select(k.alias("doc_id"), F.explode(F.sequence(F.lit(0), b - 1 + F.when(k % 11 == 0, 1).otherwise(0))).alias("plan_no"))
+    good, bad = tensors.join_plans(outputs, plans)
+    tenths = lambda c: F.array_join(F.transform(c, lambda x: F.round(x * 10).cast("int")), ",")
+    none = F.lit(None).cast("string")
+    return good.select(F.col("doc_id").alias("c_custkey"), "plan_no", tenths("start_probs").alias("starts"), tenths("end_probs").alias("ends"), none.alias("error")).unionByName(
+        bad.select(F.col("doc_id").alias("c_custkey"), F.lit(None).cast("int").alias("plan_no"), none.alias("starts"), none.alias("ends"), "error")
+    )
+
+
+@query(
+    "json_deep_merge",
+    """SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 3 = 0 THEN '{"name":"' || c_name || '","place":{"nation":' || c_nationkey || ',"seg":null},"tags":["' || c_mktsegment || '"]}'
+  WHEN c_custkey % 3 = 1 THEN '{"more":{"x":{"y":1,"z":2}},"name":"base","place":{"nation":' || c_nationkey || ',"seg":"' || c_mktsegment || '"},"tags":["' || c_mktsegment || '"]}'
+  ELSE '{"name":"base","place":"' || c_mktsegment || '","tags":[1,2]}' END AS merged, CASE WHEN c_custkey % 5 = 0 THEN 'malformed JSON' END AS error FROM customer""",
+)
+def json_deep_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three texts of each customer, laid over one another; every fifth isn't JSON."""
+    third, quoted = F.col("c_custkey") % 3, lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    base = F.concat(F.lit('{"tags": [1, 2], "name": "base", "place": {"nation": 0, "seg": '), quoted(F.col("c_mktsegment")), F.lit("}}"))
+    listed = F.concat(F.lit(', "tags": ['), quoted(F.col("c_mktsegment")), F.lit("]}"))
+    nation = F.concat(F.lit('{"place": {"nation": '), F.col("c_nationkey").cast("string"))
+    second = F.when(third == 0, F.concat(nation, F.lit("}"), listed)).when(third == 1, F.concat(nation, F.lit('}, "more": {"x": {"y": 1}}'), listed)).otherwise(F.concat(F.lit('{"place": '), quoted(F.col("c_mktsegment")), F.lit("}")))
+    last = F.when(third == 0, F.concat(F.lit('{"name": '), quoted(F.col("c_name")), F.lit(', "place": {"seg": null}}'))).when(third == 1, '{"more": {"x": {"z": 2}}}')
+    texts = F.array(*(F.struct(F.lit(k).alias("rank"), x.alias("json")) for k, x in enumerate((base, F.when(F.col("c_custkey") % 5 == 0, "{").otherwise(second), last))))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.explode(texts).alias("t")).select("id", "t.*")
+    good, bad = contracts.deep_merge(rows)
+    return good.select(F.col("id").alias("c_custkey"), F.col("json").alias("merged"), F.lit(None).cast("string").alias("error")).unionByName(
+        bad.select(F.col("id").alias("c_custkey"), F.lit(None).cast("string").alias("merged"), "error")
+    )
+
+
 # ---- uploads with a schema each ----
 
 #: Twenty schemas of customers: each asks for the name or the segment under another label, as a string or a list, alone or inside an object.
