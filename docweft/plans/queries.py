@@ -10,7 +10,7 @@ from docweft.functions.shared import fresh_dir
 from docweft.operators import aggregates, assemble, contracts, extract, incremental, models, postprocess, store, tensors, vision
 from docweft.plans import engine
 from docweft.schema import FieldSpec, SchemaSpec
-from docweft.sources import docx, ingest, ocr
+from docweft.sources import docx, images, ingest, ocr
 
 FIELDS = f"array<struct<key:string,value_json:string,items:array<string>,meaningful:boolean,confidence:float,evidences:array<{extract.EVIDENCE}>>>"
 QUERIES: dict = {}
@@ -877,6 +877,32 @@ def json_deep_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "page_tensor",
+    """WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 8 ELSE 4 END AS w, 4 AS h, p_size % 3 + 1 AS a, p_size % 5 AS b FROM part WHERE p_partkey % 7 <> 0),
+i AS (SELECT *, CASE WHEN w = 8 THEN 4 ELSE w END AS nw, CASE WHEN w = 8 THEN 2 ELSE h END AS nh FROM p),
+t AS (SELECT i.*, o.x AS ox, o.y AS oy, s.x AS sx, s.y AS sy, w * 1.0::DOUBLE / nw AS r FROM i, (SELECT unnest(range(4)) AS x, y FROM (SELECT unnest(range(4)) AS y)) o, (SELECT unnest(range(8)) AS x, y FROM (SELECT unnest(range(4)) AS y)) s
+  WHERE o.x < nw AND o.y < nh AND s.x < w AND s.y < h),
+g AS (SELECT *, greatest(0, 1 - abs((sx - ((ox + 0.5) * r - 0.5)) / r)) * greatest(0, 1 - abs((sy - ((oy + 0.5) * r - 0.5)) / r)) AS weight FROM t),
+v AS (SELECT p_partkey, w, h, nw, nh, ox, oy, unnest([0, 1, 2]) AS channel, unnest([sum(weight * (10 * a * sx + b * sy)) / sum(weight), sum(weight * (200 - 20 * sx)) / sum(weight), sum(weight * (7 * sy + 3)) / sum(weight)]) AS x FROM g GROUP BY 1, 2, 3, 4, 5, 6, 7)
+SELECT p_partkey, channel, w AS width, nw AS resized_width, nh AS resized_height, array_to_string(list(CAST(floor(x + 0.5) AS INTEGER) ORDER BY oy, ox), ',') AS vals, CAST(NULL AS VARCHAR) AS error FROM v GROUP BY 1, 2, 3, 4, 5
+UNION ALL SELECT p_partkey, NULL, NULL, NULL, NULL, NULL, 'image: unsupported kind of image' FROM part WHERE p_partkey % 7 = 0""",
+)
+def page_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gradients of two sizes as bitmaps made of the table's columns, the larger ones halved; every seventh is no image."""
+    rows = table(spark, sf_dir, "part")
+    width, a, b = F.when(F.col("p_partkey") % 2 == 0, 8).otherwise(4), F.col("p_size") % 3 + 1, F.col("p_size") % 5
+    byte = lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")
+    pixel = lambda x, y: F.concat(byte(7 * y + 3), byte(200 - 20 * x), byte(10 * a * x + b * y))
+    pixels = F.flatten(F.transform(F.sequence(F.lit(3), F.lit(0)), lambda y: F.transform(F.sequence(F.lit(0), width - 1), lambda x: pixel(x, y))))
+    head = F.concat(F.lit("424D00000000000000003600000028000000"), byte(width), F.lit("000000" + "04000000" + "01001800" + "00" * 24))
+    content = F.when(F.col("p_partkey") % 7 == 0, F.encode(F.col("p_name"), "UTF-8")).otherwise(F.unhex(F.concat(head, F.array_join(pixels, ""))))
+    out = images.page_tensors(rows.select(F.col("p_partkey").cast("string").alias("doc_id"), content.alias("content")), max_side=4)
+    return out.select(
+        F.col("doc_id").cast("long").alias("p_partkey"), "channel", "width", "resized_width", "resized_height", F.array_join(F.transform("values", lambda v: F.round(v * 255).cast("int")), ",").alias("vals"), "error"
+    )
+
+
 # ---- uploads with a schema each ----
 
 #: Twenty schemas of customers: each asks for the name or the segment under another label, as a string or a list, alone or inside an object.
