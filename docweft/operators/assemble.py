@@ -119,8 +119,14 @@ def first_error(protocol: Column, sdk: Column, text: Column, pages: Column) -> C
     )
 
 
-def page_slots(pages: DataFrame, keys: list[str], page_col: str, count: Column | None = None) -> DataFrame:
-    """A row for each page from 1 to the largest (or ``count``); missing pages are null but for keys and number."""
+def page_slots(pages: DataFrame, keys: list[str], page_col: str, count: Column | None = None, order: str | None = None) -> DataFrame:
+    """A row for each page from 1 to the largest (or ``count``); missing pages are null but for keys and number.
+
+    Of several pages of a number the last by ``order`` stays, where that is given.
+    """
+    if order is not None:
+        others = [c for c in pages.columns if c not in (*keys, page_col)]
+        pages = pages.groupBy(*keys, page_col).agg(F.max_by(F.struct(*others), order).alias("__last")).select(*keys, page_col, "__last.*")
     top = F.max(page_col) if count is None else F.greatest(F.max(page_col), F.max(count))
     slots = pages.groupBy(*keys).agg(F.greatest(top, F.lit(1)).alias("__top")).select(*keys, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__top").cast("long"))).alias(page_col))
     return slots.join(pages.withColumn(page_col, F.col(page_col).cast("long")), [*keys, page_col], "left")

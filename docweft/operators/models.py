@@ -123,10 +123,12 @@ def join_answers(answers: DataFrame, docs: DataFrame, schema: SchemaSpec) -> tup
     Schema fields are the left side: those that an answer lacks have their
     default. An answer is an object with ``fields`` (an array of key, value,
     confidence or score, evidences or evidence) or with the keys themselves
-    (``key``, ``key_confidence``, ``key_evidences`` or ``key_evidence``).
+    (``key``, ``key_confidence``, ``key_evidences`` or ``key_evidence``). A document
+    without an answer and an answer without a document are errors.
     """
     schema.validate()
-    rows = answers.join(docs.select("doc_id", "plain_text", blocks_of(F.col("pages")).alias("__blocks")), "doc_id")
+    held = docs.select("doc_id", "plain_text", blocks_of(F.col("pages")).alias("__blocks"), F.lit(True).alias("__doc"))
+    rows = held.join(answers.select("doc_id", "answer", F.lit(True).alias("__answer")), "doc_id", "full")
     listed = member(F.col("answer"), "fields")
     rows = rows.withColumns({"__ok": F.coalesce(F.to_json(F.try_parse_json("answer")).startswith("{"), F.lit(False)), "__listed": listed, "__items": elements(listed)})
     plain, blocks = F.col("plain_text"), F.col("__blocks")
@@ -140,6 +142,8 @@ def join_answers(answers: DataFrame, docs: DataFrame, schema: SchemaSpec) -> tup
         parts[f"__e{i}"] = F.when(of_list, F.coalesce(member(item, "evidences"), member(item, "evidence"))).otherwise(F.coalesce(root("_evidences"), root("_evidence")))
     rows = rows.withColumns(parts)
     error = F.coalesce(
+        F.when(F.col("__doc").isNull(), "answer without a document"),
+        F.when(F.col("__answer").isNull(), "document without an answer"),
         F.when(~F.col("__ok"), "model answer must be a JSON object"),
         F.when(F.col("__listed").isNotNull() & F.col("__items").isNull(), "`fields` must be an array"),
         *(evidence_error(F.col(f"__e{i}")) for i in range(len(schema.fields))),
@@ -150,6 +154,11 @@ def join_answers(answers: DataFrame, docs: DataFrame, schema: SchemaSpec) -> tup
     return good, rows.where("error is not null").select("doc_id", "error")
 
 
+def string_inputs(docs: DataFrame, schema: SchemaSpec) -> DataFrame:
+    """What a model that takes strings is given: doc_id, plain_text and the schema as JSON."""
+    return docs.select("doc_id", "plain_text", F.lit(schema.to_json()).alias("schema_json"))
+
+
 def span_values(spans: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_id and its predictions, in order, from spans (doc_id, path, start_char, end_char, confidence) of a text.
 

@@ -35,7 +35,7 @@ def components(heat: np.ndarray, least: float, pixels: int, scale: float) -> lis
     for k in np.unique(label[label > 0]):
         y, x = np.nonzero(label == k)
         if len(x) >= pixels:
-            out.append((x.min() * scale, y.min() * scale, (x.max() + 1) * scale, (y.max() + 1) * scale, float(heat[y, x].mean()), len(x)))
+            out.append((x.min() * scale, y.min() * scale, (x.max() + 1) * scale, (y.max() + 1) * scale, float(heat[y, x].mean(dtype="f8")), len(x)))
     return sorted(out, key=lambda r: (r[1], r[0]))
 
 

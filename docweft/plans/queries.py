@@ -972,10 +972,19 @@ def upload_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# ---- model tensors and streams: no SQL ----
+# ---- model tensors and streams ----
 
 
-@query("heatmap_components")
+@query(
+    "heatmap_components",
+    """WITH RECURSIVE c AS (SELECT user_id AS id, CAST((row_number() OVER (PARTITION BY user_id ORDER BY ts, value) - 1) AS BIGINT) AS i, CAST(value AS REAL) AS v FROM events),
+p AS (SELECT id, i, v FROM c WHERE v >= 50), e AS (SELECT a.id, a.i AS i, b.i AS j FROM p a JOIN p b ON a.id = b.id AND (abs(a.i - b.i) = 8 OR (abs(a.i - b.i) = 1 AND a.i // 8 = b.i // 8))),
+r AS (SELECT id, i, i AS j FROM p UNION SELECT r.id, r.i, e.j FROM r JOIN e ON e.id = r.id AND e.i = r.j),
+k AS (SELECT id, i, max(j) AS label FROM r GROUP BY 1, 2),
+g AS (SELECT k.id, label, min(i % 8) AS x1, min(i // 8) AS y1, max(i % 8) + 1 AS x2, max(i // 8) + 1 AS y2, avg(CAST(v AS DOUBLE)) AS confidence, count(*) AS n FROM k JOIN p USING (id, i) GROUP BY 1, 2 HAVING count(*) >= 2)
+SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY y1, x1, label) - 1 AS INTEGER) AS position, CAST(x1 * 4 AS REAL) AS x1, CAST(y1 * 4 AS REAL) AS y1, CAST(x2 * 4 AS REAL) AS x2, CAST(y2 * 4 AS REAL) AS y2,
+  CAST(confidence AS REAL) AS confidence, CAST(n AS INTEGER) AS pixels FROM g""",
+)
 def heatmap_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A map of eight columns from all events of each user, the last row padded with zeros."""
     every = F.transform(F.sort_array(F.collect_list(F.struct("ts", "value"))), lambda x: x["value"].cast("float"))

@@ -397,7 +397,7 @@ def recognize(files: DataFrame, provider: Provider) -> DataFrame:
 
 
 def image_size(data: bytes) -> tuple[int, int] | None:
-    """Width and height that the head of a PNG, GIF, BMP or JPEG file states; None for anything else."""
+    """Width and height that the head of a PNG, GIF, BMP, JPEG or WebP file states; None for anything else."""
     if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
         return struct.unpack(">II", data[16:24])
     if data[:4] == b"GIF8" and len(data) >= 10:
@@ -405,6 +405,15 @@ def image_size(data: bytes) -> tuple[int, int] | None:
     if data[:2] == b"BM" and len(data) >= 26:
         width, height = struct.unpack("<ii", data[18:26])
         return abs(width), abs(height)
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP" and len(data) >= 30:
+        kind, little = data[12:16], lambda a, z: int.from_bytes(data[a:z], "little")
+        if kind == b"VP8X":
+            return little(24, 27) + 1, little(27, 30) + 1
+        if kind == b"VP8L" and data[20] == 0x2F:
+            return (little(21, 25) & 0x3FFF) + 1, (little(21, 25) >> 14 & 0x3FFF) + 1
+        if kind == b"VP8 " and data[23:26] == b"\x9d\x01\x2a":
+            return little(26, 28) & 0x3FFF, little(28, 30) & 0x3FFF
+        return None
     if data[:2] == b"\xff\xd8":
         at = 2
         while at + 9 <= len(data) and data[at] == 0xFF:
