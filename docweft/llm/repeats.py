@@ -103,17 +103,29 @@ def hash_runs(docs: DataFrame, least_sentences: int, least_words: int) -> DataFr
     return docs.where("doc_id is not null and text is not null").select("doc_id", "text_hash", "text").mapInArrow(run, RUNS)
 
 
-def _keys(docs: DataFrame) -> DataFrame:
+def _keys(docs: DataFrame, apart: bool) -> DataFrame:
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash(text, apart).alias("text_hash"), text.alias("text"))
 
 
-def repeated_spans(docs: DataFrame, least_sentences: int = 2, least_words: int = 20) -> DataFrame:
+def _text_hash(text: Column, apart: bool) -> Column:
+    """What tells the texts of one id apart; nothing where every id has one text, so that it takes no room."""
+    return F.xxhash64(text) if apart else F.lit(0).cast("long")
+
+
+def several_texts(docs: DataFrame) -> bool:
+    """Whether some id has different texts."""
+    keys = _keys(docs, True).where("doc_id is not null").groupBy("doc_id").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b"))
+    return not keys.where("a <> b").isEmpty()
+
+
+def repeated_spans(docs: DataFrame, least_sentences: int = 2, least_words: int = 20, apart: bool = True) -> DataFrame:
     """doc_id, text_hash, spans (first sentence, sentence behind the last) that repeat earlier ones, first_doc_ids.
 
-    A document is an id with a text: where one id has several texts, each has spans of its own, ordered by id, then hash of the text.
+    A document is an id with a text: where one id has several texts, each has spans of its own, ordered by id, then hash of the text;
+    ``apart`` is false where the caller knows that no id has.
     """
-    found = written(hash_runs(_keys(docs), least_sentences, least_words), "runs")
+    found = written(hash_runs(_keys(docs, apart), least_sentences, least_words), "runs")
     keys = ["h1", "h2"]
     place = F.struct("doc_id", "text_hash", "start")
     firsts = settle(found.groupBy(*keys).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select(*keys, "first"))
@@ -156,9 +168,10 @@ def _cutter(text: Column, spans: Column) -> Column:
 
 def affected(docs: DataFrame, least_sentences: int = 2, least_words: int = 20) -> DataFrame:
     """doc_id, text (what is left), n_sentences, n_removed, first_doc_ids of each document that loses sentences."""
-    spans = repeated_spans(docs, least_sentences, least_words)
+    apart = several_texts(docs)
+    spans = repeated_spans(docs, least_sentences, least_words, apart)
     return (
-        _keys(docs)
+        _keys(docs, apart)
         .join(spans, ["doc_id", "text_hash"])
         .select("doc_id", _cutter(F.col("text"), F.col("spans")).alias("cut"), "first_doc_ids")
         .select("doc_id", "cut.text", "cut.n_sentences", "cut.n_removed", "first_doc_ids")
@@ -168,8 +181,9 @@ def affected(docs: DataFrame, least_sentences: int = 2, least_words: int = 20) -
 def remove_repeats(docs: DataFrame, least_sentences: int = 2, least_words: int = 20) -> DataFrame:
     """``docs``, all columns kept, with the covered sentences removed from ``text``."""
     i, h, own = unused(docs, 3)
-    spans = repeated_spans(docs, least_sentences, least_words).select(F.col("doc_id").alias(i), F.col("text_hash").alias(h), F.col("spans").alias(own))
-    same = (F.col("doc_id").cast("long") == F.col(i)) & (F.xxhash64(F.col("text").cast("string")) == F.col(h))
+    apart = several_texts(docs)
+    spans = repeated_spans(docs, least_sentences, least_words, apart).select(F.col("doc_id").alias(i), F.col("text_hash").alias(h), F.col("spans").alias(own))
+    same = (F.col("doc_id").cast("long") == F.col(i)) & (_text_hash(F.col("text").cast("string"), apart) == F.col(h))
     joined = docs.join(spans, same, "left")
     cut = F.when(F.col(own).isNull(), F.col("text")).otherwise(_cutter(F.col("text"), F.col(own))["text"])
     return joined.withColumn("text", cut).drop(i, h, own)
