@@ -73,7 +73,6 @@ def normalize_nested(results: DataFrame) -> DataFrame:
 
     For answers of models, and for schemas in which lists lie inside objects.
     """
-    kind = results.schema["fields"].dataType
     rows = results.select(*results.columns, F.posexplode_outer("fields").alias("__k", "__f"))
     rows = rows.withColumn("__v", normalize_json(F.col("__f.value_json")))
     listed = F.when(F.col("__v").startswith("["), F.transform(F.variant_get(F.try_parse_json("__v"), "$", "array<variant>"), lambda v: F.coalesce(F.to_json(v), F.lit("null"))))
@@ -81,7 +80,7 @@ def normalize_nested(results: DataFrame) -> DataFrame:
     changed = F.when(F.col("__f").isNotNull(), field)
     keys = [c for c in results.columns if c != "fields"]
     ordered = F.sort_array(F.collect_list(F.when(F.col("__k").isNotNull(), F.struct(F.col("__k").alias("k"), changed.alias("f")))))
-    own = rows.groupBy("doc_id").agg(*(F.any_value(c).alias(c) for c in keys if c != "doc_id"), F.transform(ordered, lambda x: x["f"]).cast(kind).alias("fields"))
+    own = rows.groupBy("doc_id").agg(*(F.any_value(c).alias(c) for c in keys if c != "doc_id"), F.transform(ordered, lambda x: x["f"]).alias("fields"))
     return own.select(*results.columns)
 
 

@@ -21,7 +21,7 @@ from docweft.functions.labels import find_labels
 from docweft.functions.shared import settle, spread_join
 from docweft.operators.assemble import blocks_of
 from docweft.operators.extract import bound, paged_blocks
-from docweft.operators.postprocess import finalize
+from docweft.operators.postprocess import finalize, normalize_nested
 from docweft.schema import FieldSpec, SchemaSpec
 from docweft.sources.ingest import mode_error
 
@@ -181,4 +181,5 @@ def extract_requests(requests: DataFrame, docs: DataFrame) -> DataFrame:
     held = rows.select("task_id", blocks_of(F.col("pages")).alias("__b"), "plain_text", "return_raw_text", "return_evidence").join(top, "task_id")
     numbers = lambda f: F.when(F.col("return_evidence"), f["evidences"]).otherwise(F.array().cast("array<int>"))
     shown = F.transform("__f", lambda f: f.withField("evidences", bound(numbers(f), F.col("__b"))))
-    return finalize(held.select("task_id", shown.alias("fields"), F.when(F.col("return_raw_text"), F.col("plain_text")).alias("raw_text")))
+    out = finalize(held.select(F.col("task_id").alias("doc_id"), shown.alias("fields"), F.when(F.col("return_raw_text"), F.col("plain_text")).alias("raw_text")))
+    return (normalize_nested(out) if levels > 1 else out).withColumnRenamed("doc_id", "task_id")

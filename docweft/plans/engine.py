@@ -14,7 +14,7 @@ from docweft.operators.assemble import first_error, from_normalized
 from docweft.operators.extract import Matched
 from docweft.operators.extract import extract as extract_fields
 from docweft.operators.incremental import cache_events, document_events, failure_events, opening, partial_events, result_events, sequenced
-from docweft.operators.postprocess import finalize, normalize_evidences, normalize_field, respond
+from docweft.operators.postprocess import finalize, normalize_evidences, normalize_field, normalize_nested, respond
 from docweft.schema import SchemaSpec
 from docweft.sources import docx, ingest, ocr, pdf
 
@@ -45,8 +45,14 @@ class EngineConfig:
         return ocr.placeholder_provider
 
 
+def finalized(results: DataFrame, schema: SchemaSpec) -> DataFrame:
+    """Normalized results; lists inside other fields are normalized too, where the schema has any."""
+    out = finalize(results)
+    return normalize_nested(out) if schema.holds_lists_inside() else out
+
+
 def _results(docs: DataFrame, schema: SchemaSpec, config: EngineConfig) -> DataFrame:
-    return respond(finalize(extract_fields(docs, schema)), config.return_raw_text, config.return_evidence)
+    return respond(finalized(extract_fields(docs, schema), schema), config.return_raw_text, config.return_evidence)
 
 
 def extract(inputs: DataFrame, schema: SchemaSpec, config: EngineConfig = EngineConfig()) -> tuple[DataFrame, DataFrame]:
@@ -168,7 +174,7 @@ def run_batch(
             docs = ingest.read_inline(todo)
         docs = settle(docs)
         matched = Matched(docs, schema, by_page=True).settled(settle)
-        final = settle(respond(finalize(matched.fields()), config.return_raw_text, config.return_evidence).drop("status"))
+        final = settle(respond(finalized(matched.fields(), schema), config.return_raw_text, config.return_evidence).drop("status"))
         return Solved(docs, final, failed, finalized_changes(matched, config.return_evidence))
 
     return answered(judged, solve, cache, normalized, order, now_ms, config.return_evidence)

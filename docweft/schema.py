@@ -69,11 +69,19 @@ class SchemaSpec:
         _validate(self.fields, "fields")
         return self
 
+    def holds_lists_inside(self) -> bool:
+        """Whether a list of objects lies inside another field."""
+        return any(_lists_below(f) for f in self.fields)
+
     def leaves(self) -> list[tuple[tuple[str, ...], FieldSpec]]:
         """(path, field) of every leaf, depth first."""
         return _leaves(self.fields, ())
 
 
+def _lists_below(f: FieldSpec) -> bool:
+    return any(c.children and (c.field_type == "array" or _lists_below(c)) for c in f.children)
+
+
 def _validate(fields: tuple[FieldSpec, ...], scope: str) -> None:
     seen = set()
     for f in fields:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from docweft.operators import requests
 from docweft.operators.extract import extract
-from docweft.operators.postprocess import finalize
 from docweft.plans import engine
 from docweft.schema import FieldSpec, SchemaSpec
 from docweft.sources import ingest
@@ -38,7 +37,7 @@ def test_schemas_as_rows_give_what_compiled_schemas_give(spark):
     got = {r.task_id: r for r in requests.extract_requests(asked.withColumnRenamed("path", "doc_id"), docs).collect()}
     assert len(got) == len(pages) * len(schemas)
     for k, s in enumerate(schemas):
-        for r in finalize(extract(docs, s)).collect():
+        for r in engine.finalized(extract(docs, s), s).collect():
             assert got[f"{r.doc_id}/{k}"].fields == r.fields and got[f"{r.doc_id}/{k}"].raw_text == r.raw_text
 
 
