@@ -50,8 +50,10 @@ def spread_join(rows: DataFrame, few: DataFrame, keys: list[str], spread: list[s
     The hot keys, ``HOT_SHARE`` at most, are found by a count beforehand and
     broadcast; of ``few`` only their rows are repeated. Null keys find nothing.
     """
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     total = rows.count()
+    if total < HOT_LEAST:  # no key can be hot
+        return rows.join(few, keys, how)
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     hot = F.broadcast(settle(counts.where(F.col("__n") >= max(HOT_LEAST, total / HOT_SHARE)).select(*keys)).withColumn("__hot", F.lit(True)))
     zero = F.lit(0).cast("long")
     part = F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread), F.lit(parts))).otherwise(zero)

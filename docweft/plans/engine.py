@@ -203,16 +203,40 @@ def run_uploads(files: DataFrame, uploads: DataFrame, config: EngineConfig = Eng
     def solve(missed: DataFrame) -> Solved:
         todo = judged.join(missed, "doc_id", "left_semi")
         docs, failed = documents_of(held.join(todo.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").drop("digest"), config)
-        docs, failed = settle(docs), settle(failed)
-        final = settle(requests.extract_requests(todo.drop("doc_id").withColumnRenamed("doc", "doc_id"), docs).drop("status").withColumnRenamed("task_id", "doc_id"))
-        of_task = todo.select(F.col("doc_id").alias("task_id"), F.col("doc").alias("doc_id"))
-        per_task = spread_join(of_task, docs, ["doc_id"], ["task_id"]).drop("doc_id").withColumnRenamed("task_id", "doc_id")
-        lost = spread_join(of_task, failed, ["doc_id"], ["task_id"]).select(F.col("task_id").alias("doc_id"), "error")
-        return Solved(per_task, final, lost)
+        return _solved(todo, settle(docs), settle(failed))
 
     return answered(judged, solve, cache, False, order, now_ms, True)
 
 
+def run_requests(asked: DataFrame, cache: DataFrame | None = None, order: str = "task_id", now_ms: int = 0) -> Outcome:
+    """Tasks of inline requests (ingest.REQUEST with schema and options), each with its own schema, mode and options.
+
+    An input is read once, however many requests bring it.
+    """
+    given = requests.judged(asked.withColumn("path", F.lit("")))
+    inputs = ("kind", "content", "url", "file_name", "mime_type")
+    refused = ingest.input_error(F.col("kind"), F.col("content"), F.col("url"))
+    own = store.cache_key(F.struct(*inputs))
+    key = store.cache_key(own, F.col("schema"), F.struct("return_raw_text", "return_evidence"))
+    judged = settle(given.withColumns({"doc_id": F.col("task_id"), "doc": own, "error": F.coalesce("error", refused), "cache_key": key}))
+
+    def solve(missed: DataFrame) -> Solved:
+        todo = judged.join(missed, "doc_id", "left_semi")
+        texts = todo.select(F.col("doc").alias("doc_id"), F.col("kind").alias("source_type"), F.col("content").alias("text"), "url", "file_name", "mime_type").dropDuplicates(["doc_id"])
+        return _solved(todo, settle(ingest.read_inline(texts)), judged.limit(0).select("doc_id", "error"))
+
+    return answered(judged, solve, cache, False, order, now_ms, True)
+
+
+def _solved(todo: DataFrame, docs: DataFrame, failed: DataFrame) -> Solved:
+    """What requests (doc_id, doc, nodes, labels, ...) give for documents and failures of ``doc``."""
+    final = settle(requests.extract_requests(todo.drop("doc_id").withColumnRenamed("doc", "doc_id"), docs).drop("status").withColumnRenamed("task_id", "doc_id"))
+    of_task = todo.select(F.col("doc_id").alias("task_id"), F.col("doc").alias("doc_id"))
+    per_task = spread_join(of_task, docs, ["doc_id"], ["task_id"]).drop("doc_id").withColumnRenamed("task_id", "doc_id")
+    lost = spread_join(of_task, failed, ["doc_id"], ["task_id"]).select(F.col("task_id").alias("doc_id"), "error")
+    return Solved(per_task, final, lost)
+
+
 def _by_mode(rows: DataFrame, modes: DataFrame, tell: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """``tell`` of the rows (doc_id) of either mode."""
     later = F.col("mode") == "async"  # a mode that there isn't is told of at once

@@ -972,6 +972,30 @@ def upload_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "inline_requests",
+    """WITH o AS (SELECT o_orderkey, o_orderpriority AS p, o_orderstatus AS s, o_orderkey % 3 AS k, (o_orderkey % 25 = 0) AS blank FROM orders),
+n AS (SELECT *, row_number() OVER (PARTITION BY p, s, k, blank ORDER BY o_orderkey) - 1 AS nth FROM o)
+SELECT o_orderkey, CASE WHEN blank THEN 'failed' ELSE 'succeeded' END AS status, NOT blank AND nth > 0 AS cached,
+  CASE WHEN blank THEN NULL WHEN k = 0 THEN '"' || p || '"' WHEN k = 1 THEN '["' || s || '"]' ELSE '{"priority":"' || p || '","status":"' || s || '"}' END AS value FROM n""",
+)
+def inline_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests as JSON lines, each with one of three schemas as an object of its own; every 25th has no content."""
+    where = fresh_dir(spark, "requests")
+    both = (FieldSpec("priority"), FieldSpec("status"))
+    kinds = ((both[0],), (FieldSpec("status", multiple=True),), (FieldSpec("order", "object", children=both),))
+    schemas = F.array(*(F.lit(SchemaSpec("s", "1", fields).to_json()) for fields in kinds))
+    key = F.col("o_orderkey")
+    text = F.when(key % 25 != 0, F.concat(line("priority", F.col("o_orderpriority")), F.lit("\n"), line("status", F.col("o_orderstatus"))))
+    head = F.to_json(F.struct(F.lpad(key.cast("string"), 12, "0").alias("task_id"), F.lit("text").alias("kind"), text.alias("content")))
+    told = F.concat(F.expr("left(j, length(j) - 1)"), F.lit(', "schema": '), F.get(schemas, (key % 3).cast("int")), F.lit("}"))
+    table(spark, sf_dir, "orders").withColumn("j", head).select(told.alias("value")).write.text(where)
+    # inputs that are refused are told of as tasks too, so all that is JSON is run
+    asked = spark.read.schema(ingest.FULL_REQUEST).json(where)
+    done = engine.run_requests(asked)
+    return done.tasks.select(F.col("task_id").cast("long").alias("o_orderkey"), "status", "cached", field(0)["value_json"].alias("value"))
+
+
 # ---- model tensors and streams ----
 
 

@@ -11,6 +11,8 @@ from docweft.functions.text import ascii_lower, utrim
 from docweft.operators.assemble import NORMALIZED, document, pages_from_texts
 
 REQUEST = "task_id string, mode string, kind string, content string, url string, file_name string, mime_type string"
+#: Requests with a schema and options of their own: JSON objects, kept as texts.
+FULL_REQUEST = REQUEST + ", schema string, options string"
 #: File name endings and their types.
 EXTENSIONS = (
     (("pdf",), "pdf"),
@@ -98,9 +100,9 @@ def read_unknown(inputs: DataFrame) -> DataFrame:
     )
 
 
-def read_requests(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """JSON requests, a line each: the good ones, and the refused ones with their error."""
-    rows = spark.read.schema(REQUEST + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path)
+def read_requests(spark: SparkSession, path: str, columns: str = REQUEST) -> tuple[DataFrame, DataFrame]:
+    """JSON requests, a line each: the good ones, and the refused ones with their error. ``columns`` may be FULL_REQUEST."""
+    rows = spark.read.schema(columns + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path)
     error = F.coalesce(
         F.when(F.col("_corrupt_record").isNotNull(), "malformed request"), mode_error(F.col("mode")), input_error(F.col("kind"), F.col("content"), F.col("url"))
     )

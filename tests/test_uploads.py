@@ -111,3 +111,27 @@ def test_empty_tables(spark, uploads):
     files = spark.createDataFrame([], "path string, content binary, byte_size bigint")
     done = engine.run_uploads(files, spark.createDataFrame(uploads, requests.UPLOAD))
     assert [r.message for r in done.tasks.collect()] == ["file not found"] * len(uploads)
+
+
+def test_requests_with_schemas_in_lines(spark, tmp_path):
+    """JSON lines whose schema and options are objects; an input that two requests bring under different schemas; the cache over two calls."""
+    schema = json.loads(SchemaSpec("s", "1", (FieldSpec("a"), FieldSpec("b", "number"))).to_json())
+    other = json.loads(SchemaSpec("t", "1", (FieldSpec("b", "number"),)).to_json())
+    line = {"kind": "text", "content": "a: x\nb: 4"}
+    lines = [
+        line | {"task_id": "1", "schema": schema, "options": {"return_raw_text": True, "return_evidence": True}}, line | {"task_id": "2", "schema": other, "mode": "async"}, line | {"task_id": "3", "schema": schema},
+        line | {"task_id": "4"}, line | {"task_id": "5", "schema": {"name": "s"}}, line | {"task_id": "6", "schema": schema, "content": " "}, {"task_id": "7", "kind": "url", "url": "http://x", "schema": other},
+        line | {"task_id": "8", "schema": other},
+    ]
+    (tmp_path / "r.json").write_text("\n".join(map(json.dumps, lines)) + "\n{broken")
+    good, refused = ingest.read_requests(spark, f"file://{tmp_path}", ingest.FULL_REQUEST)
+    assert [(r.task_id, r.error) for r in refused.orderBy("task_id").collect()] == [(None, "malformed request"), ("6", "content is required")]
+    asked = good.unionByName(refused.where("task_id is not null").drop("error"))
+    done = engine.run_requests(asked, now_ms=2)
+    state = {r.task_id: r for r in done.tasks.collect()}
+    values = {k: [json.loads(f.value_json) for f in state[k].fields] for k in "12378"}
+    assert values == {"1": ["x", 4], "2": [4], "3": ["x", 4], "7": [None], "8": [4]} and state["1"].raw_text == "a: x\nb: 4" and state["3"].raw_text is None
+    assert len(state["1"].fields[0].evidences) == 1 and len(state["3"].fields[0].evidences) == 0 and [k for k in sorted(state) if state[k].cached] == ["8"]
+    assert [state[k].message for k in "456"] == ["multipart field `schema` is required", "malformed schema", "content is required"]
+    again = engine.run_requests(asked.where("task_id = '3'"), cache=done.cache, now_ms=3)
+    assert [(r.cached, r.message) for r in again.tasks.collect()] == [(True, "cache hit (hit_count=1, created_at_ms=2)")]
