@@ -14,32 +14,35 @@ def brute(docs, items, width=5, least=0.8):
         words, codes, plain, slots = dec.canonical(text)
         return [w.strip(dec._STRIP).lower() for w in words], codes.tolist(), plain.tolist(), slots.tolist()
 
-    out = {}
+    def windows(codes, plain, slots, size):
+        """(place, what has to be equal) of each window."""
+        for at in range(len(codes) - size + 1):
+            bare = sum(not x for x in slots[at : at + size]) >= min(2, size)
+            yield at, (bare, size, tuple((codes if bare else plain)[at : at + size]))
+
+    out, held, places_of = {}, {}, {}
+    for j, q in items:
+        qw, qc, qp, qs = tokens(q)
+        size = min(width, len(qc))
+        if size:
+            held[j] = (qw, qs, size, len(qc) - size + 1)
+            for b, key in windows(qc, qp, qs, size):
+                places_of.setdefault(key, []).append((j, b))
     for i, t in docs:
         dw, dc, dp, ds = tokens(t)
-        for j, q in items:
-            qw, qc, qp, qs = tokens(q)
-            size = min(width, len(qc))
-            if not size or len(dc) < size:
-                continue
-
-            def says(slots, at):
-                return sum(not s for s in slots[at : at + size]) >= min(2, size)
-
-            own = range(len(qc) - size + 1)
-            shifts = {}
-            for a in range(len(dc) - size + 1):
-                for b in own:
-                    if says(ds, a) != says(qs, b):
-                        continue
-                    if (dc[a : a + size] == qc[b : b + size]) if says(ds, a) else (dp[a : a + size] == qp[b : b + size]):
-                        pairs, places = shifts.setdefault(a - b, (set(), set()))
-                        places.add(b)
-                        pairs.update((qw[b + k], dw[a + k]) for k in range(size) if qs[b + k])
-            good = [(p, s) for p, s in shifts.values() if len({x for x, _ in p}) == len(p)]
+        shifts = {}
+        for size in {h[2] for h in held.values()}:
+            for a, key in windows(dc, dp, ds, size):
+                for j, b in places_of.get(key, ()):
+                    pairs, places = shifts.setdefault(j, {}).setdefault(a - b, (set(), set()))
+                    places.add(b)
+                    pairs.update((held[j][0][b + k], dw[a + k]) for k in range(size) if held[j][1][b + k])
+        for j, of_item in shifts.items():
+            own = held[j][3]
+            good = [(p, s) for p, s in of_item.values() if len({x for x, _ in p}) == len(p)]
             matched = len(set().union(*(s for _, s in good))) if good else 0
-            if own and matched and matched >= least * len(own):
-                out[i, j] = (len(own), matched, all(x == y for p, _ in good for x, y in p))
+            if matched and matched >= least * own:
+                out[i, j] = (own, matched, all(x == y for p, _ in good for x, y in p))
     return out
 
 
