@@ -33,14 +33,14 @@ def value(f):
 
 
 def test_hint_number_and_boolean(spark):
-    f = one(spark, "岗位别名：产品经理\n人数：42 人\n是否远程：是", FieldSpec("岗位类型", hints=("岗位别名",)), FieldSpec("人数", "number"), FieldSpec("是否远程", "boolean"))
-    assert [value(x) for x in f] == ["产品经理", 42, True]
+    f = one(spark, "Abteilung：Einkauf Süd\nPlätze：17 Stück\noffen：有", FieldSpec("department", hints=("Abteilung",)), FieldSpec("Plätze", "number"), FieldSpec("offen", "boolean"))
+    assert [value(x) for x in f] == ["Einkauf Süd", 17, True]
 
 
 def test_object_and_rows(spark):
-    text = "岗位类型：策略运营\n人设要点：结构化表达\n人设要点：逻辑清晰"
-    spec = FieldSpec("画像", "object", children=(FieldSpec("岗位类型"), FieldSpec("人设要点", multiple=True)))
-    assert value(one(spark, text, spec)[0]) == {"岗位类型": "策略运营", "人设要点": ["结构化表达", "逻辑清晰"]}
+    text = "树种：银杏\n特点：秋天变黄\n特点：寿命很长"
+    spec = FieldSpec("tree", "object", children=(FieldSpec("树种"), FieldSpec("特点", multiple=True)))
+    assert value(one(spark, text, spec)[0]) == {"树种": "银杏", "特点": ["秋天变黄", "寿命很长"]}
     rows = FieldSpec("rows", "array", children=(FieldSpec("a", multiple=True), FieldSpec("b", "number", multiple=True)))
     assert value(one(spark, "a: x\na: y\nb: 1", rows)[0]) == [{"a": "x", "b": 1}, {"a": "y", "b": None}]
 
@@ -215,6 +215,7 @@ def test_vision(spark):
 
 def test_recognition_of_the_fixed_case(spark):
     """Detection, decoding and join of the fixed pipeline case."""
+    # The heat map, the scores and the results of that case.
     heat = np.zeros((5, 10), "f4")
     heat[1, 1:4], heat[2, 1:4] = (0.7, 0.8, 0.8), (0.7, 0.9, 0.8)
     heat[2, 7:9], heat[3, 7:9] = (0.6, 0.7), (0.6, 0.8)
