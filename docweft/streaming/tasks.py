@@ -57,7 +57,7 @@ def cache_before(spark: SparkSession, out: str, source: str, number: int) -> Dat
 def _keep_cache(after: DataFrame, asked: DataFrame, out: str, source: str, number: int, first: bool) -> None:
     whole = first or number % COMPACT == 0
     rows = after if whole else after.join(asked.select("cache_key").distinct(), "cache_key", "left_semi")
-    # a repeated batch may have written the other kind before; both are replaced
+    # a batch that comes again finds the same earlier versions, so it writes the same kind into the same place
     rows.write.mode("overwrite").parquet(f"{out}/cache/{source}/version={number}/whole={str(whole).lower()}")
 
 
