@@ -45,7 +45,7 @@ from docweft.llm.common import hot_keys, salted_join, settle, written
 
 FILTER_BITS = 1 << 25
 #: Words that a Python worker remembers.
-WORDS = 400_000
+WORDS = 150_000
 #: Unit words.
 UNITS = frozenset(
     """mm cm m km inch inches ft feet foot yard yards mile miles mg g kg lb lbs oz gram grams ounce ounces pound pounds

@@ -51,7 +51,7 @@ COUNTS = 6
 _PREFIX, _SHAPE = 1 << WORD_BITS, (1 + len(PREFIXES)) << WORD_BITS
 WIDTH = _SHAPE + (1 << SHAPE_BITS) + COUNTS
 #: Words that a Python worker remembers.
-WORDS = 400_000
+WORDS = 150_000
 #: Words and prefixes that don't differ between good and bad labelled documents by so many standard deviations have no weight.
 LEAST_DEVIATIONS = 4.0
 
@@ -118,17 +118,19 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, steps: in
     w, seen = np.zeros(WIDTH + 1), np.full(WIDTH + 1, 1e-8)
     words = _SHAPE
     share = good.mean()
-    of = np.repeat(good, [len(s) for s, _ in rows])
-    every = np.concatenate([s for s, _ in rows])
-    seen_in = np.bincount(every, minlength=WIDTH)[:words]
-    lift = np.bincount(every, weights=of, minlength=WIDTH)[:words] - seen_in * share
+    seen_in, lift = np.zeros(WIDTH), np.zeros(WIDTH)
+    for at in range(0, len(rows), 500):  # in parts, so that nothing as large as all features is made beside them
+        part = np.concatenate([s for s, _ in rows[at : at + 500]])
+        seen_in += np.bincount(part, minlength=WIDTH)
+        lift += np.bincount(part, weights=np.repeat(good[at : at + 500], [len(s) for s, _ in rows[at : at + 500]]), minlength=WIDTH)
+    seen_in, lift = seen_in[:words], lift[:words] - seen_in[:words] * share
     plain = np.zeros(WIDTH + 1, bool)
     plain[:words] = np.abs(lift) < LEAST_DEVIATIONS * np.sqrt(np.maximum(seen_in, 1) * share * (1 - share))
     order = np.random.default_rng(0)
     for _ in range(max(8, steps * batch // len(rows))):
         for part in np.array_split(order.permutation(len(rows)), max(1, len(rows) // batch)):
             slots = np.concatenate([rows[i][0] for i in part])
-            values = np.concatenate([rows[i][1] for i in part])
+            values = np.concatenate([rows[i][1] for i in part]).astype("f8")
             of = np.repeat(np.arange(len(part)), [len(rows[i][0]) for i in part])
             z = np.bincount(of, weights=w[slots] * values, minlength=len(part)) + w[-1]
             d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - good[part]) / len(part)
@@ -167,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> Weigh
 
     def learn(table: pa.Table) -> pa.Table:
         table = table.sort_by([("id", "ascending"), ("good", "ascending"), ("toxic", "ascending")])
-        rows = [(s.values.to_numpy().astype("i8"), v.values.to_numpy().astype("f8")) for s, v in zip(table["slots"], table["values"], strict=True)]
+        rows = [(s.values.to_numpy(), v.values.to_numpy()) for s, v in zip(table["slots"], table["values"], strict=True)]  # views
         out = {}
         for name in ("good", "toxic"):
             marks = table[name].to_numpy().astype("f8")
