@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweft.functions import text as T
-from docweft.functions.shared import fresh_dir
+from docweft.functions.shared import dealt, each, fresh_dir
 from docweft.operators import aggregates, assemble, contracts, extract, incremental, models, postprocess, store, tensors, vision
 from docweft.plans import engine
 from docweft.schema import FieldSpec, SchemaSpec
@@ -670,7 +670,7 @@ def _ocr_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         (x["turn"] + 1).cast("int").alias("page_no"), (x["turn"] * 10 + 1).cast("float").alias("width"), F.lit(0.0).cast("float").alias("height"), F.lit(90.0).cast("float").alias("rotation_degrees"), (x["turn"] * 5).alias("timing_ms")
     )
     block = lambda x, i: F.struct(F.when(i % 2 == 0, F.concat(F.lit("id"), i.cast("string"))).alias("block_id"), (x["turn"] + 1).cast("int").alias("page_no"), F.concat(F.lit(" "), x["role"]).alias("text"), F.lit(0.25).alias("confidence"))
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t"))
+    rows = dealt(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), "conv_id").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t"))
     answer = F.to_json(F.struct(F.transform("t", page).alias("pages"), F.transform("t", block).alias("blocks"), F.lit(" req ").alias("request_id"), F.array(F.lit("w"), F.lit(" w ")).alias("warnings"), F.lit("mod").alias("model")))
     none = F.lit(None).cast("string")
     answers = rows.select(F.col("conv_id").cast("string").alias("doc_id"), none.alias("file_name"), none.alias("mime_type"), answer.alias("answer"))
@@ -694,7 +694,7 @@ def ocr_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT conv_id, page AS page_no, '90' AS rotation, nullif(turn * 5, 0) AS timing, 'req' AS request, CAST(1 AS BIGINT) AS blocks, CAST(0 AS BIGINT) AS lines, 'w' AS warning, 'mod' AS model FROM t""",
 )
 def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _ocr_documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("conv_id"), F.col("metadata.extra").alias("m"), F.explode("pages").alias("p"))
+    rows = _ocr_documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("conv_id"), F.col("metadata.extra").alias("m"), each("pages").alias("p"))
     n, m = F.col("p.page_no"), F.col("m")
     one = lambda name: incremental.page_value(m, n, name)
     request = F.coalesce(one("request_id"), F.try_element_at(m, F.lit("ocr_request_id")))
