@@ -305,7 +305,7 @@ def ocr_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.struct((F.col("turn") + 1).cast("int").alias("page_no"), F.array(F.struct(F.lit(" ").alias("text"), lines.alias("lines"))).alias("blocks"))
     answers = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.to_json(F.struct(F.sort_array(F.collect_list(page)).alias("pages"))).alias("answer"))
     parsed = ocr.parse_answers(answers)
-    return parsed.select("conv_id", F.explode("blocks").alias("b")).select(
+    return parsed.select("conv_id", each("blocks").alias("b")).where("b is not null").select(
         "conv_id", F.col("b.page_no").cast("long").alias("page_no"), "b.block_id", F.split("b.text", "\n")[0].alias("first_line"), F.col("b.line_count").cast("long").alias("n_lines")
     )
 
@@ -683,7 +683,7 @@ def _ocr_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT conv_id, page AS page_no, turn * 10 + 1.0::DOUBLE AS width, CASE WHEN (page - 1) % 2 = 0 THEN 'id' || (page - 1) ELSE 'ocr-p' || (turn + 1) || '-b' || page END AS block_id, role AS text, 0.25::DOUBLE AS confidence FROM t""",
 )
 def ocr_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _ocr_documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("conv_id"), F.explode("pages").alias("p"))
+    rows = _ocr_documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("conv_id"), each("pages").alias("p"))
     b = F.col("p.blocks")[0]
     return rows.select("conv_id", F.col("p.page_no").cast("long").alias("page_no"), F.col("p.width").cast("double").alias("width"), b["block_id"].alias("block_id"), b["text"].alias("text"), b["confidence"].cast("double").alias("confidence"))
 

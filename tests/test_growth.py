@@ -18,7 +18,7 @@ def plan(df):
         spark.conf.unset("spark.sql.debug.maxToStringFields")
 
 
-@pytest.mark.parametrize("name", ["page_metadata"])
+@pytest.mark.parametrize("name", ["page_metadata", "ocr_document", "ocr_flatten"])
 def test_answers_are_parsed_once(spark, name):
     assert plan(QUERIES[name](spark, SF)).count("from_json(") == 1
 
