@@ -890,7 +890,7 @@ UNION ALL SELECT p_partkey, NULL, NULL, NULL, NULL, NULL, 'image: unsupported ki
 )
 def page_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gradients of two sizes as bitmaps made of the table's columns, the larger ones halved; every seventh is no image."""
-    rows = table(spark, sf_dir, "part")
+    rows = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name"), "p_partkey")
     width, a, b = F.when(F.col("p_partkey") % 2 == 0, 8).otherwise(4), F.col("p_size") % 3 + 1, F.col("p_size") % 5
     byte = lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")
     pixel = lambda x, y: F.concat(byte(7 * y + 3), byte(200 - 20 * x), byte(10 * a * x + b * y))

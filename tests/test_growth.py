@@ -1,13 +1,22 @@
 """Work that must not be done twice or by few tasks: what the plans of queries over large tables hold."""
 
+import struct
+
+import numpy as np
 import pytest
 
 from docweft.functions.shared import dealt, each
 from docweft.plans.queries import QUERIES
+from docweft.sources import images
 
 SF = "/root/testdata/sf0.001"
 
 
+def bmp(width, height):
+    step = (width * 3 + 3) // 4 * 4
+    return b"BM" + bytes(8) + struct.pack("<IIiiHHI20x", 54, 40, width, height, 1, 24, 0) + bytes(k % 251 for k in range(step * height))
+
+
 def plan(df):
     """The whole text of the optimized plan."""
     spark = df.sparkSession
@@ -33,3 +42,21 @@ def test_dealt_rows_stay_dealt(spark):
     rows = dealt(spark.range(1000).coalesce(1), "id")
     assert rows.rdd.getNumPartitions() == parts
     assert rows.count() == 1000
+
+
+def test_pictures_are_decoded_by_all_tasks(spark):
+    assert QUERIES["page_tensor"](spark, SF).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_rows_of_tensors():
+    pixels = [np.full((2, 3), k, np.float32) for k in range(2)]
+    rows = [("a", 3, 2, 3, 2, 1.0, 1.0, 0, 0, 2, None), ("b", *(None,) * 9, "bad"), ("c", 3, 2, 3, 2, 1.0, 1.0, 1, 0, 2, None)]
+    got = images._rows(rows, [pixels[0], None, pixels[1]], images._FIELDS).to_pylist()
+    assert [r["values"] for r in got] == [[0.0] * 6, None, [1.0] * 6] and [r["error"] for r in got] == [None, "bad", None] and [r["width"] for r in got] == [3, None, 3]
+
+
+def test_tensors_leave_a_task_in_parts(spark, monkeypatch):
+    rows = spark.createDataFrame([(str(k), bytearray(bmp(9, 40))) for k in range(3)], "doc_id string, content binary").coalesce(1)
+    whole = sorted(map(tuple, images.page_tensors(rows).collect()), key=lambda r: (r[0], r[7], r[8]))
+    monkeypatch.setattr(images, "GATHERED", 300)
+    assert sorted(map(tuple, images.page_tensors(rows).collect()), key=lambda r: (r[0], r[7], r[8])) == whole and len(whole) == 3 * 3 * 2
