@@ -74,6 +74,13 @@ def document(doc_id: Column, source_type: Column, pages: Column, file_name: Colu
     return [doc_id.alias("doc_id"), source_type.alias("source_type"), pages.alias("pages"), plain_text(pages).alias("plain_text"), meta.alias("metadata")]
 
 
+def documents(rows: DataFrame, doc_id: Column, source_type: Column, pages: Column, file_name: Column, mime_type: Column, extra: dict[str, Column]) -> DataFrame:
+    """Rows as documents; the pages are computed once, and their text is taken from them."""
+    named = document(doc_id, source_type, pages, file_name, mime_type, extra)
+    held = rows.select(*named[:3], named[4])
+    return held.select("doc_id", "source_type", "pages", plain_text(F.col("pages")).alias("plain_text"), "metadata")
+
+
 def from_normalized(docs: DataFrame) -> DataFrame:
     """Normalized documents (a doc_id and the columns of NORMALIZED) as documents."""
     doc_id = F.col("doc_id")

@@ -165,10 +165,11 @@ class Matched:
             return [k for c in spec.children for k in self.numbers(c)]
         return [next(i for i, own in enumerate(self.leaves) if own is spec)]
 
-    def fields(self) -> DataFrame:
-        """doc_id, fields and raw_text of each document."""
+    def fields(self, evidence: bool = True) -> DataFrame:
+        """doc_id, fields and raw_text of each document; the blocks of evidences are looked up only if they are asked for, else there are none."""
         built = self.rows.select("doc_id", "plain_text", blocks_of(F.col("pages")).alias("__b"), F.array(*(self.field(f) for f in self.schema.fields)).alias("__f"))
-        shown = F.transform("__f", lambda f: f.withField("evidences", bound(f["evidences"], F.col("__b"))))
+        told = lambda f: bound(f["evidences"], F.col("__b")) if evidence else F.array().cast(f"array<{EVIDENCE}>")
+        shown = F.transform("__f", lambda f: f.withField("evidences", told(f)))
         return built.select("doc_id", shown.alias("fields"), F.col("plain_text").alias("raw_text"))
 
     def changes_by_page(self, evidence: bool = True) -> DataFrame:
@@ -201,6 +202,6 @@ def bound(numbers: Column, blocks: Column) -> Column:
     return distinct_evidences(F.transform(numbers, lambda k: evidence_of(F.get(blocks, k))))
 
 
-def extract(docs: DataFrame, schema: SchemaSpec) -> DataFrame:
-    """doc_id, fields and raw_text of each document."""
-    return Matched(docs, schema).fields()
+def extract(docs: DataFrame, schema: SchemaSpec, evidence: bool = True) -> DataFrame:
+    """doc_id, fields and raw_text of each document; without evidences if they are not asked for."""
+    return Matched(docs, schema).fields(evidence)

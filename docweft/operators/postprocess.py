@@ -94,7 +94,7 @@ def normalize_evidences(evidences: Column) -> Column:
     )
     once = F.array_distinct(clean)
     placed = F.transform(once, lambda e, i: F.struct(e["page_no"].alias("p"), e["text"].alias("t"), i.alias("i"), e.alias("e")))
-    return F.transform(F.sort_array(placed), lambda x: x["e"])
+    return F.when(F.size(evidences) > 0, F.transform(F.sort_array(placed), lambda x: x["e"])).otherwise(evidences)
 
 
 def normalize_field(f: Column) -> Column:

@@ -52,7 +52,7 @@ def finalized(results: DataFrame, schema: SchemaSpec) -> DataFrame:
 
 
 def _results(docs: DataFrame, schema: SchemaSpec, config: EngineConfig) -> DataFrame:
-    return respond(finalized(extract_fields(docs, schema), schema), config.return_raw_text, config.return_evidence)
+    return respond(finalized(extract_fields(docs, schema, config.return_evidence), schema), config.return_raw_text, config.return_evidence)
 
 
 def extract(inputs: DataFrame, schema: SchemaSpec, config: EngineConfig = EngineConfig()) -> tuple[DataFrame, DataFrame]:
@@ -174,7 +174,7 @@ def run_batch(
             docs = ingest.read_inline(todo)
         docs = settle(docs)
         matched = Matched(docs, schema, by_page=True).settled(settle)
-        final = settle(respond(finalized(matched.fields(), schema), config.return_raw_text, config.return_evidence).drop("status"))
+        final = settle(respond(finalized(matched.fields(config.return_evidence), schema), config.return_raw_text, config.return_evidence).drop("status"))
         return Solved(docs, final, failed, finalized_changes(matched, config.return_evidence))
 
     return answered(judged, solve, cache, normalized, order, now_ms, config.return_evidence)

@@ -34,16 +34,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def rendered(rows: DataFrame, key: Column, *texts: Column, one_block: bool = True) -> DataFrame:
     """Rows as text documents: one page with one block, or with a block for each text."""
     blocks = F.array(F.array_join(F.array(*texts), "\n")) if one_block else F.array(*texts)
-    pages = assemble.pages_from_texts(key.cast("string"), F.array(blocks), "native_text")
-    return rows.select(*assemble.document(key.cast("string"), F.lit("text"), pages, F.lit(None).cast("string"), F.lit("text/plain"), {"parser_provider": F.lit("text-parser")}))
+    held = rows.select(key.cast("string").alias("key"), blocks.alias("texts"))
+    pages = assemble.pages_from_texts(F.col("key"), F.array("texts"), "native_text")
+    return assemble.documents(held, F.col("key"), F.lit("text"), pages, F.lit(None).cast("string"), F.lit("text/plain"), {"parser_provider": F.lit("text-parser")})
 
 
 def line(label: str, value: Column) -> Column:
     return F.concat(F.lit(label + ": "), value.cast("string"))
 
 
-def results(docs: DataFrame, *fields: FieldSpec) -> DataFrame:
-    return postprocess.finalize(extract.extract(docs, SchemaSpec("query", "1", fields)))
+def results(docs: DataFrame, *fields: FieldSpec, evidence: bool = True) -> DataFrame:
+    return postprocess.finalize(extract.extract(docs, SchemaSpec("query", "1", fields), evidence))
 
 
 def field(k: int) -> Column:
@@ -78,7 +79,7 @@ def extract_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("extract_number", "SELECT p_partkey, CAST(p_size AS BIGINT) AS size, round(p_retailprice, 2) AS price FROM part")
 def extract_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = rendered(table(spark, sf_dir, "part"), F.col("p_partkey"), F.concat(F.lit("- size："), F.col("p_size").cast("string"), F.lit(" cm")), line("price", F.col("p_retailprice")))
-    out = results(docs, FieldSpec("size", "number"), FieldSpec("price", "number"))
+    out = results(docs, FieldSpec("size", "number"), FieldSpec("price", "number"), evidence=False)
     return out.select(
         F.col("doc_id").cast("long").alias("p_partkey"), field(0)["value_json"].cast("long").alias("size"), F.round(field(1)["value_json"].cast("double"), 2).alias("price")
     )
@@ -92,7 +93,7 @@ def extract_boolean(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem")
     key = F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
     word = F.when(F.col("l_returnflag") == "R", "是").when(F.col("l_returnflag") == "A", "No").otherwise("perhaps")
-    out = results(rendered(rows, key, line("returned", word)), FieldSpec("returned", "boolean"))
+    out = results(rendered(rows, key, line("returned", word)), FieldSpec("returned", "boolean"), evidence=False)
     part = F.split("doc_id", r"\|")
     return out.select(
         part[0].cast("long").alias("l_orderkey"),
@@ -109,7 +110,7 @@ def extract_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     third = F.when(F.col("c_custkey") % 3 == 0, "\nsegment: key wins").otherwise("")
     own = F.when((F.col("c_custkey") % 3 == 0) & (F.col("c_custkey") % 2 == 0), F.lit("other: x")).otherwise(F.concat(label, F.lit(": "), F.col("c_mktsegment")))
     docs = rendered(table(spark, sf_dir, "customer"), F.col("c_custkey"), F.concat(own, third))
-    out = results(docs, FieldSpec("segment", hints=("market",)))
+    out = results(docs, FieldSpec("segment", hints=("market",)), evidence=False)
     return out.select(F.col("doc_id").cast("long").alias("c_custkey"), plain_string(field(0)["value_json"]).alias("segment"))
 
 
@@ -131,7 +132,7 @@ SELECT o_orderkey, coalesce((SELECT string_agg(l_returnflag, '|' ORDER BY first)
 )
 def extract_multiple(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.array_join(F.transform("lines", lambda x: F.concat(F.lit("flag: "), x["l_returnflag"])), "\n")
-    out = results(rendered(_order_lines(spark, sf_dir), F.col("o_orderkey"), line("order", F.col("o_orderkey")), lines), FieldSpec("flag", multiple=True))
+    out = results(rendered(_order_lines(spark, sf_dir), F.col("o_orderkey"), line("order", F.col("o_orderkey")), lines), FieldSpec("flag", multiple=True), evidence=False)
     return out.select(F.col("doc_id").cast("long").alias("o_orderkey"), F.array_join(F.transform(field(0)["items"], plain_string), "|").alias("flags"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from docweft.functions.shared import settle
 from docweft.functions.text import xml_entities
-from docweft.operators.assemble import document, pages_from_texts
+from docweft.operators.assemble import documents, pages_from_texts
 
 ENTRY = "word/document.xml"
 
@@ -54,5 +54,5 @@ def read_docx(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = settle(unzip(files))  # unzipped once, for documents and errors
     pages = pages_from_texts(F.col("doc_id"), F.array(paragraphs(F.col("xml"))), "synthetic")
     extra = {"parser_provider": F.lit("docx-parser"), "docx_provider": F.lit("zip-docx"), "paragraph_count": paragraph_count(F.col("xml"))}
-    docs = rows.where("error is null").select(*document(F.col("doc_id"), F.lit("docx"), pages, F.col("file_name"), F.col("mime_type"), extra))
+    docs = documents(rows.where("error is null"), F.col("doc_id"), F.lit("docx"), pages, F.col("file_name"), F.col("mime_type"), extra)
     return docs, rows.where("error is not null").select("doc_id", "error")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweft.functions.text import ascii_lower, utrim
-from docweft.operators.assemble import NORMALIZED, document, pages_from_texts
+from docweft.operators.assemble import NORMALIZED, documents, pages_from_texts
 
 REQUEST = "task_id string, mode string, kind string, content string, url string, file_name string, mime_type string"
 #: Requests with a schema and options of their own: JSON objects, kept as texts.
@@ -86,18 +86,15 @@ def read_inline(inputs: DataFrame) -> DataFrame:
     text = F.when(F.col("source_type") == "url", F.concat(F.lit("url ingestion placeholder: "), F.col("url"))).otherwise(F.col("text"))
     pages = pages_from_texts(F.col("doc_id"), F.array(F.array(text)), "native_text")
     provider = F.when(F.col("source_type") == "url", PARSERS["url"]).otherwise(PARSERS["text"])
-    return inputs.where(F.col("source_type").isin("text", "html", "markdown", "url")).select(
-        *document(F.col("doc_id"), F.col("source_type"), pages, F.col("file_name"), F.col("mime_type"), {"parser_provider": provider})
-    )
+    known = inputs.where(F.col("source_type").isin("text", "html", "markdown", "url"))
+    return documents(known, F.col("doc_id"), F.col("source_type"), pages, F.col("file_name"), F.col("mime_type"), {"parser_provider": provider})
 
 
 def read_unknown(inputs: DataFrame) -> DataFrame:
     """Placeholder documents of inputs (doc_id, file_name, mime_type, byte_size) of unknown type."""
     text = placeholder(F.lit("unsupported input placeholder"), F.col("file_name"), F.col("mime_type"), F.col("byte_size"))
     pages = pages_from_texts(F.col("doc_id"), F.array(F.array(text)), block_kind("unknown"))
-    return inputs.select(
-        *document(F.col("doc_id"), F.lit("unknown"), pages, F.col("file_name"), F.col("mime_type"), {"parser_provider": F.lit(PARSERS["unknown"])})
-    )
+    return documents(inputs, F.col("doc_id"), F.lit("unknown"), pages, F.col("file_name"), F.col("mime_type"), {"parser_provider": F.lit(PARSERS["unknown"])})
 
 
 def read_requests(spark: SparkSession, path: str, columns: str = REQUEST) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docweft.functions.shared import settle
 from docweft.functions.text import nonblank_lines
-from docweft.operators.assemble import document, pages_from_texts
+from docweft.operators.assemble import documents, pages_from_texts
 from docweft.sources import ocr
 from docweft.sources.pdf_text import page_texts
 
@@ -87,7 +87,7 @@ def read_pdf(files: DataFrame, provider: ocr.Provider, name: str, transport: str
     pages = pages_from_texts(F.col("doc_id"), lines, "synthetic")
     common = {"pdf_provider": F.lit("content-stream-text"), "page_count": F.size("page_texts").cast("string"), **({"pdf_raster_provider": F.lit(rasterizer_name)} if rasterizer else {})}
     of_text = {"parser_provider": F.lit("pdf-parser"), **common, "extracted_text_layer": F.lit("true"), "pdf_parse_mode": F.lit("text_layer")}
-    docs = good.where("answer is null").select(*document(F.col("doc_id"), F.lit("pdf"), pages, F.col("file_name"), F.col("mime_type"), of_text))
+    docs = documents(good.where("answer is null"), F.col("doc_id"), F.lit("pdf"), pages, F.col("file_name"), F.col("mime_type"), of_text)
     of_scan = {**common, "extracted_text_layer": F.lit("false"), "pdf_parse_mode": F.lit("ocr_fallback"), "pdf_ocr_input": F.lit(asked)}
     parsed = ocr.parse_answers(good.where("answer is not null"))
     if rasterizer:

@@ -6,8 +6,10 @@ import numpy as np
 import pytest
 
 from docweft.functions.shared import dealt, each
+from docweft.operators.extract import extract
 from docweft.plans.queries import QUERIES
-from docweft.sources import images
+from docweft.schema import FieldSpec, SchemaSpec
+from docweft.sources import images, ingest
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,3 +62,24 @@ def test_tensors_leave_a_task_in_parts(spark, monkeypatch):
     whole = sorted(map(tuple, images.page_tensors(rows).collect()), key=lambda r: (r[0], r[7], r[8]))
     monkeypatch.setattr(images, "GATHERED", 300)
     assert sorted(map(tuple, images.page_tensors(rows).collect()), key=lambda r: (r[0], r[7], r[8])) == whole and len(whole) == 3 * 3 * 2
+
+
+def test_blocks_of_texts_are_made_once(spark):
+    assert plan(QUERIES["extract_boolean"](spark, SF)).count("sha2(") == 1
+
+
+def test_values_without_evidences(spark):
+    docs = spark.createDataFrame([("a", "text", "k: yes", None, None, None), ("b", "text", "k: yes\nk: no", None, None, None), ("c", "text", "", None, None, None)], "doc_id string, source_type string, text string, url string, file_name string, mime_type string")
+    docs = ingest.read_inline(docs)
+    schema = SchemaSpec("s", "1", (FieldSpec("k", "boolean", multiple=True), FieldSpec("o", "object", children=(FieldSpec("k"),))))
+    told = [sorted(repr(tuple(f[:5] for f in r.fields)) for r in extract(docs, schema, evidence).collect()) for evidence in (True, False)]
+    assert told[0] == told[1]
+    assert [len(f.evidences) for r in extract(docs, schema, False).collect() for f in r.fields] == [0] * 6
+
+
+def test_equal_documents_keep_their_own_evidences(spark):
+    rows = [(str(k), "text", f"name: {k % 2}", None, None, None) for k in range(40)]
+    docs = ingest.read_inline(spark.createDataFrame(rows, "doc_id string, source_type string, text string, url string, file_name string, mime_type string").coalesce(1))
+    got = extract(docs, SchemaSpec("s", "1", (FieldSpec("name"),))).collect()
+    assert all(r.fields[0].value_json == f'"{int(r.doc_id) % 2}"' and len(r.fields[0].evidences) == 1 for r in got) and len(got) == 40
+    assert len({r.fields[0].evidences[0].source_block_ids[0] for r in got}) == 40
