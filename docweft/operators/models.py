@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweft.functions import text as T
+from docweft.functions.shared import fixed
 from docweft.operators.assemble import BBOX, blocks_of
 from docweft.operators.extract import DEFAULTS, EVIDENCE, _field, _list, combine, distinct_evidences, evidence_of
 from docweft.schema import FieldSpec, SchemaSpec
@@ -132,9 +133,10 @@ def join_answers(answers: DataFrame, docs: DataFrame, schema: SchemaSpec) -> tup
     listed = member(F.col("answer"), "fields")
     rows = rows.withColumns({"__ok": F.coalesce(F.to_json(F.try_parse_json("answer")).startswith("{"), F.lit(False)), "__listed": listed, "__items": elements(listed)})
     plain, blocks = F.col("plain_text"), F.col("__blocks")
+    rows = rows.withColumns({f"__i{i}": F.get(F.filter("__items", _of_key(spec.key)), 0) for i, spec in enumerate(schema.fields)})
     parts = {}
     for i, spec in enumerate(schema.fields):
-        item = F.get(F.filter("__items", _of_key(spec.key)), 0)
+        item = F.col(f"__i{i}")
         root = lambda suffix, k=spec.key: member(F.col("answer"), k + suffix)
         of_list = F.col("__items").isNotNull()
         parts[f"__v{i}"] = F.when(of_list, member(item, "value")).otherwise(root(""))
@@ -148,7 +150,7 @@ def join_answers(answers: DataFrame, docs: DataFrame, schema: SchemaSpec) -> tup
         F.when(F.col("__listed").isNotNull() & F.col("__items").isNull(), "`fields` must be an array"),
         *(evidence_error(F.col(f"__e{i}")) for i in range(len(schema.fields))),
     )
-    rows = rows.withColumn("error", error)
+    rows = fixed(rows.withColumn("error", error))
     fields = [_model_field(spec, F.col(f"__v{i}"), F.col(f"__c{i}"), F.col(f"__e{i}"), plain, blocks) for i, spec in enumerate(schema.fields)]
     good = rows.where("error is null").select("doc_id", F.array(*fields).alias("fields"), F.col("plain_text").alias("raw_text"))
     return good, rows.where("error is not null").select("doc_id", "error")

@@ -708,9 +708,14 @@ def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- answers of models ----
 
 
+def _dealt_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers dealt by the id of their document, so that joins by it find them in place."""
+    return dealt(table(spark, sf_dir, "customer").withColumn("doc_id", F.col("c_custkey").cast("string")), "doc_id")
+
+
 def _customer_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer")
-    return rendered(rows, F.col("c_custkey"), line("Name", F.col("c_name")), line("Segment", F.col("c_mktsegment")), one_block=False)
+    rows = _dealt_customers(spark, sf_dir)
+    return rendered(rows, F.col("doc_id"), line("Name", F.col("c_name")), line("Segment", F.col("c_mktsegment")), one_block=False)
 
 
 @query(
@@ -723,7 +728,7 @@ def schema_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     listed = F.concat(F.lit('{"fields":['), item("segment", quoted(F.col("c_mktsegment")), ',"score":" 0.5 "'), F.lit(","), item("nation", F.col("c_nationkey").cast("string")), F.lit("]}"))
     root = F.concat(F.lit('{"segment":'), quoted(F.col("c_mktsegment")), F.lit(',"segment_confidence":7,"nation":'), F.col("c_nationkey").cast("string"), F.lit("}"))
-    answers = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("doc_id"), F.when(even, listed).otherwise(root).alias("answer"))
+    answers = _dealt_customers(spark, sf_dir).select("doc_id", F.when(even, listed).otherwise(root).alias("answer"))
     good, _ = models.join_answers(answers, _customer_documents(spark, sf_dir), SchemaSpec("q", "1", (FieldSpec("segment"), FieldSpec("nation", "number"), FieldSpec("absent"))))
     return good.select(
         F.col("doc_id").cast("long").alias("c_custkey"), field(0)["value_json"].alias("segment"), field(0)["confidence"].cast("double").alias("confidence"), F.size(field(0)["evidences"]).cast("long").alias("n_evidence"),

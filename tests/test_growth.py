@@ -1,11 +1,12 @@
 """Work that must not be done twice or by few tasks: what the plans of queries over large tables hold."""
 
+import re
 import struct
 
 import numpy as np
 import pytest
 
-from docweft.functions.shared import dealt, each
+from docweft.functions.shared import dealt, each, fixed
 from docweft.operators.extract import extract
 from docweft.plans.queries import QUERIES
 from docweft.schema import FieldSpec, SchemaSpec
@@ -83,3 +84,14 @@ def test_equal_documents_keep_their_own_evidences(spark):
     got = extract(docs, SchemaSpec("s", "1", (FieldSpec("name"),))).collect()
     assert all(r.fields[0].value_json == f'"{int(r.doc_id) % 2}"' and len(r.fields[0].evidences) == 1 for r in got) and len(got) == 40
     assert len({r.fields[0].evidences[0].source_block_ids[0] for r in got}) == 40
+
+
+def test_answers_are_judged_once(spark):
+    held = plan(QUERIES["schema_left_join"](spark, SF))
+    assert re.search(r"Filter isnull\((_extract_)?error#\d+\)|Filter isnull\(__row#\d+\.error\)", held)
+
+
+def test_fixed_rows_are_as_they_were(spark):
+    rows = spark.createDataFrame([(1, None, [1]), (None, "b", None)], "a int, b string, c array<int>")
+    assert sorted(map(tuple, fixed(rows).collect()), key=str) == sorted(map(tuple, rows.collect()), key=str) and fixed(rows).columns == rows.columns
+    assert fixed(rows.limit(0)).count() == 0
