@@ -222,6 +222,29 @@ def cache_events(hits: DataFrame) -> DataFrame:
     return hits.select(F.col("doc_id").alias("task_id"), event(2, "cache.hit", said).alias("e")).select("task_id", "e.*")
 
 
+def shown(fields: Column, raw_text: Column) -> Column:
+    """What all answers of a cached result have in common: its fields and raw text as JSON, and the payload of each field's result.partial."""
+    listed = F.concat(F.lit("["), F.array_join(F.transform(fields, lambda f: field_json(f)), ","), F.lit("]"))
+    partial = lambda f, i: T.object_json(("cached", F.lit("true")), ("revision", (i + 1).cast("string")), ("field", field_json(f)), *_boxes(f["evidences"]))
+    return F.struct(listed.alias("fields"), text_json(raw_text).alias("raw_text"), F.transform(fields, partial).alias("partials"))
+
+
+def hit_events(hits: DataFrame, normalized: bool) -> DataFrame:
+    """All events of requests that the cache answers: cached results (doc_id, mode, ``shown`` and what :func:`cache_events` takes), each told in one pass."""
+    done = T.object_json(("task_id", text_json(F.col("doc_id"))), ("status", F.lit('"succeeded"')), ("fields", F.col("shown.fields")), ("raw_text", F.col("shown.raw_text")))
+    said = T.object_json(("cache_key", text_json(F.col("cache_key"))), *((n, F.col(n).cast("string")) for n in ("hit_count", "created_at_ms", "last_accessed_at_ms")))
+    rows = hits.select("doc_id", "mode", "shown.partials", done.alias("done"), said.alias("said"))
+    flag = ("cached", F.lit("true"))
+    first = F.when(F.col("mode") == "async", F.array(*opening("async", normalized))).otherwise(F.array(*opening("sync", normalized)))
+    parts = F.transform("partials", lambda p, i: event(7, "result.partial", p, page=i + 1))
+    last = F.array(
+        event(9, "result.snapshot", T.object_json(flag, ("field_count", F.size("partials").cast("string")), ("result", F.col("done")))),
+        event(10, "completed", T.object_json(flag, ("result", F.col("done")))),
+    )
+    told = F.concat(first, F.array(event(2, "cache.hit", F.col("said"))), parts, last)
+    return rows.select(F.col("doc_id").alias("task_id"), F.explode(told).alias("e")).select("task_id", "e.*")
+
+
 def sequenced(rows: DataFrame) -> DataFrame:
     """task_id, sequence (from 1), event_type, stage and payload of event rows."""
     return numbered(rows, "task_id", ["place", "page", "part", "event_type"]).select("task_id", "sequence", "event_type", "stage", "payload")

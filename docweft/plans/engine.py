@@ -13,7 +13,7 @@ from docweft.operators import requests, store
 from docweft.operators.assemble import first_error, from_normalized
 from docweft.operators.extract import Matched
 from docweft.operators.extract import extract as extract_fields
-from docweft.operators.incremental import cache_events, document_events, failure_events, opening, partial_events, result_events, sequenced
+from docweft.operators.incremental import document_events, failure_events, hit_events, partial_events, result_events, sequenced, shown
 from docweft.operators.postprocess import finalize, normalize_evidences, normalize_field, normalize_nested, respond
 from docweft.schema import SchemaSpec
 from docweft.sources import docx, ingest, ocr, pdf
@@ -237,10 +237,10 @@ def _solved(todo: DataFrame, docs: DataFrame, failed: DataFrame) -> Solved:
     return Solved(per_task, final, lost)
 
 
-def _by_mode(rows: DataFrame, modes: DataFrame, tell: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """``tell`` of the rows (doc_id) of either mode."""
+def _by_mode(rows: DataFrame, tell: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """``tell`` of the rows (with their mode) of either mode."""
     later = F.col("mode") == "async"  # a mode that there isn't is told of at once
-    both = [tell(rows.join(modes.where(own).select("doc_id"), "doc_id", "left_semi"), m) for m, own in (("sync", ~later), ("async", later))]
+    both = [tell(rows.where(own), m) for m, own in (("sync", ~later), ("async", later))]
     return both[0].unionByName(both[1])
 
 
@@ -249,30 +249,30 @@ def answered(judged: DataFrame, solve: Callable[[DataFrame], Solved], cache: Dat
 
     Requests of a key whose first request fails while it is read fail with the same reason.
     """
-    modes = judged.select("doc_id", "mode")
-    probed = settle(store.probe(judged.where("error is null").select("doc_id", "cache_key", *({order} - {"doc_id"})), cache, [order]))
+    probed = settle(store.probe(judged.where("error is null").select("doc_id", "cache_key", "mode", *({order} - {"doc_id", "mode"})), cache, [order]))
     solved = solve(probed.where("nth = 0 and not known").select("doc_id"))
     unread = settle(solved.failed.join(probed, "doc_id").select("cache_key", "error"))
-    again = spread_join(probed, unread, ["cache_key"], ["doc_id"]).select("doc_id", "error")
-    refused, again = judged.where("error is not null").select("doc_id", "error"), settle(again)
+    again = spread_join(probed, unread, ["cache_key"], ["doc_id"]).select("doc_id", "error", "mode")
+    refused, again = judged.where("error is not null").select("doc_id", "error", "mode"), settle(again)
     failed = refused.unionByName(again)
     final = solved.final
     stored = final.join(probed.select("doc_id", "cache_key"), "doc_id").select("cache_key", F.to_json("fields").alias("fields"), "raw_text")
     read = probed.join(again.select("doc_id"), "doc_id", "left_anti")
     after = settle(store.updated_cache(cache, stored, read, now_ms))
     kind = final.schema["fields"].dataType.simpleString()
-    held = after.select("cache_key", F.from_json("fields", kind).alias("fields"), "raw_text", "created_at_ms", "last_accessed_at_ms")
-    hits = settle(spread_join(read.where("nth > 0 or known"), held, ["cache_key"], ["doc_id"]).withColumn("hit_count", F.col("nth")))
-    begun = lambda rows, mode: rows.select(F.col("doc_id").alias("task_id"), F.explode(F.array(*opening(mode, normalized))).alias("e")).select("task_id", "e.*")
+    asking = read.where("nth > 0 or known")
+    # what is shown of a result is made once for its key, however many ask for it
+    wanted = after.join(asking.select("cache_key").distinct(), "cache_key", "left_semi").withColumn("fields", F.from_json("fields", kind))
+    held = wanted.select("cache_key", "fields", "raw_text", "created_at_ms", "last_accessed_at_ms", shown(F.col("fields"), F.col("raw_text")).alias("shown"))
+    hits = settle(spread_join(asking, held, ["cache_key"], ["doc_id"]).withColumn("hit_count", F.col("nth")))
+    misses = solved.docs.join(probed.where("nth = 0 and not known").select("doc_id", "mode"), "doc_id")
     told = [
-        _by_mode(solved.docs, modes, lambda rows, mode: document_events(rows, mode, normalized)),
+        _by_mode(misses, lambda rows, mode: document_events(rows, mode, normalized)),
         *([partial_events(solved.docs, solved.changed, evidence)] if solved.changed is not None else []),
         result_events(final),
-        _by_mode(hits, modes, begun),
-        cache_events(hits),
-        result_events(hits, cached=True),
-        _by_mode(refused, modes, lambda rows, mode: failure_events(rows, mode, normalized)),
-        _by_mode(again, modes, lambda rows, mode: failure_events(rows, mode, normalized, begun=True)),
+        hit_events(hits, normalized),
+        _by_mode(refused, lambda rows, mode: failure_events(rows, mode, normalized)),
+        _by_mode(again, lambda rows, mode: failure_events(rows, mode, normalized, begun=True)),
     ]
     events = told[0]
     for rows in told[1:]:

@@ -5,9 +5,11 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docweft.functions.shared import dealt, each, fixed
-from docweft.operators.extract import extract
+from docweft.operators import incremental
+from docweft.operators.extract import EVIDENCE, extract
 from docweft.plans.queries import QUERIES
 from docweft.schema import FieldSpec, SchemaSpec
 from docweft.sources import images, ingest
@@ -95,3 +97,17 @@ def test_fixed_rows_are_as_they_were(spark):
     rows = spark.createDataFrame([(1, None, [1]), (None, "b", None)], "a int, b string, c array<int>")
     assert sorted(map(tuple, fixed(rows).collect()), key=str) == sorted(map(tuple, rows.collect()), key=str) and fixed(rows).columns == rows.columns
     assert fixed(rows.limit(0)).count() == 0
+
+
+def test_hits_are_told_in_one_pass(spark):
+    rows = [("a", "sync", "k", 1), ("b", "async", "k", 2)]
+    fields = "array<struct<key:string,value_json:string,items:array<string>,meaningful:boolean,confidence:float,evidences:array<" + EVIDENCE + ">>>"
+    hits = spark.createDataFrame(rows, "doc_id string, mode string, cache_key string, hit_count bigint").select(
+        "*", F.from_json(F.lit('[{"key":"x","value_json":"1","confidence":0.5,"evidences":[]},{"key":"y","value_json":"null","confidence":0.1,"evidences":[]}]'), fields).alias("fields"), F.lit('say "hi"').alias("raw_text"),
+        F.lit(7).cast("bigint").alias("created_at_ms"), F.lit(8).cast("bigint").alias("last_accessed_at_ms"),
+    )
+    mode = lambda m: hits.where(F.col("mode") == m).select(F.col("doc_id").alias("task_id"), F.explode(F.array(*incremental.opening(m, False))).alias("e")).select("task_id", "e.*")
+    apart = mode("sync").unionByName(mode("async")).unionByName(incremental.cache_events(hits)).unionByName(incremental.result_events(hits, cached=True))
+    at_once = incremental.hit_events(hits.withColumn("shown", incremental.shown(F.col("fields"), F.col("raw_text"))), False)
+    assert sorted(map(repr, at_once.collect())) == sorted(map(repr, apart.collect()))
+    assert at_once.count() == 6 + 7
