@@ -10,9 +10,11 @@ aggregation: the first occurrence of a hash (smallest id, then position) stays,
 and every sentence that any other occurrence covers is removed.
 
 Counting happens before the shuffle, so a passage that very many documents
-share costs one row per task there. Only hashes seen more than once are joined
-back; the runs of a hash with a thousandth of all rows or more are spread over
-many tasks, each with its own copy of the hash's first occurrence.
+share costs one row per task there; the same count tells the hot hashes. Only
+hashes seen more than once are joined back; the runs of a hash with a thousandth
+of all rows or more are spread over many tasks, each with its own copy of the
+hash's first occurrence. Texts are shuffled only where a bitmap of fixed size
+says that their id may lose sentences; a full bitmap costs room, not results.
 
 Sentences end at ``.``, ``!`` or ``?`` before white space, and at line ends.
 They are compared by their words, without regard to case.
@@ -35,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweft.llm.common import hot_keys, salted_join, settle, unused, written
+from docweft.llm.common import hot_least, salted_join, settle, unused, written
 
 _END = re.compile(r"(?<=[.!?])\s+|\n\s*")
 
@@ -113,29 +115,52 @@ def _text_hash(text: Column, apart: bool) -> Column:
     return F.xxhash64(text) if apart else F.lit(0).cast("long")
 
 
-def several_texts(docs: DataFrame) -> bool:
-    """Whether some id has different texts."""
-    keys = _keys(docs, True).where("doc_id is not null").groupBy("doc_id").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b"))
-    return not keys.where("a <> b").isEmpty()
+def repeated_ids(docs: DataFrame) -> tuple[bool, bool]:
+    """Whether some id has different texts, and whether some id has several rows."""
+    ids = _keys(docs, True).where("doc_id is not null").groupBy("doc_id").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b"), F.count(F.lit(1)).alias("n"))
+    told = ids.agg(F.bool_or(F.col("a") != F.col("b")).alias("apart"), F.bool_or(F.col("n") > 1).alias("again")).first()
+    return bool(told.apart), bool(told.again)
 
 
-def repeated_spans(docs: DataFrame, least_sentences: int = 2, least_words: int = 20, apart: bool = True) -> DataFrame:
+def repeated_spans(docs: DataFrame, least_sentences: int = 2, least_words: int = 20, apart: bool = True, again: bool = True) -> DataFrame:
     """doc_id, text_hash, spans (first sentence, sentence behind the last) that repeat earlier ones, first_doc_ids.
 
     A document is an id with a text: where one id has several texts, each has spans of its own, ordered by id, then hash of the text;
-    ``apart`` is false where the caller knows that no id has.
+    ``apart`` is false where the caller knows that no id has, ``again`` where no id has several rows: then every run is a place of its
+    own, and hashes seen twice need no last place beside the first.
     """
     found = written(hash_runs(_keys(docs, apart), least_sentences, least_words), "runs")
-    keys = ["h1", "h2"]
-    place = F.struct("doc_id", "text_hash", "start")
-    firsts = settle(found.groupBy(*keys).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select(*keys, "first"))
-    later = salted_join(found, firsts, keys, hot_keys(found, keys), ["doc_id", "text_hash", "start"]).where(place != F.col("first"))
+    keys, of = ["h1", "h2"], ["doc_id", "text_hash", "start"] if apart else ["doc_id", "start"]
+    runs = found if apart else found.drop("text_hash")
+    place = F.struct(*of)
+    last = [F.max(place).alias("last")] if again else []
+    several = F.col("first") != F.col("last") if again else F.col("n") > 1
+    seen = runs.groupBy(*keys).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), *last)
+    is_hot = F.col("n") >= hot_least(found)
+    firsts = settle(seen.where(several | is_hot).select(*keys, "first", several.alias("several"), is_hot.alias("hot")))
+    later = salted_join(runs, firsts.where("several").select(*keys, "first"), keys, firsts.where("hot").select(*keys), of).where(place != F.col("first"))
+    if not apart:
+        later = later.withColumn("text_hash", F.lit(0).cast("long"))
     return later.groupBy("doc_id", "text_hash").agg(
         F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"),
         F.sort_array(F.collect_set("first.doc_id")).alias("first_doc_ids"),
     )
 
 
+#: Bits that tell which ids may lose sentences, in pieces of Spark's bitmap functions: 8 MB at most.
+FILTER_BITS = 1 << 26
+
+
+def may_have(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id may be among ``ids``: no row that has one is missing, few others stay."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    bits = ids.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("__piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", (F.bitmap_bit_position(at) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.expr("shiftright(__byte, cast(__at % 8 as int)) & 1")
+    held = rows.join(F.broadcast(bits), F.bitmap_bucket_number(at) == F.col("__piece")).withColumns({"__byte": byte, "__at": F.bitmap_bit_position(at)})
+    return held.where(bit == 1).select(*rows.columns)
+
+
 def _cut(text: str | None, spans: list[dict]) -> tuple[str | None, int, int]:
     """Text without the covered sentences, number of sentences, number removed."""
     if text is None:
@@ -168,10 +193,10 @@ def _cutter(text: Column, spans: Column) -> Column:
 
 def affected(docs: DataFrame, least_sentences: int = 2, least_words: int = 20) -> DataFrame:
     """doc_id, text (what is left), n_sentences, n_removed, first_doc_ids of each document that loses sentences."""
-    apart = several_texts(docs)
-    spans = repeated_spans(docs, least_sentences, least_words, apart)
+    apart, again = repeated_ids(docs)
+    spans = written(repeated_spans(docs, least_sentences, least_words, apart, again), "spans")
     return (
-        _keys(docs, apart)
+        may_have(_keys(docs, apart), spans.select("doc_id"))
         .join(spans, ["doc_id", "text_hash"])
         .select("doc_id", _cutter(F.col("text"), F.col("spans")).alias("cut"), "first_doc_ids")
         .select("doc_id", "cut.text", "cut.n_sentences", "cut.n_removed", "first_doc_ids")
@@ -181,8 +206,8 @@ def affected(docs: DataFrame, least_sentences: int = 2, least_words: int = 20) -
 def remove_repeats(docs: DataFrame, least_sentences: int = 2, least_words: int = 20) -> DataFrame:
     """``docs``, all columns kept, with the covered sentences removed from ``text``."""
     i, h, own = unused(docs, 3)
-    apart = several_texts(docs)
-    spans = repeated_spans(docs, least_sentences, least_words, apart).select(F.col("doc_id").alias(i), F.col("text_hash").alias(h), F.col("spans").alias(own))
+    apart, again = repeated_ids(docs)
+    spans = repeated_spans(docs, least_sentences, least_words, apart, again).select(F.col("doc_id").alias(i), F.col("text_hash").alias(h), F.col("spans").alias(own))
     same = (F.col("doc_id").cast("long") == F.col(i)) & (_text_hash(F.col("text").cast("string"), apart) == F.col(h))
     joined = docs.join(spans, same, "left")
     cut = F.when(F.col(own).isNull(), F.col("text")).otherwise(_cutter(F.col("text"), F.col(own))["text"])

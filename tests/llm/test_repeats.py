@@ -93,3 +93,27 @@ def test_hot_passage(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t, "s", "f") for i, t in rows], SCHEMA).repartition(3)
     got = {r.doc_id: (r.n_removed, list(r.first_doc_ids)) for r in repeats.affected(docs).collect()}
     assert got == {i: (4, [0]) for i in range(1, 200)}
+
+
+def test_texts_that_lose_nothing_are_not_shuffled(spark):
+    """A bitmap keeps every id that it holds, negative ones too, and few others."""
+    rows = spark.range(-50_000, 50_000).selectExpr("id AS doc_id", "repeat('x', 20) AS text")
+    ids = rows.where("doc_id % 4 = 0").select("doc_id")
+    kept = repeats.may_have(rows, ids)
+    assert kept.columns == rows.columns
+    assert ids.join(kept, "doc_id", "left_anti").isEmpty()
+    assert 25_000 <= kept.count() < 26_000
+
+
+def test_rows_of_an_id_once_and_again(spark):
+    passage = " ".join(f"Passage sentence number {k} has quite a few words of its own." for k in range(4))
+    rows = [(1, passage), (2, "Own start here. " + passage), (3, passage + " Own end here.")]
+    once = spark.createDataFrame([(i, t, "s", "f") for i, t in rows], SCHEMA)
+    again = once.union(once)
+    assert repeats.repeated_ids(once) == (False, False) and repeats.repeated_ids(again) == (False, True)
+    want = [(2, 4, [1]), (3, 4, [1])]
+    for docs in (once, again):
+        got = repeats.affected(docs).select("doc_id", "n_removed", "first_doc_ids").distinct().collect()
+        assert sorted((r.doc_id, r.n_removed, list(r.first_doc_ids)) for r in got) == want
+    apart = once.union(spark.createDataFrame([(2, "Something else.", "s", "f")], SCHEMA))
+    assert repeats.repeated_ids(apart) == (True, True)
