@@ -66,7 +66,11 @@ def parse_schemas(schemas: DataFrame) -> DataFrame:
 
 
 def judged(uploads: DataFrame) -> DataFrame:
-    """Upload requests with their parsed schema, their options and the first reason to refuse them (``error``, else null)."""
+    """Upload requests with their parsed schema, their options and the first reason to refuse them (``error``, else null).
+
+    They are settled first: their schemas, the count of hot ones and the join read them again, and they may come as JSON.
+    """
+    uploads = settle(uploads)
     given = uploads.where(F.col("schema").isNotNull()).select("schema").distinct()
     parsed = parse_schemas(given)
     options = F.try_parse_json("options")

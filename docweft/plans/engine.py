@@ -187,7 +187,7 @@ def run_uploads(files: DataFrame, uploads: DataFrame, config: EngineConfig = Eng
     many ask for it. Requests that break a rule, name no file that is there, or
     name one that its reader refuses, fail with the reason.
     """
-    asked = requests.judged(uploads).withColumns({"doc": F.sha2(F.to_json(F.struct("path", "file_name", "mime_type"), {"ignoreNullFields": "false"}), 256)})
+    asked = settle(requests.judged(uploads).withColumns({"doc": F.sha2(F.to_json(F.struct("path", "file_name", "mime_type"), {"ignoreNullFields": "false"}), 256)}))
     name = F.coalesce("file_name", F.element_at(F.split("path", "/"), -1))
     wanted = asked.where("error is null").select("doc", "path", name.alias("file_name"), "mime_type").distinct()
     read = wanted.join(files.select("path", "content", F.col("byte_size").cast("bigint").alias("byte_size")), "path")
@@ -201,7 +201,7 @@ def run_uploads(files: DataFrame, uploads: DataFrame, config: EngineConfig = Eng
     judged = settle(found.withColumns({"doc_id": F.col("task_id"), "error": F.coalesce("error", missing), "cache_key": key}))
 
     def solve(missed: DataFrame) -> Solved:
-        todo = judged.join(missed, "doc_id", "left_semi")
+        todo = settle(judged.join(missed, "doc_id", "left_semi"))
         docs, failed = documents_of(held.join(todo.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").drop("digest"), config)
         return _solved(todo, settle(docs), settle(failed))
 
@@ -221,7 +221,7 @@ def run_requests(asked: DataFrame, cache: DataFrame | None = None, order: str =
     judged = settle(given.withColumns({"doc_id": F.col("task_id"), "doc": own, "error": F.coalesce("error", refused), "cache_key": key}))
 
     def solve(missed: DataFrame) -> Solved:
-        todo = judged.join(missed, "doc_id", "left_semi")
+        todo = settle(judged.join(missed, "doc_id", "left_semi"))
         texts = todo.select(F.col("doc").alias("doc_id"), F.col("kind").alias("source_type"), F.col("content").alias("text"), "url", "file_name", "mime_type").dropDuplicates(["doc_id"])
         return _solved(todo, settle(ingest.read_inline(texts)), judged.limit(0).select("doc_id", "error"))
 
@@ -229,7 +229,7 @@ def run_requests(asked: DataFrame, cache: DataFrame | None = None, order: str =
 
 
 def _solved(todo: DataFrame, docs: DataFrame, failed: DataFrame) -> Solved:
-    """What requests (doc_id, doc, nodes, labels, ...) give for documents and failures of ``doc``."""
+    """What requests (doc_id, doc, nodes, labels, ...; settled, since they are read again and again) give for documents and failures of ``doc``."""
     final = settle(requests.extract_requests(todo.drop("doc_id").withColumnRenamed("doc", "doc_id"), docs).drop("status").withColumnRenamed("task_id", "doc_id"))
     of_task = todo.select(F.col("doc_id").alias("task_id"), F.col("doc").alias("doc_id"))
     per_task = spread_join(of_task, docs, ["doc_id"], ["task_id"]).drop("doc_id").withColumnRenamed("task_id", "doc_id")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docweft.functions.shared import dealt, each, fixed
-from docweft.operators import incremental
+from docweft.operators import incremental, requests
 from docweft.operators.extract import EVIDENCE, extract
 from docweft.plans.queries import QUERIES
 from docweft.schema import FieldSpec, SchemaSpec
@@ -111,3 +111,13 @@ def test_hits_are_told_in_one_pass(spark):
     at_once = incremental.hit_events(hits.withColumn("shown", incremental.shown(F.col("fields"), F.col("raw_text"))), False)
     assert sorted(map(repr, at_once.collect())) == sorted(map(repr, apart.collect()))
     assert at_once.count() == 6 + 7
+
+
+def test_requests_are_read_once(spark, tmp_path):
+    """Judged requests come from what was kept of them, not from another reading of their JSON."""
+    rows = [("1", "a", None, None, "sync", '{"name":"s","version":"1","fields":[]}', None), ("2", "b", None, None, "later", None, None)]
+    spark.createDataFrame(rows, requests.UPLOAD).write.json(f"{tmp_path}/asked")
+    asked = spark.read.schema(requests.UPLOAD).json(f"{tmp_path}/asked")
+    judged = requests.judged(asked)
+    assert "] json" in plan(asked) and "] json" not in plan(judged)
+    assert {r.task_id for r in judged.collect()} == {"1", "2"}
