@@ -21,28 +21,47 @@ from docweft.llm.common import fresh_dir, table
 from docweft.llm.queries import tokenizer_path
 
 
+#: Rows of whole texts that are read, or handed to Python, at once.
+BATCH_ROWS = 1000
+
+
+def lean(spark: SparkSession) -> None:
+    """Texts are read and handed to Python in batches of ``BATCH_ROWS`` or less: of long texts, Spark's own sizes hold a whole split at once.
+
+    It holds for the session from then on, as plans are run later; no result depends on it.
+    """
+    for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+            spark.conf.set(key, str(BATCH_ROWS))
+
+
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
+    lean(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five words, a similarity of 0.8 or more."""
+    lean(spark)
     return neardup.keep_one(docs, width=5, percent=80)
 
 
 def uncontaminated_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark items."""
+    lean(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redacted_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by typed placeholders."""
+    lean(spark)
     return pii.redact(docs)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece of every document in sequences of 2048 tokens."""
+    lean(spark)
     return packing.pack_documents(docs, tokenizer_path(), capacity=2048)
 
 

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweft.llm.common import hot_keys, salted_join, settle, unused
+from docweft.llm.common import hot_keys, marked, salted_join, settle, unused
 
 LANES = 8
 HASHES = 32 * LANES
@@ -51,7 +51,7 @@ BLOCK = 256
 #: Edges that a task of the component rounds takes.
 EDGES = 20_000
 #: Hashes of words that a Python worker remembers.
-WORDS = 400_000
+WORDS = 150_000
 
 _DRAW = np.random.default_rng(20_240_101)
 _MULTIPLY = _DRAW.integers(0, 2**31, HASHES, dtype="u4") * np.uint32(2) + np.uint32(1)
@@ -326,7 +326,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        found = shingle_sets(texts.join(ids, "id", "left_semi"), width).withColumn("__h", F.xxhash64("shingles"))
+        ids = settle(ids)
+        maybe = marked(texts, F.col("id"), ids, "__maybe").where("__maybe").drop("__maybe")  # the other texts are not shuffled
+        found = shingle_sets(maybe.join(ids, "id", "left_semi"), width).withColumn("__h", F.xxhash64("shingles"))
         return settle(found.dropDuplicates(["id", "__h"]).drop("__h"))  # an id may have several texts
 
     sets = sets_of(close.select(F.explode(F.array("u", "v")).alias("id")).distinct())
@@ -363,13 +365,16 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     All columns are kept. Of several rows of that id the one of the smallest text stays, null last.
     """
     found = settle(near_duplicates(docs, width, percent).where("doc_id is not null").select("doc_id", "kept"))
-    (i,) = unused(docs, 1)
+    i, maybe = unused(docs, 2)
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(i)).distinct()
     again = found.where("kept").groupBy(F.col("doc_id").alias(i)).count().where("count > 1").select(i)
     same = F.col("doc_id").cast("long") == F.col(i)
+    # most rows stay, as a bitmap tells; the others are looked up
+    told = marked(docs, F.col("doc_id").cast("long"), gone.union(again), maybe)
+    sure, looked_up = told.where(~F.col(maybe)).drop(maybe), told.where(maybe).drop(maybe)
     if again.isEmpty():
-        return docs.join(gone, same, "left_anti")
+        return sure.union(looked_up.join(gone, same, "left_anti"))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     least = F.min_by(row, F.struct(F.col("text").isNull(), F.col("text"), F.to_json(row))).alias("__row")
-    once = docs.join(again, same, "left_semi").groupBy("doc_id").agg(least).select("__row.*")
-    return docs.join(gone.union(again), same, "left_anti").unionByName(once)
+    once = looked_up.join(again, same, "left_semi").groupBy("doc_id").agg(least).select("__row.*")
+    return sure.union(looked_up.join(gone.union(again), same, "left_anti")).unionByName(once)

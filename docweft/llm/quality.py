@@ -224,7 +224,7 @@ def site_posteriors(scored: DataFrame) -> tuple[DataFrame, dict[str, float]]:
     """
     paths = scored.groupBy("host", "path").agg(F.count(F.lit(1)).cast("double").alias("n_path"), F.sum("p").alias("s_path"), F.sum(F.col("p") * F.col("p")).alias("q_path"))
     hosts = paths.groupBy("host").agg(F.sum("n_path").alias("n_host"), F.sum("s_path").alias("s_host"), F.sum("q_path").alias("q_host"))
-    sites = settle(paths.join(hosts, "host"))
+    sites = written(paths.join(hosts, "host"), "sites")
     mean = lambda s, n: F.col(s) / F.col(n)
     a = sites.agg(
         F.sum("n_path").alias("total"),

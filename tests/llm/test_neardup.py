@@ -6,8 +6,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from docweft.llm import neardup
+from docweft.llm.common import marked
 
 SCHEMA = "doc_id long, text string, n long, id long, component string"
 
@@ -135,3 +137,18 @@ def test_link_behind_unlike_pivots(spark):
         rows.append((len(rows) + 1, quote))
     want = check(spark, [*rows, (1000, a), (1001, b)])
     assert len(rows) > 3 and want[1001][1] == 1000
+
+
+def test_texts_of_no_candidate_are_not_shuffled(spark):
+    """Of texts that share no bucket, and of rows that stay, only the few that the bitmap can't tell apart are joined by shuffle."""
+    docs = spark.range(-20_000, 20_000).selectExpr("id AS doc_id", "concat(id, ' of its own ', id * 7, ' and ', id * 31) AS text", "1L AS `__own0`", "id AS `a.b`")
+    ids = docs.where("doc_id % 8 = 0").select("doc_id")
+    told = marked(docs, F.col("doc_id"), ids, "mark")
+    assert told.columns == [*docs.columns, "mark"] and told.count() == docs.count()
+    assert ids.join(told.where("mark"), "doc_id", "left_anti").isEmpty()
+    assert told.where("mark").count() < 5_200
+    assert marked(docs.selectExpr("cast(null AS long) AS doc_id"), F.col("doc_id"), ids, "mark").where("mark").isEmpty()
+    plan = neardup.keep_one(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "x")], "doc_id long, text string"))
+    assert sorted(r.doc_id for r in plan.collect()) == [1, 3]
+    shape = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in shape and "bitmap_construct_agg" in shape

@@ -110,3 +110,16 @@ def test_odd_rows(spark, tmp_path):
     assert {r.doc_id for r in got} == {None, 1, 2, 3, 4}
     spark.createDataFrame([], DOCS).write.mode("overwrite").parquet(f"{where}/documents.parquet")
     assert corpus_pipeline.run(spark, where).count() == 0
+
+
+def test_texts_go_in_small_batches(spark):
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        for given, want in (("10000", "1000"), ("0", "1000"), ("200", "200")):
+            spark.conf.set(keys[0], given)
+            corpus_pipeline.lean(spark)
+            assert [spark.conf.get(k) for k in keys] == [want, "1000"]
+    finally:
+        for k, v in zip(keys, before, strict=True):
+            spark.conf.set(k, v)
