@@ -23,6 +23,8 @@ from docweft.llm.queries import tokenizer_path
 
 #: Rows of whole texts that are read, or handed to Python, at once.
 BATCH_ROWS = 1000
+#: Parts of words that a Python worker remembers in either generation: what stays of the last stage counts when the first one runs again.
+PARTS = 100_000
 
 
 def lean(spark: SparkSession) -> None:
@@ -62,7 +64,7 @@ def redacted_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece of every document in sequences of 2048 tokens."""
     lean(spark)
-    return packing.pack_documents(docs, tokenizer_path(), capacity=2048)
+    return packing.pack_documents(docs, tokenizer_path(), capacity=2048, entries=PARTS)
 
 
 STAGES = [

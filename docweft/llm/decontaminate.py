@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweft.llm.common import hot_keys, salted_join, settle, written
+from docweft.llm.common import alone, hot_keys, salted_join, settle, written
 
 FILTER_BITS = 1 << 25
 #: Words that a Python worker remembers.
@@ -85,6 +85,7 @@ _TOKENS = _Tokens()
 
 def canonical(text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Words, template hashes, hashes of the plain forms, and whether each is a placeholder."""
+    alone(_TOKENS)
     words: list[str] = []
     heads = []
     for line in text.split("\n"):
@@ -131,6 +132,12 @@ def windows(codes: np.ndarray, plain: np.ndarray, slots: np.ndarray, width: int)
     return out, size
 
 
+def maybe_known(key: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Places of the window keys whose bit is set, which is looked up in the packed bitmap."""
+    place = key >> np.uint64(39)
+    return np.flatnonzero((bits[(place >> np.uint64(3)).astype("i8")] >> (place & np.uint64(7)).astype("u1")) & np.uint8(1))
+
+
 HITS = "id long, at int, key long, slots array<string>, size int"
 
 
@@ -138,7 +145,6 @@ def _windows_of(rows: DataFrame, lengths: list[int], bits: np.ndarray | None = N
     """Windows of rows (id, text): of ``lengths``, with a filter those only that it may know and that are not shorter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None if bits is None else np.unpackbits(bits, bitorder="little").view(bool)
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
@@ -146,12 +152,12 @@ def _windows_of(rows: DataFrame, lengths: list[int], bits: np.ndarray | None = N
                 for row_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     words, codes, plain, slots = canonical(text.as_py() or "")
                     for length in lengths:
-                        if kept is not None and len(codes) < length:
+                        if bits is not None and len(codes) < length:
                             continue
                         key, size = windows(codes, plain, slots, length)
                         at = np.arange(len(key))
-                        if kept is not None and len(key):
-                            at = np.flatnonzero(kept[(key >> np.uint64(39)).astype("i8")])
+                        if bits is not None and len(key):
+                            at = maybe_known(key, bits)
                             key = key[at]
                         for a, k in zip(at.tolist(), key.view("i8").tolist(), strict=True):
                             ids.append(row_id)

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweft.llm.common import hot_keys, marked, salted_join, settle, unused
+from docweft.llm.common import alone, hot_keys, marked, salted_join, settle, unused
 
 LANES = 8
 HASHES = 32 * LANES
@@ -81,6 +81,7 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     Words are runs without space, tab, line feed, vertical tab, form feed and
     carriage return; A-Z count as a-z. Fewer words than ``width`` are one shingle.
     """
+    alone(_HASHES)
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if len(words) < width:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=len(words))] if words else [], "u8")

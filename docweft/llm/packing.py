@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweft.llm.common import settle
+from docweft.llm.common import alone, settle
 
 #: Entries of one generation of a worker's lookup table (there are two).
 ENTRIES = 400_000
@@ -84,6 +84,7 @@ class PartCache:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.by_parts = splits_as_parts(path)
+        self.entries = ENTRIES
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
@@ -91,9 +92,11 @@ class PartCache:
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     @classmethod
-    def of(cls, path: str) -> PartCache:
+    def of(cls, path: str, entries: int = ENTRIES) -> PartCache:
+        alone(_LOADED)
         if path not in _LOADED:
             _LOADED[path] = cls(path)
+        _LOADED[path].entries = entries
         return _LOADED[path]
 
     def _whole(self, text: str) -> bytes:
@@ -111,7 +114,7 @@ class PartCache:
         return out
 
     def _learn(self, parts: Iterable[str]) -> None:
-        if len(self.new) > ENTRIES:
+        if len(self.new) > self.entries:
             self.old, self.new = self.new, {}
         absent = set(parts).difference(self.new)
         unseen = absent.difference(self.old)
@@ -170,15 +173,18 @@ class PartCache:
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """The pieces of every document: its ids and ``end_id``, cut every ``capacity`` tokens."""
+def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, entries: int = ENTRIES) -> DataFrame:
+    """The pieces of every document: its ids and ``end_id``, cut every ``capacity`` tokens.
+
+    ``entries`` bounds a worker's lookup table; no result depends on it.
+    """
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        cache = PartCache.of(tokenizer_path)
+        cache = PartCache.of(tokenizer_path, entries)
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             texts = (x.as_py() or "" for x in batch.column(1))
@@ -303,6 +309,6 @@ def pack(pieces: DataFrame, capacity: int = 2048, leaf_pieces: int = 100_000, fa
     return out.select("sequence_id", "pieces").mapInArrow(_placed, PLACED)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, **options) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, entries: int = ENTRIES, **options) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of ``docs``."""
-    return pack(settle(tokenise(docs, tokenizer_path, capacity, end_id)), capacity, **options)
+    return pack(settle(tokenise(docs, tokenizer_path, capacity, end_id, entries)), capacity, **options)

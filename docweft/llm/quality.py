@@ -39,10 +39,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweft.llm.common import settle, unused, written
+from docweft.llm.common import alone, settle, unused, written
 
 WORD_BITS, SHAPE_BITS = 15, 10
 #: Beginnings of longer words have slots of their own, so that inflected and compound words share evidence.
@@ -81,10 +82,13 @@ class _Slots(dict):
 
 
 _SLOTS = _Slots()
+#: What words and beginnings of words count: each slot once at most.
+_ONES = np.ones(_SHAPE, "f4")
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Slots and values of a text: words and beginnings of words that occur, shares of word shapes, and counts."""
+    alone(_SLOTS)
     text = text or ""
     words = text.split()
     lines = text.split("\n")
@@ -114,7 +118,10 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, steps: int = 1000, batch: int = 128, rate: float = 0.1, decay: float = 1e-5) -> np.ndarray:
-    """Weights and, last, the bias of a logistic model, by AdaGrad in a fixed order: eight passes, or about ``steps`` steps."""
+    """Weights and, last, the bias of a logistic model, by AdaGrad in a fixed order: eight passes, or about ``steps`` steps.
+
+    A row is slots and their values; the first slots, as many as there are more of them, have the value 1.
+    """
     w, seen = np.zeros(WIDTH + 1), np.full(WIDTH + 1, 1e-8)
     words = _SHAPE
     share = good.mean()
@@ -130,7 +137,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, steps: in
     for _ in range(max(8, steps * batch // len(rows))):
         for part in np.array_split(order.permutation(len(rows)), max(1, len(rows) // batch)):
             slots = np.concatenate([rows[i][0] for i in part])
-            values = np.concatenate([rows[i][1] for i in part]).astype("f8")
+            values = np.concatenate([x for i in part for x in (_ONES[: len(rows[i][0]) - len(rows[i][1])], rows[i][1])]).astype("f8")
             of = np.repeat(np.arange(len(part)), [len(rows[i][0]) for i in part])
             z = np.bincount(of, weights=w[slots] * values, minlength=len(part)) + w[-1]
             d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - good[part]) / len(part)
@@ -164,15 +171,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> Weigh
                 part = batch.slice(at, 200)
                 found = [features(x.as_py()) for x in part.column(3)]
                 slots = pa.array([s.astype("i4") for s, _ in found], pa.list_(pa.int32()))
-                values = pa.array([v.astype("f4") for _, v in found], pa.list_(pa.float32()))
+                values = pa.array([v[np.count_nonzero(s < _SHAPE) :].astype("f4") for s, v in found], pa.list_(pa.float32()))
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], slots, values], names=["id", "good", "toxic", "slots", "values"])
 
     def learn(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("id", "ascending"), ("good", "ascending"), ("toxic", "ascending")])
-        rows = [(s.values.to_numpy(), v.values.to_numpy()) for s, v in zip(table["slots"], table["values"], strict=True)]  # views
+        # rows are put in order by number and stay views: a sorted copy of all features is as large as they are
+        order = pc.sort_indices(table.select(["id", "good", "toxic"]), [("id", "ascending"), ("good", "ascending"), ("toxic", "ascending")]).to_numpy()
+        views = [(s.values.to_numpy(), v.values.to_numpy()) for s, v in zip(table["slots"], table["values"], strict=True)]
+        rows = [views[i] for i in order.tolist()]
         out = {}
         for name in ("good", "toxic"):
-            marks = table[name].to_numpy().astype("f8")
+            marks = table[name].to_numpy()[order].astype("f8")
             w = train(rows, marks) if 0 < marks.sum() < len(marks) else np.zeros(0)
             out[name] = pa.array([w.astype("f4").tobytes()], pa.binary())
         return pa.table(out)

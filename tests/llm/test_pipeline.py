@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docweft.llm import pii, quality
+from docweft.llm import decontaminate, neardup, packing, pii, quality
 from tests.llm.test_decontaminate import brute as leaks
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -123,3 +123,47 @@ def test_texts_go_in_small_batches(spark):
     finally:
         for k, v in zip(keys, before, strict=True):
             spark.conf.set(k, v)
+
+
+def test_a_worker_remembers_the_words_of_one_stage(monkeypatch):
+    monkeypatch.setattr(packing, "_LOADED", {})
+    path = corpus_pipeline.tokenizer_path()
+    filled = {
+        "quality": lambda: (quality.features("some words here"), len(quality._SLOTS))[1],
+        "near_dedup": lambda: (neardup.shingle_set("some words here", 2), len(neardup._HASHES))[1],
+        "decontamination": lambda: (decontaminate.canonical("some words here"), len(decontaminate._TOKENS))[1],
+        "packing": lambda: (list(packing.PartCache.of(path, 10).encode_all(["some words here"])), len(packing._LOADED))[1],
+    }
+    tables = lambda: {"quality": quality._SLOTS, "near_dedup": neardup._HASHES, "decontamination": decontaminate._TOKENS, "packing": packing._LOADED}
+    for name in (*filled, *filled):
+        assert filled[name]() and filled[name]()
+        assert [k for k, v in tables().items() if v] == [name]
+
+
+def test_bounded_tables_give_the_same_ids():
+    texts = [f"Word{i} and part-{i * 7} of {i % 3}" for i in range(300)]
+    path = corpus_pipeline.tokenizer_path()
+    some = packing.PartCache.of(path)
+    want = [b"".join(some.encode_all([t])) for t in texts]
+    few = packing.PartCache.of(path, 20)
+    assert [b"".join(few.encode_all([t])) for t in texts] == want
+    assert len(few.new) <= 20 + len(texts[0].split()) * 3
+    assert packing.PartCache.of(path).entries == packing.ENTRIES
+
+
+def test_words_carry_no_values_to_the_fit():
+    """Rows with the values behind the words alone give the weights that rows with all values give."""
+    rows = [quality.features(f"good words {i} of a text, number {i % 5}" if i % 2 else f"BUY {i} now!!! {i}") for i in range(400)]
+    good = np.arange(400) % 2.0
+    short = [(s, v[np.count_nonzero(s < quality._SHAPE) :].astype("f4")) for s, v in rows]
+    assert all(len(v) < len(s) for s, v in short)
+    assert np.array_equal(quality.train(short, good), quality.train([(s, v.astype("f4")) for s, v in rows], good))
+
+
+def test_packed_bitmap():
+    rng = np.random.default_rng(3)
+    bits = rng.integers(0, 256, decontaminate.FILTER_BITS // 8, dtype="u1")
+    keys = rng.integers(0, 2**64, 5000, dtype="u8")
+    plain = np.unpackbits(bits, bitorder="little")[(keys >> np.uint64(39)).astype("i8")]
+    assert 0 < plain.sum() < len(plain)
+    assert np.array_equal(decontaminate.maybe_known(keys, bits), np.flatnonzero(plain))
